@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import quality_rules, sharding
+from sparkatlas.llm import bpe, decontaminate, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip of every text through the 49k word vocabulary."""
+    import public_tokenizers
+
+    return bpe.digest_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the standard policy on every document."""
@@ -33,6 +41,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_quality_rules"] = quality_rules.oracle_sql()
 
 
+@_query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every text."""
+    return decontaminate.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes."""
