@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkatlas.llm.automaton import SuffixAutomaton
 from sparkatlas.llm.textcore import mix, slices
 
 WINDOW = 10
@@ -42,7 +43,7 @@ def clean_words(text: bytes) -> list[bytes]:
     return text.translate(_CLEAN).split()
 
 
-class Automaton:
+class Automaton(SuffixAutomaton):
     """Suffix automaton of many word sequences, with the windows that end in each state."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
@@ -51,70 +52,13 @@ class Automaton:
         number = self.vocabulary.setdefault
         sequences = [(i, [number(w, len(self.vocabulary)) for w in clean_words(t)]) for i, t in items]
         sequences = [(i, s) for i, s in sequences if s]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        super().__init__()
         for _, seq in sequences:
-            self._insert(seq)
+            self.insert(seq)
         self.shortest = min((min(window, len(s)) for _, s in sequences), default=0)
         self._windows(sequences)
         self._bitmap([s for _, s in sequences])
 
-    def _insert(self, seq: list[int]) -> None:
-        last = 0
-        for c in seq:
-            last = self._extend(last, c)
-
-    def _state(self, length: int, link: int, step: dict[int, int]) -> int:
-        self.next.append(step)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        """A copy of q for the matches through p, which are shorter than q's."""
-        copy = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
-            p = self.link[p]
-        return copy
-
-    def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:  # an earlier item has this too
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        made = self._state(self.length[last] + 1, 0, {})
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = made
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][c]
-            self.link[made] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
-        return made
-
-    def stream(self, seq: list[int]) -> Iterator[tuple[int, int]]:
-        """(state, longest match) after each word; unknown words are -1."""
-        state = matched = 0
-        steps, link, length = self.next, self.link, self.length
-        for c in seq:
-            to = steps[state].get(c)
-            while to is None and state:
-                state = link[state]
-                matched = length[state]
-                to = steps[state].get(c)
-            if to is None:
-                matched = 0
-            else:
-                state, matched = to, matched + 1
-            yield state, matched
-
-    def _at(self, state: int, size: int) -> int:
-        """The state of the last size words of a match."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
-
     def _windows(self, sequences: list[tuple[int, list[int]]]) -> None:
         """Per state the items whose window of full size ends there, and per state the short whole items."""
         self.full: dict[int, list[int]] = {}
@@ -124,7 +68,7 @@ class Automaton:
             for i, (state, matched) in enumerate(self.stream(seq)):
                 if i + 1 >= size:
                     assert matched >= size
-                    at = self._at(state, size)
+                    at = self.suffix(state, size)
                     if size == self.window:
                         own = self.full.setdefault(at, [])
                         if not own or own[-1] != item:
@@ -177,7 +121,7 @@ class Automaton:
             for i, (state, matched) in enumerate(self.stream(ids[a:b].tolist()), a + 1):
                 size = 0
                 if matched >= self.window:
-                    own = self.full.get(self._at(state, self.window))
+                    own = self.full.get(self.suffix(state, self.window))
                     if own:
                         size = self.window
                         items.update(own)

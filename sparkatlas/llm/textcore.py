@@ -49,7 +49,7 @@ class Spans:
     def every(self, width: int) -> np.ndarray:
         """Hash of each span of this width, by its start."""
         n = max(0, len(self._sum) - width)
-        return mix((self._sum[width : width + n] - self._sum[:n]) * self._down[:n] + np.uint64(width) * _ODD)
+        return mix((self._sum[width : width + n] - self._sum[:n]) * self._down[:n] + np.uint64(width * int(_ODD) % 2**64))
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
