@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import bpe, decontaminate, licenses, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm import bpe, decontaminate, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike."""
+    return ngram_join.join(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @_query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every text once repeated passages are gone."""
