@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import bpe, decontaminate, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm import bpe, crf_quality, decontaminate, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+@_query
+def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels that are not held out."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = crf_quality.score(docs, model)
+    return out.select("doc_id", crf_quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @_query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and statements in every text."""
