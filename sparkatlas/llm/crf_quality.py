@@ -196,7 +196,7 @@ def fit(own: np.ndarray, size: np.ndarray, bounds: np.ndarray, labels: np.ndarra
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def training_features(docs: DataFrame, labels: DataFrame, max_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:

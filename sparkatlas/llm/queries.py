@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import bpe, crf_quality, decontaminate, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under a model of the documents that are not held out."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = gated_lm.score(docs)
+    return out.select("doc_id", gated_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every text through the 49k word vocabulary."""
