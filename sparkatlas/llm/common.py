@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,10 @@ def text_of(column: str = "text") -> Column:
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only, as the contracts say."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def with_text(batch: pa.RecordBatch, names: Sequence[str], texts: list[str | None], keep: list[bool] | None = None) -> pa.RecordBatch:
+    """The named columns of batch with other texts, and only the rows to keep."""
+    columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names]
+    out = pa.RecordBatch.from_arrays(columns, names=list(names))
+    return out if keep is None else out.filter(pa.array(keep, pa.bool_()))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkatlas.llm.automaton import SuffixAutomaton
+from sparkatlas.llm.common import with_text
 from sparkatlas.llm.textcore import mix, slices
 
 WINDOW = 10
@@ -225,24 +226,27 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (doc_id, text) without benchmark text.
+    """docs, with all of their columns, without benchmark text.
 
     Spans of hit words are cut out; a document of which they cover more than
     ``max_coverage`` goes. Texts without hits stay as they are.
     """
-    hits = find_hits(docs, items, window, block_words)
+    sc = docs.sparkSession.sparkContext
+    automata = [sc.broadcast(Automaton(block, window)) for block in item_blocks(items, block_words)]
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = [], []
-            for r in batch.to_pylist():
-                spans = list(zip(r["starts"], r["ends"]))
-                if sum(b - a for a, b in spans) <= max_coverage * r["n_words"]:
-                    keys.append(r["doc_id"])
-                    texts.append(None if r["text"] is None else cut(r["text"].encode(), spans).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return hits.mapInArrow(run, "doc_id long, text string")
+            out, keep = [], []
+            for text in batch.column(at).to_pylist():
+                raw = (text or "").encode()
+                n_words, spans, _ = _scan(raw, automata)
+                keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
+                out.append(cut(raw, spans).decode() if spans else text)
+            yield with_text(batch, names, out, keep)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

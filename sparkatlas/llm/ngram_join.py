@@ -281,6 +281,9 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without documents whose component has one with a smaller doc_id; of repeated rows one stays."""
-    keep = join(docs, size, percent).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_keep"), docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi")
+    """docs without documents whose component has one with a smaller doc_id; of rows that repeat id and text one stays."""
+    judged = stored(join(docs, size, percent), "judged")
+    keep = judged.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    if judged.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")

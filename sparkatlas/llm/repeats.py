@@ -217,6 +217,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: i
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of every row of docs; no spans: null."""
-    d = keyed(docs)
-    return d.join(spans, d.doc_id.eqNullSafe(spans.doc_id) & (d.th == spans.th), "left").select(d.doc_id, "text", "spans")
+    """Every row of docs with all of its columns and, last, its spans (null where it has none)."""
+    known = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    return docs.join(known, same, "left").drop("_id", "_th")

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkatlas.llm.automaton import SuffixAutomaton
+from sparkatlas.llm.common import with_text
 from sparkatlas.llm.repeats import SLICE_BYTES, Unit, repeated_spans, with_spans
 from sparkatlas.llm.textcore import slices
+from sparkatlas.llm.textcore import words as words_of
 
 LENGTH = 35
 SHARD_BYTES = 600_000
@@ -91,41 +93,59 @@ def cover(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
-    """ids, texts, words, masks of removed words, per slice of a batch of (doc_id, text, spans)."""
-    for batch in batches:
-        keys, texts, spans = (batch.column(i).to_pylist() for i in range(3))
-        for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
-            words = [(t or "").encode().split() for t in texts[a:b]]
-            masks = [cover(len(w), [(x["s"], x["e"]) for x in s]) if s else None for w, s in zip(words, spans[a:b])]
-            yield keys[a:b], texts[a:b], words, masks, spans[a:b]
+def _masks(words: list[list[bytes]], spans: list) -> list[np.ndarray | None]:
+    return [cover(len(w), [(x["s"], x["e"]) for x in s]) if s else None for w, s in zip(words, spans)]
 
 
 def _kept(words: list[bytes], gone: np.ndarray | None) -> list[bytes]:
     return words if gone is None else [w for w, x in zip(words, gone.tolist()) if not x]
 
 
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the marked words and the white space after them."""
+    _, start, _, _, _ = words_of([text])
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+    starts = np.append(start, len(text))
+    out, at = [], 0
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+        out.append(text[at : starts[a]])
+        at = starts[b]
+    return b"".join([*out, text[at:]])
+
+
 def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and text without repeated passages; texts without any stay as they are, others keep their words joined by blanks."""
+    """docs, with all of their columns, without repeated passages; other texts stay as they are."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, words, masks, _ in _apply(batches):
-            out = [t if m is None else b" ".join(_kept(w, m)).decode() for t, w, m in zip(texts, words, masks)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "text"])
+        for batch in batches:
+            texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()
+            out = []
+            for text, own in zip(texts, spans):
+                if own:
+                    raw = text.encode()
+                    text = cut(raw, cover(len(raw.split()), [(x["s"], x["e"]) for x in own])).decode()
+                out.append(text)
+            yield with_text(batch, names, out)
 
-    return with_spans(docs, repeated_passages(docs, length)).mapInArrow(run, "doc_id long, text string")
+    return with_spans(docs, repeated_passages(docs, length)).mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts of words and removed words, and a digest of what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, words, masks, _ in _apply(batches):
-            gone = [0 if m is None else int(m.sum()) for m in masks]
-            shas = [hashlib.sha256(b" ".join(_kept(w, m))).hexdigest() for w, m in zip(words, masks)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(map(len, words), pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-            )
-
+        for batch in batches:
+            keys, texts, spans = (batch.column(i).to_pylist() for i in range(3))
+            for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
+                words = [(t or "").encode().split() for t in texts[a:b]]
+                masks = _masks(words, spans[a:b])
+                gone = [0 if m is None else int(m.sum()) for m in masks]
+                shas = [hashlib.sha256(b" ".join(_kept(w, m))).hexdigest() for w, m in zip(words, masks)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[a:b], pa.int64()), pa.array(map(len, words), pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+                )
+
+    docs = docs.select("doc_id", "text")
     return with_spans(docs, repeated_passages(docs, length)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

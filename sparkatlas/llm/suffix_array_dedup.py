@@ -141,6 +141,7 @@ def remove_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = [None if t is None else _kept(t, m) for t, m in zip(texts, masks)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "kept"])
 
+    docs = docs.select("doc_id", "text")
     return with_spans(docs, repeated_strings(docs, length)).mapInArrow(run, "doc_id long, kept binary")
 
 
@@ -158,4 +159,5 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
+    docs = docs.select("doc_id", "text")
     return with_spans(docs, repeated_strings(docs, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
