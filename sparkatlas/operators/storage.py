@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="sparkatlas-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the session's shared checkpoint folder and read it back.
 
-    Cuts the lineage of loops and survives lost executors. Where
-    spark.checkpoint.dir is unset, as in tests, a folder of this machine is set.
+    Cuts the lineage of loops and survives lost executors.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sparkatlas-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/sparkatlas/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/sparkatlas/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

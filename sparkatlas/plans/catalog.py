@@ -1,7 +1,9 @@
 """All registered queries of the engine."""
 
+from sparkatlas.plans import graphs, logs, retrieval, streams, texts
 from sparkatlas.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_query"
+MODULES = (graphs, logs, retrieval, streams, texts)
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
