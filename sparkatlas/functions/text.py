@@ -33,14 +33,14 @@ def frontmatter(raw: Column) -> Column:
 
 
 def body_of(raw: Column) -> Column:
-    """Text without its frontmatter, trimmed."""
-    return F.trim(F.regexp_replace(raw, r"(?s)\A---\n.*?\n---", ""))
+    """Text without its frontmatter and white space around."""
+    return F.regexp_replace(F.regexp_replace(raw, r"(?s)\A---\n.*?\n---", ""), r"(?s)\A\s+|\s+\z", "")
 
 
 def inline_tags(front: Column) -> Column:
     """Entries of the first inline list 'tags: [a, b]'; block lists are not read."""
     listed = F.regexp_extract(front, r"(?m)^tags:[ \t]*\[([^\]\n]*)\]", 1)
-    return F.filter(F.transform(F.split(listed, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def wikilinks(body: Column) -> Column:
@@ -126,8 +126,9 @@ def study_type(text: Column) -> Column:
 
 def source_ids(text: Column) -> Column:
     """Identifiers of publications named in a text, as kind:id, each once, sorted."""
-    kinds = {"pmid": r"(?i)\bPMID:?\s*(\d{4,9})\b", "pmc": r"(?i)\b(PMC\d{4,9})\b", "doi": r"(?i)\bdoi\.org/(10\.\d{4,9}/[^\s)\]>\"']+)", "arxiv": r"(?i)\barxiv[:/ ]\s*(?:abs/)?(\d{4}\.\d{4,5})\b", "rfc": r"(?i)\bRFC\s?(\d{1,5})\b", "isbn": r"(?i)\bISBN[:\s-]*([0-9][0-9-]{8,15}[0-9X])"}
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x, k=k: F.concat(F.lit(k + ":"), F.lower(x))) for k, p in kinds.items()]
+    kinds = {"pmid": r"(?i)\bPMID:?\s*(\d{4,9})\b", "pmc": r"(?i)\b(PMC\d{4,9})\b", "doi": r"(?i)\bdoi\.org/(10\.\d{4,9}/[^\s)\]>\"',;]+)", "arxiv": r"(?i)\barxiv[:/ ]\s*(?:abs/)?(\d{4}\.\d{4,5})\b", "rfc": r"(?i)\bRFC\s?(\d{1,5})\b", "isbn": r"(?i)\bISBN[:\s-]*([0-9][0-9-]{8,15}[0-9X])"}
+    named = lambda kind: lambda x: F.concat(F.lit(kind + ":"), F.lower(x))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), named(k)) for k, p in kinds.items()]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
