@@ -39,6 +39,16 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sparkatlas/" in path:
+                jvm = df.sparkSession.sparkContext._jvm
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""
     gc.collect()

@@ -12,8 +12,10 @@ are indexed is an allocation by cost:
   equal. A set leaves out its cheap-to-match segments of at most ``LIGHT``
   shingles, if they are at most ``spare``; one equal segment always remains.
 
-Sets that share an entry are tied by a star (never all pairs); the tied groups
-are then verified exactly, set against set, from the whole texts, and the
+Sets that share an entry are tied by a star (never all pairs). Within a tied
+group, linked sets of a larger band must agree on ``spare + 1`` segments: codes
+of two bytes a segment tell which can, and only those stay together. What is
+left is verified exactly, set against set, from the whole texts, and the
 components of the verified links are what is returned. Groups above ``BLOCK``
 sets are cut into blocks, every pair of blocks verified by itself, so no group
 gathers in one task. Equal sets are collapsed before anything is indexed.
@@ -47,6 +49,8 @@ LIGHT = 2
 #: Largest size of the bands that use deletion neighbours throughout.
 SMALL = 24
 BLOCK = 1500
+#: Sets of a group whose codes are compared in one task.
+CODE_BLOCK = 8000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -90,31 +94,57 @@ def differences_free(percent: int) -> int:
     return size
 
 
-def entries(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of one set: of its own band, and of the next where larger partners may be."""
-    size, tops = len(grams), bands(percent)
-    band = int(np.searchsorted(tops, size))
-    largest = size * 100 // percent
-    return np.concatenate([_band_entries(grams, b, int(tops[b]), percent) for b in range(band, int(np.searchsorted(tops, largest)) + 1) if b > 0] or [np.zeros(0, np.uint64)])
+def _bands_of(size: int, percent: int) -> list[tuple[int, int]]:
+    """Bands of a set of this size, with their largest sizes: its own, and the next where larger partners may be."""
+    tops = bands(percent)
+    first, last = np.searchsorted(tops, (size, size * 100 // percent))
+    return [(b, int(tops[b])) for b in range(max(int(first), 1), int(last) + 1)]
 
 
-def _band_entries(grams: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
+def _allocation(top: int, percent: int) -> tuple[bool, int, int]:
+    """Whether a band indexes deletion neighbours, its spare segments and its segments."""
     most = differences(top, percent)
-    small = top <= SMALL
-    spare = 0 if small else max(2, most // 4)
-    count = (most + 2) // 2 if small else most + 1 + spare
+    if top <= SMALL:
+        return True, 0, (most + 2) // 2
+    spare = max(2, most // 4)
+    return False, spare, most + 1 + spare
+
+
+def _segments(grams: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spread shingles and their segment, and each segment's sum and size."""
     spread = mix(grams + np.uint64(band + 1) * np.uint64(0x9E3779B9))
     segment = ((spread >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
     sums = np.zeros(count, np.uint64)
     np.add.at(sums, segment, mix(spread))
-    sizes = np.bincount(segment, minlength=count)
+    return spread, segment, sums, np.bincount(segment, minlength=count)
+
+
+def entries(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Index entries of one set; the lowest bit marks those of bands with deletion neighbours."""
+    return np.concatenate([_band_entries(grams, b, top, percent) for b, top in _bands_of(len(grams), percent)] or [np.zeros(0, np.uint64)])
+
+
+def _band_entries(grams: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
+    small, spare, count = _allocation(top, percent)
+    spread, segment, sums, sizes = _segments(grams, band, count)
     label = mix(np.arange(count, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(32)))
     whole = mix(sums ^ label) + sizes.astype(np.uint64)
     if small:
         less = mix((sums[segment] - mix(spread)) ^ label[segment]) + (sizes[segment] - 1).astype(np.uint64)
-        return np.unique(np.concatenate((whole, less)))
+        return np.unique(np.concatenate((whole, less)) | np.uint64(1))
     light = sizes <= LIGHT
-    return whole[~light] if light.sum() <= spare else whole
+    return (whole[~light] if light.sum() <= spare else whole) & ~np.uint64(1)
+
+
+def codes(grams: np.ndarray, percent: int) -> list[dict]:
+    """Two-byte codes of all segments of one set, for each of its larger bands."""
+    out = []
+    for band, top in _bands_of(len(grams), percent):
+        small, _, count = _allocation(top, percent)
+        if not small:
+            _, _, sums, sizes = _segments(grams, band, count)
+            out.append({"band": band, "codes": (mix(sums) + sizes.astype(np.uint64)).astype(np.uint16).tobytes()})
+    return out
 
 
 def _prints(grams: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +159,9 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(column).to_pylist()]
 
 
-def sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, th, n_shingles and the fingerprint (a, b) of each document's set."""
+def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, th, n_shingles, the fingerprint (a, b) and the segment codes of each document's set."""
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("codes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,16 +169,17 @@ def sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for x, y in slices([len(t) for t in texts], SLICE_BYTES):
                 grams, start = shingles(texts[x:y], size)
                 a, b = _prints(grams, start)
+                own = [codes(grams[i:j], percent) for i, j in zip(start[:-1], start[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), pa.array(np.diff(start)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["doc_id", "th", "n_shingles", "a", "b"],
+                    [batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), pa.array(np.diff(start)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(own, kind)],
+                    names=["doc_id", "th", "n_shingles", "a", "b", "bands"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, a long, b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, a long, b long, bands array<struct<band:int,codes:binary>>")
 
 
 def ties(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(x, y): sets (by fingerprint) tied by a shared entry, as stars."""
+    """(x, y, small): sets (by fingerprint) tied by a shared entry, as stars; small: by one with deletion neighbours."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,25 +210,31 @@ def ties(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
             tail_entry, tail_hub = entry[-1], hub[-1]
             far = hub != ids
             if far.any():
-                pairs = np.unique(np.stack((hub[far], ids[far]), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
+                pairs = np.unique(np.stack((hub[far], ids[far], entry[far] & 1), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] == 1)], names=["x", "y", "small"])
 
     made = docs.where("text IS NOT NULL").select("text").mapInArrow(index, "entry long, id long")
-    return made.repartition("entry").sortWithinPartitions("entry", "id").mapInArrow(stars, "x long, y long").distinct()
+    return made.repartition("entry").sortWithinPartitions("entry", "id").mapInArrow(stars, "x long, y long, small boolean").distinct()
+
+
+class Spanning:
+    """Collects links between n nodes; keeps those that join what was apart."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, node: int, others: np.ndarray) -> None:
+        own = np.unique(self.label[np.append(others, node)])
+        if len(own) > 1:
+            self.links += [(int(own[0]), int(x)) for x in own[1:]]
+            self.label[np.isin(self.label, own[1:])] = own[0]
 
 
 def verified(sets_of: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the sets; left: verify only between the first so many and the others."""
     n = len(sets_of)
     sizes = np.array([len(s) for s in sets_of])
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     owner = np.repeat(np.arange(n), sizes)
     tokens, column = np.unique(np.concatenate(sets_of), return_inverse=True)
     shared = np.bincount(column) > 1
@@ -206,34 +244,94 @@ def verified(sets_of: list[np.ndarray], percent: int, left: int | None = None) -
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     common = np.zeros((n, n), np.float32)
-    for first in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, (first, first + 4096))
-        block = np.zeros((n, 4096), np.float32)
+    for first in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, (first, first + 2048))
+        block = np.zeros((n, 2048), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
         common += block @ block.T
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        if left is not None and (i < left) == (j < left):
-            continue
-        a, b = find(int(i)), find(int(j))
-        if a != b:
-            root[b] = a
-            out.append((int(i), int(j)))
-    return out
+    out = Spanning(n)
+    for i in range(n if left is None else left):
+        begin = i + 1 if left is None else left
+        row = common[i, begin:]
+        linked = np.flatnonzero(100 * row >= percent * (sizes[i] + sizes[begin:] - row))
+        if len(linked):
+            out.add(i, linked + begin)
+    return out.links
+
+
+def alike(matrix: np.ndarray, least: int, left: int | None = None) -> list[tuple[int, int]]:
+    """Pairs that span the components of rows that agree on at least so many columns; left as in verified."""
+    n, m = matrix.shape
+    columns = np.ascontiguousarray(matrix.T)
+    out = Spanning(n)
+    last, begin = (n, 0) if left is None else (left, left)
+    step = max(1, (8 << 20) // max(n, 1))
+    for first in range(0, last, step):
+        rows = slice(first, min(first + step, last))
+        same = np.zeros((rows.stop - first, n - begin), np.uint16)
+        for c in columns:
+            same += c[rows, None] == c[None, begin:]
+        for i, own in enumerate(same, first):
+            found = np.flatnonzero(own >= least) + begin
+            found = found[found > i] if left is None else found
+            if len(found):
+                out.add(i, found)
+    return out.links
+
+
+def _placed(member: DataFrame, keys: list[str], block: int, carried: list[str]) -> DataFrame:
+    """Rows of member for each pair of blocks (low, high) of their group that own, their block, is in; a group of one block has one pair."""
+    count = member.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    placed = member.join(count, keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *carried)
+
+
+def tightened(member: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(x, y): sets of one group and larger band that agree on enough segments to be linked, spanning their components."""
+    tops = bands(percent)
+    rows = member.join(groups.select(F.col("node").alias("a"), F.col("component").alias("grp")), "a")
+    rows = rows.select("grp", "a", "b", F.explode("bands").alias("x")).select("grp", "a", "b", "x.band", "x.codes")
+    placed = _placed(rows, ["grp", "band"], CODE_BLOCK, ["a", "codes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, found in _by_group(batches, 4):
+            low, high, band = key[2], key[3], key[1]
+            found.sort(key=lambda r: r[0] != low)
+            left = None if low == high else sum(r[0] == low for r in found)
+            _, spare, _ = _allocation(int(tops[band]), percent)
+            names = np.array([r[1] for r in found])
+            pairs = alike(np.stack([np.frombuffer(r[2], np.uint16) for r in found]), spare + 1, left)
+            x, y = (names[[p[k] for p in pairs]] if pairs else names[:0] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    order = ["grp", "band", "low", "high"]
+    return placed.select(*order, "own", "a", "codes").repartition(*order).sortWithinPartitions(*order).mapInArrow(check, "x long, y long")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal leading columns: (key, other columns), of at least two rows."""
+    key, rows = None, []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if r[:n_keys] != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = r[:n_keys], []
+            rows.append(r[n_keys:])
+    if len(rows) > 1:
+        yield key, rows
 
 
 def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(x, y): links between representatives of distinct sets that span every component."""
-    groups = components(tied.select("x", "y"))
-    member = table.where("n_shingles > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    member = stored(member.join(groups, F.col("a") == F.col("node")).select("a", "b", "first.*", F.col("component").alias("grp")), "members")
-    count = member.groupBy("grp").agg(F.count("*").alias("n"))
-    placed = member.join(count, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
-    # each set goes to the pairs of blocks that its own is in; a group of one block has one pair
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("grp", "a", "doc_id", "th", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    first = F.min(F.struct("doc_id", "th", "bands")).alias("first")
+    member = stored(table.where("n_shingles > 0").join(tied.select(F.col("x").alias("a")).unionByName(tied.select(F.col("y").alias("a"))).distinct(), "a").groupBy("a", "b").agg(first).select("a", "b", "first.*"), "members")
+    tight = tightened(member, components(tied.where("NOT small")), percent)
+    tight = stored(tight.unionByName(tied.where("small").select("x", "y")).distinct(), "tight")
+    member = member.join(components(tight).select(F.col("node").alias("a"), F.col("component").alias("grp")), "a").select("grp", "a", "b", "doc_id", "th")
+    placed = _placed(member, ["grp"], BLOCK, ["a", "doc_id", "th"])
     routes = placed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("grp", "a", "own", "low", "high")).alias("routes"))
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     texts = d.join(routes, d.doc_id.eqNullSafe(routes.doc_id) & (d.th == routes.th)).select("text", F.explode("routes").alias("r"))
@@ -268,7 +366,7 @@ def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGL
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, th, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
     spark = docs.sparkSession
-    table = stored(sets(docs, size), "sets")
+    table = stored(sets(docs, size, percent), "sets")
     tied = stored(ties(docs, size, percent), "ties")
     release(spark)
     found = stored(links(docs, table, tied, size, percent), "links")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.common import release, stored
+from sparkatlas.llm.common import discard, release, stored
 from sparkatlas.llm.textcore import slices
 
 SLICE_BYTES = 2 << 20
@@ -95,10 +95,14 @@ def occurrences(found: DataFrame, passes: int) -> list[DataFrame]:
     """
     out = []
     for i in range(passes):
+        # stored, so that the join below deals both sides anew and can split a trigger that fills a partition
         part = found.where(F.pmod("trigger", F.lit(passes)) == i)
         sums = part.groupBy("trigger").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-        out.append(stored(part.join(sums.select("trigger", (F.col("a") != F.col("b")).alias("mixed")), "trigger").select(*found.columns, "mixed"), "occurrences"))
+        sums = stored(sums.select("trigger", (F.col("a") != F.col("b")).alias("mixed")), "sums")
+        out.append(stored(part.join(sums, "trigger").select(*found.columns, "mixed"), "occurrences"))
+        discard(sums)
         release(found.sparkSession)
+    discard(found)
     return out
 
 
@@ -197,8 +201,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: i
     found = stored(triggers(docs, unit), "triggers")
     spans: DataFrame | None = None
     mixed: DataFrame | None = None
+    used: list[DataFrame] = []
     for occ in occurrences(found, passes):
         each = stored(contexts(occ), "contexts")
+        used += [occ, each]
         copied = each.where("copies > 1").select("trigger", "context", "first")
         whole = occ.join(copied, ["trigger", "context"])
         if keep_first:
@@ -212,6 +218,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: i
     release(docs.sparkSession)
     spans = spans.unionByName(compared(sent, unit, compare, shard_bytes, skip_copied=not keep_first))
     out = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    discard(*used, sent)
     release(docs.sparkSession)
     return out
 

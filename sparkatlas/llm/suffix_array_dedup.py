@@ -57,6 +57,34 @@ class Parse:
         self.ends = ends[ends <= self.bounds[text + 1]]
         self.flat = flat
 
+    def suffixes(self, starts: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
+        """A number for what each string begins with: equal numbers, equal bytes.
+
+        Each distinct phrase enters its suffixes once, however often it occurs.
+        """
+        number: dict[bytes, int] = {}
+        known: dict[bytes, int] = {}
+        table: list[int] = []
+        raw, gram = self.raw, self.gram
+        out = np.empty(len(starts), np.int64)
+        far = stop - starts > length
+        for i in np.flatnonzero(far).tolist():
+            out[i] = number.setdefault(raw[starts[i] : starts[i] + length], len(number))
+        near = np.flatnonzero(~far)
+        # strings with the same phrase end come one after the other
+        first = np.flatnonzero(np.diff(stop[near], prepend=-1) != 0)
+        base = np.empty(len(first), np.int64)
+        for i, (a, b) in enumerate(zip(starts[near[first]].tolist(), stop[near[first]].tolist())):
+            phrase = raw[a:b]
+            at = known.get(phrase)
+            if at is None:
+                at = known[phrase] = len(table)
+                table += [number.setdefault(phrase[o:], len(number)) for o in range(len(phrase) - gram + 1)]
+            base[i] = at
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(near))))
+        out[near] = np.array(table, np.int64)[base[run] + starts[near] - starts[near[first]][run]] if len(near) else 0
+        return out
+
     def next_end(self, starts: np.ndarray) -> np.ndarray:
         """The first phrase end that at least a gram of text precedes; past the text if there is none."""
         at = np.searchsorted(self.ends, starts + self.gram)
@@ -82,13 +110,11 @@ def equal_strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
         common = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
         rank = np.empty(len(ends), np.int64)
         rank[order] = np.arange(len(ends))
-    # dictionary: a string's first phrase suffix, up to the trigger or the whole string
-    stop = np.minimum(parse.next_end(starts), starts + length)
+    # dictionary: a string's first phrase suffix, up to the trigger, or the whole string where none comes
+    stop = parse.next_end(starts)
+    head = parse.suffixes(starts, stop, length)
+    stop = np.minimum(stop, starts + length)
     left = (starts + length - stop).astype(np.uint8 if length < 256 else np.int64)
-    phrases: dict[bytes, int] = {}
-    number = phrases.setdefault
-    raw = parse.raw
-    head = np.fromiter((number(raw[a:b], len(phrases)) for a, b in zip(starts.tolist(), stop.tolist())), np.int64, len(starts))
     # the parse suffix after it, told apart on the bytes left
     tail = np.zeros(len(starts), np.int64)
     if reach and len(ends):

@@ -19,7 +19,7 @@ def lower(text: str | None) -> str:
 def awkward_rows() -> list[tuple[int | None, str | None]]:
     """Nulls, empty and blank texts, ties, copies, a long text, other scripts and a null id."""
     long = " ".join(f"w{i % 977}" for i in range(6000))
-    return [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (904, "One TWO"), (905, long), (906, long + " end"), (907, "é" * 400), (908, "é" * 400 + "x"), (909, "\n".join(["same line of words"] * 40)), (None, "a row without an id " * 20)]
+    return [(9900, None), (9901, ""), (9902, " \n\t "), (9903, "one"), (9904, "One TWO"), (9905, long), (9906, long + " end"), (9907, "é" * 400), (9908, "é" * 400 + "x"), (9909, "\n".join(["same line of words"] * 40)), (None, "a row without an id " * 20)]
 
 
 def corpus(seed: int = 3) -> list[tuple[int, str]]:
