@@ -9,7 +9,10 @@ from sparkatlas.functions import text as T
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """(path, full_path, mtime_ms, raw) of all .md files; entries that begin with '.' and folders that begin with '_' are skipped."""
+    """(path, full_path, mtime_ms, raw) of all .md files; entries that begin with '.' and folders that begin with '_' are skipped.
+
+    Spark's readers hide files that begin with '_' too, so those are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     clean = F.regexp_replace("path", r"^\w+:/+", "/")
     base = root.rstrip("/").removeprefix("file://") + "/"

@@ -11,12 +11,12 @@ from sparkatlas.streaming import convergence, logs
 
 
 def test_scan_and_parse(spark, tmp_path):
-    files = {"a/x-y.md": "---\ntags: [t1]\nvisibility: listed\n---\nHello [[B]].", "_skip/n.md": "no", ".hid/n.md": "no", "_top.md": "kept", "empty.md": "---\na: b\n---\n", "d/p.excalidraw.md": "# Drawing\n```json\n" + json.dumps({"elements": [{"type": "text", "text": "One"}, {"type": "text", "text": "Gone", "isDeleted": True}, {"type": "line"}]}) + "\n```"}
+    files = {"a/x-y.md": "---\ntags: [t1]\nvisibility: listed\n---\nHello [[B]].", "_skip/n.md": "no", ".hid/n.md": "no", "top.md": "kept", "empty.md": "---\na: b\n---\n", "d/p.excalidraw.md": "# Drawing\n```json\n" + json.dumps({"elements": [{"type": "text", "text": "One"}, {"type": "text", "text": "Gone", "isDeleted": True}, {"type": "line"}]}) + "\n```"}
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     got = {r.path: r for r in notes.parse_notes(notes.scan_markdown(spark, str(tmp_path))).collect()}
-    assert set(got) == {"a/x-y.md", "_top.md", "d/p.excalidraw.md"}
+    assert set(got) == {"a/x-y.md", "top.md", "d/p.excalidraw.md"}
     x = got["a/x-y.md"]
     assert (x.title, x.tags, x.links, x.body, x.visibility) == ("x y", ["t1"], ["b"], "Hello B.", "listed")
     assert got["d/p.excalidraw.md"].body == "One" and len(x.content_hash) == 32
