@@ -26,6 +26,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,20 @@ from sparkatlas.llm.textcore import slices
 
 #: Most words whose counts are broadcast.
 HEAD = 1 << 17
-CLASSES = 64
+CLASSES = 32
 #: Largest class with a softmax of its own.
-SMALL_CLASS = 48
+SMALL_CLASS = 32
 #: Words with an input row of their own; others enter by class.
 INPUTS = 2048
 WIDTH = 16
 WINDOW = 16
-STREAMS = 256
+#: Streams in training, and the tokens after which a stream takes up a document's rest with a clean state.
+STREAMS = 512
+CHUNK = 512
 ROUNDS = 3
 RATE = 0.08
-SLICE_BYTES = 4 << 20
+#: Texts scored side by side: enough that the longest does not leave the other streams idle.
+SLICE_BYTES = 16 << 20
 MEMORY_WORDS = 300_000
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,7 +76,7 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         n = len(self.count)
-        mass = np.sqrt(self.count)
+        mass = self.count.copy()
         mass[self.number.get(END, 0) if n else slice(0)] = 0
         step = np.cumsum(mass) / max(mass.sum(), 1)
         kind = 1 + np.minimum((step * (CLASSES - 2)).astype(np.int64), CLASSES - 3)
@@ -100,9 +104,7 @@ class Vocabulary:
         self.within = np.append(np.log10((self.count + 0.5) / np.maximum(class_mass[kind], 0.5)), 0.0)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        n = len(self.count)
-        get = self.number.get
-        return np.array([get(w, n) for w in words], np.int64)
+        return np.fromiter(map(self.number.get, words, repeat(len(self.count))), np.int32, len(words))
 
 
 @dataclass
@@ -136,31 +138,37 @@ class Params:
         return Params(*out)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class Network:
     """Forward and backward passes over windows of parallel streams (time first)."""
 
     def __init__(self, vocab: Vocabulary, params: Params):
         self.vocab, self.p = vocab, params
 
-    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
         """States after each step; fresh marks where a document begins (clean state)."""
         p, n = self.p, WIDTH
-        out = np.empty((*inputs.shape, n), np.float32)
+        out = np.empty((*inputs.shape, n), p.u.dtype)
         trail = []
         gates = p.x[inputs]
+        clean = fresh.any(axis=1)
         for t in range(len(inputs)):
-            h0 = h * ~fresh[t][:, None] if fresh[t].any() else h
+            h0 = h * ~fresh[t][:, None] if clean[t] else h
             a = h0 @ p.u
-            zr = _sigmoid(gates[t, :, : 2 * n] + a[:, : 2 * n])
+            zr = gates[t, :, : 2 * n] + a[:, : 2 * n]
+            zr *= 0.5  # the logistic function by way of tanh
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * a[:, 2 * n :])
-            h = new + z * (h0 - new)
+            new = r * a[:, 2 * n :]
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            h = h0 - new
+            h *= z
+            h += new
             out[t] = h
-            trail.append((h0, z, r, a[:, 2 * n :], new))
+            if learn:
+                trail.append((h0, z, r, a[:, 2 * n :], new))
         return out, trail
 
     def outputs(self, h: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict]:
@@ -202,26 +210,39 @@ class Network:
         """Gradients through the window (truncated at its start)."""
         p, n = self.p, WIDTH
         du = np.zeros_like(p.u)
-        dx = np.empty((*inputs.shape, 3 * n), np.float32)
+        dx = np.empty((*inputs.shape, 3 * n), p.u.dtype)
         dh = np.zeros_like(d_out[0])
+        clean = fresh.any(axis=1)
         for t in range(len(inputs) - 1, -1, -1):
             h0, z, r, a, new = trail[t]
             dh = dh + d_out[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h0 - new) * z * (1 - z)
-            dr = dnew * a * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dnew
-            da = dx[t].copy()
+            g = dx[t]
+            dnew = g[:, 2 * n :]
+            np.multiply(dh, 1 - z, out=dnew)
+            dnew *= 1 - new * new
+            np.multiply(dh * (h0 - new), z * (1 - z), out=g[:, :n])
+            np.multiply(dnew * a, r * (1 - r), out=g[:, n : 2 * n])
+            da = g.copy()
             da[:, 2 * n :] *= r
             du += h0.T @ da
-            dh = dh * z + da @ p.u.T
-            dh *= ~fresh[t][:, None]
+            dh *= z
+            dh += da @ p.u.T
+            if clean[t]:
+                dh *= ~fresh[t][:, None]
         flat = inputs.ravel()
         order = np.argsort(flat, kind="stable")
         rows, first = np.unique(flat[order], return_index=True)
         return {"u": du, "rows": rows, "x": np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)}
 
 
+def chunked(sizes: np.ndarray, most: int = CHUNK) -> np.ndarray:
+    """Sizes of the chunks that documents are trained in."""
+    n = -(-sizes // most)
+    out = np.full(int(n.sum()), most, np.int64)
+    out[np.cumsum(n) - 1] = sizes - (n - 1) * most
+    return out
+
+
 def streams(sizes: np.ndarray, most: int = STREAMS) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Deal documents (by tokens) over parallel streams, longest first, each to the shortest stream.
 
@@ -247,11 +268,11 @@ class Dealt:
         first = np.cumsum(sizes) - sizes
         at = (step[doc] + np.arange(len(ids)) - first[doc]) * self.n + stream[doc]
         size = self.steps * self.n
-        self.word = np.full(size, len(vocab.count), np.int64)
+        self.word = np.full(size, len(vocab.count), np.int32)
         self.used = np.zeros(size, bool)
-        self.doc = np.zeros(size, np.int64)
+        self.doc = np.zeros(size, np.int32)
         self.fresh = np.zeros(size, bool)
-        self.input = np.full(size, INPUTS + CLASSES, np.int64)
+        self.input = np.full(size, INPUTS + CLASSES, np.int32)
         self.word[at], self.used[at], self.doc[at] = ids, True, doc
         self.fresh[at[first]] = True
         later = np.ones(len(ids), bool)
@@ -270,8 +291,8 @@ def score_batch(net: Network, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     dealt = Dealt(net.vocab, ids, sizes)
     out = np.zeros(len(sizes))
     h = np.zeros((dealt.n, WIDTH), np.float32)
-    for w in dealt.windows(max(WINDOW, 4096 // dealt.n)):
-        states, _ = net.states(dealt.input[w], dealt.fresh[w], h)
+    for w in dealt.windows(max(WINDOW, 8192 // dealt.n)):
+        states, _ = net.states(dealt.input[w], dealt.fresh[w], h, learn=False)
         h = states[-1]
         used = dealt.used[w]
         logp, _ = net.outputs(states[used], dealt.word[w][used], learn=False)
@@ -292,7 +313,7 @@ class Trainer:
         getattr(self.net.p, name)[rows] += RATE * g / np.sqrt(past[rows])
 
     def batch(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        dealt = Dealt(self.net.vocab, ids, sizes)
+        dealt = Dealt(self.net.vocab, ids, chunked(sizes))
         h = np.zeros((dealt.n, WIDTH), np.float32)
         for w in dealt.windows(WINDOW):
             states, trail = self.net.states(dealt.input[w], dealt.fresh[w], h)
@@ -303,7 +324,7 @@ class Trainer:
             d_out = np.zeros_like(states)
             d_out[used] = g["h"]
             back = self.net.backward(dealt.input[w], dealt.fresh[w], trail, d_out)
-            scale = np.float32(8 / np.sqrt(n) / 8)
+            scale = np.float32(1 / np.sqrt(n))
             for name in ("w", "b", "v", "vb"):
                 self._move(name, (g[name] * scale).astype(np.float32))
             self._move("u", back["u"] * scale)
@@ -365,13 +386,20 @@ def averaged(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, column: int = 1) -> Iterator[tuple[pa.RecordBatch, int, int, list[list[bytes]], np.ndarray, np.ndarray]]:
+def _numbered(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, tails: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[Counter]]]:
+    """Keys, word numbers and sizes of slices of documents; tails: with each document's words outside the head."""
+    other = len(vocab.count)
     for batch in batches:
-        raw = [(t or "").encode() for t in batch.column(column).to_pylist()]
+        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
         for a, b in slices([len(t) for t in raw], SLICE_BYTES):
-            words = [tokens(t) for t in raw[a:b]]
-            sizes = np.fromiter(map(len, words), np.int64, b - a)
-            yield batch, a, b, words, vocab.ids([w for own in words for w in own]), sizes
+            parts, rest = [], []
+            for t in raw[a:b]:
+                words = tokens(t)
+                ids = vocab.ids(words)
+                parts.append(ids)
+                if tails:
+                    rest.append(Counter([words[i] for i in np.flatnonzero(ids == other).tolist()]))
+            yield batch.column(0).slice(a, b - a), np.concatenate(parts), np.fromiter(map(len, parts), np.int64, b - a), rest
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Params:
@@ -386,7 +414,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Params:
             vocab, start = shared_vocab.value, shared.value
             trainer = Trainer(Network(vocab, start.like(start.flat())))
             n = 0
-            for _, _, _, _, ids, sizes in _numbered(batches, vocab):
+            for _, ids, sizes, _ in _numbered(batches, vocab):
                 trainer.batch(ids, sizes)
                 n += len(ids)
             if n:
@@ -417,26 +445,23 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, param
         net = Network(vocab, shared.value)
         base = np.append(np.log10(vocab.count + 0.5) - norm, 0.0)
         other = len(vocab.count)
-        for batch, a, b, words, ids, sizes in _numbered(batches, vocab):
+        for keys, ids, sizes, rest in _numbered(batches, vocab, tails=True):
+            m = len(sizes)
             score = score_batch(net, ids, sizes) / np.log(10)
-            doc = np.repeat(np.arange(b - a), sizes)
-            tail = ids == other
-            n_tail = np.bincount(doc[tail], minlength=b - a)
-            none = lambda kind: pa.nulls(b - a, kind)
-            rids = rid + np.arange(b - a)
-            rid += b - a
+            doc = np.repeat(np.arange(m), sizes)
+            n_tail = np.bincount(doc[ids == other], minlength=m)
+            none = lambda kind: pa.nulls(m, kind)
+            rids = rid + np.arange(m)
+            rid += m
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rids), batch.column(0).slice(a, b - a).cast(pa.int64()), none(pa.binary()), none(pa.int32()), pa.array(sizes), pa.array(sizes - n_tail), pa.array(np.bincount(doc, base[ids], b - a)), pa.array(score), pa.array(n_tail)],
+                [pa.array(rids), keys.cast(pa.int64()), none(pa.binary()), none(pa.int32()), pa.array(sizes), pa.array(sizes - n_tail), pa.array(np.bincount(doc, base[ids], m)), pa.array(score), pa.array(n_tail)],
                 names=["rid", "doc_id", "word", "k", "n_tokens", "n_head", "base", "score", "n_tail"],
             )
-            flat = [w for own in words for w in own]
-            at = np.flatnonzero(tail)
-            own = Counter(zip(doc[at].tolist(), map(flat.__getitem__, at.tolist())))
-            n = len(own)
+            n = sum(map(len, rest))
             if n:
                 none = lambda kind: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rids[[d for d, _ in own]]), none(pa.int64()), pa.array([w for _, w in own], pa.binary()), pa.array(own.values(), pa.int32()), *(none(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
+                    [pa.array(np.repeat(rids, [len(x) for x in rest])), none(pa.int64()), pa.array([w for x in rest for w in x], pa.binary()), pa.array([k for x in rest for k in x.values()], pa.int32()), *(none(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
                     names=["rid", "doc_id", "word", "k", "n_tokens", "n_head", "base", "score", "n_tail"],
                 )
 
