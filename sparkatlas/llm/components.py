@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sparkatlas.llm.common import stored
+from sparkatlas.llm.common import discard, stored
 
 
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -25,8 +25,11 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         seen = both.join(at, "v").groupBy("u").agg(F.min("near").alias("near"))
         hooked = labels.join(seen, labels.node == seen.u).select("node", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        moved = stored(hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), "labels")
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
+        moved = hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old")
+        watch = Observation()
+        moved = moved.observe(watch, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("changed"))
+        before, labels = labels, stored(moved.select("node", "label"), "labels")
+        discard(before)
+        if not watch.get["changed"]:
+            discard(both)
             return labels.withColumnRenamed("label", "component")

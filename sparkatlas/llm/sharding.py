@@ -59,7 +59,7 @@ def plan(slots: list[Slot], n_shards: int) -> list[Slot]:
     return out
 
 
-def rebalance(current: list[Slot], slots: list[Slot], n_shards: int, slack: float = 0.02) -> list[Slot]:
+def rebalance(current: list[Slot], slots: list[Slot], n_shards: int, slack: float = 0.002) -> list[Slot]:
     """Edit a map for new totals or another number of shards, moving few slots.
 
     Slots of shards that are gone or above their share (plus slack) move, the
