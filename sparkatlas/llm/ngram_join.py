@@ -9,13 +9,13 @@ are indexed is an allocation by cost:
 * small sets get few segments, each indexed whole and with every one-deletion
   neighbour, which finds segments that differ in one shingle;
 * larger sets get ``H + 1 + spare`` segments, so at least ``spare + 1`` are
-  equal. A set leaves out its cheap-to-match segments of at most ``LIGHT``
-  shingles, if they are at most ``spare``; one equal segment always remains.
+  equal. A set leaves out its smallest segments, which match by chance most
+  easily: all up to a size that at most ``spare`` of them have. One equal
+  segment always remains in both sets.
 
-Sets that share an entry are tied by a star (never all pairs). Within a tied
-group, linked sets of a larger band must agree on ``spare + 1`` segments: codes
-of two bytes a segment tell which can, and only those stay together. What is
-left is verified exactly, set against set, from the whole texts, and the
+Sets that share an entry are tied by a star (never all pairs). Within a star,
+linked sets of a larger band must agree on ``spare + 1`` segments: codes of two
+bytes a segment tell which can, and only those stay together. What is left is verified exactly, set against set, from the whole texts, and the
 components of the verified links are what is returned. Groups above ``BLOCK``
 sets are cut into blocks, every pair of blocks verified by itself, so no group
 gathers in one task. Equal sets are collapsed before anything is indexed.
@@ -45,7 +45,6 @@ from sparkatlas.llm.textcore import mix, slices
 SHINGLE = 4
 PERCENT = 85
 SLICE_BYTES = 2 << 20
-LIGHT = 2
 #: Largest size of the bands that use deletion neighbours throughout.
 SMALL = 24
 BLOCK = 1500
@@ -132,8 +131,8 @@ def _band_entries(grams: np.ndarray, band: int, top: int, percent: int) -> np.nd
     if small:
         less = mix((sums[segment] - mix(spread)) ^ label[segment]) + (sizes[segment] - 1).astype(np.uint64)
         return np.unique(np.concatenate((whole, less)) | np.uint64(1))
-    light = sizes <= LIGHT
-    return (whole[~light] if light.sum() <= spare else whole) & ~np.uint64(1)
+    # sizes of equal segments are equal, so whichever set leaves out fewer sizes keeps one that the other keeps too
+    return whole[sizes >= np.partition(sizes, spare)[spare]] & ~np.uint64(1)
 
 
 def codes(grams: np.ndarray, percent: int) -> list[dict]:
@@ -288,11 +287,12 @@ def _placed(member: DataFrame, keys: list[str], block: int, carried: list[str])
     return placed.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *carried)
 
 
-def tightened(member: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(x, y): sets of one group and larger band that agree on enough segments to be linked, spanning their components."""
+def tightened(member: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(x, y): sets of one star and larger band that agree on enough segments to be linked, spanning their components."""
     tops = bands(percent)
-    rows = member.join(groups.select(F.col("node").alias("a"), F.col("component").alias("grp")), "a")
-    rows = rows.select("grp", "a", "b", F.explode("bands").alias("x")).select("grp", "a", "b", "x.band", "x.codes")
+    star = tied.where("NOT small").select(F.col("x").alias("grp"), F.col("y").alias("a"))
+    star = star.unionByName(star.select("grp", F.col("grp").alias("a")).distinct())
+    rows = member.join(star, "a").select("grp", "a", "b", F.explode("bands").alias("x")).select("grp", "a", "b", "x.band", "x.codes")
     placed = _placed(rows, ["grp", "band"], CODE_BLOCK, ["a", "codes"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGL
     """(x, y): links between representatives of distinct sets that span every component."""
     first = F.min(F.struct("doc_id", "th", "bands")).alias("first")
     member = stored(table.where("n_shingles > 0").join(tied.select(F.col("x").alias("a")).unionByName(tied.select(F.col("y").alias("a"))).distinct(), "a").groupBy("a", "b").agg(first).select("a", "b", "first.*"), "members")
-    tight = tightened(member, components(tied.where("NOT small")), percent)
+    tight = tightened(member, tied, percent)
     tight = stored(tight.unionByName(tied.where("small").select("x", "y")).distinct(), "tight")
     member = member.join(components(tight).select(F.col("node").alias("a"), F.col("component").alias("grp")), "a").select("grp", "a", "b", "doc_id", "th")
     placed = _placed(member, ["grp"], BLOCK, ["a", "doc_id", "th"])
