@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: The folder of a table that stored() wrote.
+OWN = re.compile(r"(.*/sparkatlas/[a-z-]+-[0-9a-f]{32})/")
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -31,22 +34,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sparkatlas/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write to the shared folder (by: in folders of this column) and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote, once nothing reads them any more."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/sparkatlas/" in path:
-                jvm = df.sparkSession.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for path in {m[1] for m in map(OWN.match, df.inputFiles()) if m}:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

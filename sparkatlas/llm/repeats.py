@@ -58,7 +58,7 @@ class Unit:
         flat = np.frombuffer(b"".join(texts), np.uint8)
         place = np.arange(len(flat))
         bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        return flat, place, place + 1, textcore.mix(flat.astype(np.uint64) + np.uint64(1)), bounds
+        return flat, place, place + 1, textcore.BYTES[flat], bounds
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -96,10 +96,10 @@ def occurrences(found: DataFrame, passes: int) -> list[DataFrame]:
     out = []
     for i in range(passes):
         # stored, so that the join below deals both sides anew and can split a trigger that fills a partition
-        part = found.where(F.pmod("trigger", F.lit(passes)) == i)
+        part = found.where(F.col("part") == i).drop("part")
         sums = part.groupBy("trigger").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
         sums = stored(sums.select("trigger", (F.col("a") != F.col("b")).alias("mixed")), "sums")
-        out.append(stored(part.join(sums, "trigger").select(*found.columns, "mixed"), "occurrences"))
+        out.append(stored(part.join(sums, "trigger").select(*part.columns, "mixed"), "occurrences"))
         discard(sums)
         release(found.sparkSession)
     discard(found)
@@ -167,15 +167,25 @@ def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, sk
     def judge(rows: list[tuple]) -> pa.RecordBatch:
         docs = {k: i for i, k in enumerate(sorted({r[:2] for r in rows}, key=lambda k: (k[0] is not None, k)))}
         place = np.array([docs[r[:2]] << 32 | r[4] for r in rows], np.int64)
-        out: list[tuple] = []
-        for r, mask in zip(rows, compare([r[5] for r in rows], place)):
-            if skip_copied and r[3] > 1:
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-            out += [(r[0], r[1], r[4] + x, r[4] + y - 1 + unit.length) for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist())]
-        cols = list(zip(*out)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "th", "s", "e"])
+        masks = compare([r[5] for r in rows], place)
+        sizes = np.fromiter(map(len, masks), np.int64, len(masks))
+        # all masks in one, each followed by a False, so that one difference finds every span
+        at = np.cumsum(sizes + 1) - sizes
+        row = np.repeat(np.arange(len(rows)), sizes)
+        flat = np.zeros(int(sizes.sum()) + len(rows) + 1, np.int8)
+        flat[np.arange(len(row)) + row + 1] = np.concatenate(masks)
+        edge = np.flatnonzero(np.diff(flat))
+        first, last = edge[0::2] + 1, edge[1::2] + 1
+        row = np.searchsorted(at, first, "right") - 1
+        if skip_copied:
+            single = np.array([r[3] for r in rows])[row] == 1
+            first, last, row = first[single], last[single], row[single]
+        base = np.array([r[4] for r in rows], np.int64)[row] - at[row]
+        pick = row.tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rows[i][0] for i in pick], pa.int64()), pa.array([rows[i][1] for i in pick], pa.int64()), _ints(base + first), _ints(base + last - 1 + unit.length)],
+            names=["doc_id", "th", "s", "e"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -198,7 +208,8 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: i
 
     keep_first: the first place of a window (by doc_id, then place) does not count as repeated.
     """
-    found = stored(triggers(docs, unit), "triggers")
+    found = triggers(docs, unit).withColumn("part", F.pmod("trigger", F.lit(passes)).cast("int"))
+    found = stored(found, "triggers", by="part")
     spans: DataFrame | None = None
     mixed: DataFrame | None = None
     used: list[DataFrame] = []

@@ -51,7 +51,7 @@ class Parse:
         self.gram = gram
         flat = np.frombuffer(self.raw, np.uint8)
         self.bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        hashes = textcore.Spans(textcore.mix(flat.astype(np.uint64) + np.uint64(1))).every(gram)
+        hashes = textcore.Spans(textcore.BYTES[flat]).every(gram)
         ends = np.flatnonzero(hashes % np.uint64(spacing) == 0) + gram
         text = np.searchsorted(self.bounds, ends - gram, "right") - 1
         self.ends = ends[ends <= self.bounds[text + 1]]

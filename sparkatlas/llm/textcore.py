@@ -22,6 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A 64-bit value for each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, grown by doubling."""
     if 0 not in _POWERS or len(_POWERS[0][0]) < n:
