@@ -18,8 +18,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the standard policy rejects go."""
-    judged = quality_rules.apply_policy(quality_rules.ledger(docs.select(*COLUMNS)))
-    return judged.where("kept").select(*COLUMNS)
+    return quality_rules.keep(docs.select(*COLUMNS))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

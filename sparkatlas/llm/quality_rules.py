@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkatlas.llm.common import GAP, text_of
+from sparkatlas.llm.common import GAP, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -107,6 +107,16 @@ def apply_policy(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return entries.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0).withColumn("policy", F.lit(policy.version))
 
 
+def keep(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """The documents that the policy keeps, with docs' columns.
+
+    Verdicts are written before they filter: a filter that Spark pushes down
+    would carry the measurements' expressions into each other, once per word.
+    """
+    judged = apply_policy(ledger(docs), policy).select(*docs.columns, "kept")
+    return stored(judged, "judged").where("kept").select(*docs.columns)
+
+
 def ablation(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """Per rule of the policy: documents it fails, fails alone, and those kept without it.
 
