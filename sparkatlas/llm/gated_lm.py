@@ -4,8 +4,9 @@ Word counts cover all training documents. The most frequent words (the head,
 bounded by ``HEAD`` so that it can be broadcast) fall into classes of like
 frequency mass; all others, and words never seen, share the last class, where
 a word's probability is its smoothed count. A token's probability is that of
-its class given the state, times that of the word given the class: a second
-softmax on the state in small classes, smoothed counts in others.
+its class given the state, times that of the word given class and state: one
+more softmax in small classes, and in larger ones two (the group of words, then
+the word), so that every head word is predicted from the state.
 
 Training runs over every training document, in ``ROUNDS`` rounds over parts of
 them. Within a round each partition trains its own copy by truncated
@@ -39,17 +40,21 @@ from sparkatlas.llm.textcore import slices
 #: Most words whose counts are broadcast.
 HEAD = 1 << 17
 CLASSES = 32
-#: Largest class with a softmax of its own.
+#: Largest class with one softmax over its words; larger ones are cut into groups of about the square root of their size.
 SMALL_CLASS = 32
-#: Words with an input row of their own; others enter by class.
+#: Words with a full input row of their own; other head words enter by their class and RANK numbers of their own, the tail by its class.
 INPUTS = 2048
+RANK = 8
+#: Bias of rows that only fill up a group.
+NEVER = -1e4
 WIDTH = 16
 WINDOW = 16
-#: Streams in training, and the tokens after which a stream takes up a document's rest with a clean state.
+#: Most streams in training.
 STREAMS = 512
-CHUNK = 512
 ROUNDS = 3
 RATE = 0.08
+#: Tokens of a training step where streams are few.
+STEP_TOKENS = 8192
 #: Texts scored side by side: enough that the longest does not leave the other streams idle.
 SLICE_BYTES = 16 << 20
 MEMORY_WORDS = 300_000
@@ -84,7 +89,10 @@ class Vocabulary:
             kind[self.number[END]] = 0
         #: The class of each head word, and as the last entry that of all others.
         self.kind = np.append(kind, CLASSES - 1)
-        self.input = np.append(np.where(np.arange(n) < INPUTS, np.arange(n), INPUTS + kind), INPUTS + CLASSES - 1)
+        later = INPUTS + CLASSES + 1
+        self.input = np.append(np.where(np.arange(n) < INPUTS, np.arange(n), later - INPUTS + np.arange(n)), INPUTS + CLASSES - 1)
+        #: The full input row of each input number; numbers from ``later`` on have low-rank ones too.
+        self.later, self.input_row = later, np.append(np.arange(later), INPUTS + kind[INPUTS:])
         members = np.bincount(kind, minlength=CLASSES)
         small = (members <= SMALL_CLASS) & (members > 1)
         small[CLASSES - 1] = False
@@ -96,6 +104,19 @@ class Vocabulary:
             self.row[self.members[k]] = np.arange(len(self.members[k]))
         self.start = {k: int(s) for k, s in zip(self.small, np.cumsum([0, *(len(self.members[k]) for k in self.small)]))}
         self.n_small = sum(len(self.members[k]) for k in self.small)
+        self.big = [k for k in range(CLASSES - 1) if members[k] > SMALL_CLASS]
+        #: Of each big class: words in a group, its first group and their number, its first word row.
+        self.wide, self.group_at, self.groups, self.word_at = {}, {}, {}, {}
+        self.group, self.word_row = np.full(n + 1, -1), np.full(n + 1, -1)
+        self.n_groups = self.n_rows = 0
+        for k in self.big:
+            m = len(self.members[k])
+            self.wide[k] = wide = int(np.ceil(np.sqrt(m)))
+            self.group_at[k], self.groups[k], self.word_at[k] = self.n_groups, -(-m // wide), self.n_rows
+            self.group[self.members[k]] = self.n_groups + np.arange(m) // wide
+            self.word_row[self.members[k]] = self.n_rows + np.arange(m)
+            self.n_groups += self.groups[k]
+            self.n_rows += self.groups[k] * wide
         class_mass = np.bincount(kind, self.count + 0.5, CLASSES)
         self.tail_mass = self.total - float(self.count.sum()) + 0.5 * (self.distinct - n + 1)
         class_mass[CLASSES - 1] = self.tail_mass
@@ -117,6 +138,10 @@ class Params:
     b: np.ndarray
     v: np.ndarray  # state to words of small classes
     vb: np.ndarray
+    e: np.ndarray  # low-rank inputs of head words without a full row
+    q: np.ndarray  # those to gates
+    g: np.ndarray  # state to groups of big classes, the bias last
+    y: np.ndarray  # state to words of big classes, group by group, the bias last
 
     @classmethod
     def fresh(cls, vocab: Vocabulary, seed: int = 7) -> Params:
@@ -124,7 +149,12 @@ class Params:
         f = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
         p = np.maximum(vocab.class_mass, 0.5)
         words = np.concatenate([np.log(vocab.count[vocab.members[k]] + 0.5) for k in vocab.small] or [np.zeros(0)])
-        return cls(f(INPUTS + CLASSES + 1, 3 * WIDTH), f(WIDTH, 3 * WIDTH, scale=0.25), np.zeros((WIDTH, CLASSES), np.float32), np.log(p / p.sum()).astype(np.float32), np.zeros((vocab.n_small, WIDTH), np.float32), words.astype(np.float32))
+        grouped = np.flatnonzero(vocab.group >= 0)
+        g, y = np.zeros((vocab.n_groups, WIDTH + 1), np.float32), np.zeros((vocab.n_rows, WIDTH + 1), np.float32)
+        g[:, WIDTH] = np.log(np.bincount(vocab.group[grouped], vocab.count[grouped] + 0.5, vocab.n_groups))
+        y[:, WIDTH] = NEVER
+        y[vocab.word_row[grouped], WIDTH] = np.log(vocab.count[grouped] + 0.5)
+        return cls(f(INPUTS + CLASSES + 1, 3 * WIDTH), f(WIDTH, 3 * WIDTH, scale=0.25), np.zeros((WIDTH, CLASSES), np.float32), np.log(p / p.sum()).astype(np.float32), np.zeros((vocab.n_small, WIDTH), np.float32), words.astype(np.float32), f(max(len(vocab.count) - INPUTS, 0), RANK), f(RANK, 3 * WIDTH, scale=0.25), g, y)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
@@ -149,7 +179,9 @@ class Network:
         p, n = self.p, WIDTH
         out = np.empty((*inputs.shape, n), p.u.dtype)
         trail = []
-        gates = p.x[inputs]
+        gates = p.x[self.vocab.input_row[inputs]]
+        low = inputs >= self.vocab.later
+        gates[low] += p.e[inputs[low] - self.vocab.later] @ p.q
         clean = fresh.any(axis=1)
         for t in range(len(inputs)):
             h0 = h * ~fresh[t][:, None] if clean[t] else h
@@ -204,8 +236,48 @@ class Network:
                 grads["v"][own] = d.T @ h[rows]
                 grads["vb"][own] = d.sum(axis=0)
                 grads["h"][rows] += d @ p.v[own]
+        if learn:
+            grads |= {"g": np.zeros_like(p.g), "y": []}
+        for k in v.big:
+            rows = np.flatnonzero(kind == k)
+            if len(rows):
+                rows = rows[np.argsort(v.group[words[rows]], kind="stable")]
+                logp[rows] += self._grouped(k, h[rows], words[rows], rows, grads) - v.within[words[rows]] * np.log(10)
         return logp, grads
 
+    def _grouped(self, k: int, h: np.ndarray, words: np.ndarray, rows: np.ndarray, grads: dict) -> np.ndarray:
+        """Natural log probability of words of big class k, sorted by group; gradients are added if there are any."""
+        p, v = self.p, self.vocab
+        wide, at = v.wide[k], np.arange(len(words))
+        own = slice(v.group_at[k], v.group_at[k] + v.groups[k])
+        h1 = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
+        group = v.group[words] - own.start
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)]
+        starts = (v.word_at[k] + group[cuts[:-1]] * wide).tolist()
+        inner = np.empty((len(words), wide), h.dtype)
+        for a, b, s in zip(cuts, cuts[1:], starts):
+            np.matmul(h1[a:b], p.y[s : s + wide].T, out=inner[a:b])
+        logp = np.zeros(len(words))
+        for x, mine in ((h1 @ p.g[own].T, group), (inner, v.word_row[words] - v.word_at[k] - group * wide)):
+            x -= x.max(axis=1, keepdims=True)
+            logp += x[at, mine]
+            np.exp(x, out=x)
+            sums = x.sum(axis=1)
+            logp -= np.log(sums)
+            if grads:
+                x /= -sums[:, None]
+                x[at, mine] += 1
+                if x is not inner:
+                    grads["g"][own] = x.T @ h1
+                    dh = x @ p.g[own, :WIDTH]
+        if grads:
+            for a, b, s in zip(cuts, cuts[1:], starts):
+                d = inner[a:b]
+                grads["y"].append((slice(s, s + wide), d.T @ h1[a:b]))
+                dh[a:b] += d @ p.y[s : s + wide, :WIDTH]
+            grads["h"][rows] += dh
+        return logp
+
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, trail: list, d_out: np.ndarray) -> dict:
         """Gradients through the window (truncated at its start)."""
         p, n = self.p, WIDTH
@@ -229,18 +301,22 @@ class Network:
             dh += da @ p.u.T
             if clean[t]:
                 dh *= ~fresh[t][:, None]
+        dx = dx.reshape(-1, 3 * n)
         flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[order], return_index=True)
-        return {"u": du, "rows": rows, "x": np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)}
+        low = np.flatnonzero(flat >= self.vocab.later)
+        late = flat[low] - self.vocab.later
+        own_rows, de = _summed(late, dx[low] @ p.q.T)
+        rows, full = _summed(self.vocab.input_row[flat], dx)
+        return {"u": du, "rows": rows, "x": full, "e_rows": own_rows, "e": de, "q": p.e[late].T @ dx[low]}
 
 
-def chunked(sizes: np.ndarray, most: int = CHUNK) -> np.ndarray:
-    """Sizes of the chunks that documents are trained in."""
-    n = -(-sizes // most)
-    out = np.full(int(n.sum()), most, np.int64)
-    out[np.cumsum(n) - 1] = sizes - (n - 1) * most
-    return out
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    rows, first = np.unique(keys[order], return_index=True)
+    return rows, np.add.reduceat(values[order], first, axis=0)
 
 
 def streams(sizes: np.ndarray, most: int = STREAMS) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -313,9 +389,10 @@ class Trainer:
         getattr(self.net.p, name)[rows] += RATE * g / np.sqrt(past[rows])
 
     def batch(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        dealt = Dealt(self.net.vocab, ids, chunked(sizes))
+        dealt = Dealt(self.net.vocab, ids, sizes)
         h = np.zeros((dealt.n, WIDTH), np.float32)
-        for w in dealt.windows(WINDOW):
+        # few streams take longer windows, so that a step has about as many tokens
+        for w in dealt.windows(max(WINDOW, STEP_TOKENS // dealt.n)):
             states, trail = self.net.states(dealt.input[w], dealt.fresh[w], h)
             h = states[-1]
             used = dealt.used[w]
@@ -325,10 +402,14 @@ class Trainer:
             d_out[used] = g["h"]
             back = self.net.backward(dealt.input[w], dealt.fresh[w], trail, d_out)
             scale = np.float32(1 / np.sqrt(n))
-            for name in ("w", "b", "v", "vb"):
+            for name in ("w", "b", "v", "vb", "g"):
                 self._move(name, (g[name] * scale).astype(np.float32))
             self._move("u", back["u"] * scale)
+            self._move("q", back["q"] * scale)
             self._move("x", back["x"] * scale, back["rows"])
+            self._move("e", back["e"] * scale, back["e_rows"])
+            for own, d in g["y"]:
+                self._move("y", d * scale, own)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -368,7 +449,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 
 def averaged(rows: DataFrame) -> DataFrame:
-    """Rows (weights, n) summed into few, by rounds of partial sums."""
+    """Rows (weights, n) averaged into one, by rounds of partial sums: the driver sees the weights once."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -380,7 +461,7 @@ def averaged(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
     parts = rows.rdd.getNumPartitions()
-    while parts > 8:
+    while parts > 1:
         parts = -(-parts // 8)
         rows = rows.repartition(parts).mapInArrow(add, "weights binary, n long")
     return rows
@@ -425,6 +506,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Params:
         n = sum(r.n for r in rows)
         if n:
             params = params.like(sum(np.frombuffer(r.weights, np.float32) * np.float64(r.n) for r in rows) / n)
+        release(docs.sparkSession)
     return params
 
 

@@ -60,6 +60,78 @@ def test_lm_is_a_distribution():
     assert np.exp(logp).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def big_vocabulary(n=4000):
+    """A few frequent words, then thousands of rare ones: large classes, and words without a full input row."""
+    rng = np.random.default_rng(2)
+    counts = np.sort(np.maximum(3, 20000 / np.arange(1, n + 2) + rng.random(n + 1)))[::-1]
+    return gated_lm.Vocabulary({**{b"w%d" % i: i for i in range(n)}, gated_lm.END: n}, counts, int(counts.sum()) + 500, n + 300)
+
+
+def test_lm_predicts_every_head_word_from_the_state():
+    vocab = big_vocabulary()
+    n = len(vocab.count)
+    rng = np.random.default_rng(5)
+    p = gated_lm.Params.fresh(vocab)
+    net = gated_lm.Network(vocab, p)
+    words = np.arange(n + 1)
+    h = rng.standard_normal((2, gated_lm.WIDTH)).astype(np.float32)
+    at = lambda k: net.outputs(np.repeat(h[k : k + 1], n + 1, axis=0), words, learn=False)[0]
+    assert np.exp(at(0)).sum() == pytest.approx(1.0, abs=1e-4)
+    for a in (p.v, p.g[:, :-1], p.y[:, :-1]):
+        a[:] = rng.standard_normal(a.shape) * 0.3
+    first, second = at(0), at(1)
+    assert np.exp(first).sum() == pytest.approx(1.0, abs=1e-4) and np.exp(second).sum() == pytest.approx(1.0, abs=1e-4)
+    # the classes keep their probabilities, so what moved is the word given its class
+    alone = np.array([len(vocab.members[k]) == 1 for k in range(gated_lm.CLASSES)])
+    moved = np.abs(first - second) > 1e-6
+    assert moved[:-1][~alone[vocab.kind[:-1]]].all()
+
+
+def test_lm_gradients_of_groups_and_low_rank_inputs():
+    vocab = big_vocabulary()
+    rng = np.random.default_rng(6)
+    p = gated_lm.Params.fresh(vocab)
+    for f in gated_lm.fields(p):
+        setattr(p, f.name, getattr(p, f.name).astype(np.float64))
+    for a in (p.w, p.g[:, :-1], p.y[:, :-1]):
+        a[:] = rng.standard_normal(a.shape) * 0.3
+    net = gated_lm.Network(vocab, p)
+    inputs, target = vocab.input[rng.integers(2500, 4000, (5, 3))], rng.integers(1000, 4000, (5, 3))
+    fresh, h0 = np.zeros((5, 3), bool), rng.standard_normal((3, gated_lm.WIDTH)) * 0.5
+
+    def total():
+        states, trail = net.states(inputs, fresh, h0)
+        logp, g = net.outputs(states.reshape(-1, gated_lm.WIDTH), target.ravel(), learn=True)
+        return logp.sum(), g, trail
+
+    _, g, trail = total()
+    back = net.backward(inputs, fresh, trail, g["h"].reshape(5, 3, -1))
+    y, e = np.zeros_like(p.y), np.zeros_like(p.e)
+    for own, d in g["y"]:
+        y[own] += d
+    e[back["e_rows"]] = back["e"]
+    for name, grad in {"g": g["g"], "y": y, "e": e, "q": back["q"], "u": back["u"]}.items():
+        a = getattr(p, name)
+        for i in np.argsort(-np.abs(grad), axis=None)[:40:8]:
+            at = np.unravel_index(i, a.shape)
+            kept, eps = a[at], 1e-5
+            a[at] = kept + eps
+            up = total()[0]
+            a[at] = kept - eps
+            down = total()[0]
+            a[at] = kept
+            assert (up - down) / (2 * eps) == pytest.approx(float(grad[at]), rel=1e-3, abs=1e-5), name
+
+
+def test_training_carries_the_state_through_a_document(monkeypatch):
+    vocab = gated_lm.Vocabulary({b"a": 0, b"b": 1, gated_lm.END: 2}, np.array([50.0, 40.0, 9.0]), 100, 4)
+    clean = []
+    states = gated_lm.Network.states
+    monkeypatch.setattr(gated_lm.Network, "states", lambda self, i, fresh, h, learn=True: clean.append(int(fresh.sum())) or states(self, i, fresh, h, learn))
+    gated_lm.Trainer(gated_lm.Network(vocab, gated_lm.Params.fresh(vocab))).batch(np.array([0, 1] * 800 + [2]), np.array([1601]))
+    assert sum(clean) == 1
+
+
 def test_state_is_carried_and_documents_are_apart():
     vocab = gated_lm.Vocabulary({b"a": 0, b"b": 1, gated_lm.END: 2}, np.array([50.0, 40.0, 9.0]), 100, 4)
     net = gated_lm.Network(vocab, gated_lm.Params.fresh(vocab))
