@@ -1,11 +1,13 @@
 """License scans by a positional index of rare licence words.
 
-Templates are short licence statements. The index holds, for each template
-word, the templates and places that have it. A document's licence words of
-highest IDF (over all documents) are looked up; postings that agree on where a
-template would begin are intersected; each placement left is scored by the IDF
-of the template words found in place, and counts once a mandatory key phrase
-of the template stands there word for word.
+Templates are short licence statements. The index holds the words of highest
+IDF (over all documents) of each template's mandatory key phrase, with the
+templates and places that have them. Every place of such a word in a document
+is looked up; postings that agree on where a template would begin are
+intersected; each placement left is scored by the IDF of the template words
+found in place, and counts once the key phrase stands there word for word. As
+it must stand there, no placement that counts is missed, however many licences
+a document holds.
 
 DataFrame functions only; everything about one document happens in its row.
 Only documents with the letters of a gate word (every key phrase and every
@@ -62,7 +64,8 @@ TEMPLATES = (
 )
 #: Letters of which every key phrase and base phrase has some.
 GATES = ("license", "permission", "redistribution", "copyright", "rights")
-RARE_WORDS = 16
+#: Words of each key phrase in the index, of which two must agree.
+RARE_WORDS = 2
 MIN_SCORE = 0.6
 
 
@@ -82,6 +85,12 @@ def licence_words(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.text.split()})
 
 
+def key_place(template: Template) -> int:
+    """The key phrase's place in the template."""
+    own, key = template.text.split(), template.key.split()
+    return next((p for p in range(len(own)) if own[p : p + len(key)] == key), 0)
+
+
 def word_idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
     """IDF of each template word over all documents: a table as long as the templates' vocabulary.
 
@@ -130,12 +139,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, idf: dict
 
     starts = sorted({p.split()[0] for p in BASE})
     out = out.withColumn("base", F.filter(F.transform(F.filter("_m", lambda x: x["w"].isin(starts)), base_at), lambda x: x["label"].isNotNull()))
-    ranked = F.transform(F.array_distinct(F.transform("_m", lambda x: x["w"])), lambda w: F.struct((-_lookup({k: F.lit(v) for k, v in idf.items()}, w, F.lit(0.0))).alias("o"), w.alias("w")))
-    out = out.withColumn("_rare", F.transform(F.slice(F.sort_array(ranked), 1, rare_words), lambda x: x["w"]))
-    postings = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, tpl in enumerate(templates) for p, x in enumerate(tpl.text.split()) if x == w]) for w in licence_words(templates)}
+    entries: dict[str, list[tuple[int, int]]] = {}
+    for t, tpl in enumerate(templates):
+        key = tpl.key.split()
+        rarest = sorted(range(len(key)), key=lambda p: (-idf.get(key[p], 0.0), p))[: max(rare_words, 2)]
+        for p in rarest if len(key) > 1 else [0, 0]:
+            entries.setdefault(key[p], []).append((t, key_place(tpl) + p))
+    postings = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in found]) for w, found in entries.items()}
     none = F.array().cast("array<struct<t:int,p:int>>")
     begin = lambda x: F.transform(_lookup(postings, x["w"], none), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["p"]).alias("at")))
-    out = out.withColumn("_all", F.sort_array(F.flatten(F.transform(F.filter("_m", lambda x: F.array_contains("_rare", x["w"])), begin))))
+    out = out.withColumn("_all", F.sort_array(F.flatten(F.transform(F.filter("_m", lambda x: x["w"].isin(sorted(entries))), begin))))
     # placements on which two or more rare words agree: equal neighbours once sorted
     agree = F.array_distinct(F.filter("_all", lambda x, i: F.coalesce(x == F.get("_all", i - 1), F.lit(False))))
     out = out.withColumn("_cand", agree)
@@ -149,10 +162,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, idf: dict
             for p, w in enumerate(own):
                 got = got + F.when(at(x["at"], p) == w, F.lit(idf[w])).otherwise(0.0)
             key = tpl.key.split()
-            # the key phrase's place in the template
-            off = next(p for p in range(len(own)) if own[p : p + len(key)] == key) if tpl.key in tpl.text else 0
             scores.append(F.when(x["t"] == t, F.round(got / full, 6)))
-            ok.append(F.when(x["t"] == t, stands(x["at"] + off, key)))
+            ok.append(F.when(x["t"] == t, stands(x["at"] + key_place(tpl), key)))
             labels.append(F.when(x["t"] == t, F.lit(tpl.label)))
         return F.struct(F.coalesce(*labels).alias("label"), x["at"].alias("start"), F.coalesce(*scores).alias("score"), F.coalesce(*ok, F.lit(False)).alias("ok"))
 

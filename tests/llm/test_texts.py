@@ -109,6 +109,28 @@ def test_licences(spark, docs, no_docs):
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
+def test_several_licences_in_one_text(spark):
+    rng = random.Random(4)
+    texts = [t.text for t in licenses.TEMPLATES]
+    joined = [" ".join(texts), *(" filler words ".join(rng.sample(texts, k)) for k in (2, 3, 3, 5, 8)), " ".join(rng.choices(" ".join(texts).split(), k=3000)) + " " + " ".join(texts)]
+    rows = [*enumerate(joined), *((i, "nothing of the kind in here") for i in range(100, 140))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = licenses.word_idf(frame)
+    got = {r.doc_id: {(x.label, x.start) for x in r.found} for r in licenses.scan(frame, idf=idf).collect()}
+    for i, text in rows:
+        w, want = text.split(), set()
+        for t in licenses.TEMPLATES:
+            own, key = t.text.split(), t.key.split()
+            off = next(p for p in range(len(own)) if own[p : p + len(key)] == key)
+            for at in range(-len(own), len(w)):
+                here = [w[at + p] if 0 <= at + p < len(w) else None for p in range(len(own))]
+                score = sum(idf[x] for x, y in zip(own, here) if x == y) / sum(idf[x] for x in own)
+                if here[off : off + len(key)] == key and score >= licenses.MIN_SCORE:
+                    want.add((t.label, at))
+        assert got[i] == want
+    assert {x for x, _ in got[0]} >= {t.label for t in licenses.TEMPLATES}
+
+
 # quality rules
 
 
