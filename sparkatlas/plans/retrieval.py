@@ -160,12 +160,14 @@ def tag_expand_idf(spark, d):
     return fusion.tag_expansion(tags, seeds, part.count()).withColumn("score", F.round("score", 6))
 
 
-TEXTS = {1: "the that", 2: "of and to", 3: "license", 4: "der die", 5: "que les"}
+def _texts(spark, d):
+    """The stated queries of text searches: the title of every document whose id is divisible by 50."""
+    return A.notes(spark, d).where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("title").alias("text"))
 
 
 @query("bm25_topk")
 def bm25_topk(spark, d):
-    return bm25.search(bm25.build(A.notes(spark, d)), TEXTS).withColumn("score", F.round("score", 6))
+    return bm25.search(bm25.build(A.notes(spark, d)), _texts(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _corpus(spark, d) -> fusion.Corpus:
@@ -181,8 +183,9 @@ def _corpus(spark, d) -> fusion.Corpus:
 
 @query("hybrid_query")
 def hybrid_query(spark, d):
-    asked = spark.createDataFrame([(q, models.hashed_embedding(t, 64)) for q, t in TEXTS.items()], "query_id long, vec array<double>")
-    return fusion.hybrid(_corpus(spark, d), TEXTS, asked).withColumn("score", F.round("score", 6))
+    texts = _texts(spark, d)
+    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64)).select(F.col("key").alias("query_id"), "vec")
+    return fusion.hybrid(_corpus(spark, d), texts, asked).withColumn("score", F.round("score", 6))
 
 
 @query("federated_query")

@@ -80,6 +80,18 @@ def test_bm25_matches_sqlite(spark):
         assert all(math.isclose(got[q][k], want[k], rel_tol=1e-9) for k in want)
 
 
+def test_text_searches_ask_the_title_of_every_50th_document(spark):
+    from sparkatlas.plans import retrieval
+
+    data = "/root/testdata/sf0.001"
+    asked = {r.query_id: r.text for r in retrieval._texts(spark, data).collect()}
+    ids = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 50 = 0").collect()}
+    assert asked.keys() == ids
+    found = {(r.query_id, r.key) for r in retrieval.bm25_topk(spark, data).collect()}
+    want = {(r.query_id, r.key) for r in bm25.search(bm25.build(retrieval.A.notes(spark, data)), asked).collect()}
+    assert found == want and {q for q, _ in found} == {q for q, t in asked.items() if bm25.parse_query(t)}
+
+
 def test_pagerank(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 1), (2, 5)]
     df = spark.createDataFrame(edges, "src long, dst long")
