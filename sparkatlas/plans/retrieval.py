@@ -239,12 +239,16 @@ def rank_shift(spark, d):
     return evaluate.rank_shift(vectors.top_k(A.vecs(spark, d), A.query_vecs(spark, d), 30), _fused(spark, d).where("rank <= 30"))
 
 
+#: Feedback settings (alpha, k) compared, next to none.
+GRID = [(0.5, 1), (0.5, 3), (0.7, 1), (0.7, 3), (0.8, 1), (0.8, 3), (0.9, 1), (0.9, 3), (0.9, 5)]
+
+
 @query("feedback_grid")
 def feedback_grid(spark, d):
     vecs = A.vecs(spark, d)
     own = vecs.where("key % 50 = 0").select(F.col("key").alias("query_id"), "label")
     relevant = own.join(vecs.select("key", "label"), "label").where("key <> query_id").select("query_id", "key")
-    return evaluate.feedback_grid(vecs.select("key", "vec"), A.query_vecs(spark, d), relevant, [(0.7, 1), (0.7, 3), (0.5, 3)])
+    return evaluate.feedback_grid(vecs.select("key", "vec"), A.query_vecs(spark, d), relevant, GRID)
 
 
 @query("reflect_scan", f"{TOP_SQL} SELECT query_id, key, round(score, 6) AS top_match_similarity, CASE WHEN score > 0.9 THEN 'duplicate' WHEN score >= 0.7 THEN 'related' ELSE 'new' END AS route FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top WHERE key <> query_id) WHERE n = 1")

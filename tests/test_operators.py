@@ -92,6 +92,14 @@ def test_text_searches_ask_the_title_of_every_50th_document(spark):
     assert found == want and {q for q, _ in found} == {q for q, t in asked.items() if bm25.parse_query(t)}
 
 
+def test_feedback_grid_has_all_ten_configurations(spark):
+    from sparkatlas.plans import retrieval
+
+    want = {"none", *(f"a={a:g},k={k}" for a in (0.5, 0.7, 0.8, 0.9) for k in (1, 3)), "a=0.9,k=5"}
+    got = [r.label for r in retrieval.feedback_grid(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == 10 and set(got) == want
+
+
 def test_pagerank(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 1), (2, 5)]
     df = spark.createDataFrame(edges, "src long, dst long")
