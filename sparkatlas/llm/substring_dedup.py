@@ -3,9 +3,10 @@
 Passages of ``length`` words that occur anywhere else go, every copy of them.
 ``repeats`` finds where a passage may recur and sends each distinct context
 once to a shard of bounded size. Each shard's contexts make one generalised
-suffix automaton; streaming the contexts through it gives, at every word, the
-longest match that also ends at another place of the corpus (the matching
-statistic). Maximal spans of matches at or above the length are removed.
+suffix automaton; the states that its contexts pass as they are inserted give, at
+every word, the longest match that also ends at another place of the corpus
+(the matching statistic). Contexts that recur as a whole are known from their
+hashes before that. Maximal spans of matches at or above the length are removed.
 
 A plain broadcast of every shard to every document would cost documents times
 shards, so a shard meets only the documents whose triggers lead to it.
