@@ -16,17 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The folder of a table that stored() wrote.
 OWN = re.compile(r"(.*/sparkatlas/[a-z-]+-[0-9a-f]{32})/")
 GAP = r"[\x20\x09-\x0D]+"
+_OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is set.
+    Only where that is unset and everything runs on one machine, as in tests, a
+    folder of our own is taken; a cluster without the setting is an error.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="sparkatlas-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if sc.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="sparkatlas-")
+        conf = _OWN_DIRS[sc.applicationId]
     return conf.rstrip("/")
 
 
@@ -58,6 +64,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -1,18 +1,21 @@
 """Windows that occur more than once in a corpus: routing them to where they can be compared.
 
-Every window of ``length`` symbols (words or bytes) holds at least one trigger,
-a gram chosen by a rolling hash of its content alone, so equal windows hold
-equal triggers at equal places. Only triggers travel: about one for every ten
-words, or thirty bytes. A trigger's context is all that windows around it can
-cover. Three cases are told apart with sums that are taken before the shuffle:
+Every window of ``length`` symbols (words or bytes) is dealt to one trigger, its
+gram of least rolling hash, so equal windows have equal triggers at equal
+places. Only triggers travel: about one for every ten words, or forty bytes. A
+trigger's context is what its windows cover. Sorted by trigger and context,
+three cases show:
 
-* the trigger occurs once: no window around it repeats;
+* the trigger occurs once: none of its windows repeats;
 * its context occurs again, whole: all of its windows repeat;
-* only the trigger occurs again: one copy of each context is sent, by trigger,
-  to a shard, where the contexts are compared symbol by symbol.
+* the trigger has other contexts too: one copy of each context is sent, by
+  trigger, to a shard, where the contexts are compared symbol by symbol.
 
-Contexts of very common triggers go by the content of a stretch that all
-windows of a block share, so that no trigger gathers in one task.
+No key gathers in one task. Triggers that fill a large part of the table are
+salted by document: each part judges its own rows and sends one copy of each of
+its contexts, so that the shard compares across parts. A trigger with more than
+``common`` contexts (a boundary of a very common passage) goes window by window
+instead: windows are counted by 128 bits of hash, summed before the shuffle.
 
 A document is known by doc_id and a hash of its text; rows that repeat both
 share one verdict.
@@ -20,23 +23,31 @@ share one verdict.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.common import discard, release, stored
+from sparkatlas.llm.common import discard, release, stored, unused
 from sparkatlas.llm.textcore import slices
 
 SLICE_BYTES = 2 << 20
 KEY = "doc_id long, th long"
-TRIGGERS = f"{KEY}, at int, lo int, hi int, trigger long, context long"
-SEGMENTS = f"{KEY}, route long, copies long, lo int, body binary"
+TRIGGERS = f"{KEY}, lo int, n int, trigger long, context long, part int"
+CONTEXTS = f"{KEY}, lo int, n int, trigger long, copies long, sent boolean"
+SEGMENTS = f"{KEY}, route long, more long, copies long, lo int, body binary, common boolean"
 SPANS = f"{KEY}, s int, e int"
+#: Parts of a salted trigger.
+SALT = 256
+#: Triggers (one long each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
+#: Marks rows that report frequent triggers.
+REPORT = -1
 
 
 @dataclass(frozen=True)
@@ -46,10 +57,12 @@ class Unit:
     name: str
     length: int
     gram: int
-    #: Windows of a block of a common trigger's context.
-    block: int
-    #: Contexts from which a trigger is common.
+    #: Contexts above which a trigger goes window by window.
     common: int
+    #: A trigger is salted if slices of text that hold it ``often`` times have more than ``hot`` of it
+    #: together, and a thousandth of all that slices report.
+    hot: int = 4096
+    often: int = 8
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Joined bytes, start and end byte and 64-bit value of each symbol, and where each text's symbols begin."""
@@ -69,56 +82,141 @@ def _ints(a: np.ndarray, kind: str = "int32") -> pa.Array:
     return pa.array(a.astype(kind))
 
 
-def triggers(docs: DataFrame, unit: Unit) -> DataFrame:
+def _signed(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
+
+
+def triggers(docs: DataFrame, unit: Unit, passes: int) -> DataFrame:
+    """A row for each trigger; with part REPORT, how often (lo) a task saw a trigger that is frequent in a slice."""
+    names = ["doc_id", "th", "lo", "n", "trigger", "context", "part"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: Counter[int] = Counter()
+
+        def report() -> pa.RecordBatch:
+            m = len(frequent)
+            none = pa.nulls(m, pa.int64())
+            seen = np.minimum(np.fromiter(frequent.values(), np.int64, m), 2**31 - 1)
+            hashes = np.fromiter(frequent.keys(), np.uint64, m)
+            return pa.RecordBatch.from_arrays([none, none, _ints(seen), _ints(np.zeros(m)), _signed(hashes), none, _ints(np.full(m, REPORT))], names=names)
+
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2)
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in texts], SLICE_BYTES):
                 _, _, _, values, bounds = unit.symbols(texts[a:b])
-                at, gram, lo, hi, context = textcore.anchors(values, bounds, unit.length, unit.gram)
-                text = np.searchsorted(bounds, at, "right") - 1
-                base = bounds[text]
+                gram, lo, count, context = textcore.anchors(values, bounds, unit.length, unit.gram)
+                kinds, seen = np.unique(gram, return_counts=True)
+                often = seen >= unit.often
+                frequent.update(dict(zip(kinds[often].tolist(), seen[often].tolist())))
+                if len(frequent) > 200_000:
+                    yield report()
+                    frequent.clear()
+                text = np.searchsorted(bounds, lo, "right") - 1
                 pick = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), hashes.take(pick), _ints(at - base), _ints(lo - base), _ints(hi - base), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
-                    names=["doc_id", "th", "at", "lo", "hi", "trigger", "context"],
-                )
+                part = _ints((gram >> np.uint64(8)) % np.uint64(passes))
+                yield pa.RecordBatch.from_arrays([ids.take(pick), hashes.take(pick), _ints(lo - bounds[text]), _ints(count), _signed(gram), _signed(context), part], names=names)
+        if frequent:
+            yield report()
 
     return keyed(docs).where("text IS NOT NULL").mapInArrow(run, TRIGGERS)
 
 
-def occurrences(found: DataFrame, passes: int) -> list[DataFrame]:
-    """Triggers that occur twice or more, in passes over ranges of the hash so that little is on disk at once.
+def hot_triggers(found: DataFrame, least: int) -> list[int]:
+    """The salted triggers: fewer than a thousand, since each has a thousandth of all that is reported."""
+    reports = found.where(F.col("part") == REPORT).groupBy("trigger").agg(F.sum("lo").alias("seen"))
+    total = reports.agg(F.sum("seen")).first()[0] or 0
+    return [r.trigger for r in reports.where(F.col("seen") > max(least, total // 1000)).collect()]
 
-    mixed: the trigger has more than one context.
+
+class Runs:
+    """Rows sorted by trigger and context, in batches: spans of copied contexts, and contexts to send.
+
+    Of a context whose rows go on in the next batch only the first row is kept.
     """
-    out = []
-    for i in range(passes):
-        # stored, so that the join below deals both sides anew and can split a trigger that fills a partition
-        part = found.where(F.col("part") == i).drop("part")
-        sums = part.groupBy("trigger").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-        sums = stored(sums.select("trigger", (F.col("a") != F.col("b")).alias("mixed")), "sums")
-        out.append(stored(part.join(sums, "trigger").select(*part.columns, "mixed"), "occurrences"))
-        discard(sums)
-        release(found.sparkSession)
-    discard(found)
-    return out
 
+    def __init__(self, unit: Unit, keep_first: bool, hot: list[int]):
+        self.unit, self.keep_first = unit, keep_first
+        self.hot = np.sort(np.array(hot, np.int64))
+        self.held: pa.Table | None = None
+        self.weight, self.multi = 0, False
+
+    def add(self, table: pa.Table, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            table = pa.concat_tables([self.held, table])
+        if not len(table):
+            return
+        table = table.combine_chunks()
+        trigger, context = (table.column(k).to_numpy() for k in ("trigger", "context"))
+        size = np.ones(len(trigger), np.int64)
+        size[0] = self.weight or 1
+        new_trigger = np.concatenate(([True], trigger[1:] != trigger[:-1]))
+        new = new_trigger | np.concatenate(([True], context[1:] != context[:-1]))
+        first = np.flatnonzero(new)
+        copies = np.add.reduceat(size, first)
+        group = np.cumsum(new_trigger)[first] - 1
+        multi = np.bincount(group)[group] > 1
+        multi[group == 0] |= self.multi
+        done = len(first) if last else len(first) - 1
+        send = (multi | np.isin(trigger[first], self.hot))[:done]
+        copied = ~new
+        if self.keep_first:  # a row that repeats the first place is no copy
+            copied &= ~self._same(table, np.repeat(first, np.diff(np.append(first, len(new)))))
+        else:
+            copied[first[:done]] = copies[:done] > 1
+        yield from self._rows(table, np.flatnonzero(copied), None)
+        yield from self._rows(table, first[:done][send], copies[:done][send])
+        if not last:
+            self.held, self.weight, self.multi = table.slice(first[-1], 1), int(copies[-1]), bool(multi[-1])
+
+    @staticmethod
+    def _same(table: pa.Table, first: np.ndarray) -> np.ndarray:
+        out = np.ones(len(first), bool)
+        for name in ("doc_id", "th", "lo"):
+            column = table.column(name)
+            values = column.to_numpy() if not column.null_count else column.fill_null(0).to_numpy()
+            out &= values == values[first]
+            if column.null_count:
+                null = column.is_null().to_numpy()
+                out &= null == null[first]
+        return out
+
+    @staticmethod
+    def _rows(table: pa.Table, rows: np.ndarray, copies: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            own = table.select(["doc_id", "th", "lo", "n", "trigger"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+            m = len(rows)
+            more = [pa.nulls(m, pa.int64()) if copies is None else pa.array(copies), pa.array(np.full(m, copies is not None))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "copies", "sent"])
+
+
+def contexts(part: DataFrame, unit: Unit, keep_first: bool, hot: list[int]) -> DataFrame:
+    """Rows of triggers judged: contexts that are copies (sent is false), and contexts to send with their copies."""
+    salted = F.xxhash64("trigger", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALT)))
+    key = F.when(F.col("trigger").isin(hot), salted).otherwise(F.col("trigger")) if hot else F.col("trigger")
+    order = ["trigger", "context", *(["doc_id", "th", "lo"] if keep_first else [])]
 
-def contexts(occ: DataFrame) -> DataFrame:
-    """Each distinct context: copies, and its first place."""
-    first = F.min(F.struct("doc_id", "th", "at", "lo", "hi")).alias("first")
-    return occ.groupBy("trigger", "context").agg(F.count("*").alias("copies"), first, F.first("mixed").alias("mixed"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(unit, keep_first, hot)
+        for batch in batches:
+            yield from runs.add(pa.Table.from_batches([batch]))
+        if runs.held is not None:
+            yield from runs.add(runs.held.slice(0, 0), last=True)
+
+    rows = part.select("doc_id", "th", "lo", "n", "trigger", "context", key.alias("key")).repartition("key").drop("key")
+    return rows.sortWithinPartitions(*order).mapInArrow(run, CONTEXTS)
 
 
-def segments(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
-    """The text of each context of a mixed trigger, once, with the route to its shard."""
-    many = mixed.groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common"))
-    rows = mixed.join(many, "trigger", "left").select("trigger", "copies", "first.*", F.coalesce("common", F.lit(False)).alias("common"))
-    own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("trigger", "copies", "at", "lo", "hi", "common")).alias("own"))
+def segments(docs: DataFrame, sent: DataFrame, unit: Unit) -> DataFrame:
+    """The text of each context to be compared, once, with the route to its shard; the hash of each window instead where the trigger is common."""
+    many = stored(sent.groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common")), "many")
+    few = many.count() <= BROADCAST_ROWS
+    rows = sent.join(F.broadcast(many) if few else many.hint("shuffle_merge"), "trigger", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("trigger", "copies", "lo", "n", "common")).alias("own"))
     d = keyed(docs)
+    own = own.hint("shuffle_merge")
     joined = d.join(own, d.doc_id.eqNullSafe(own.doc_id) & (d.th == own.th)).select(d.doc_id, d.th, "text", "own")
+    names = ["doc_id", "th", "route", "more", "copies", "lo", "body", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,43 +224,47 @@ def segments(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             for a, b in slices([len(t) for t in texts], SLICE_BYTES):
                 flat, start, end, values, bounds = unit.symbols(texts[a:b])
-                raw, spans = flat.tobytes(), textcore.Spans(values)
+                raw = flat.tobytes()
                 lists = batch.column(3).slice(a, b - a)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
                 text = np.repeat(np.arange(b - a), sizes)
-                trigger, copies, at, lo, hi, common = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(6))
-                route = trigger.view(np.uint64)
-                s, e = lo + bounds[text], hi + bounds[text]
-                parts = [(text[~common], route[~common], copies[~common], s[~common], e[~common])]
-                if common.any():
-                    ct, cr, cc, cs, ce = text[common], route[common], copies[common], s[common], e[common]
-                    begin = at[common] + bounds[ct] - (unit.length - unit.gram)
-                    for off in range(0, unit.length - unit.gram + 1, unit.block):
-                        # windows that begin in [bs, be) all hold the stretch [first + block - 1, first + length)
-                        first = begin + off
-                        bs = np.maximum(first, cs)
-                        be = np.minimum(np.minimum(first + unit.block, begin + unit.length - unit.gram + 1), ce - unit.length + 1)
-                        ok = be > bs
-                        first, bs, be = first[ok], bs[ok], be[ok]
-                        core = spans(first + unit.block - 1, first + unit.length)
-                        parts.append((ct[ok], textcore.mix(cr[ok] ^ core ^ np.uint64(off)), cc[ok], bs, be - 1 + unit.length))
-                text, route, copies, s, e = (np.concatenate(x) for x in zip(*parts))
-                bodies = [raw[x:y] for x, y in zip(start[s].tolist(), end[e - 1].tolist())]
-                pick = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), hashes.take(pick), pa.array(route.view(np.int64)), _ints(copies, "int64"), _ints(s - bounds[text]), pa.array(bodies, pa.binary())],
-                    names=["doc_id", "th", "route", "copies", "lo", "body"],
-                )
+                trigger, copies, lo, n, common = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                s = lo + bounds[text]
+                plain = np.flatnonzero(~common)
+                if len(plain):
+                    ends = end[s[plain] + n[plain] - 2 + unit.length]
+                    bodies = [raw[x:y] for x, y in zip(start[s[plain]].tolist(), ends.tolist())]
+                    pick = pa.array(text[plain] + a)
+                    yield pa.RecordBatch.from_arrays([ids.take(pick), hashes.take(pick), pa.array(trigger[plain]), pa.nulls(len(plain), pa.int64()), pa.array(copies[plain]), _ints(lo[plain]), pa.array(bodies, pa.binary()), pa.array(np.zeros(len(plain), bool))], names=names)
+                if len(plain) < len(common):
+                    own = np.flatnonzero(common)
+                    row = np.repeat(own, n[own])
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                    w = s[row] + step
+                    one, two = (textcore.Spans(v)(w, w + unit.length) for v in (values, textcore.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
+                    pick = pa.array(text[row] + a)
+                    m = len(row)
+                    yield pa.RecordBatch.from_arrays([ids.take(pick), hashes.take(pick), _signed(one), _signed(two), pa.array(copies[row]), _ints(lo[row] + step), pa.nulls(m, pa.binary()), pa.array(np.ones(m, bool))], names=names)
 
     return joined.mapInArrow(run, SEGMENTS)
 
 
+def common_windows(rows: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
+    """Spans of single windows that occur again (keep_first: at an earlier place)."""
+    place = F.struct("doc_id", "th", "lo")
+    kept = F.min(place).alias("first") if keep_first else F.lit(None).alias("first")
+    again = rows.groupBy("route", "more").agg(F.sum("copies").alias("total"), kept).where("total > 1").drop("total")
+    found = rows.join(again, ["route", "more"])
+    found = found.where(~place.eqNullSafe(F.col("first"))) if keep_first else found.where("copies = 1")
+    return found.select("doc_id", "th", F.col("lo").alias("s"), (F.col("lo") + unit.length).alias("e"))
+
+
 #: (bodies, place of each body's first symbol as doc number << 32 | symbol) -> per body a mask over its windows.
 Compare = Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
 
 def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, skip_copied: bool) -> DataFrame:
-    """Spans of windows that compare finds repeated, from shards of bounded size."""
+    """Spans of windows that compare finds repeated, from shards of bounded size (a route has ``common`` bodies at most)."""
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
         docs = {k: i for i, k in enumerate(sorted({r[:2] for r in rows}, key=lambda k: (k[0] is not None, k)))}
@@ -200,42 +302,56 @@ def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, sk
         if rows:
             yield judge(rows)
 
-    return sent.repartition("route").sortWithinPartitions("route").mapInArrow(run, SPANS)
+    slim = sent.select("doc_id", "th", "route", "copies", "lo", "body")
+    return slim.repartition("route").sortWithinPartitions("route").mapInArrow(run, SPANS)
+
+
+def _packed(s: Column, e: Column) -> Column:
+    return F.shiftleft(s.cast("long"), 32) + e
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, keep_first: bool, passes: int = 2) -> DataFrame:
-    """doc_id, th and the list of spans (first symbol, end) that repeated windows cover.
+    """doc_id, th and the list of spans (first symbol << 32 | end) that repeated windows cover.
 
-    keep_first: the first place of a window (by doc_id, then place) does not count as repeated.
+    keep_first: the first place of a window (by doc_id, then hash of the text,
+    then place) does not count as repeated.
     """
-    found = triggers(docs, unit).withColumn("part", F.pmod("trigger", F.lit(passes)).cast("int"))
-    found = stored(found, "triggers", by="part")
-    spans: DataFrame | None = None
-    mixed: DataFrame | None = None
-    used: list[DataFrame] = []
-    for occ in occurrences(found, passes):
-        each = stored(contexts(occ), "contexts")
-        used += [occ, each]
-        copied = each.where("copies > 1").select("trigger", "context", "first")
-        whole = occ.join(copied, ["trigger", "context"])
-        if keep_first:
-            here = F.struct("doc_id", "th", "at", "lo", "hi")
-            whole = whole.where(~here.eqNullSafe(F.col("first")))
-        whole = whole.select("doc_id", "th", F.col("lo").alias("s"), F.col("hi").alias("e"))
-        part = each.where("mixed")
-        spans = whole if spans is None else spans.unionByName(whole)
-        mixed = part if mixed is None else mixed.unionByName(part)
-    sent = stored(segments(docs, mixed, unit), "segments")
+    found = stored(triggers(docs, unit, passes), "triggers", by="part")
+    hot = hot_triggers(found, unit.hot)
+    judged = []
+    for i in range(passes):  # in passes over ranges of the hash, so that little is on disk at once
+        part = found.where(F.col("part") == i)
+        judged.append(stored(contexts(part, unit, keep_first, hot), "contexts", by="sent"))
+        release(docs.sparkSession)
+    discard(found)
+    every = judged[0]
+    for other in judged[1:]:
+        every = every.unionByName(other)
+    body = stored(segments(docs, every.where("sent"), unit), "segments", by="common")
     release(docs.sparkSession)
-    spans = spans.unionByName(compared(sent, unit, compare, shard_bytes, skip_copied=not keep_first))
-    out = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    discard(*used, sent)
+    whole = every.where("NOT sent").select("doc_id", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + unit.length).alias("e"))
+    spans = whole.unionByName(compared(body.where("NOT common"), unit, compare, shard_bytes, skip_copied=not keep_first))
+    spans = spans.unionByName(common_windows(body.where("common"), unit, keep_first))
+    out = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(_packed(F.col("s"), F.col("e"))).alias("spans")), "spans")
+    discard(*judged, body)
     release(docs.sparkSession)
     return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every row of docs with all of its columns and, last, its spans (null where it has none)."""
-    known = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
-    return docs.join(known, same, "left").drop("_id", "_th")
+    i, t, s = (unused(docs, name) for name in ("spans_doc_id", "spans_th", "spans"))
+    known = spans.select(F.col("doc_id").alias(i), F.col("th").alias(t), F.col("spans").alias(s)).hint("shuffle_merge")
+    same = docs["doc_id"].eqNullSafe(known[i]) & (F.xxhash64(docs["text"]) == known[t])
+    return docs.join(known, same, "left").drop(i, t)
+
+
+def covered(sizes: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Mask, flat over texts of these sizes, of what their lists of spans cover."""
+    base = np.cumsum(sizes) - sizes
+    counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.repeat(base, counts)
+    total = int(sizes.sum())
+    step = np.bincount(at + (flat >> 32), minlength=total + 1) - np.bincount(at + (flat & 0xFFFFFFFF), minlength=total + 1)
+    return np.cumsum(step[:total]) > 0

@@ -6,15 +6,18 @@ once to a shard of bounded size. Each shard's contexts make one generalised
 suffix automaton; the states that its contexts pass as they are inserted give, at
 every word, the longest match that also ends at another place of the corpus
 (the matching statistic). Contexts that recur as a whole are known from their
-hashes before that. Maximal spans of matches at or above the length are removed.
+hashes before that, and windows at the edge of a very common passage by theirs.
+Maximal spans of matches at or above the length are removed.
 
 A plain broadcast of every shard to every document would cost documents times
 shards, so a shard meets only the documents whose triggers lead to it.
 
 Defined cases: null and empty texts have no words; of repeated rows (same id
-and text) each counts as a copy, so their passages go; documents shorter than
-the length lose nothing; very long texts are handled whole; an empty table
-gives an empty result; extra columns are ignored.
+and text, ties of doc_id with other texts included) each counts as a copy, so
+their passages go; documents shorter than the length lose nothing; very long
+texts are handled whole; an empty table gives an empty result; extra columns
+keep their values in ``remove_passages``, whatever their names, and are ignored
+by ``digest``.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from sparkatlas.llm.automaton import SuffixAutomaton
 from sparkatlas.llm.common import with_text
-from sparkatlas.llm.repeats import SLICE_BYTES, Unit, repeated_spans, with_spans
+from sparkatlas.llm.repeats import SLICE_BYTES, Unit, covered, repeated_spans, with_spans
 from sparkatlas.llm.textcore import slices
 from sparkatlas.llm.textcore import words as words_of
 
@@ -38,8 +41,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def unit(length: int = LENGTH) -> Unit:
-    gram = max(1, length // 3)
-    return Unit("words", length, gram, block=max(1, length // 4), common=2048)
+    return Unit("words", length, max(1, length // 3), common=512)
 
 
 def matching_statistics(bodies: list[list[bytes]], place: np.ndarray) -> list[np.ndarray]:
@@ -80,24 +82,10 @@ def compare(length: int) -> Callable[[list[bytes], np.ndarray], list[np.ndarray]
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th and spans (first word, end) of every repeated passage."""
+    """doc_id, th and spans (first word << 32 | end) of every repeated passage."""
     return repeated_spans(docs, unit(length), compare(length), SHARD_BYTES, keep_first=False)
 
 
-def cover(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Mask of what the spans cover."""
-    step = np.zeros(size + 1, np.int32)
-    if spans:
-        s, e = np.array(spans, np.int64).T
-        np.add.at(step, s, 1)
-        np.add.at(step, e, -1)
-    return np.cumsum(step[:size]) > 0
-
-
-def _masks(words: list[list[bytes]], spans: list) -> list[np.ndarray | None]:
-    return [cover(len(w), [(x["s"], x["e"]) for x in s]) if s else None for w, s in zip(words, spans)]
-
-
 def _kept(words: list[bytes], gone: np.ndarray | None) -> list[bytes]:
     return words if gone is None else [w for w, x in zip(words, gone.tolist()) if not x]
 
@@ -120,14 +108,11 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()
-            out = []
-            for text, own in zip(texts, spans):
-                if own:
-                    raw = text.encode()
-                    text = cut(raw, cover(len(raw.split()), [(x["s"], x["e"]) for x in own])).decode()
-                out.append(text)
-            yield with_text(batch, names, out)
+            texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(len(names))
+            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                raw = texts[i].encode()
+                texts[i] = cut(raw, covered(np.array([len(raw.split())]), spans.slice(i, 1))).decode()
+            yield with_text(batch, names, texts)
 
     return with_spans(docs, repeated_passages(docs, length)).mapInArrow(run, docs.schema)
 
@@ -137,14 +122,15 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, spans = (batch.column(i).to_pylist() for i in range(3))
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
                 words = [(t or "").encode().split() for t in texts[a:b]]
-                masks = _masks(words, spans[a:b])
-                gone = [0 if m is None else int(m.sum()) for m in masks]
-                shas = [hashlib.sha256(b" ".join(_kept(w, m))).hexdigest() for w, m in zip(words, masks)]
+                sizes = np.fromiter(map(len, words), np.int64, b - a)
+                masks = np.split(covered(sizes, batch.column(2).slice(a, b - a)), np.cumsum(sizes)[:-1])
+                gone = [int(m.sum()) for m in masks]
+                shas = [hashlib.sha256(b" ".join(_kept(w, m if n else None))).hexdigest() for w, m, n in zip(words, masks, gone)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:b], pa.int64()), pa.array(map(len, words), pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
+                    [pa.array(keys[a:b], pa.int64()), pa.array(sizes), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 

@@ -5,17 +5,19 @@ or earlier in the same document) go. ``repeats`` finds where strings may recur
 and sends each distinct context once to a shard of bounded size. A shard's
 texts are highly repetitive, so they are parsed: a rolling hash of ``GRAM``
 bytes triggers the end of a phrase, wherever the text comes from. The distinct
-phrases are the dictionary, the text is a sequence of phrases. Suffixes of
-dictionary phrases up to their trigger, and the sorted suffixes of the parse
-with their common prefixes, combine into the order of all strings: two strings
-are equal if the phrase suffix they begin with is the same and the parse goes
-on alike for the bytes that are left. The first place of each string stays.
+phrases are the dictionary, the text is a sequence of phrases. The suffix array
+of the dictionary and that of the parse (its phrases numbered in the order of
+the dictionary) combine into the order of all places of the shard: by the rank
+of the phrase suffix a place begins, then by that of the parse after it. Strings
+are equal where neighbours have the length in common; the first place of each
+string stays. Orders are kept as far as a string reaches.
 
 Defined cases: null and empty texts have no bytes; repeated rows (same id and
-text) share one verdict and do not count as earlier than each other; a null
-doc_id comes before all others; documents shorter than the length lose nothing;
-very long texts are handled whole; an empty table gives an empty result; extra
-columns are ignored.
+text) share one verdict and do not count as earlier than each other; of equal
+doc_ids with other texts the one of lesser text hash (xxhash64) comes first; a
+null doc_id comes before all others; documents shorter than the length lose
+nothing; very long texts are handled whole; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.repeats import SLICE_BYTES, Unit, repeated_spans, with_spans
-from sparkatlas.llm.substring_dedup import cover
+from sparkatlas.llm.repeats import SLICE_BYTES, Unit, covered, repeated_spans, with_spans
 from sparkatlas.llm.textcore import slices
 
 LENGTH = 100
@@ -40,92 +41,116 @@ SHARD_BYTES = 1_000_000
 
 
 def unit(length: int = LENGTH) -> Unit:
-    return Unit("bytes", length, max(1, length // 5), block=max(1, length // 4), common=4096)
+    return Unit("bytes", length, max(1, length // 5), common=1024)
+
+
+def suffix_ranks(values: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of many sequences, told apart on their first ``depth`` values.
+
+    values: all sequences one after the other, from 1; stop: where the sequence
+    of each place ends. Equal ranks, equal prefixes; a sequence that ends sorts
+    before one that goes on. Ranks of prefixes are combined two by two, each
+    round of twice the length (the last of as much as the depth leaves).
+    """
+    n = len(values)
+    rank, size = values.astype(np.int64), 1
+    place = np.arange(n)
+    if n and (top := int(values.max())) < 256 and depth >= 7:  # the first seven bytes at once
+        padded = np.append(rank, np.zeros(7, np.int64))
+        rank = padded[:n].copy()
+        for k in range(1, 7):
+            rank = rank * (top + 1) + np.where(place + k < stop, padded[k : k + n], 0)
+        rank, size = np.unique(rank, return_inverse=True)[1] + 1, 7
+    longest = min(int((stop - place).max(initial=0)), depth)
+    while size < longest:
+        step = min(size, longest - size)
+        after = place + step
+        inside = after < stop
+        second = np.where(inside, rank[np.minimum(after, n - 1)], 0)
+        rank = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)[1] + 1
+        size += step
+    return rank
 
 
 class Parse:
-    """Prefix-free parse of texts: phrases end where a rolling hash triggers, whatever comes before."""
+    """Prefix-free parse of texts, and the suffix arrays of its dictionary and of the sequence of its phrases.
 
-    def __init__(self, texts: list[bytes], gram: int = GRAM, spacing: int = SPACING):
-        self.raw = b"".join(texts)
+    A phrase ends after ``gram`` bytes whose rolling hash triggers, whatever
+    comes before, and the next one begins with those bytes; the last phrase of
+    a text ends with it. No suffix of a phrase that holds its trigger is the
+    beginning of another such suffix.
+    """
+
+    def __init__(self, texts: list[bytes], depth: int, gram: int = GRAM, spacing: int = SPACING):
+        raw = b"".join(texts)
+        flat = np.frombuffer(raw, np.uint8)
         self.gram = gram
-        flat = np.frombuffer(self.raw, np.uint8)
         self.bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         hashes = textcore.Spans(textcore.BYTES[flat]).every(gram)
         ends = np.flatnonzero(hashes % np.uint64(spacing) == 0) + gram
         text = np.searchsorted(self.bounds, ends - gram, "right") - 1
-        self.ends = ends[ends <= self.bounds[text + 1]]
-        self.flat = flat
-
-    def suffixes(self, starts: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
-        """A number for what each string begins with: equal numbers, equal bytes.
-
-        Each distinct phrase enters its suffixes once, however often it occurs.
-        """
+        fits = (ends < self.bounds[text + 1]) & (ends - gram > self.bounds[text])
+        #: Where each phrase begins and ends, and its text.
+        inner, of = ends[fits], text[fits]
+        self.begin = np.sort(np.concatenate((self.bounds[:-1], inner - gram)))
+        self.text = np.searchsorted(self.bounds, self.begin, "right") - 1
+        later = np.append(self.text[1:] == self.text[:-1], False)
+        self.end = np.where(later, np.append(self.begin[1:], 0) + gram, self.bounds[self.text + 1])
+        # dictionary: every distinct phrase once, and the order of its suffixes
         number: dict[bytes, int] = {}
-        known: dict[bytes, int] = {}
-        table: list[int] = []
-        raw, gram = self.raw, self.gram
-        out = np.empty(len(starts), np.int64)
-        far = stop - starts > length
-        for i in np.flatnonzero(far).tolist():
-            out[i] = number.setdefault(raw[starts[i] : starts[i] + length], len(number))
-        near = np.flatnonzero(~far)
-        # strings with the same phrase end come one after the other
-        first = np.flatnonzero(np.diff(stop[near], prepend=-1) != 0)
-        base = np.empty(len(first), np.int64)
-        for i, (a, b) in enumerate(zip(starts[near[first]].tolist(), stop[near[first]].tolist())):
-            phrase = raw[a:b]
-            at = known.get(phrase)
-            if at is None:
-                at = known[phrase] = len(table)
-                table += [number.setdefault(phrase[o:], len(number)) for o in range(len(phrase) - gram + 1)]
-            base[i] = at
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(near))))
-        out[near] = np.array(table, np.int64)[base[run] + starts[near] - starts[near[first]][run]] if len(near) else 0
-        return out
-
-    def next_end(self, starts: np.ndarray) -> np.ndarray:
-        """The first phrase end that at least a gram of text precedes; past the text if there is none."""
-        at = np.searchsorted(self.ends, starts + self.gram)
-        return np.concatenate((self.ends, [len(self.raw) + (1 << 30)]))[at]
+        known = number.setdefault
+        self.phrase = np.fromiter((known(raw[a:b], len(number)) for a, b in zip(self.begin.tolist(), self.end.tolist())), np.int64, len(self.begin))
+        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        self.at = np.cumsum(sizes) - sizes
+        dictionary = np.frombuffer(b"".join(number), np.uint8)
+        letter = np.zeros(256, np.int64)
+        used = np.unique(dictionary)
+        letter[used] = np.arange(1, len(used) + 1)
+        self.rank = suffix_ranks(letter[dictionary], np.repeat(self.at + sizes, sizes), depth)
+        # order of the parse: its suffixes, as sequences of phrases in the order of the dictionary
+        stop = np.searchsorted(self.begin, self.bounds[self.text + 1])
+        self.order_of = suffix_ranks(self.rank[self.at[self.phrase]], stop, depth)
+
+    def of(self, starts: np.ndarray) -> np.ndarray:
+        """The phrase whose suffix (with all of its trigger) each place begins."""
+        return np.searchsorted(self.begin, starts, "right") - 1
 
 
 def equal_strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, class) of every string of this length in the texts: equal class, equal string."""
-    parse = Parse(texts, min(GRAM, length))
+    """(start, class) of every string of this length in the texts (none empty): equal class, equal string.
+
+    Places in corpus order are places by the rank of their phrase suffix, then
+    by that of the parse after it; strings are equal where neighbours in that
+    order have the length in common.
+    """
+    parse = Parse(texts, length, min(GRAM, length))
     sizes = np.diff(parse.bounds)
     counts = np.maximum(sizes - length + 1, 0)
     starts = np.repeat(parse.bounds[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     if not len(starts):
         return starts, starts
-    # order of the parse: its suffixes, as far as a string can reach, and what neighbours have in common
-    ends = parse.ends
-    reach = length - parse.gram
-    padded = np.concatenate((parse.flat, np.zeros(length, np.uint8)))
-    if reach and len(ends):
-        rows = np.lib.stride_tricks.sliding_window_view(padded, reach)[ends]
-        order = np.argsort(np.ascontiguousarray(rows).view(f"S{reach}").ravel(), kind="stable")
-        differ = rows[order[1:]] != rows[order[:-1]]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
-        rank = np.empty(len(ends), np.int64)
-        rank[order] = np.arange(len(ends))
-    # dictionary: a string's first phrase suffix, up to the trigger, or the whole string where none comes
-    stop = parse.next_end(starts)
-    head = parse.suffixes(starts, stop, length)
-    stop = np.minimum(stop, starts + length)
-    left = (starts + length - stop).astype(np.uint8 if length < 256 else np.int64)
-    # the parse suffix after it, told apart on the bytes left
+    at = parse.of(starts)
+    head = parse.rank[parse.at[parse.phrase[at]] + starts - parse.begin[at]]
+    # bytes of the string that lie beyond its phrase, and the parse suffix that holds them
+    left = np.maximum(starts + length - parse.end[at], 0)
+    flat = np.frombuffer(b"".join(texts) + bytes(length), np.uint8)
+    order = np.argsort(parse.order_of, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    rows = np.lib.stride_tricks.sliding_window_view(flat, length)[parse.begin]
+    differ = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    room = (parse.bounds[parse.text + 1] - parse.begin)[order]
+    common = np.minimum(common, np.minimum(room[1:], room[:-1]))
     tail = np.zeros(len(starts), np.int64)
-    if reach and len(ends):
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, length + 1))
-        for size, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
-            if b > a:
-                own = by_left[a:b]
-                begin = np.concatenate(([0], np.where(common < size, np.arange(1, len(ends)), 0)))
-                tail[own] = np.maximum.accumulate(begin)[rank[np.searchsorted(ends, stop[own])]]
-    return starts, np.unique(head * (len(ends) + 1) + tail, return_inverse=True)[1]
+    by_left = np.argsort(left.astype(np.uint8 if length < 256 else np.int64), kind="stable")
+    cuts = np.searchsorted(left[by_left], np.arange(1, length + 1))
+    for size, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
+        if b > a:
+            own = by_left[a:b]
+            begin = np.concatenate(([0], np.where(common < size + parse.gram, np.arange(1, len(order)), 0)))
+            tail[own] = np.maximum.accumulate(begin)[place[at[own] + 1]] + 1
+    return starts, np.unique(head * (len(order) + 1) + tail, return_inverse=True)[1]
 
 
 def compare(length: int) -> Callable[[list[bytes], np.ndarray], list[np.ndarray]]:
@@ -143,16 +168,19 @@ def compare(length: int) -> Callable[[list[bytes], np.ndarray], list[np.ndarray]
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th and spans (first byte, end) of every string that starts earlier."""
-    return repeated_spans(docs, unit(length), compare(length), SHARD_BYTES, keep_first=True, passes=4)
+    """doc_id, th and spans (first byte << 32 | end) of every string that starts earlier."""
+    return repeated_spans(docs, unit(length), compare(length), SHARD_BYTES, keep_first=True, passes=3)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None], list]]:
     for batch in batches:
-        keys, texts, spans = (batch.column(i).to_pylist() for i in range(3))
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
             raw = [None if t is None else t.encode() for t in texts[a:b]]
-            yield keys[a:b], raw, [cover(len(t), [(x["s"], x["e"]) for x in s]) if t and s else None for t, s in zip(raw, spans[a:b])]
+            sizes = np.fromiter((len(t or b"") for t in raw), np.int64, b - a)
+            spans = batch.column(2).slice(a, b - a)
+            masks = np.split(covered(sizes, spans), np.cumsum(sizes)[:-1])
+            yield keys[a:b], raw, [m if ok else None for m, ok in zip(masks, spans.is_valid().to_pylist())]
 
 
 def _kept(text: bytes, gone: np.ndarray | None) -> bytes:

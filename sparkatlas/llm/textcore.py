@@ -10,6 +10,7 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x9E6C63D0876A9A47)  # odd, so that it has an inverse mod 2**64
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -88,30 +89,29 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Content-chosen triggers such that every window of length symbols holds one.
+    """Every window of length symbols dealt to one content-chosen trigger: its gram of least hash, the first of equals.
 
-    The triggers of a window are its grams of least hash, so equal windows hold
-    equal triggers at equal places. bounds: where each text begins, and the end.
-    Returns position, trigger hash, the context's start and end (all that
-    windows around the trigger can cover) and the context's hash.
+    Equal windows have equal triggers at equal places. The windows of a trigger
+    follow one another; what they cover is its context. bounds: where each text
+    begins, and the end. Returns each trigger's hash, its first window, how many
+    windows it has, and the hash of its context and of its place there.
     """
-    none = np.zeros(0, np.int64)
     spans = Spans(symbols)
     grams = spans.every(gram)
     width = length - gram + 1
     if len(grams) < width:
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
-    least = sliding(grams, width, np.minimum)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = sliding((grams & _HIGH) | place, width, np.minimum)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    whole = text[: len(least)] == text[length - 1 : length - 1 + len(least)]
-    reach = np.concatenate((np.zeros(width - 1, np.uint64), np.where(whole, least, 0).astype(np.uint64), np.zeros(width - 1, np.uint64)))
-    at = np.flatnonzero(sliding(reach, width, np.maximum)[: len(grams)] == grams)
-    at = at[text[at] == text[at + gram - 1]]
-    lo = np.maximum(bounds[text[at]], at - (length - gram))
-    hi = np.minimum(bounds[text[at] + 1], at + length)
-    keep = hi - lo >= length
-    at, lo, hi = at[keep], lo[keep], hi[keep]
-    return at, grams[at], lo, hi, mix(spans(lo, hi) ^ ((at - lo).astype(np.uint64) * _ODD))
+    window = np.flatnonzero(text[: len(least)] == text[length - 1 : length - 1 + len(least)])
+    at = (least[window] & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    lo, count = window[first], np.diff(np.append(first, len(at)))
+    at = at[first]
+    context = mix(spans(lo, lo + count - 1 + length) ^ ((at - lo).astype(np.uint64) * _ODD))
+    return grams[at], lo, count, context
 
 
 def slices(sizes: list[int], most: int):

@@ -39,12 +39,12 @@ def brute_strings(rows, length):
     return out
 
 
-@pytest.mark.parametrize("common", [None, 2])
+@pytest.mark.parametrize("changes", [{}, {"common": 1}, {"hot": 0, "often": 2}, {"common": 1, "hot": 0, "often": 2}])
 @pytest.mark.parametrize("module, brute, length", [(substring_dedup, brute_passages, 35), (suffix_array_dedup, brute_strings, 100)])
-def test_matches_brute_force(module, brute, length, common, docs, rows, monkeypatch):
-    if common:  # every trigger counts as common and goes by its blocks
-        unit = module.unit
-        monkeypatch.setattr(module, "unit", lambda n: dataclasses.replace(unit(n), common=common))
+def test_matches_brute_force(module, brute, length, changes, docs, rows, monkeypatch):
+    # common: triggers go window by window; hot: frequent ones are salted
+    unit = module.unit
+    monkeypatch.setattr(module, "unit", lambda n: dataclasses.replace(unit(n), **changes))
     found = {r[0]: tuple(r)[1:] for r in module.digest(docs).collect()}
     assert found == brute(rows, length)
 
@@ -79,3 +79,30 @@ def test_equal_strings():
     text = b"abcdefghijklmnopqrstuvwxyz" * 3 + b"qrstuvwxyzabcdefghij"
     strings = [text[s : s + 12] for s in starts]
     assert len(set(zip(kind.tolist(), strings))) == len(set(strings)) == len(set(kind.tolist()))
+
+
+def test_equal_strings_at_random():
+    rng = np.random.default_rng(5)
+    for length in (3, 9, 30):
+        for _ in range(30):
+            base = bytes(rng.integers(97, 99 + rng.integers(0, 20), 200, dtype=np.uint8))
+            texts = [base[a : a + length + rng.integers(0, 60)] for a in rng.integers(0, 100, 8)]
+            starts, kind = suffix_array_dedup.equal_strings(texts, length)
+            strings = [b"".join(texts)[s : s + length] for s in starts.tolist()]
+            assert len(strings) == sum(len(t) - length + 1 for t in texts)
+            assert len(set(zip(kind.tolist(), strings))) == len(set(strings)) == len(set(kind.tolist()))
+
+
+def test_suffix_ranks():
+    rng = np.random.default_rng(2)
+    sequences = [bytes(rng.integers(1, 3, n, dtype=np.uint8)) for n in (1, 5, 40, 40, 17)]
+    suffixes = [s[i:][:12] for s in sequences for i in range(len(s))]
+    sizes = np.array([len(s) for s in sequences])
+    ranks = suffix_array_dedup.suffix_ranks(np.frombuffer(b"".join(sequences), np.uint8), np.repeat(np.cumsum(sizes), sizes), 12)
+    assert ranks.tolist() == [sorted(set(suffixes)).index(s) + 1 for s in suffixes]
+
+
+def test_clashing_columns(spark):
+    shared = " ".join(f"p{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, f"a {shared}", 7, "x"), (2, f"{shared} b", 8, "y")], "doc_id long, text string, spans int, spans_th string")
+    assert sorted(map(tuple, substring_dedup.remove_passages(docs).collect())) == [(1, "a ", 7, "x"), (2, "b", 8, "y")]
