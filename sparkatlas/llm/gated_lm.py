@@ -1,160 +1,150 @@
 """Gated recurrent language model with a class-factored softmax, in numpy.
 
-Word counts cover all training documents. The most frequent words (the head,
-bounded by ``HEAD`` so that it can be broadcast) fall into classes of like
-frequency mass; all others, and words never seen, share the last class, where
-a word's probability is its smoothed count. A token's probability is that of
-its class given the state, times that of the word given class and state: one
-more softmax in small classes, and in larger ones two (the group of words, then
-the word), so that every head word is predicted from the state.
+Word counts cover all training documents. A word is known by a 64-bit hash of
+its bytes. The counts of the most frequent words (``HEAD`` of them, so that
+they can be broadcast) travel to every task; all other counts are joined. The
+``SOFT`` most frequent words are dealt to ``CLASSES`` classes, cut where the sums
+of the square roots of their counts are even, so that classes of frequent words
+are small. A token's probability is that of its class given the state, times
+that of the word given class and state: every class has a softmax of its own
+over all of its words. All other words share the last class; the state predicts
+that class, and the word in it goes by its smoothed count.
 
 Training runs over every training document, in ``ROUNDS`` rounds over parts of
-them. Within a round each partition trains its own copy by truncated
-backpropagation over windows of parallel streams, and copies are averaged by
-tokens through rounds of partial sums, never all on the driver. Scoring carries
-the state across windows through each whole document; many documents advance
-side by side, and a stream that ends one begins the next with a clean state.
+them. A document's round and replica go by a hash of its id, and the number of
+replicas by the number of training tokens, never by how the table is
+partitioned; the outcome depends on partitions only by the rounding of sums.
+Within a round each replica trains its own copy by truncated backpropagation
+over windows of parallel streams, with the state carried through whole
+documents; copies are averaged by tokens through rounds of partial sums, never
+all on the driver. Scoring carries the state across windows through each whole
+document; many documents advance side by side, and a stream that ends one
+begins the next with a clean state.
 
 Defined cases: null and empty texts have the end token only; without training
 documents N, V and all counts are 0 and every token is unknown; repeated rows
-are scored each; very long texts are scored whole; an empty table gives an
-empty result; extra columns are ignored.
+and rows of equal doc_id are trained on and scored each; words of equal counts
+are ranked by their hash; a null doc_id is not held out; very long texts are
+scored whole, whatever their words' lengths; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkatlas.llm.common import release, stored
+from sparkatlas.llm import textcore
+from sparkatlas.llm.common import discard, release, stored
 from sparkatlas.llm.textcore import slices
 
 #: Most words whose counts are broadcast.
 HEAD = 1 << 17
-CLASSES = 32
-#: Largest class with one softmax over its words; larger ones are cut into groups of about the square root of their size.
-SMALL_CLASS = 32
-#: Words with a full input row of their own; other head words enter by their class and RANK numbers of their own, the tail by its class.
-INPUTS = 2048
-RANK = 8
-#: Bias of rows that only fill up a group.
-NEVER = -1e4
+#: Most words that a class's softmax predicts.
+SOFT = 1 << 15
+CLASSES = 128
 WIDTH = 16
-WINDOW = 16
-#: Most streams in training.
-STREAMS = 512
+#: Numbers of a word's input vector.
+RANK = 16
 ROUNDS = 3
-RATE = 0.08
-#: Tokens of a training step where streams are few.
-STEP_TOKENS = 8192
-#: Texts scored side by side: enough that the longest does not leave the other streams idle.
-SLICE_BYTES = 16 << 20
-MEMORY_WORDS = 300_000
-END = b"\n"
+RATE = 0.3
+#: Training tokens of a replica, about.
+REPLICA_TOKENS = 4_000_000
+#: Tokens of a step, about, and the fewest steps in time of a window.
+STEP_TOKENS = 32768
+WINDOW = 16
+#: Streams side by side: at least, and at most.
+STREAMS = (128, 512)
+#: Steps that training makes at least where there are tokens enough; smaller replicas have fewer streams and smaller steps.
+LEAST_STEPS = 40
+SLICE_BYTES = 2 << 20
+#: Tokens that a task scores side by side.
+SCORE_TOKENS = 4_000_000
+#: Distinct words that a task counts before it passes them on.
+MEMORY_WORDS = 1_000_000
+#: The end of a document, as the hash of a word.
+END = np.uint64(0x0E4D0F7E87A1C0DE)
+#: Above this a softmax is taken off its largest input first.
+SAFE = 60.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.translate(_LOWER).split(), END]
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-@dataclass
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts, each text's followed by END, and tokens per text."""
+    _, _, _, values, bounds = textcore.words([t.translate(_LOWER) for t in texts])
+    sizes = np.diff(bounds) + 1
+    out = np.full(int(sizes.sum()), END)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(texts)), sizes - 1)] = values
+    return out, sizes
+
+
 class Vocabulary:
-    """The head's words, and totals of all counts."""
-
-    number: dict[bytes, int]
-    count: np.ndarray
-    total: int
-    distinct: int
-
-    def __post_init__(self) -> None:
-        n = len(self.count)
-        mass = self.count.copy()
-        mass[self.number.get(END, 0) if n else slice(0)] = 0
-        step = np.cumsum(mass) / max(mass.sum(), 1)
-        kind = 1 + np.minimum((step * (CLASSES - 2)).astype(np.int64), CLASSES - 3)
-        if END in self.number:
-            kind[self.number[END]] = 0
+    """The head's words by falling count, their classes, and totals of all counts."""
+
+    def __init__(self, words: np.ndarray, count: np.ndarray, total: int, distinct: int, soft: int = SOFT, classes: int = CLASSES):
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
+        self.count, self.total, self.distinct = count.astype(np.float64), total, distinct
+        n = len(words)
+        self.soft = min(soft, n)
+        own = self.count[: self.soft]
+        step = np.cumsum(np.sqrt(own))
+        classes = min(classes, max(self.soft, 1))
+        kind = np.minimum((step / max(step[-1], 1.0) * classes).astype(np.int64), classes - 1) if self.soft else np.zeros(0, np.int64)
+        kind = np.unique(kind, return_inverse=True)[1]
+        #: First word of each class (its words follow one another), and the end.
+        self.first = np.concatenate((np.searchsorted(kind, np.arange(kind.max(initial=-1) + 1)), [self.soft])).astype(np.int64)
+        self.classes = len(self.first) - 1
         #: The class of each head word, and as the last entry that of all others.
-        self.kind = np.append(kind, CLASSES - 1)
-        later = INPUTS + CLASSES + 1
-        self.input = np.append(np.where(np.arange(n) < INPUTS, np.arange(n), later - INPUTS + np.arange(n)), INPUTS + CLASSES - 1)
-        #: The full input row of each input number; numbers from ``later`` on have low-rank ones too.
-        self.later, self.input_row = later, np.append(np.arange(later), INPUTS + kind[INPUTS:])
-        members = np.bincount(kind, minlength=CLASSES)
-        small = (members <= SMALL_CLASS) & (members > 1)
-        small[CLASSES - 1] = False
-        self.members = [np.flatnonzero(kind == k) for k in range(CLASSES)]
-        self.small = [k for k in range(CLASSES) if small[k]]
-        #: Row in the softmax of small classes, or -1.
-        self.row = np.full(n + 1, -1)
-        for k in self.small:
-            self.row[self.members[k]] = np.arange(len(self.members[k]))
-        self.start = {k: int(s) for k, s in zip(self.small, np.cumsum([0, *(len(self.members[k]) for k in self.small)]))}
-        self.n_small = sum(len(self.members[k]) for k in self.small)
-        self.big = [k for k in range(CLASSES - 1) if members[k] > SMALL_CLASS]
-        #: Of each big class: words in a group, its first group and their number, its first word row.
-        self.wide, self.group_at, self.groups, self.word_at = {}, {}, {}, {}
-        self.group, self.word_row = np.full(n + 1, -1), np.full(n + 1, -1)
-        self.n_groups = self.n_rows = 0
-        for k in self.big:
-            m = len(self.members[k])
-            self.wide[k] = wide = int(np.ceil(np.sqrt(m)))
-            self.group_at[k], self.groups[k], self.word_at[k] = self.n_groups, -(-m // wide), self.n_rows
-            self.group[self.members[k]] = self.n_groups + np.arange(m) // wide
-            self.word_row[self.members[k]] = self.n_rows + np.arange(m)
-            self.n_groups += self.groups[k]
-            self.n_rows += self.groups[k] * wide
-        class_mass = np.bincount(kind, self.count + 0.5, CLASSES)
-        self.tail_mass = self.total - float(self.count.sum()) + 0.5 * (self.distinct - n + 1)
-        class_mass[CLASSES - 1] = self.tail_mass
-        self.class_mass = class_mass
-        #: log10 P(word | class) by counts; 0 for the rest, whose counts are joined later.
-        self.within = np.append(np.log10((self.count + 0.5) / np.maximum(class_mass[kind], 0.5)), 0.0)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(len(self.count))), np.int32, len(words))
+        self.kind = np.concatenate((kind, np.full(n - self.soft + 1, self.classes))).astype(np.int16)
+        #: Input numbers: one for each word of a softmax, one for all others, one for the start.
+        self.input = np.append(np.minimum(np.arange(n), self.soft), self.soft).astype(np.int32)
+        self.tail_mass = max(total - float(own.sum()) + 0.5 * (distinct - self.soft + 1), 0.5)
+        #: ln P(word | last class) of head words without a softmax; 0 for those whose counts are joined later.
+        self.within = np.zeros(n + 1)
+        self.within[self.soft : n] = np.log((self.count[self.soft :] + 0.5) / self.tail_mass)
+
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words by rank; the number of head words for all others."""
+        n = len(self.sorted)
+        if not n:
+            return np.zeros(len(words), np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, words), n - 1)
+        return np.where(self.sorted[at] == words, self.order[at], n).astype(np.int32)
 
 
 @dataclass
 class Params:
     """All weights, in single precision."""
 
-    x: np.ndarray  # input rows: update, reset and new gates side by side
-    u: np.ndarray
-    w: np.ndarray  # state to classes
-    b: np.ndarray
-    v: np.ndarray  # state to words of small classes
-    vb: np.ndarray
-    e: np.ndarray  # low-rank inputs of head words without a full row
-    q: np.ndarray  # those to gates
-    g: np.ndarray  # state to groups of big classes, the bias last
-    y: np.ndarray  # state to words of big classes, group by group, the bias last
+    e: np.ndarray  # input vectors
+    q: np.ndarray  # those to gates: update, reset and new side by side, the bias last
+    u: np.ndarray  # state to gates
+    w: np.ndarray  # state to classes, the bias last
+    y: np.ndarray  # state to the words of each class, the bias last
 
     @classmethod
     def fresh(cls, vocab: Vocabulary, seed: int = 7) -> Params:
         rng = np.random.default_rng(seed)
-        f = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
-        p = np.maximum(vocab.class_mass, 0.5)
-        words = np.concatenate([np.log(vocab.count[vocab.members[k]] + 0.5) for k in vocab.small] or [np.zeros(0)])
-        grouped = np.flatnonzero(vocab.group >= 0)
-        g, y = np.zeros((vocab.n_groups, WIDTH + 1), np.float32), np.zeros((vocab.n_rows, WIDTH + 1), np.float32)
-        g[:, WIDTH] = np.log(np.bincount(vocab.group[grouped], vocab.count[grouped] + 0.5, vocab.n_groups))
-        y[:, WIDTH] = NEVER
-        y[vocab.word_row[grouped], WIDTH] = np.log(vocab.count[grouped] + 0.5)
-        return cls(f(INPUTS + CLASSES + 1, 3 * WIDTH), f(WIDTH, 3 * WIDTH, scale=0.25), np.zeros((WIDTH, CLASSES), np.float32), np.log(p / p.sum()).astype(np.float32), np.zeros((vocab.n_small, WIDTH), np.float32), words.astype(np.float32), f(max(len(vocab.count) - INPUTS, 0), RANK), f(RANK, 3 * WIDTH, scale=0.25), g, y)
+        f = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
+        w, y = np.zeros((vocab.classes + 1, WIDTH + 1), np.float32), np.zeros((vocab.soft, WIDTH + 1), np.float32)
+        own = vocab.count[: vocab.soft] + 0.5
+        mass = np.append(np.add.reduceat(own, vocab.first[:-1]) if vocab.soft else [], vocab.tail_mass)
+        w[:, WIDTH] = np.log(mass / mass.sum())
+        y[:, WIDTH] = np.log(own / mass[vocab.kind[: vocab.soft]])
+        q = f(RANK + 1, 3 * WIDTH, scale=0.25)
+        q[RANK] = 0
+        return cls(f(vocab.soft + 2, RANK, scale=0.5), q, f(WIDTH, 3 * WIDTH, scale=0.25), w, y)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
@@ -168,32 +158,46 @@ class Params:
         return Params(*out)
 
 
+def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Exponentials of x in place; returns the sum of each row."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 class Network:
     """Forward and backward passes over windows of parallel streams (time first)."""
 
     def __init__(self, vocab: Vocabulary, params: Params):
         self.vocab, self.p = vocab, params
+        self.bound()
+
+    def bound(self) -> None:
+        """Whether no input of a softmax can be far from zero (states lie within -1 and 1)."""
+        far = lambda a: float((np.abs(a[:, :WIDTH]).sum(axis=1) + np.abs(a[:, WIDTH])).max(initial=0))
+        self.safe_w, self.safe_y = far(self.p.w) < SAFE, far(self.p.y) < SAFE
 
     def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
         """States after each step; fresh marks where a document begins (clean state)."""
         p, n = self.p, WIDTH
         out = np.empty((*inputs.shape, n), p.u.dtype)
         trail = []
-        gates = p.x[self.vocab.input_row[inputs]]
-        low = inputs >= self.vocab.later
-        gates[low] += p.e[inputs[low] - self.vocab.later] @ p.q
+        gates = p.e[inputs] @ p.q[:RANK]
+        gates += p.q[RANK]
         clean = fresh.any(axis=1)
         for t in range(len(inputs)):
             h0 = h * ~fresh[t][:, None] if clean[t] else h
             a = h0 @ p.u
-            zr = gates[t, :, : 2 * n] + a[:, : 2 * n]
+            g = gates[t]
+            zr = g[:, : 2 * n] + a[:, : 2 * n]
             zr *= 0.5  # the logistic function by way of tanh
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
             z, r = zr[:, :n], zr[:, n:]
             new = r * a[:, 2 * n :]
-            new += gates[t, :, 2 * n :]
+            new += g[:, 2 * n :]
             np.tanh(new, out=new)
             h = h0 - new
             h *= z
@@ -204,79 +208,46 @@ class Network:
         return out, trail
 
     def outputs(self, h: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict]:
-        """Natural log probability of each word (rows of h), and gradients of their sum."""
+        """Natural log probability of each word (rows of h) without joined counts, and gradients of their sum."""
         p, v = self.p, self.vocab
         kind = v.kind[words]
-        logit = h @ p.w + p.b
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
+        order = np.argsort(kind, kind="stable")
+        h1 = np.ones((len(words), WIDTH + 1), h.dtype)
+        h1[:, :WIDTH] = h[order]
+        words, kind = words[order], kind[order]
         at = np.arange(len(words))
-        logp = logit[at, kind] - np.log(total) + v.within[words] * np.log(10)
+        x = h1 @ p.w.T
+        total = _softmax(x, self.safe_w)
+        logp = np.log(x[at, kind] / total) + v.within[words]
         grads: dict = {}
         if learn:
-            d = -e / total[:, None]
-            d[at, kind] += 1
-            grads = {"w": h.T @ d, "b": d.sum(axis=0), "h": d @ p.w.T, "v": np.zeros_like(p.v), "vb": np.zeros_like(p.vb)}
-        for k in v.small:
-            rows = np.flatnonzero(kind == k)
-            if not len(rows):
+            x /= -total[:, None]
+            x[at, kind] += 1
+            grads = {"w": x.T @ h1, "y": []}
+            dh = x @ p.w[:, :WIDTH]
+        cuts = np.searchsorted(kind, np.arange(v.classes + 1)).tolist()
+        first = v.first.tolist()
+        for k in range(v.classes):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
                 continue
-            s = v.start[k]
-            own = slice(s, s + len(v.members[k]))
-            x = h[rows] @ p.v[own].T + p.vb[own]
-            x -= x.max(axis=1, keepdims=True)
-            ex = np.exp(x)
-            sums = ex.sum(axis=1)
-            mine = v.row[words[rows]]
-            logp[rows] += x[np.arange(len(rows)), mine] - np.log(sums) - v.within[words[rows]] * np.log(10)
+            own = slice(first[k], first[k + 1])
+            hk, yk = h1[a:b], p.y[own]
+            x = hk @ yk.T
+            total = _softmax(x, self.safe_y)
+            mine = (at[: b - a], words[a:b] - first[k])
+            logp[a:b] += np.log(x[mine] / total)
             if learn:
-                d = -ex / sums[:, None]
-                d[np.arange(len(rows)), mine] += 1
-                grads["v"][own] = d.T @ h[rows]
-                grads["vb"][own] = d.sum(axis=0)
-                grads["h"][rows] += d @ p.v[own]
+                x /= -total[:, None]
+                x[mine] += 1
+                grads["y"].append((own, x.T @ hk))
+                dh[a:b] += x @ yk[:, :WIDTH]
+        out = np.empty(len(words))
+        out[order] = logp
         if learn:
-            grads |= {"g": np.zeros_like(p.g), "y": []}
-        for k in v.big:
-            rows = np.flatnonzero(kind == k)
-            if len(rows):
-                rows = rows[np.argsort(v.group[words[rows]], kind="stable")]
-                logp[rows] += self._grouped(k, h[rows], words[rows], rows, grads) - v.within[words[rows]] * np.log(10)
-        return logp, grads
-
-    def _grouped(self, k: int, h: np.ndarray, words: np.ndarray, rows: np.ndarray, grads: dict) -> np.ndarray:
-        """Natural log probability of words of big class k, sorted by group; gradients are added if there are any."""
-        p, v = self.p, self.vocab
-        wide, at = v.wide[k], np.arange(len(words))
-        own = slice(v.group_at[k], v.group_at[k] + v.groups[k])
-        h1 = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
-        group = v.group[words] - own.start
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)]
-        starts = (v.word_at[k] + group[cuts[:-1]] * wide).tolist()
-        inner = np.empty((len(words), wide), h.dtype)
-        for a, b, s in zip(cuts, cuts[1:], starts):
-            np.matmul(h1[a:b], p.y[s : s + wide].T, out=inner[a:b])
-        logp = np.zeros(len(words))
-        for x, mine in ((h1 @ p.g[own].T, group), (inner, v.word_row[words] - v.word_at[k] - group * wide)):
-            x -= x.max(axis=1, keepdims=True)
-            logp += x[at, mine]
-            np.exp(x, out=x)
-            sums = x.sum(axis=1)
-            logp -= np.log(sums)
-            if grads:
-                x /= -sums[:, None]
-                x[at, mine] += 1
-                if x is not inner:
-                    grads["g"][own] = x.T @ h1
-                    dh = x @ p.g[own, :WIDTH]
-        if grads:
-            for a, b, s in zip(cuts, cuts[1:], starts):
-                d = inner[a:b]
-                grads["y"].append((slice(s, s + wide), d.T @ h1[a:b]))
-                dh[a:b] += d @ p.y[s : s + wide, :WIDTH]
-            grads["h"][rows] += dh
-        return logp
+            grads["h"] = np.empty_like(dh)
+            grads["h"][order] = dh
+        return out, grads
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, trail: list, d_out: np.ndarray) -> dict:
         """Gradients through the window (truncated at its start)."""
@@ -285,6 +256,7 @@ class Network:
         dx = np.empty((*inputs.shape, 3 * n), p.u.dtype)
         dh = np.zeros_like(d_out[0])
         clean = fresh.any(axis=1)
+        back = p.u.T.copy()
         for t in range(len(inputs) - 1, -1, -1):
             h0, z, r, a, new = trail[t]
             dh = dh + d_out[t]
@@ -298,81 +270,78 @@ class Network:
             da[:, 2 * n :] *= r
             du += h0.T @ da
             dh *= z
-            dh += da @ p.u.T
+            dh += da @ back
             if clean[t]:
                 dh *= ~fresh[t][:, None]
         dx = dx.reshape(-1, 3 * n)
         flat = inputs.ravel()
-        low = np.flatnonzero(flat >= self.vocab.later)
-        late = flat[low] - self.vocab.later
-        own_rows, de = _summed(late, dx[low] @ p.q.T)
-        rows, full = _summed(self.vocab.input_row[flat], dx)
-        return {"u": du, "rows": rows, "x": full, "e_rows": own_rows, "e": de, "q": p.e[late].T @ dx[low]}
+        dq = np.empty_like(p.q)
+        dq[:RANK] = p.e[flat].T @ dx
+        dq[RANK] = dx.sum(axis=0)
+        rows, de = _summed(flat, dx @ p.q[:RANK].T)
+        return {"u": du, "q": dq, "rows": rows, "e": de}
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their rows."""
-    if not len(keys):
-        return keys, values
     order = np.argsort(keys, kind="stable")
-    rows, first = np.unique(keys[order], return_index=True)
-    return rows, np.add.reduceat(values[order], first, axis=0)
-
-
-def streams(sizes: np.ndarray, most: int = STREAMS) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Deal documents (by tokens) over parallel streams, longest first, each to the shortest stream.
-
-    Returns each document's stream and first step, the steps and the streams.
-    """
-    total = int(sizes.sum())
-    n = int(max(1, min(most, len(sizes), total // max(int(sizes.max(initial=1)), 32))))
-    heap = [(0, s) for s in range(n)]
-    stream, step = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for d in np.argsort(-sizes, kind="stable").tolist():
-        load, s = heapq.heappop(heap)
-        stream[d], step[d] = s, load
-        heapq.heappush(heap, (load + int(sizes[d]), s))
-    return stream, step, max(load for load, _ in heap), n
+    own = keys[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[first], np.add.reduceat(values[order], first, axis=0) if len(own) else values
 
 
 class Dealt:
-    """Documents' words laid out over streams: what is read, what is predicted, and where documents begin."""
-
-    def __init__(self, vocab: Vocabulary, ids: np.ndarray, sizes: np.ndarray):
-        stream, step, self.steps, self.n = streams(sizes)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+    """Documents laid over parallel streams, longest first, each to the shortest stream; the longest streams come first."""
+
+    def __init__(self, vocab: Vocabulary, ids: np.ndarray, sizes: np.ndarray, least_steps: int = 1):
+        least, most = STREAMS
+        self.tokens = min(STEP_TOKENS, len(ids) // least_steps)
+        most = min(most, self.tokens // WINDOW)
+        n = int(max(1, min(most, len(sizes), max(least, len(ids) // max(int(sizes.max(initial=1)), 1)))))
+        heap = [(0, s) for s in range(n)]
+        stream = np.zeros(len(sizes), np.int64)
+        for d in np.argsort(-sizes, kind="stable").tolist():
+            load, s = heapq.heappop(heap)
+            stream[d] = s
+            heapq.heappush(heap, (load + int(sizes[d]), s))
+        load = np.bincount(stream, sizes, n).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-load, kind="stable")] = np.arange(n)
+        order = np.lexsort((np.arange(len(sizes)), rank[stream]))
+        self.load = np.sort(load)[::-1]
+        self.at = np.cumsum(self.load) - self.load
         first = np.cumsum(sizes) - sizes
-        at = (step[doc] + np.arange(len(ids)) - first[doc]) * self.n + stream[doc]
-        size = self.steps * self.n
-        self.word = np.full(size, len(vocab.count), np.int32)
-        self.used = np.zeros(size, bool)
-        self.doc = np.zeros(size, np.int32)
-        self.fresh = np.zeros(size, bool)
-        self.input = np.full(size, INPUTS + CLASSES, np.int32)
-        self.word[at], self.used[at], self.doc[at] = ids, True, doc
-        self.fresh[at[first]] = True
-        later = np.ones(len(ids), bool)
-        later[first] = False
-        self.input[at[later]] = vocab.input[ids[np.flatnonzero(later) - 1]]
-        for name in ("word", "used", "doc", "fresh", "input"):
-            setattr(self, name, getattr(self, name).reshape(self.steps, self.n))
-
-    def windows(self, width: int) -> Iterator[slice]:
-        for t in range(0, self.steps, width):
-            yield slice(t, min(t + width, self.steps))
+        own = sizes[order]
+        self.begin = np.cumsum(own) - own
+        self.word = ids[np.repeat(first[order] - self.begin, own) + np.arange(len(ids))]
+        self.doc = np.repeat(order, own).astype(np.int32)
+        self.fresh = np.zeros(len(ids), bool)
+        self.fresh[self.begin] = True
+        self.input = np.append([vocab.soft + 1], vocab.input[self.word[:-1]]).astype(np.int32)
+        self.input[self.begin] = vocab.soft + 1
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of the flat arrays, which of them belong to a document), by time and stream, until all streams end."""
+        t, steps = 0, int(self.load.max(initial=0))
+        while t < steps:
+            active = int(np.searchsorted(-self.load, -t))
+            span = np.arange(t, min(t + max(WINDOW, self.tokens // active), int(self.load[0])))
+            used = span[:, None] < self.load[:active]
+            yield np.where(used, self.at[:active] + span[:, None], 0), used
+            t += len(span)
 
 
 def score_batch(net: Network, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each document, without the counts of words outside the head."""
+    """Natural log probability of each document, without joined counts."""
     dealt = Dealt(net.vocab, ids, sizes)
     out = np.zeros(len(sizes))
-    h = np.zeros((dealt.n, WIDTH), np.float32)
-    for w in dealt.windows(max(WINDOW, 8192 // dealt.n)):
-        states, _ = net.states(dealt.input[w], dealt.fresh[w], h, learn=False)
+    h = np.zeros((len(dealt.load), WIDTH), np.float32)
+    for at, used in dealt.windows():
+        states, _ = net.states(dealt.input[at], dealt.fresh[at] & used, h[: at.shape[1]], learn=False)
         h = states[-1]
-        used = dealt.used[w]
-        logp, _ = net.outputs(states[used], dealt.word[w][used], learn=False)
-        out += np.bincount(dealt.doc[w][used], logp, len(sizes))
+        own = at[used]
+        logp, _ = net.outputs(states[used], dealt.word[own], learn=False)
+        out += np.bincount(dealt.doc[own], logp, len(sizes))
     return out
 
 
@@ -383,57 +352,80 @@ class Trainer:
         self.net = net
         self.past = {f.name: np.full_like(getattr(net.p, f.name), 1e-2) for f in fields(net.p)}
 
-    def _move(self, name: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+    def _move(self, name: str, g: np.ndarray, scale: np.float32, rows: np.ndarray | slice = slice(None)) -> None:
+        g *= scale
         past = self.past[name]
-        past[rows] += g * g
-        getattr(self.net.p, name)[rows] += RATE * g / np.sqrt(past[rows])
+        own = past[rows]
+        own += g * g
+        if not isinstance(rows, slice):
+            past[rows] = own
+        g /= np.sqrt(own)
+        g *= np.float32(RATE)
+        getattr(self.net.p, name)[rows] += g
 
     def batch(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        dealt = Dealt(self.net.vocab, ids, sizes)
-        h = np.zeros((dealt.n, WIDTH), np.float32)
-        # few streams take longer windows, so that a step has about as many tokens
-        for w in dealt.windows(max(WINDOW, STEP_TOKENS // dealt.n)):
-            states, trail = self.net.states(dealt.input[w], dealt.fresh[w], h)
-            h = states[-1]
-            used = dealt.used[w]
-            n = max(int(used.sum()), 1)
-            _, g = self.net.outputs(states[used], dealt.word[w][used], learn=True)
+        dealt = Dealt(self.net.vocab, ids, sizes, LEAST_STEPS)
+        h = np.zeros((len(dealt.load), WIDTH), np.float32)
+        for at, used in dealt.windows():
+            inputs, fresh = dealt.input[at], dealt.fresh[at] & used
+            states, trail = self.net.states(inputs, fresh, h[: at.shape[1]])
+            h = states[-1].copy()
+            _, g = self.net.outputs(states[used], dealt.word[at[used]], learn=True)
             d_out = np.zeros_like(states)
             d_out[used] = g["h"]
-            back = self.net.backward(dealt.input[w], dealt.fresh[w], trail, d_out)
-            scale = np.float32(1 / np.sqrt(n))
-            for name in ("w", "b", "v", "vb", "g"):
-                self._move(name, (g[name] * scale).astype(np.float32))
-            self._move("u", back["u"] * scale)
-            self._move("q", back["q"] * scale)
-            self._move("x", back["x"] * scale, back["rows"])
-            self._move("e", back["e"] * scale, back["e_rows"])
+            back = self.net.backward(inputs, fresh, trail, d_out)
+            scale = np.float32(1 / np.sqrt(max(len(g["h"]), 1)))
+            self._move("w", g["w"], scale)
+            self._move("u", back["u"], scale)
+            self._move("q", back["q"], scale)
+            self._move("e", back["e"], scale, back["rows"])
             for own, d in g["y"]:
-                self._move("y", d * scale, own)
+                self._move("y", d, scale, own)
+            self.net.bound()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all of docs (the end token once a document)."""
+def _raw(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices of a batch: first row, end, texts."""
+    texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
+    for a, b in slices([len(t) for t in texts], SLICE_BYTES):
+        yield a, b, texts[a:b]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(memory.keys(), pa.binary()), pa.array(memory.values(), pa.int64())], names=["word", "c"])
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, c) over all of docs (the end token once a document), added up in each task before anything is shuffled."""
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                memory.update(tokens((text or "").encode()))
-                if len(memory) > MEMORY_WORDS:
-                    yield out()
-                    memory = Counter()
-        if memory:
-            yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, held = [], [], 0
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate(words)
+            order = np.argsort(every)
+            own = every[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            return own[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
+        def out(own: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(c)], names=["word", "c"])
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+        for batch in batches:
+            for _, _, texts in _raw(batch, 0):
+                own, c = np.unique(tokens(texts)[0], return_counts=True)
+                words.append(own)
+                counts.append(c.astype(np.int64))
+                held += len(own)
+                if held > 2 * MEMORY_WORDS:
+                    own, c = merged()
+                    words, counts, held = [own], [c], len(own)
+                    if held > MEMORY_WORDS:
+                        yield out(own, c)
+                        words, counts, held = [], [], 0
+        if words:
+            yield out(*merged())
+
+    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame, head: int = HEAD, soft: int = SOFT, classes: int = CLASSES) -> Vocabulary:
     """The head: all words at or above the least count that at most ``head`` words reach."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     level = F.floor(F.log2("c") * 32).cast("int").alias("level")
@@ -443,9 +435,58 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         if kept + n > head:
             break
         kept, least = kept + n, at
-    rows = counts.where(level >= least).collect() if least is not None else []
-    rows.sort(key=lambda r: (-r.c, bytes(r.word)))
-    return Vocabulary({bytes(r.word): i for i, r in enumerate(rows)}, np.array([r.c for r in rows], np.float64), int(sums.n or 0), int(sums.v))
+    rows = counts.where(level >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    words, c = rows.column("word").to_numpy().astype(np.int64).view(np.uint64), rows.column("c").to_numpy()
+    order = np.lexsort((words, -c))
+    return Vocabulary(words[order], c[order], int(sums.n or 0), int(sums.v), soft, classes)
+
+
+NUMBERED = "rid long, doc_id long, ids binary, n_tokens long, base double, n_tail long, word long, k int, kind int"
+
+
+def numbered(docs: DataFrame, vocab: Vocabulary, rounds: int) -> DataFrame:
+    """Documents as numbers of words, with kind their round (``rounds`` where held out), and with kind -1 their words outside the head."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    norm = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
+    names = ["rid", "doc_id", "ids", "n_tokens", "base", "n_tail", "word", "k", "kind"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 33
+        vocab = shared.value
+        other = len(vocab.count)
+        base = np.append(np.log10(vocab.count + 0.5), 0.0) - norm
+        for batch in batches:
+            kinds = batch.column(2)
+            for a, b, texts in _raw(batch, 1):
+                m = b - a
+                words, sizes = tokens(texts)
+                every, back = np.unique(words, return_inverse=True)
+                ids = vocab.ids(every)[back]
+                doc = np.repeat(np.arange(m), sizes)
+                tail = np.flatnonzero(ids == other)
+                raw, at = ids.tobytes(), np.concatenate(([0], np.cumsum(sizes))) * 4
+                rids = rid + np.arange(m)
+                rid += m
+                none = lambda kind: pa.nulls(m, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids), batch.column(0).slice(a, m), pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()), pa.array(sizes), pa.array(np.bincount(doc, base[ids], m)), pa.array(np.bincount(doc[tail], minlength=m)), none(pa.int64()), none(pa.int32()), kinds.slice(a, m)],
+                    names=names,
+                )
+                if len(tail):
+                    order = np.lexsort((words[tail], doc[tail]))
+                    d, w = doc[tail][order], words[tail][order]
+                    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]))))
+                    k = np.diff(np.append(first, len(d)))
+                    none = lambda kind: pa.nulls(len(first), kind)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rids[d[first]]), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.float64()), none(pa.int64()), pa.array(w[first].view(np.int64)), pa.array(k.astype(np.int32)), pa.array(np.full(len(first), -1, np.int32))],
+                        names=names,
+                    )
+
+    kind = F.when(held_out(), F.lit(rounds)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds))).cast("int")
+    return docs.select("doc_id", "text", kind.alias("kind")).mapInArrow(run, NUMBERED)
 
 
 def averaged(rows: DataFrame) -> DataFrame:
@@ -467,41 +508,39 @@ def averaged(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, tails: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[Counter]]]:
-    """Keys, word numbers and sizes of slices of documents; tails: with each document's words outside the head."""
-    other = len(vocab.count)
-    for batch in batches:
-        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for a, b in slices([len(t) for t in raw], SLICE_BYTES):
-            parts, rest = [], []
-            for t in raw[a:b]:
-                words = tokens(t)
-                ids = vocab.ids(words)
-                parts.append(ids)
-                if tails:
-                    rest.append(Counter([words[i] for i in np.flatnonzero(ids == other).tolist()]))
-            yield batch.column(0).slice(a, b - a), np.concatenate(parts), np.fromiter(map(len, parts), np.int64, b - a), rest
-
-
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Params:
-    """Weights after the rounds over all of docs."""
+    """Weights after the rounds over all of docs (as ``numbered`` gives them)."""
     sc = docs.sparkSession.sparkContext
     params = Params.fresh(vocab)
     shared_vocab = sc.broadcast(vocab)
+    replicas = max(1, -(-vocab.total // REPLICA_TOKENS))
+    replica = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(replicas)).alias("replica")
     for i in range(rounds):
         shared = sc.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocab, start = shared_vocab.value, shared.value
-            trainer = Trainer(Network(vocab, start.like(start.flat())))
-            n = 0
-            for _, ids, sizes, _ in _numbered(batches, vocab):
-                trainer.batch(ids, sizes)
-                n += len(ids)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.net.p.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds)) == i).select("doc_id", "text")
+            own, parts = None, []
+
+            def trained() -> pa.RecordBatch:
+                ids = [np.frombuffer(x, np.int32) for x in parts]
+                trainer = Trainer(Network(vocab, start.like(start.flat())))
+                trainer.batch(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+                n = sum(map(len, ids))
+                return pa.RecordBatch.from_arrays([pa.array([trainer.net.p.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+
+            for batch in batches:
+                for at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if at != own:
+                        if parts:
+                            yield trained()
+                        own, parts = at, []
+                    parts.append(ids)
+            if parts:
+                yield trained()
+
+        part = docs.where(F.col("kind") == i).select(replica, "ids", "doc_id", F.xxhash64("ids").alias("h"))
+        part = part.repartition(replicas, "replica").sortWithinPartitions("replica", "doc_id", "h").select("replica", "ids")
         rows = averaged(part.mapInArrow(run, "weights binary, n long")).collect()
         n = sum(r.n for r in rows)
         if n:
@@ -510,65 +549,55 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Params:
     return params
 
 
-SCORED = "rid long, doc_id long, word binary, k int, n_tokens long, n_head long, base double, score double, n_tail long"
-
-
 def score_documents(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, params: Params) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document (as ``numbered`` gives them)."""
     sc = docs.sparkSession.sparkContext
     shared_vocab, shared = sc.broadcast(vocab), sc.broadcast(params)
-    norm = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        net = Network(shared_vocab.value, shared.value)
+        rows: list[pa.RecordBatch] = []
+        total = 0
 
-        rid = TaskContext.get().partitionId() << 33
-        vocab = shared_vocab.value
-        net = Network(vocab, shared.value)
-        base = np.append(np.log10(vocab.count + 0.5) - norm, 0.0)
-        other = len(vocab.count)
-        for keys, ids, sizes, rest in _numbered(batches, vocab, tails=True):
-            m = len(sizes)
-            score = score_batch(net, ids, sizes) / np.log(10)
-            doc = np.repeat(np.arange(m), sizes)
-            n_tail = np.bincount(doc[ids == other], minlength=m)
-            none = lambda kind: pa.nulls(m, kind)
-            rids = rid + np.arange(m)
-            rid += m
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rids), keys.cast(pa.int64()), none(pa.binary()), none(pa.int32()), pa.array(sizes), pa.array(sizes - n_tail), pa.array(np.bincount(doc, base[ids], m)), pa.array(score), pa.array(n_tail)],
-                names=["rid", "doc_id", "word", "k", "n_tokens", "n_head", "base", "score", "n_tail"],
-            )
-            n = sum(map(len, rest))
-            if n:
-                none = lambda kind: pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(rids, [len(x) for x in rest])), none(pa.int64()), pa.array([w for x in rest for w in x], pa.binary()), pa.array([k for x in rest for k in x.values()], pa.int32()), *(none(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
-                    names=["rid", "doc_id", "word", "k", "n_tokens", "n_head", "base", "score", "n_tail"],
-                )
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            ids = [np.frombuffer(x, np.int32) for x in table.column("ids").to_pylist()]
+            logp = score_batch(net, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in table.column_names if c != "ids"), pa.array(logp / np.log(10))], names=[*(c for c in table.column_names if c != "ids"), "score"])
 
-    rows = stored(docs.select("doc_id", "text").mapInArrow(run, SCORED), "scored")
-    tail = rows.where("word IS NOT NULL").select("rid", "word", "k").join(counts, "word", "left")
+        for batch in batches:
+            rows.append(batch)
+            total += batch.column(0).nbytes // 4
+            if total > SCORE_TOKENS:
+                yield done()
+                rows, total = [], 0
+        if rows and sum(map(len, rows)):
+            yield done()
+
+    own = docs.where("kind >= 0").select("ids", "rid", "doc_id", "n_tokens", "base", "n_tail")
+    rows = own.mapInArrow(run, "rid long, doc_id long, n_tokens long, base double, n_tail long, score double")
+    tail = docs.where("kind = -1").select("rid", "word", "k").join(counts.hint("shuffle_merge"), "word", "left")
     logs = tail.groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
-    out = rows.where("word IS NULL").drop("word", "k").join(logs, "rid", "left")
+    out = rows.join(logs.hint("shuffle_merge"), "rid", "left")
     more = F.coalesce("logs", F.lit(0.0))
-    tail_norm = float(np.log10(max(vocab.tail_mass, 0.5)))
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_tokens") - F.col("n_tail") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tail") * norm).alias("base_score"),
-        (F.col("score") + more - F.col("n_tail") * tail_norm).alias("score"),
+        (F.col("base") + more).alias("base_score"),
+        (F.col("score") + more - F.col("n_tail") * float(np.log10(vocab.tail_mass))).alias("score"),
     )
 
 
-def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, soft: int = SOFT, classes: int = CLASSES) -> DataFrame:
     """Learn from the documents that are not held out, score all."""
-    learn = docs.where(~held_out())
-    counts = stored(count_words(learn), "counts")
+    counts = stored(count_words(docs.where(~held_out())), "counts")
     release(docs.sparkSession)
-    vocab = vocabulary(counts, head)
-    params = train(learn, vocab, rounds)
+    vocab = vocabulary(counts, head, soft, classes)
+    rows = stored(numbered(docs, vocab, rounds), "numbered", by="kind")
+    params = train(rows, vocab, rounds)
+    out = stored(score_documents(rows, counts, vocab, params), "scored")
+    discard(counts, rows)
     release(docs.sparkSession)
-    return score_documents(docs, counts, vocab, params)
+    return out
