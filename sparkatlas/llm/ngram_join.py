@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.common import release, stored
+from sparkatlas.llm.common import discard, release, stored, unused
 from sparkatlas.llm.components import components
 from sparkatlas.llm.textcore import mix, slices
 
@@ -50,6 +50,8 @@ SMALL = 24
 BLOCK = 1500
 #: Sets of a group whose codes are compared in one task.
 CODE_BLOCK = 8000
+#: Sets that a task remembers so as not to index copies twice.
+SEEN = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -159,7 +161,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th, n_shingles, the fingerprint (a, b) and the segment codes of each document's set."""
+    """doc_id, th, n_shingles, the set's print of 64 bits (a) and of 128 (sid), and the segment codes of each document's set."""
     kind = pa.list_(pa.struct([("band", pa.int32()), ("codes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +171,13 @@ def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
                 grams, start = shingles(texts[x:y], size)
                 a, b = _prints(grams, start)
                 own = [codes(grams[i:j], percent) for i, j in zip(start[:-1], start[1:])]
+                sid = np.stack((a, b), 1).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), pa.array(np.diff(start)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(own, kind)],
-                    names=["doc_id", "th", "n_shingles", "a", "b", "bands"],
+                    [batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), pa.array(np.diff(start)), pa.array(a.view(np.int64)), pa.array([sid[16 * i : 16 * i + 16] for i in range(y - x)], pa.binary()), pa.array(own, kind)],
+                    names=["doc_id", "th", "n_shingles", "a", "sid", "bands"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, a long, b long, bands array<struct<band:int,codes:binary>>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, a long, sid binary, bands array<struct<band:int,codes:binary>>")
 
 
 def ties(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -190,6 +193,8 @@ def ties(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
                 made, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
                 for i, one in enumerate(ids.tolist()):
                     if one not in seen and start[i + 1] > start[i]:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(one)
                         own = entries(grams[start[i] : start[i + 1]], percent)
                         made.append(own)
@@ -278,11 +283,11 @@ def alike(matrix: np.ndarray, least: int, left: int | None = None) -> list[tuple
     return out.links
 
 
-def _placed(member: DataFrame, keys: list[str], block: int, carried: list[str]) -> DataFrame:
-    """Rows of member for each pair of blocks (low, high) of their group that own, their block, is in; a group of one block has one pair."""
+def _placed(member: DataFrame, keys: list[str], block: int, name: str, carried: list[str]) -> DataFrame:
+    """Rows of member for each pair of blocks (low, high) of their group that own, their block (by name), is in; a group of one block has one pair."""
     count = member.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    placed = member.join(count, keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
+    placed = member.join(count.hint("shuffle_merge"), keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64(name), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *carried)
 
@@ -292,8 +297,8 @@ def tightened(member: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     tops = bands(percent)
     star = tied.where("NOT small").select(F.col("x").alias("grp"), F.col("y").alias("a"))
     star = star.unionByName(star.select("grp", F.col("grp").alias("a")).distinct())
-    rows = member.join(star, "a").select("grp", "a", "b", F.explode("bands").alias("x")).select("grp", "a", "b", "x.band", "x.codes")
-    placed = _placed(rows, ["grp", "band"], CODE_BLOCK, ["a", "codes"])
+    rows = member.join(star, "a").select("grp", "a", F.explode("bands").alias("x")).select("grp", "a", "x.band", "x.codes")
+    placed = _placed(rows, ["grp", "band"], CODE_BLOCK, "codes", ["a", "codes"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, found in _by_group(batches, 4):
@@ -324,43 +329,105 @@ def _by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[
         yield key, rows
 
 
-def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(x, y): links between representatives of distinct sets that span every component."""
-    first = F.min(F.struct("doc_id", "th", "bands")).alias("first")
-    member = stored(table.where("n_shingles > 0").join(tied.select(F.col("x").alias("a")).unionByName(tied.select(F.col("y").alias("a"))).distinct(), "a").groupBy("a", "b").agg(first).select("a", "b", "first.*"), "members")
-    tight = tightened(member, tied, percent)
-    tight = stored(tight.unionByName(tied.where("small").select("x", "y")).distinct(), "tight")
-    member = member.join(components(tight).select(F.col("node").alias("a"), F.col("component").alias("grp")), "a").select("grp", "a", "b", "doc_id", "th")
-    placed = _placed(member, ["grp"], BLOCK, ["a", "doc_id", "th"])
-    routes = placed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("grp", "a", "own", "low", "high")).alias("routes"))
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    texts = d.join(routes, d.doc_id.eqNullSafe(routes.doc_id) & (d.th == routes.th)).select("text", F.explode("routes").alias("r"))
-    texts = texts.select("r.grp", "r.low", "r.high", "r.own", "r.a", "text")
+def _shingled(texts: DataFrame, size: int) -> DataFrame:
+    """(grp, sid, grams) of rows (grp, sid, text): the sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = _texts(batch, 2)
+            for x, y in slices([len(t) for t in raw], SLICE_BYTES):
+                grams, start = shingles(raw[x:y], size)
+                blobs = [grams[i:j].tobytes() for i, j in zip(start[:-1].tolist(), start[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), pa.array(blobs, pa.binary())], names=["grp", "sid", "grams"])
+
+    return texts.select("grp", "sid", "text").mapInArrow(run, "grp long, sid binary, grams binary")
+
+
+def _verify(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(x, y): links between sets with equal keys that span the components.
+
+    rows: keys, side, sid, grams; only sets of different sides (0 and 1) are
+    compared, or all where side is null.
+    """
+    n = len(keys)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                names = sorted(rows, key=lambda a: (rows[a][0] != key[1], a))
-                left = sum(rows[a][0] == key[1] for a in names) if key[1] != key[2] else None
-                found = verified([rows[a][1] for a in names], percent, left)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], names=["x", "y"])
+            order = sorted(held, key=lambda k: (k[0] or 0, k[1]))
+            left = sum(k[0] == 0 for k in order) if any(k[0] is not None for k in order) else None
+            if len(order) > 1 and left not in (0, len(order)):
+                found = verified([held[k] for k in order], percent, left)
+                yield pa.RecordBatch.from_arrays([pa.array([order[i][1] for i, _ in found], pa.binary()), pa.array([order[j][1] for _, j in found], pa.binary())], names=["x", "y"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            raw = _texts(batch, 5)
-            for x, y in slices([len(t) for t in raw], SLICE_BYTES):
-                grams, start = shingles(raw[x:y], size)
-                for i in range(x, y):
-                    now = (cols[0][i], cols[1][i], cols[2][i])
-                    if now != key:
-                        yield from done()
-                        key, rows = now, {}
-                    rows[cols[4][i]] = (cols[3][i], grams[start[i - x] : start[i - x + 1]].copy())
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:n] != key:
+                    yield from done()
+                    key, held = r[:n], {}
+                held[r[n], r[n + 1]] = np.frombuffer(r[n + 2], np.uint64)
         yield from done()
 
-    return texts.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(verify, "x long, y long")
+    return rows.select(*keys, "side", "sid", "grams").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x binary, y binary")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with comp, the component of their sid under the links found."""
+    comp = components(found).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    return rows.join(comp.hint("shuffle_merge"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+
+
+def large_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that span the components of groups (grp, sid, grams) of more than a block."""
+    whole = F.lit(None).cast("int").alias("side")
+    count = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = stored(rows.join(count.hint("shuffle_merge"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "large")
+    inner = stored(_verify(rows.select("*", whole), ["grp", "block"], percent), "inner")
+    # one set of each component of a block speaks for it
+    own = _labelled(rows.select("grp", "block", "blocks", "sid"), inner)
+    heads = own.groupBy("grp", "block", "comp").agg(F.min("sid").alias("sid")).select("grp", "sid")
+    heads = rows.select("grp", "sid", "grams").join(heads, ["grp", "sid"])
+    pairs = _placed(heads, ["grp"], BLOCK, "sid", ["sid", "grams"])
+    side = F.when(F.col("low") != F.col("high"), (F.col("own") == F.col("high")).cast("int")).alias("side")
+    found = stored(inner.unionByName(_verify(pairs.select("*", side), ["grp", "low", "high"], percent)), "joined")
+    # sets outside the group's largest component meet all others
+    own = stored(_labelled(rows.select("grp", "blocks", "sid"), found), "labelled")
+    sizes = own.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    top = top.where("all > top.n").select("grp", F.col("top.comp").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minors"))
+    left = own.join(top.hint("shuffle_merge"), "grp").where("comp <> most").select("grp", "sid", F.pmod(F.xxhash64("sid"), F.col("minors")).cast("int").alias("low"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("high"))
+    left = rows.select("grp", "sid", "grams").join(left, ["grp", "sid"]).withColumn("high", F.explode("high")).withColumn("side", F.lit(0))
+    right = rows.join(top.hint("shuffle_merge"), "grp").select("grp", "sid", "grams", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
+    both = left.unionByName(right)
+    out = stored(found.unionByName(_verify(both, ["grp", "low", "high"], percent)), "large-links")
+    discard(rows, inner, found, own)
+    return out
+
+
+def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(x, y): links between distinct sets (by sid) that span every component."""
+    distinct = table.where("n_shingles > 0").groupBy("a", "sid").agg(F.min(F.struct("doc_id", "th", "bands")).alias("first")).select("a", "sid", "first.*")
+    ends = tied.select(F.col("x").alias("a")).unionByName(tied.select(F.col("y").alias("a"))).distinct()
+    member = stored(distinct.join(ends.hint("shuffle_merge"), "a"), "members")
+    tight = stored(tightened(member, tied, percent).unionByName(tied.where("small").select("x", "y")).distinct(), "tight")
+    release(docs.sparkSession)
+    group = components(tight).select(F.col("node").alias("a"), F.col("component").alias("grp"))
+    member2 = member.join(group.hint("shuffle_merge"), "a").select("grp", "sid", "doc_id", "th")
+    count = member2.groupBy("grp").agg(F.count("*").alias("n"))
+    member2 = stored(member2.join(count.hint("shuffle_merge"), "grp").where("n > 1").withColumn("large", F.col("n") > BLOCK).drop("n"), "grouped")
+    discard(member, tight)
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    m = member2.hint("shuffle_merge")
+    texts = d.join(m, d.doc_id.eqNullSafe(m.doc_id) & (d.th == m.th)).select("grp", "sid", "text", "large")
+    rows = _shingled(texts.where("NOT large"), size).withColumn("side", F.lit(None).cast("int"))
+    out = _verify(rows, ["grp"], percent)
+    if member2.where("large").limit(1).count():
+        big = stored(_shingled(texts.where("large"), size).dropDuplicates(["grp", "sid"]), "big")
+        out = out.unionByName(large_links(big, percent))
+    out = stored(out, "links")
+    discard(member2)
+    return out
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -369,19 +436,29 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     table = stored(sets(docs, size, percent), "sets")
     tied = stored(ties(docs, size, percent), "ties")
     release(spark)
-    found = stored(links(docs, table, tied, size, percent), "links")
+    found = links(docs, table, tied, size, percent)
+    discard(tied)
     release(spark)
-    groups = components(found).select(F.col("node").alias("a"), "component")
-    named = table.join(groups, "a", "left").withColumn("set_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "a")))
-    least = named.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "set_id", "left")
-    return out.select("doc_id", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    groups = components(found).select(F.col("node").alias("sid"), "component")
+    own = table.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("own"))
+    named = own.join(groups.hint("shuffle_merge"), "sid", "left")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("least"))
+    # written, so that the join with the documents can split a set that a third of them have
+    named = stored(named.join(least.hint("shuffle_merge"), "component", "left").select("sid", F.coalesce("least", "own").alias("least")), "named")
+    slim = table.select("doc_id", "th", "n_shingles", "sid")
+    out = slim.join(named.hint("shuffle_merge"), "sid", "left")
+    out = stored(out.select("doc_id", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "judged")
+    discard(table, found, named)
+    release(spark)
+    return out
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without documents whose component has one with a smaller doc_id; of rows that repeat id and text one stays."""
-    judged = stored(join(docs, size, percent), "judged")
-    keep = judged.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    judged = join(docs, size, percent)
+    name = unused(docs, "kept_doc_id")
+    keep = judged.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct()
     if judged.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    keep = keep.hint("shuffle_merge")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[name]), "left_semi")
