@@ -4,20 +4,25 @@ Encoding runs in batched merge rounds. The symbols of all words of a batch that
 were not met before lie in one flat array; each round looks up every adjacent
 pair by binary search over the sorted pair keys, finds the lowest rank of each
 word, and merges all places of that pair at once. Words are encoded once per
-task while a bounded memory of them lasts.
+task while a bounded memory of them lasts. A word of more than ``LONG`` bytes
+would need thousands of rounds over all of its symbols; its pairs wait in a heap
+by rank and place instead, which merges in the same order.
 
 The vocabulary file is a parameter; it is shipped with SparkContext.addFile and
 never copied into the repository. Its size (a few MB) is fixed by the
 vocabulary and checked before it is sent.
 
 Defined cases: a null text encodes as an empty one; strings of special tokens
-in a text become those tokens; repeated rows are encoded each; an empty table
-gives an empty result; columns other than the two read are ignored.
+in a text become those tokens; pairs of equal rank (the same pair) merge from
+the left; repeated rows and ties of doc_id are encoded each; very long texts and
+words are encoded whole; an empty table gives an empty result; columns other
+than the two read are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -31,6 +36,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: Words that a task remembers; beyond it the memory starts afresh.
 MEMORY = 200_000
 SLICE_CHARS = 4 << 20
+#: Longest word that merges in rounds with others.
+LONG = 1024
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.iinfo(np.int64).max
@@ -61,6 +68,8 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
         self.by_rank = made
+        #: Pair -> rank and symbol made, filled when a long word comes.
+        self.ranks: dict[int, tuple[int, int]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = vocab | self.special
         self.names: list[str] = [""] * (max(names.values()) + 1)
@@ -84,16 +93,52 @@ class Codec:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def merge_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one word: the pair of lowest rank, from the left, merges until none is left."""
+        if not self.ranks:
+            self.ranks.update(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        flat = np.frombuffer(raw, np.uint8)
+        symbols: list[int] = self.inner[flat].tolist()
+        symbols[-1] = int(self.final[flat[-1]])
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get = self.ranks.get
+        heap = [(found[0], i) for i in range(n - 1) if (found := get(symbols[i] << 32 | symbols[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n:
+                continue
+            found = get(symbols[i] << 32 | symbols[j])
+            if found is None or found[0] != rank:
+                continue
+            symbols[i], symbols[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if found := get(symbols[i] << 32 | symbols[k]):
+                    heapq.heappush(heap, (found[0], i))
+            h = before[i]
+            if h >= 0 and (found := get(symbols[h] << 32 | symbols[i])):
+                heapq.heappush(heap, (found[0], h))
+        return np.array([s for s in symbols if s >= 0], np.int64)
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, flat, and where each word begins."""
         raw = [w.encode() for w in words]
+        done_symbols, done_words = [], []
+        for i, own in enumerate(raw):
+            if len(own) > LONG:
+                done_symbols.append(self.merge_long(own))
+                done_words.append(np.full(len(done_symbols[-1]), i))
+                raw[i] = b""
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum(sizes) - 1
+        ends = np.cumsum(sizes)[sizes > 0] - 1
         symbols = self.inner[flat]
         symbols[ends] = self.final[flat[ends]]
         word = np.repeat(np.arange(len(words)), sizes)
-        done_symbols, done_words = [], []
         while len(symbols):
             same = np.flatnonzero(word[:-1] == word[1:])
             key = symbols[same] << 32 | symbols[same + 1]

@@ -72,6 +72,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a table of few narrow columns that is broadcast at most.
+BROADCAST_ROWS = 1 << 17
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """small, written, with the hint for joining it: broadcast if it has few rows, a shuffle otherwise.
+
+    Either way a key that fills a partition of the other side can be split.
+    """
+    small = stored(small, "beside")
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("shuffle_merge")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,12 +7,15 @@ by length, and a logistic curve fitted on the training documents turns it into
 a score.
 
 The model is fitted on the driver, on features (never texts) of at most
-``max_docs`` labelled documents per class, taken by a hash of their id; each
-line bears its document's label. This bound is the only sample; every document
-is scored, whole.
+``max_docs`` labelled documents per class, taken by a hash of their id, one row
+an id, and of these, in that order, as many as have ``max_lines`` lines in all;
+each line bears its document's label. These bounds are the only sample; every
+document is scored, whole.
 
 Defined cases: a null, empty or blank text has no lines and no good part, and
-gets the score of such; of repeated labels of a document the largest holds;
+gets the score of such; of repeated labels of a document the largest holds; of
+rows that repeat a doc_id all are scored, and training takes the one whose text
+has the least hash;
 labels of unknown documents and null labels are left out; with labels of one
 class only, or none, every score is that share (one half without any); very
 long texts are handled whole; an empty table gives an empty result; extra
@@ -30,9 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
+from sparkatlas.llm.common import discard, stored
 from sparkatlas.llm.textcore import slices
 
 MAX_DOCS = 1500
+#: Most lines that the fit sees (64 bytes each).
+MAX_LINES = 400_000
 SLICE_BYTES = 2 << 20
 ROUNDS = 150
 
@@ -199,7 +205,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_features(docs: DataFrame, labels: DataFrame, max_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+def training_features(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Line features of the sampled training documents, and the share of good ones among all training labels."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out())
@@ -214,10 +220,24 @@ def training_features(docs: DataFrame, labels: DataFrame, max_docs: int) -> tupl
                 own, size, bounds = line_features(raw[a:b])
                 blobs = [own[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
                 sizes = [size[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).cast(pa.int64()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "quality", "own", "size"])
-
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality long, own binary, size binary").collect()
-    rows = [r for r in sorted(rows, key=lambda r: r.doc_id) if r.size]
+                keys = [batch.column(k).slice(a, b - a).cast(pa.int64()) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(bounds)), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "quality", "th", "n_lines", "own", "size"])
+
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(sample, "doc_id").select("doc_id", "text", "quality", "th")
+    found = stored(found.mapInArrow(run, "doc_id long, quality long, th long, n_lines long, own binary, size binary"), "line-features")
+    # sizes first: at most two times max_docs rows reach the driver, and only as many lines as allowed
+    one = found.where("n_lines > 0").groupBy("doc_id").agg(F.min(F.struct("th", "n_lines", "quality")).alias("one")).select("doc_id", "one.*")
+    chosen, lines = {}, 0
+    for r in sorted(one.orderBy(F.xxhash64("doc_id"), "doc_id").collect(), key=lambda r: r.n_lines > max_lines // 4):
+        if lines + r.n_lines <= max_lines:
+            chosen[r.doc_id] = r.th
+            lines += r.n_lines
+    rows = {}
+    for r in found.where(F.col("doc_id").isin(list(chosen))).dropDuplicates(["doc_id", "th"]).collect() if chosen else []:
+        if r.th == chosen[r.doc_id]:
+            rows[r.doc_id] = r
+    discard(found)
+    rows = [rows[k] for k in sorted(rows)]
     own = np.concatenate([np.frombuffer(r.own, np.float32).reshape(-1, N_OWN) for r in rows] or [np.zeros((0, N_OWN), np.float32)])
     size = np.concatenate([np.frombuffer(r.size, np.float32) for r in rows] or [np.zeros(0, np.float32)])
     bounds = np.concatenate(([0], np.cumsum([len(r.size) // 4 for r in rows]))).astype(np.int64)

@@ -15,16 +15,24 @@ are indexed is an allocation by cost:
 
 Sets that share an entry are tied by a star (never all pairs). Within a star,
 linked sets of a larger band must agree on ``spare + 1`` segments: codes of two
-bytes a segment tell which can, and only those stay together. What is left is verified exactly, set against set, from the whole texts, and the
-components of the verified links are what is returned. Groups above ``BLOCK``
-sets are cut into blocks, every pair of blocks verified by itself, so no group
-gathers in one task. Equal sets are collapsed before anything is indexed.
+bytes a segment tell which can, and only those stay together. What is left is
+verified exactly, set against set, on all shingles of the whole texts, and the
+components of the verified links are what is returned. Equal sets (by 128 bits)
+are collapsed before anything is tied.
+
+No group gathers in one task, and none is compared pair by pair as a whole: a
+group above ``BLOCK`` sets is cut into blocks, each verified by itself; then the
+blocks' components are joined through one set of each; only sets outside the
+group's largest component are then compared with all others. What travels for
+that are shingle hashes, once a set and step.
 
 Defined cases: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle is one shingle; equal texts
-are linked; repeated rows are linked like copies; a null doc_id never becomes a
-component's id unless the component has no other; an empty table gives an empty
-result; extra columns are ignored.
+are linked; repeated rows are linked like copies; ties (rows of equal doc_id and
+other texts) are sets of their own; a null doc_id never becomes a component's id
+unless the component has no other; very long texts are compared whole; an empty
+table gives an empty result; extra columns are ignored by ``join`` and kept by
+``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.common import discard, release, stored, unused
+from sparkatlas.llm.common import beside, discard, release, stored, unused
 from sparkatlas.llm.components import components
 from sparkatlas.llm.textcore import mix, slices
 
@@ -285,8 +293,8 @@ def alike(matrix: np.ndarray, least: int, left: int | None = None) -> list[tuple
 
 def _placed(member: DataFrame, keys: list[str], block: int, name: str, carried: list[str]) -> DataFrame:
     """Rows of member for each pair of blocks (low, high) of their group that own, their block (by name), is in; a group of one block has one pair."""
-    count = member.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    placed = member.join(count.hint("shuffle_merge"), keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    many = member.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("many")).where("many > 1")
+    placed = member.join(beside(many), keys, "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64(name), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *carried)
@@ -382,7 +390,7 @@ def large_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links that span the components of groups (grp, sid, grams) of more than a block."""
     whole = F.lit(None).cast("int").alias("side")
     count = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(rows.join(count.hint("shuffle_merge"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "large")
+    rows = stored(rows.join(beside(count), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "large")
     inner = stored(_verify(rows.select("*", whole), ["grp", "block"], percent), "inner")
     # one set of each component of a block speaks for it
     own = _labelled(rows.select("grp", "block", "blocks", "sid"), inner)
@@ -396,9 +404,10 @@ def large_links(rows: DataFrame, percent: int) -> DataFrame:
     sizes = own.groupBy("grp", "comp").agg(F.count("*").alias("n"))
     top = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     top = top.where("all > top.n").select("grp", F.col("top.comp").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minors"))
-    left = own.join(top.hint("shuffle_merge"), "grp").where("comp <> most").select("grp", "sid", F.pmod(F.xxhash64("sid"), F.col("minors")).cast("int").alias("low"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("high"))
+    top = beside(top)
+    left = own.join(top, "grp").where("comp <> most").select("grp", "sid", F.pmod(F.xxhash64("sid"), F.col("minors")).cast("int").alias("low"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("high"))
     left = rows.select("grp", "sid", "grams").join(left, ["grp", "sid"]).withColumn("high", F.explode("high")).withColumn("side", F.lit(0))
-    right = rows.join(top.hint("shuffle_merge"), "grp").select("grp", "sid", "grams", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
+    right = rows.join(top, "grp").select("grp", "sid", "grams", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
     both = left.unionByName(right)
     out = stored(found.unionByName(_verify(both, ["grp", "low", "high"], percent)), "large-links")
     discard(rows, inner, found, own)
@@ -414,8 +423,8 @@ def links(docs: DataFrame, table: DataFrame, tied: DataFrame, size: int = SHINGL
     release(docs.sparkSession)
     group = components(tight).select(F.col("node").alias("a"), F.col("component").alias("grp"))
     member2 = member.join(group.hint("shuffle_merge"), "a").select("grp", "sid", "doc_id", "th")
-    count = member2.groupBy("grp").agg(F.count("*").alias("n"))
-    member2 = stored(member2.join(count.hint("shuffle_merge"), "grp").where("n > 1").withColumn("large", F.col("n") > BLOCK).drop("n"), "grouped")
+    count = member2.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    member2 = stored(member2.join(beside(count), "grp", "left").withColumn("large", F.col("n").isNotNull()).drop("n"), "grouped")
     discard(member, tight)
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     m = member2.hint("shuffle_merge")
@@ -439,16 +448,19 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     found = links(docs, table, tied, size, percent)
     discard(tied)
     release(spark)
-    groups = components(found).select(F.col("node").alias("sid"), "component")
-    own = table.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("own"))
-    named = own.join(groups.hint("shuffle_merge"), "sid", "left")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("least"))
+    own = stored(table.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("own")), "own")
+    # nodes that sort by doc_id, so that the least node of a component bears its least doc_id
+    node = F.struct(F.col("own").isNull().alias("none"), "own", "sid")
+    edges = found
+    for end in ("x", "y"):
+        edges = edges.join(own.select(F.col("sid").alias(end), node.alias(f"{end}_node")).hint("shuffle_merge"), end)
+    groups = components(edges, "x_node", "y_node").select(F.col("node.sid").alias("sid"), F.col("component.own").alias("least"))
     # written, so that the join with the documents can split a set that a third of them have
-    named = stored(named.join(least.hint("shuffle_merge"), "component", "left").select("sid", F.coalesce("least", "own").alias("least")), "named")
+    named = stored(own.join(groups.hint("shuffle_merge"), "sid", "left").select("sid", F.coalesce("least", "own").alias("least")), "named")
     slim = table.select("doc_id", "th", "n_shingles", "sid")
     out = slim.join(named.hint("shuffle_merge"), "sid", "left")
     out = stored(out.select("doc_id", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "judged")
-    discard(table, found, named)
+    discard(table, found, own, named)
     release(spark)
     return out
 

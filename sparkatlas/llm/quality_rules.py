@@ -1,13 +1,16 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document; the ledger keeps its measurements
-and one bit per failed rule. Policies are masks with a version: applying one,
-or asking what a rule alone removes, needs only the bits, never the text.
+Every rule is evaluated once per document. The ledger, a table without texts,
+keeps a document's key (doc_id and a hash of its text), its measurements and one
+bit per failed rule, and is written to the shared folder. Policies are masks
+with a version: applying one, or asking what a rule alone removes, reads the
+stored bits, never a text.
 
 DataFrame functions only. Defined cases: a null or empty text has no words and
-fails ``min_words``; very long texts are handled whole; repeated rows are
-separate; extra columns pass through ``ledger`` unless they carry one of its
-names, which it replaces.
+fails ``min_words``; very long texts are handled whole; repeated rows have a row
+each in ``measure`` and one verdict in ``keep``; ties of doc_id with other texts
+are judged apart; an empty table gives an empty ledger; extra columns are
+ignored by the ledger and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkatlas.llm.common import GAP, stored, text_of
+from sparkatlas.llm.common import GAP, stored, text_of, unused
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,6 +41,7 @@ RULES: dict[int, tuple[str, str]] = {
     8: ("many_words", "n_words > 1000000"),
 }
 BASE_BITS = 0b11
+MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_exclaim"]
 
 
 @dataclass(frozen=True)
@@ -56,65 +60,74 @@ def _without(column: Column, chars: str) -> Column:
     return F.translate(column, chars, "")
 
 
-def _repeat_words(keys: Column, marked: Column) -> Column:
-    """Words covered by 3-word windows whose key occurs twice or more.
-
-    marked: sorted places of those windows. Zero at once where all keys differ.
-    """
+def _repeat_words(marked: Column) -> Column:
+    """Words covered by 3-word windows whose key occurs twice or more; marked: the sorted places of those windows."""
     step = lambda acc, at: F.struct((acc["n"] + F.least(F.lit(3), at + 3 - acc["end"])).alias("n"), (at + 3).alias("end"))
     return F.aggregate(marked, F.struct(F.lit(0).alias("n"), F.lit(-1000000).alias("end")), step, lambda acc: acc["n"])
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with the measurements that the rules look at."""
+    """doc_id, th (hash of the text) and the measurements that the rules look at."""
     text = text_of()
-    base = docs.select("*", F.array_remove(F.split(text, GAP), "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    base = docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("th"),
+        "text",
+        F.array_remove(F.split(text, GAP), "").alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+    )
     # one key per 3-word window; 64 bits of hash keep the sort on numbers
-    key = lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))
-    windows = F.when(F.size("_words") >= 3, F.transform(F.slice("_words", 1, F.size("_words") - 2), key)).otherwise(F.array().cast("array<bigint>"))
-    base = base.withColumn("_keys", windows)
-    some = F.size(F.array_distinct("_keys")) < F.size("_keys")
-    placed = F.when(some, F.sort_array(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))))
-    base = base.withColumn("_placed", placed)
-    twin = lambda x, i: (x["k"] == F.get("_placed", i - 1)["k"]) | (x["k"] == F.get("_placed", i + 1)["k"])
-    marked = F.sort_array(F.transform(F.filter("_placed", lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["i"]))
-    base = base.withColumn("_marked", marked)
+    key = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
+    windows = F.when(F.size("words") >= 3, F.transform(F.slice("words", 1, F.size("words") - 2), key)).otherwise(F.array().cast("array<bigint>"))
+    base = base.withColumn("keys", windows)
+    some = F.size(F.array_distinct("keys")) < F.size("keys")
+    base = base.withColumn("placed", F.when(some, F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
+    twin = lambda x, i: (x["k"] == F.get("placed", i - 1)["k"]) | (x["k"] == F.get("placed", i + 1)["k"])
+    marked = F.sort_array(F.transform(F.filter("placed", lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["i"]))
+    base = base.withColumn("marked", marked)
     n = F.length(text)
-    long = lambda c: c.cast("long")
-    return base.withColumns(
-        {
-            "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(_without(text, BLANKS))),
-            "n_symbols": long(n - F.length(_without(text, SYMBOLS))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_repeat_words": long(F.coalesce(_repeat_words(F.col("_keys"), F.col("_marked")), F.lit(0))),
-            "n_upper": long(n - F.length(_without(text, UPPER))),
-            "n_lower": long(n - F.length(_without(text, LOWER))),
-            "n_exclaim": long(n - F.length(_without(text, "!"))),
-        }
-    ).drop("_words", "_lines", "_keys", "_placed", "_marked")
+    values = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(_without(text, BLANKS)),
+        "n_symbols": n - F.length(_without(text, SYMBOLS)),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.coalesce(_repeat_words(F.col("marked")), F.lit(0)),
+        "n_upper": n - F.length(_without(text, UPPER)),
+        "n_lower": n - F.length(_without(text, LOWER)),
+        "n_exclaim": n - F.length(_without(text, "!")),
+    }
+    return base.select("doc_id", "th", *(values[m].cast("long").alias(m) for m in MEASUREMENTS))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """docs with measurements and ``fail_bits``, one bit for each failed rule."""
+    """The measurements with ``fail_bits``, one bit for each failed rule."""
     bits = [F.when(F.expr(sql), F.lit(1 << b)).otherwise(F.lit(0)) for b, (_, sql) in RULES.items()]
     return measure(docs).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
 
-def apply_policy(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """kept: no rule of the policy failed."""
-    return entries.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0).withColumn("policy", F.lit(policy.version))
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written once; what follows reads bits and measurements only."""
+    return stored(ledger(docs), "ledger")
 
 
-def keep(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The documents that the policy keeps, with docs' columns.
+def fails(mask: int) -> Column:
+    """Whether a row of the ledger fails a rule of the mask."""
+    return F.col("fail_bits").bitwiseAND(F.lit(mask)) != 0
+
+
+def apply_policy(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """kept: no rule of the policy failed; policy: its version."""
+    return entries.withColumn("kept", ~fails(policy.mask)).withColumn("policy", F.lit(policy.version))
 
-    Verdicts are written before they filter: a filter that Spark pushes down
-    would carry the measurements' expressions into each other, once per word.
-    """
-    judged = apply_policy(ledger(docs), policy).select(*docs.columns, "kept")
-    return stored(judged, "judged").where("kept").select(*docs.columns)
+
+def keep(docs: DataFrame, policy: Policy = STANDARD, entries: DataFrame | None = None) -> DataFrame:
+    """The documents that the policy keeps, with docs' columns; entries: their stored ledger, if there is one."""
+    entries = stored_ledger(docs) if entries is None else entries
+    i, t = unused(docs, "kept_doc_id"), unused(docs, "kept_th")
+    kept = entries.where(~fails(policy.mask)).select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct().hint("shuffle_merge")
+    same = docs["doc_id"].eqNullSafe(kept[i]) & (F.xxhash64(docs["text"]) == kept[t])
+    return docs.join(kept, same, "left_semi")
 
 
 def ablation(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
@@ -136,10 +149,7 @@ def ablation(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     )
 
 
-def oracle_sql(policy: Policy = STANDARD) -> str:
-    """The ledger and its verdict as DuckDB SQL."""
-    rejects = " OR ".join(f"({sql})" for b, (_, sql) in RULES.items() if policy.mask >> b & 1)
-    return rf"""
+_MEASURED = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -152,7 +162,30 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
              length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower,
              length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaim
-      FROM w LEFT JOIN cov USING (doc_id))
+      FROM w LEFT JOIN cov USING (doc_id)),
+"""
+
+
+def _rejects(policy: Policy) -> str:
+    return " OR ".join(f"({sql})" for b, (_, sql) in RULES.items() if policy.mask >> b & 1)
+
+
+def oracle_sql(policy: Policy = STANDARD, strict: Policy = STRICT) -> str:
+    """The ledger and its verdicts as DuckDB SQL."""
+    bits = " + ".join(f"CASE WHEN {sql} THEN {1 << b} ELSE 0 END" for b, (_, sql) in RULES.items())
+    return f"""{_MEASURED}
+last AS (SELECT 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT ({rejects}) AS kept
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT ({_rejects(policy)}) AS kept,
+       ({bits})::BIGINT AS fail_bits, NOT ({_rejects(strict)}) AS kept_strict
 FROM m"""
+
+
+def ablation_sql(policy: Policy = STANDARD) -> str:
+    """The ablation as DuckDB SQL, rule by rule."""
+    parts = []
+    for b, (name, sql) in RULES.items():
+        if policy.mask >> b & 1:
+            others = _rejects(Policy("", policy.mask & ~(1 << b)))
+            parts.append(f"SELECT {b} AS bit, '{name}' AS rule, count(*) FILTER (WHERE {sql})::BIGINT AS n_failed, count(*) FILTER (WHERE ({sql}) AND NOT ({others}))::BIGINT AS n_failed_alone, count(*) FILTER (WHERE NOT ({others}))::BIGINT AS n_kept_without FROM m")
+    return f"{_MEASURED}\nlast AS (SELECT 1)\n" + "\nUNION ALL ".join(parts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,15 +53,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict of the standard policy on every document."""
-    out = quality_rules.apply_policy(quality_rules.ledger(_documents(spark, sf_dir).select("doc_id", "text")))
-    failed = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.BASE_BITS)) != 0
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    """The verdicts of two policies on every document, from one stored ledger."""
+    entries = quality_rules.stored_ledger(_documents(spark, sf_dir))
+    out = quality_rules.apply_policy(entries)
+    failed, strict = quality_rules.fails(quality_rules.BASE_BITS), quality_rules.fails(quality_rules.STRICT.mask)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", (~strict).alias("kept_strict"))
 
 
 ORACLES["op5_quality_rules"] = quality_rules.oracle_sql()
 
 
+@_query
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy removes, by itself and alone, from the stored ledger."""
+    return quality_rules.ablation(quality_rules.stored_ledger(_documents(spark, sf_dir)))
+
+
+ORACLES["quality_ablation"] = quality_rules.ablation_sql()
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every text."""
@@ -80,6 +91,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+@_query
+def shard_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored map of eight shards edited for nine: each slot's shard before and after."""
+    path = fresh_path(spark, "slot-map")
+    docs = _documents(spark, sf_dir)
+    for n_shards in (8, 9):
+        sharding.shard_documents(docs, n_shards, path=path)
+    return sharding.changes(spark, path)
+
+
 @_query
 def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from the labels that are not held out."""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import textcore
-from sparkatlas.llm.common import discard, release, stored, unused
+from sparkatlas.llm.common import beside, discard, release, stored, unused
 from sparkatlas.llm.textcore import slices
 
 SLICE_BYTES = 2 << 20
@@ -44,8 +44,6 @@ SEGMENTS = f"{KEY}, route long, more long, copies long, lo int, body binary, com
 SPANS = f"{KEY}, s int, e int"
 #: Parts of a salted trigger.
 SALT = 256
-#: Triggers (one long each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 17
 #: Marks rows that report frequent triggers.
 REPORT = -1
 
@@ -209,9 +207,8 @@ def contexts(part: DataFrame, unit: Unit, keep_first: bool, hot: list[int]) -> D
 
 def segments(docs: DataFrame, sent: DataFrame, unit: Unit) -> DataFrame:
     """The text of each context to be compared, once, with the route to its shard; the hash of each window instead where the trigger is common."""
-    many = stored(sent.groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common")), "many")
-    few = many.count() <= BROADCAST_ROWS
-    rows = sent.join(F.broadcast(many) if few else many.hint("shuffle_merge"), "trigger", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    many = sent.groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common"))
+    rows = sent.join(beside(many), "trigger", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("trigger", "copies", "lo", "n", "common")).alias("own"))
     d = keyed(docs)
     own = own.hint("shuffle_merge")

@@ -8,9 +8,10 @@ the map that moves few slots; records never hash anew.
 Only DataFrame operations touch records. The map is control data of at most
 ``n_slots`` rows and is planned on the driver.
 
-Defined cases: a null text has no bytes (size 1, CRC 0); a null doc_id is a
-value like any other; repeated rows are separate records; an empty table gives
-an empty result; extra columns are ignored.
+Defined cases: a null or empty text has no bytes (size 1, CRC 0); a null doc_id
+is a value like any other; repeated rows are separate records, placed one after
+the other; ties of doc_id go by CRC, then size; a very long text counts with all
+of its bytes; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,6 +97,29 @@ def store_map(spark: SparkSession, slots: list[Slot], version: int, path: str |
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{version}")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the map below path, oldest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit() and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+
+
+def read_map(spark: SparkSession, path: str, version: int) -> list[Slot]:
+    """A stored version: one row for each slot."""
+    rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{version}").collect()
+    return [Slot(r.slot, r.bytes, r.rows, r.shard) for r in rows]
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    """(slot, bytes, before, after, moved) between the two newest versions of the map."""
+    old, new = versions(spark, path)[-2:]
+    a, b = (spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{v}") for v in (old, new))
+    both = b.select("slot", "bytes", F.col("shard").alias("after")).join(a.select("slot", F.col("shard").alias("before")), "slot", "left")
+    return both.select("slot", "bytes", "before", "after", (~F.col("before").eqNullSafe(F.col("after"))).alias("moved"))
+
+
 def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Each record's shard and its place there (gapless from 0)."""
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
@@ -107,7 +131,16 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, version: int = 1) -> DataFrame:
-    """Shard by bytes: sizes of shards are near equal."""
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
+    """Shard by bytes: sizes of shards are near equal.
+
+    path: where versions of the map lie. The newest is edited for the totals
+    and shards of now and written as the next version; without one, a first
+    version is planned.
+    """
+    spark = docs.sparkSession
     recs = stored(records(docs, n_slots), "records")
-    return assign(recs, store_map(docs.sparkSession, plan(slot_totals(recs), n_shards), version))
+    totals = slot_totals(recs)
+    known = versions(spark, path) if path else []
+    slots = rebalance(read_map(spark, path, known[-1]), totals, n_shards) if known else plan(totals, n_shards)
+    return assign(recs, store_map(spark, slots, known[-1] + 1 if known else 1, path))

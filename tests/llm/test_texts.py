@@ -28,6 +28,21 @@ def vocabulary():
     return tokenizers.path("word_bpe_49k.json")
 
 
+def test_long_words_match_the_library(vocabulary):
+    import time
+
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(vocabulary), bpe.Codec(json.load(open(vocabulary, encoding="utf-8")))
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (1023, 1024, 1025, 5000)] + ["a" * 3001, "é" * 2000, "abc" * 1500]
+    for word, ids in zip(words, codec.encode(words)):
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+    began = time.perf_counter()
+    codec.encode(["".join(rng.choices("etaoinshrdlu", k=200_000))])
+    assert time.perf_counter() - began < 10
+
+
 def test_bpe_matches_the_library(vocabulary, rows):
     from tokenizers import Tokenizer
 
@@ -136,8 +151,11 @@ def test_several_licences_in_one_text(spark):
 
 def test_quality_rules(docs, rows, no_docs):
     texts = dict(rows) | {}
-    out = quality_rules.apply_policy(quality_rules.ledger(docs))
-    assert {"lang", "spans"} <= set(out.columns)
+    entries = quality_rules.stored_ledger(docs)
+    out = quality_rules.apply_policy(entries)
+    kept = quality_rules.keep(docs, entries=entries)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out.where("kept").collect())
     for r in out.collect():
         text = texts[r.doc_id] or ""
         words = WORD.findall(text)
@@ -151,6 +169,15 @@ def test_quality_rules(docs, rows, no_docs):
     assert quality_rules.ledger(no_docs).count() == 0
 
 
+def test_kept_documents_keep_clashing_columns(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    names = "doc_id long, text string, kept string, fail_bits string, n_words string, policy string, words string, kept_doc_id string, TH string"
+    docs = spark.createDataFrame([(1, good, *"abcdefg"), (1, "short", *"abcdefg"), (None, good, *"abcdefg"), (None, None, *"abcdefg")], names)
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, good, *"abcdefg"), (None, good, *"abcdefg")]))
+
+
 def test_ablation(spark):
     entries = spark.createDataFrame([(0b0,), (0b1,), (0b11,), (0b10,), (0b10,)], "fail_bits long")
     got = {r.rule: (r.n_failed, r.n_failed_alone, r.n_kept_without) for r in quality_rules.ablation(entries, quality_rules.Policy("t", 0b11)).collect()}
@@ -175,6 +202,17 @@ def test_sharding(docs, rows, no_docs):
     assert sharding.shard_documents(no_docs).count() == 0
 
 
+def test_the_newest_map_is_edited(docs, spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = {(r.doc_id, r.text_crc32): r.shard for r in sharding.shard_documents(docs, 3, path=path).collect()}
+    again = sharding.shard_documents(docs, 3, path=path).collect()
+    assert {(r.doc_id, r.text_crc32): r.shard for r in again} == first and {r.map_version for r in again} == {2}
+    grown = sharding.shard_documents(docs, 4, path=path).collect()
+    assert {r.map_version for r in grown} == {3} and {r.shard for r in grown} == set(range(4)) and sharding.versions(spark, path) == [1, 2, 3]
+    changes = sharding.changes(spark, path).collect()
+    assert all(r.moved == (r.before != r.after) for r in changes) and 0 < sum(r.moved for r in changes) < len(changes)
+
+
 def test_rebalancing_moves_few_slots():
     rng = random.Random(2)
     slots = [sharding.Slot(i, rng.randint(900, 1100), 10) for i in range(1000)]
