@@ -10,29 +10,37 @@ streamed, and of those only runs with enough consecutive item trigrams (found
 in a bitmap) to hold a window; the automaton alone decides what is hit.
 
 The automaton is broadcast. Items are taken in blocks of at most
-``block_words`` words, one automaton each, so the broadcast is bounded however
-many items there are; every document passes every block.
+``block_words`` words (or one item), one automaton each. Where there is more
+than one block, the documents pass the blocks one after another: what a block
+hits is written before the next automaton is built and the last one dropped, so
+that no process ever holds more than one, however many items there are; the
+hits of a document are merged at the end.
 
 Defined cases: null or word-less texts and items have no words and match
 nothing; ties and repeated items are separate items; repeated rows are separate
-documents; empty tables give no hits; extra columns are ignored.
+documents; very long texts are streamed whole; empty tables give no hits; extra
+columns are ignored by ``find_hits`` and kept by ``decontaminate``, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkatlas.llm.automaton import SuffixAutomaton
-from sparkatlas.llm.common import with_text
+from sparkatlas.llm.common import stored, unused, with_text
 from sparkatlas.llm.textcore import mix, slices
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 SLICE_BYTES = 4 << 20
 _BITS = 22
 #: Lower-cases A-Z; every other byte below 0x80 that is no letter or digit parts words.
@@ -157,23 +165,73 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
     yield block
 
 
+Found = tuple[int, list[tuple[int, int]], list[int]]
+
+
+def _scan(text: bytes, automaton: Automaton) -> Found:
+    """Words, spans of hit words and items found of one text."""
+    words = clean_words(text)
+    spans, items = automaton.match(words)
+    return len(words), merged(spans), sorted(items - {None})
+
+
+def scanned(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[Found]]]:
+    """docs, with columns added at the end if they passed several blocks, and what finds the hits of a batch of them."""
+    at, width = docs.columns.index("text"), len(docs.columns)
+    sc = docs.sparkSession.sparkContext
+    blocks = item_blocks(items, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        automaton = sc.broadcast(Automaton(first, window))
+        return docs, lambda batch: [_scan((t or "").encode(), automaton.value) for t in batch.column(at).to_pylist()]
+    found: DataFrame | None = None
+    for block in chain([first, second], blocks):
+        automaton = sc.broadcast(Automaton(block, window))
+
+        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [_scan((t or "").encode(), automaton.value) for t in batch.column(1).to_pylist()]
+                hit = [i for i, r in enumerate(rows) if r[1]]
+                spans = pa.array([[a << 32 | b for a, b in rows[i][1]] for i in hit], pa.list_(pa.int64()))
+                ids = pa.array([rows[i][2] for i in hit], pa.list_(pa.int64()))
+                pick = pa.array(hit, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), spans, ids], names=["doc_id", "th", "spans", "items"])
+
+        slim = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+        own = stored(slim.mapInArrow(run, "doc_id long, th long, spans array<long>, items array<long>"), "hits")
+        automaton.destroy()
+        found = own if found is None else found.unionByName(own)
+    merge = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    found = found.groupBy("doc_id", "th").agg(merge("spans"), merge("items"))
+    i, t, s, m = (unused(docs, name) for name in ("hits_doc_id", "hits_th", "hits_spans", "hits_items"))
+    found = found.toDF(i, t, s, m).hint("shuffle_merge")
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found[i]) & (F.xxhash64(docs["text"]) == found[t]), "left").drop(i, t)
+
+    def read(batch: pa.RecordBatch) -> list[Found]:
+        texts, spans, ids = (batch.column(k).to_pylist() for k in (at, width, width + 1))
+        return [(len(clean_words((x or "").encode())), merged([(v >> 32, v & 0xFFFFFFFF) for v in own or []]), sorted(y or [])) for x, own, y in zip(texts, spans, ids)]
+
+    return both, read
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
     """Per document its text (null unless keep_text), words, spans of hit words (starts, ends) and ids of the items found.
 
     An item whose id is null hits words but is not listed.
     """
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(block, window)) for block in item_blocks(items, block_words)]
+    frame, found = scanned(docs.select("doc_id", "text"), items, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], SLICE_BYTES):
-                rows = [_scan((t or "").encode(), automata) for t in texts[a:b]]
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in slices(sizes, SLICE_BYTES):
+                own = batch.slice(a, b - a)
+                rows = found(own)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[a:b], pa.int64()),
-                        pa.array(texts[a:b] if keep_text else [None] * (b - a), pa.string()),
+                        own.column(0).cast(pa.int64()),
+                        own.column(1) if keep_text else pa.nulls(b - a, pa.string()),
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([[s for s, _ in r[1]] for r in rows], pa.list_(pa.int32())),
                         pa.array([[e for _, e in r[1]] for r in rows], pa.list_(pa.int32())),
@@ -182,18 +240,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wor
                     names=["doc_id", "text", "n_words", "starts", "ends", "items"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
-
-
-def _scan(text: bytes, automata: list) -> tuple[int, list[tuple[int, int]], list[int]]:
-    words = clean_words(text)
-    spans: list[tuple[int, int]] = []
-    items: set[int] = set()
-    for automaton in automata:
-        own, found = automaton.value.match(words)
-        spans += own
-        items |= found
-    return len(words), merged(spans), sorted(items - {None})
+    return frame.mapInArrow(run, HITS)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,22 +278,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     Spans of hit words are cut out; a document of which they cover more than
     ``max_coverage`` goes. Texts without hits stay as they are.
     """
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(block, window)) for block in item_blocks(items, block_words)]
+    frame, found = scanned(docs, items, window, block_words)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
-            for text in batch.column(at).to_pylist():
-                raw = (text or "").encode()
-                n_words, spans, _ = _scan(raw, automata)
+            for text, (n_words, spans, _) in zip(batch.column(at).to_pylist(), found(batch)):
                 keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
-                out.append(cut(raw, spans).decode() if spans else text)
+                out.append(cut(text.encode(), spans).decode() if spans else text)
             yield with_text(batch, names, out, keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -206,5 +206,5 @@ def test_training_takes_one_row_an_id_and_bounded_lines(spark):
     rows, labels = quality_rows(60)
     rows += [(rows[0][0], "line\nof a copy\n" * 5)] * 40 + [(rows[1][0], "y\n" * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    own, size, bounds, y, _ = crf_quality.training_features(docs, spark.createDataFrame(labels, "doc_id long, quality long"), 1500, max_lines=5000)
+    own, size, bounds, y, _ = crf_quality.training_features(docs, spark.createDataFrame(labels, "doc_id long, quality long, toxic long"), 1500, max_lines=5000)
     assert len(own) == bounds[-1] <= 5000 and len(y) <= 60
