@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SUMMARY_CHARS = 300
 EMBED_BYTES = 1500
 #: Names and patterns of credentials; callers pass their own for other shapes.
-SECRET_PATTERNS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"(?i)bearer +[A-Za-z0-9._-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}")
+SECRET_PATTERNS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"(?i)bearer +[A-Za-z0-9._-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"CFPAT-[A-Za-z0-9_-]{40,}")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
 
@@ -91,7 +91,7 @@ def scrub_secrets(text: Column, patterns: tuple[str, ...] = SECRET_PATTERNS, mar
 
 def pattern_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Distinct words in lower case without stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_-]+", " ")), " ")
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords)))
 
 
@@ -120,7 +120,7 @@ def truncate_at_sentence(text: Column, tokens: int) -> Column:
 def study_type(text: Column) -> Column:
     """First matching study design, strongest evidence first."""
     t = F.lower(text)
-    ladder = [("meta-analysis", r"meta-?analys"), ("systematic review", r"systematic review"), ("randomised trial", r"randomi[sz]ed"), ("cohort", r"cohort"), ("case-control", r"case-control"), ("review", r"\breview\b"), ("case report", r"case report")]
+    ladder = [("meta-analysis", r"meta-?analys"), ("systematic review", r"systematic review"), ("randomised trial", r"randomi[sz]ed"), ("crossover", r"cross-?over"), ("open-label", r"open-label"), ("cohort", r"cohort"), ("case-control", r"case-control"), ("review", r"\breview\b"), ("case report", r"case report"), ("in vitro", r"in[ -]vitro")]
     return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in ladder], F.lit("unknown"))
 
 

@@ -75,3 +75,31 @@ def feedback_grid(vecs: DataFrame, queries: DataFrame, relevant: DataFrame, conf
         ranked = vectors.top_k(vecs, moved, 10)
         out = out.unionByName(retrieval_metrics(cut(ranked), relevant).withColumn("label", F.lit(f"a={alpha:g},k={k}")))
     return out
+
+
+def feedback_strategies(vecs: DataFrame, queries: DataFrame, configs: list[tuple[float, int]], top: int = 30) -> DataFrame:
+    """(strategy, alpha, k, query_id, new_at_5, new_at_10, promoted, demoted) of feedback against none.
+
+    replace: the moved query's list stands alone; hybrid: both lists are fused;
+    two-pass: the query is moved a second time by what the moved one finds.
+    """
+    from sparkatlas.operators import fusion, vectors
+    from sparkatlas.operators.storage import written
+
+    base = written(vectors.top_k(vecs, queries, top), "feedback-base")
+    out = None
+    for alpha, k in configs:
+        moved = written(vectors.rocchio(vecs, queries, base, alpha=alpha, beta=1 - alpha, k=k), "feedback-moved")
+        again = written(vectors.top_k(vecs, moved, top), "feedback-list")
+        twice = vectors.top_k(vecs, vectors.rocchio(vecs, moved, again, alpha=alpha, beta=1 - alpha, k=k), top)
+        for name, found in (("replace", again), ("hybrid", fusion.rrf([base, again], top=top)), ("two-pass", twice)):
+            shift = rank_shift(base, found).select(F.lit(name).alias("strategy"), F.lit(alpha).alias("alpha"), F.lit(k).alias("k"), "query_id", "new_at_5", "new_at_10", "promoted", "demoted")
+            out = shift if out is None else out.unionByName(shift)
+    return out
+
+
+def compare_models(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame], top: int = 20) -> DataFrame:
+    """Per query overlap@5, overlap@10 and rank correlation of two models, each (vecs, query vecs)."""
+    from sparkatlas.operators import vectors
+
+    return overlap_and_rho(*(vectors.top_k(v, q, top) for v, q in (first, second)), top=top)

@@ -94,3 +94,33 @@ def proposed_links(similar: DataFrame, links: DataFrame, most: int = 3, least: f
     new = fresh.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("src", "dst", F.lit("similar").alias("why"))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(links, ["src", "dst"], "left_anti").distinct().withColumn("why", F.lit("reciprocal"))
     return new.unionByName(back)
+
+
+def add_supersessions(known: DataFrame, new: DataFrame) -> DataFrame:
+    """known with the valid ones of new (old_pattern_query, replacement_note_path, reason): patterns of blanks or stop words only are rejected."""
+    from sparkatlas.functions.text import pattern_tokens
+
+    valid = new.where(F.size(pattern_tokens(F.coalesce("old_pattern_query", F.lit("")))) > 0)
+    return known.unionByName(valid.select(*known.columns)).distinct()
+
+
+def remove_supersessions(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """known without those of these patterns."""
+    return known.join(gone.select("old_pattern_query").distinct(), "old_pattern_query", "left_anti").select(*known.columns)
+
+
+def remove_edges(edges: DataFrame, nodes: DataFrame, outgoing_only: bool = False) -> DataFrame:
+    """Edges without those of these nodes (node), on either side; outgoing_only keeps edges into them, and archived ones."""
+    gone = nodes.select("node").distinct()
+    if outgoing_only:
+        mine = edges.join(gone, edges["from_path"] == gone["node"], "left_semi").where("NOT archived")
+        return edges.exceptAll(mine)
+    out = edges.join(gone, edges["from_path"] == gone["node"], "left_anti")
+    return out.join(gone, out["to_path"] == gone["node"], "left_anti")
+
+
+def next_of_queue(items: DataFrame, visited: DataFrame, key: str = "path", most: int = 200) -> tuple[DataFrame, bool]:
+    """The next items that were not visited, at most so many, in order of key, and whether a full pass was over (then it starts anew)."""
+    left = items.join(visited.select(key).distinct(), key, "left_anti")
+    over = not left.limit(1).count()
+    return (items if over else left).orderBy(key).limit(most), over

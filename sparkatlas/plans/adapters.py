@@ -67,19 +67,32 @@ def typed_edges(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "N", "extends").otherwise("contradicts")
     confidence = F.when(F.col("l_linenumber") % 3 == 0, "medium").when(F.col("l_linenumber") % 3 == 1, "high").otherwise("low")
     return line.select(
-        F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("from_path"),
-        F.concat(F.lit("p"), (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("to_path"),
+        F.concat(F.lit("p"), F.col("l_partkey")).alias("from_path"),
+        F.concat(F.lit("s"), F.col("l_suppkey")).alias("to_path"),
         kind.alias("edge_type"),
         confidence.alias("confidence"),
         F.when(F.col("l_tax") > 0.04, "peer").otherwise("local").alias("source_graph"),
-        ((F.col("l_linestatus") == "F") | (F.col("l_quantity") > 2)).alias("archived"),
+        (F.col("l_linestatus") == "F").alias("archived"),
     )
 
 
-EDGES_SQL = """edges AS (SELECT 'p' || (l_partkey % 500) AS from_path, 'p' || ((l_partkey * 7 + l_suppkey) % 500) AS to_path,
+EDGES_SQL = """edges AS (SELECT 'p' || l_partkey AS from_path, 's' || l_suppkey AS to_path,
     CASE WHEN l_returnflag = 'A' THEN 'supports' WHEN l_returnflag = 'N' THEN 'extends' ELSE 'contradicts' END AS edge_type,
     CASE WHEN l_linenumber % 3 = 0 THEN 'medium' WHEN l_linenumber % 3 = 1 THEN 'high' ELSE 'low' END AS confidence,
-    CASE WHEN l_tax > 0.04 THEN 'peer' ELSE 'local' END AS source_graph, (l_linestatus = 'F' OR l_quantity > 2) AS archived FROM lineitem)"""
+    CASE WHEN l_tax > 0.04 THEN 'peer' ELSE 'local' END AS source_graph, (l_linestatus = 'F') AS archived FROM lineitem)"""
+
+
+def lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Typed edges from each order to the customer's next one; archived where the order is fulfilled."""
+    from pyspark.sql import Window
+
+    later = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, d, "orders").withColumn("next", F.lead("o_orderkey").over(later)).where("next IS NOT NULL")
+    return orders.select(F.col("o_orderkey").alias("from_path"), F.col("next").alias("to_path"), F.col("o_orderpriority").alias("edge_type"), (F.col("o_orderstatus") == "F").alias("archived"))
+
+
+LINEAGE_SQL = """chain AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next, o_orderpriority, o_orderstatus FROM orders),
+lineage AS (SELECT o_orderkey AS from_path, next AS to_path, o_orderpriority AS edge_type, o_orderstatus = 'F' AS archived FROM chain WHERE next IS NOT NULL)"""
 
 
 def unit_vecs(spark: SparkSession, d: str) -> DataFrame:

@@ -40,46 +40,47 @@ def _ppr_sql(rounds: int = 20) -> str:
         parts.append(f"r{i} AS MATERIALIZED (SELECT query_id, node, sum(score) AS score FROM (SELECT query_id, dst AS node, 0.5 * sum(score / degree) AS score FROM r{i - 1} JOIN e ON e.src = node GROUP BY query_id, dst UNION ALL SELECT query_id, node, 0.5 * score FROM r0) GROUP BY query_id, node)")
     parts.append(f"k AS (SELECT r.* FROM r{rounds} r WHERE score > 1e-6 AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = r.query_id AND s.node = r.node))")
     parts.append("t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, node) AS rank FROM k)")
-    return "WITH " + ",\n".join(parts) + "\nSELECT query_id, round(score, 6) AS score, rank FROM t WHERE rank <= 30"
+    return "WITH " + ",\n".join(parts) + "\nSELECT query_id, node, round(score, 6) AS score, rank FROM t WHERE rank <= 30"
 
 
 @query("ppr_supplier_graph", _ppr_sql())
 def ppr_supplier_graph(spark, d):
-    """Scores by rank; nodes of one rank can differ where scores tie to the last digit."""
+    """The best nodes of each seed; scores that are equal to ten digits go by node."""
     links = A.links(spark, d)
     seeds = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("node"))
     found = graph.personalised_pagerank(graph.link_graph(links), seeds, graph.degrees(links))
-    return found.select("query_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "node", F.round("score", 6).alias("score"), "rank")
 
 
-STARTS_SQL = "starts AS (SELECT DISTINCT 'p' || (s_suppkey * 50 % 500) AS node FROM supplier)"
+STARTS_SQL = "starts AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 0)"
 
 
 def _starts(spark, d):
-    return table(spark, d, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey") * 50 % 500).alias("node")).distinct()
+    """The stated starts of walks: every order whose key is divisible by 50."""
+    return table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("node"))
 
 
 @query(
     "downstream_edges",
-    f"""WITH RECURSIVE {A.EDGES_SQL}, {STARTS_SQL},
-live AS (SELECT DISTINCT from_path, to_path, edge_type FROM edges WHERE NOT archived),
+    f"""WITH RECURSIVE {A.LINEAGE_SQL}, {STARTS_SQL},
+live AS (SELECT DISTINCT from_path, to_path, edge_type FROM lineage WHERE NOT archived),
 walk AS (SELECT node AS start, from_path, to_path, edge_type, 1 AS depth FROM starts JOIN live ON from_path = node
-         UNION SELECT w.start, l.from_path, l.to_path, l.edge_type, w.depth + 1 FROM walk w JOIN live l ON l.from_path = w.to_path WHERE w.depth < 3)
+         UNION SELECT w.start, l.from_path, l.to_path, l.edge_type, w.depth + 1 FROM walk w JOIN live l ON l.from_path = w.to_path WHERE w.depth < 10)
 SELECT * FROM walk""",
 )
 def downstream_edges(spark, d):
-    return graph.downstream(A.typed_edges(spark, d), _starts(spark, d), 3)
+    return graph.downstream(A.lineage(spark, d), _starts(spark, d))
 
 
 @query(
     "symmetric_reach",
-    f"""WITH RECURSIVE {A.EDGES_SQL}, {STARTS_SQL},
-both_ways AS (SELECT from_path AS a, to_path AS b FROM edges WHERE NOT archived UNION SELECT to_path, from_path FROM edges WHERE NOT archived),
-walk AS (SELECT node AS start, node, 0 AS depth FROM starts UNION SELECT w.start, b, w.depth + 1 FROM walk w JOIN both_ways ON a = w.node WHERE w.depth < 3)
+    f"""WITH RECURSIVE {A.LINEAGE_SQL}, {STARTS_SQL},
+both_ways AS (SELECT from_path AS a, to_path AS b FROM lineage WHERE NOT archived UNION SELECT to_path, from_path FROM lineage WHERE NOT archived),
+walk AS (SELECT node AS start, node, 0 AS depth FROM starts UNION SELECT w.start, b, w.depth + 1 FROM walk w JOIN both_ways ON a = w.node WHERE w.depth < 10)
 SELECT start, node, min(depth) AS depth FROM walk WHERE node <> start GROUP BY start, node""",
 )
 def symmetric_reach(spark, d):
-    return graph.symmetric_reach(A.typed_edges(spark, d), _starts(spark, d), 3)
+    return graph.symmetric_reach(A.lineage(spark, d), _starts(spark, d))
 
 
 SOLE_EDGES = "e AS (SELECT DISTINCT l_partkey AS from_path, l_orderkey AS to_path FROM lineitem)"
@@ -139,9 +140,10 @@ def frontmatter_edges(spark, d):
     return edges.groupBy("from_path", "edge_type").agg(F.array_join(F.array_sort(F.collect_set("to_path")), ",").alias("targets"))
 
 
-@query("zero_inlink", f"WITH {A.LINKS_SQL} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("zero_inlink", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels) ORDER BY 1")
 def zero_inlink(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("node")).join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("node")), "node", "left_anti")
+    """Customers seen as notes, labels as the links to them."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("node")).join(table(spark, d, "labels").select(F.col("doc_id").alias("node")), "node", "left_anti")
 
 
 HREF = "href=\"/([^\"]*)\""

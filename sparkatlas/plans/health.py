@@ -8,7 +8,7 @@ from sparkatlas.operators import health
 from sparkatlas.plans import adapters as A
 from sparkatlas.plans.registry import query, table
 
-REFS_SQL = "refs AS (SELECT l_partkey % 400 AS name, count(DISTINCT l_suppkey % 40) AS n FROM lineitem WHERE l_quantity <= 1 GROUP BY 1)"
+REFS_SQL = "refs AS (SELECT conv_id AS name, count(DISTINCT turn) AS n FROM conversations GROUP BY 1)"
 
 
 @query(
@@ -17,8 +17,9 @@ REFS_SQL = "refs AS (SELECT l_partkey % 400 AS name, count(DISTINCT l_suppkey %
 SELECT path, n, status FROM j WHERE status IS NOT NULL""",
 )
 def fleeting_sweep(spark, d):
+    """Turns of a conversation seen as the notes that refer to the note of its number."""
     n = A.notes(spark, d).select("path", F.col("key").alias("name"), "mtime", (F.col("key") % 2 == 0).alias("is_project"), (F.col("key") % 9 == 0).alias("is_counterpoint"))
-    refs = table(spark, d, "lineitem").where("l_quantity <= 1").select((F.col("l_partkey") % 400).alias("name"), (F.col("l_suppkey") % 40).alias("from_path"))
+    refs = table(spark, d, "conversations").select(F.col("conv_id").alias("name"), F.col("turn").alias("from_path"))
     return health.fleeting_sweep(n, refs, A.NOW)
 
 

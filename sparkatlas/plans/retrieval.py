@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkatlas.operators import bm25, evaluate, fusion, models, vectors
+from sparkatlas.operators import bm25, evaluate, fusion, models, review, vectors
 from sparkatlas.plans import adapters as A
 from sparkatlas.plans.registry import query, table
 
@@ -31,35 +31,39 @@ def similar_notes(spark, d):
     return found.withColumn("cosine", F.round("cosine", 6)).withColumn("cosine_back", F.round("cosine_back", 6))
 
 
+#: The tables' vectors are all but independent: the closest of them have a cosine of about 0.5, so "near" begins lower here.
+NEAR = 0.38
+
 PAIRS_SQL = f"""WITH {A.VECS_SQL},
 u AS (SELECT key, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM vecs),
 pairs AS (SELECT x.key AS a, y.key AS b, list_dot_product(x.vec, y.vec) AS s FROM u x JOIN u y ON x.key < y.key)"""
 
 
-@query("discriminate_pairs", f"{PAIRS_SQL} SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= 0.85")
+@query("discriminate_pairs", f"{PAIRS_SQL} SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= {NEAR}")
 def discriminate_pairs(spark, d):
-    return vectors.similar_pairs(A.unit_vecs(spark, d), 0.85).withColumn("similarity", F.round("similarity", 6))
+    return vectors.similar_pairs(A.unit_vecs(spark, d), NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("leader_clusters")
 def leader_clusters(spark, d):
-    return vectors.leader_clusters(vectors.similar_pairs(A.unit_vecs(spark, d), 0.7))
+    return vectors.leader_clusters(vectors.similar_pairs(A.unit_vecs(spark, d), NEAR))
+
+
+INFO_SQL = "info AS (SELECT doc_id AS key, lang || (doc_id % 7) AS name, source AS folder, doc_id % 5 = 0 AS is_new FROM documents WHERE source <> 'src3')"
 
 
 @query(
     "refinement_candidates",
-    f"""{PAIRS_SQL},
-band AS (SELECT a AS note, b AS other, s FROM pairs WHERE s BETWEEN 0.74 AND 0.92 UNION ALL SELECT b, a, s FROM pairs WHERE s BETWEEN 0.74 AND 0.92),
+    f"""{PAIRS_SQL}, {INFO_SQL},
+ok AS (SELECT a, b, s FROM pairs JOIN info x ON x.key = a JOIN info y ON y.key = b WHERE s BETWEEN 0.3 AND 0.45 AND x.name <> y.name AND NOT (x.is_new AND y.is_new) AND NOT (x.folder = 'src1' AND y.folder = 'src1')),
+band AS (SELECT a AS note, b AS other, s FROM ok UNION ALL SELECT b, a, s FROM ok),
 r AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY s DESC, other) AS n FROM band)
 SELECT note, other, round(s, 6) AS cosine, n FROM r WHERE n <= 5""",
 )
 def refinement_candidates(spark, d):
-    from pyspark.sql import Window
-
-    pairs = vectors.similar_pairs(A.unit_vecs(spark, d), 0.74).where("similarity <= 0.92")
-    both = pairs.select(F.col("a").alias("note"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("note"), F.col("a").alias("other"), "similarity"))
-    w = Window.partitionBy("note").orderBy(F.desc("similarity"), "other")
-    return both.withColumn("n", F.row_number().over(w)).where("n <= 5").select("note", "other", F.round("similarity", 6).alias("cosine"), "n")
+    info = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("lang", F.col("doc_id") % 7).alias("name"), F.col("source").alias("folder"), (F.col("doc_id") % 5 == 0).alias("is_new"))
+    pairs = vectors.similar_pairs(A.unit_vecs(spark, d), 0.3)
+    return review.refinement(pairs, info, 0.3, 0.45, excluded=("src3",), literature="src1")
 
 
 @query(
@@ -83,7 +87,7 @@ def _length_signal(spark, d):
 
     n = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", F.col("n_chars").alias("n"))
     q = n.where("key % 50 = 0").select(F.col("key").alias("query_id"), "lang", F.col("n").alias("qn"))
-    near = n.join(F.broadcast(q), "lang").select("query_id", "key", (-F.abs(F.col("n") - F.col("qn"))).cast("double").alias("score"))
+    near = n.join(q, "lang").select("query_id", "key", (-F.abs(F.col("n") - F.col("qn"))).cast("double").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= 30")
 
@@ -122,7 +126,7 @@ def seed_union(spark, d):
 
 @query(
     "score_threshold",
-    f"""{FUSED_SQL} SELECT query_id, (SELECT count(*) FROM documents) AS total_indexed, count(*) FILTER (WHERE score >= 0.15) AS above_threshold, 0.15 AS threshold FROM fused GROUP BY query_id""",
+    f"""{FUSED_SQL} SELECT query_id, (SELECT count(*) FROM documents) AS total_indexed, count(*) FILTER (WHERE score >= 0.15) AS above_threshold, 0.15::DOUBLE AS threshold FROM fused GROUP BY query_id""",
 )
 def score_threshold(spark, d):
     total = table(spark, d, "documents").count()
@@ -188,7 +192,15 @@ def hybrid_query(spark, d):
     return fusion.hybrid(_corpus(spark, d), texts, asked).withColumn("score", F.round("score", 6))
 
 
-@query("federated_query")
+@query(
+    "federated_query",
+    f"""WITH {A.VECS_SQL},
+s AS (SELECT query_id, v.key, label, list_dot_product(q.vec, v.vec) AS score FROM q, vecs v),
+l AS (SELECT query_id, CASE WHEN label % 2 = 0 THEN key::VARCHAR ELSE 'peer:p1/' || key END AS key, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, s.key) AS rank FROM s),
+f AS (SELECT query_id, key, sum(1.0 / (5 + rank)) AS score FROM l WHERE rank <= 30 GROUP BY query_id, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM f)
+SELECT query_id, key, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+)
 def federated_query(spark, d):
     vecs, q = A.vecs(spark, d), A.query_vecs(spark, d)
     local = vectors.top_k(vecs.where("label % 2 = 0"), q)
@@ -256,3 +268,50 @@ def reflect_scan(spark, d):
     best = vectors.top_k(A.vecs(spark, d), A.query_vecs(spark, d), 1, skip_self=True)
     route = F.when(F.col("score") > 0.9, "duplicate").when(F.col("score") >= 0.7, "related").otherwise("new")
     return best.select("query_id", "key", F.round("score", 6).alias("top_match_similarity"), route.alias("route"))
+
+
+@query("feedback_tuning")
+def feedback_tuning(spark, d):
+    """Three strategies with six settings each, against no feedback."""
+    grid = [(0.5, 1), (0.5, 3), (0.7, 1), (0.7, 3), (0.9, 1), (0.9, 3)]
+    return evaluate.feedback_strategies(A.vecs(spark, d).select("key", "vec"), A.query_vecs(spark, d), grid)
+
+
+@query(
+    "model_comparison",
+    f"""WITH {A.VECS_SQL},
+s AS (SELECT query_id, v.key, list_dot_product(q.vec, v.vec) AS one, list_dot_product(q.vec[1:32], v.vec[1:32]) AS two FROM q, vecs v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY one DESC, key) AS a, row_number() OVER (PARTITION BY query_id ORDER BY two DESC, key) AS b FROM s),
+g AS (SELECT query_id, count(*) FILTER (WHERE a <= 5 AND b <= 5) / 5.0 AS o5, count(*) FILTER (WHERE a <= 10 AND b <= 10) / 10.0 AS o10,
+      CASE WHEN count(*) < 2 THEN 0.0 ELSE 1 - 6.0 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1)) END AS rho FROM r WHERE a <= 20 AND b <= 20 GROUP BY query_id)
+SELECT q.query_id, round(coalesce(o5, 0), 6) AS overlap_5, round(coalesce(o10, 0), 6) AS overlap_10, round(coalesce(rho, 0), 6) AS rho FROM q LEFT JOIN g ON g.query_id = q.query_id""",
+)
+def model_comparison(spark, d):
+    """Whole vectors against their first 32 numbers, as two models."""
+    cut = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))
+    vecs, q = A.vecs(spark, d), A.query_vecs(spark, d)
+    out = evaluate.compare_models((vecs, q), (cut(vecs), cut(q)))
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("overlap_5", "overlap_10", "rho")])
+
+
+@query(
+    "pairs_ranked",
+    f"{PAIRS_SQL} SELECT a, b, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(s, 6) DESC, a, b) AS rank FROM pairs WHERE s >= {NEAR}",
+)
+def pairs_ranked(spark, d):
+    from pyspark.sql import Window
+
+    found = vectors.similar_pairs(A.unit_vecs(spark, d), NEAR).withColumn("similarity", F.round("similarity", 6))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "a", "b")))
+
+
+@query(
+    "inbox_clusters",
+    f"""{PAIRS_SQL}, t AS (SELECT doc_id AS key, [lang, source, 'n' || (doc_id % 3)] AS tags FROM documents)
+SELECT a, b, round(s, 6) AS similarity, len(list_intersect(list_distinct(x.tags), list_distinct(y.tags)))::INT AS shared FROM pairs JOIN t x ON x.key = a JOIN t y ON y.key = b
+WHERE s >= 0.3 AND len(list_intersect(list_distinct(x.tags), list_distinct(y.tags))) >= 2""",
+)
+def inbox_clusters(spark, d):
+    tags = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array("lang", "source", F.concat(F.lit("n"), F.col("doc_id") % 3)).alias("tags"))
+    found = review.overlapping_pairs(vectors.similar_pairs(A.unit_vecs(spark, d), 0.3), tags)
+    return found.withColumn("similarity", F.round("similarity", 6))

@@ -59,17 +59,17 @@ STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 @query(
     "supersession_match",
-    rf"""WITH i AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL}))) AS t FROM benchmark),
+    rf"""WITH i AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_-]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL}))) AS t FROM benchmark),
 w AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM i),
 p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared, any_value(a.n) AS n FROM w a JOIN w b USING (w) WHERE a.item_id <> b.item_id GROUP BY 1, 2)
-SELECT a, b, shared, round(shared / n, 6) AS ratio FROM p WHERE shared >= CASE WHEN n = 1 THEN 1 ELSE 2 END AND shared / n >= 0.5""",
+SELECT a, b, shared, round(shared / n, 6) AS ratio FROM p WHERE shared >= CASE WHEN n = 1 THEN 1 ELSE 2 END AND shared / n >= 0.25""",
 )
 def supersession_match(spark, d):
     i = table(spark, d, "benchmark").select("item_id", T.pattern_tokens(F.col("text")).alias("t"))
     w = i.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
     pairs = w.select(F.col("item_id").alias("a"), "n", "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").where("a <> b")
     p = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    ok = (F.col("shared") >= F.when(F.col("n") == 1, 1).otherwise(2)) & (F.col("shared") / F.col("n") >= 0.5)
+    ok = (F.col("shared") >= F.when(F.col("n") == 1, 1).otherwise(2)) & (F.col("shared") / F.col("n") >= 0.25)
     return p.where(ok).select("a", "b", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("ratio"))
 
 
@@ -100,22 +100,23 @@ def index_gap(spark, d):
     return incremental.index_status(files, table(spark, d, "labels").select(F.col("doc_id").alias("path")))
 
 
-@query("study_type", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'meta-?analys') THEN 'meta-analysis' WHEN regexp_matches(lower(text), 'systematic review') THEN 'systematic review' WHEN regexp_matches(lower(text), 'randomi[sz]ed') THEN 'randomised trial' WHEN regexp_matches(lower(text), 'cohort') THEN 'cohort' WHEN regexp_matches(lower(text), 'case-control') THEN 'case-control' WHEN regexp_matches(lower(text), '\\breview\\b') THEN 'review' WHEN regexp_matches(lower(text), 'case report') THEN 'case report' ELSE 'unknown' END AS kind FROM documents")
+@query("study_type", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'meta-?analys') THEN 'meta-analysis' WHEN regexp_matches(lower(text), 'systematic review') THEN 'systematic review' WHEN regexp_matches(lower(text), 'randomi[sz]ed') THEN 'randomised trial' WHEN regexp_matches(lower(text), 'cross-?over') THEN 'crossover' WHEN regexp_matches(lower(text), 'open-label') THEN 'open-label' WHEN regexp_matches(lower(text), 'cohort') THEN 'cohort' WHEN regexp_matches(lower(text), 'case-control') THEN 'case-control' WHEN regexp_matches(lower(text), '\\breview\\b') THEN 'review' WHEN regexp_matches(lower(text), 'case report') THEN 'case report' WHEN regexp_matches(lower(text), 'in[ -]vitro') THEN 'in vitro' ELSE 'unknown' END AS kind FROM documents")
 def study_type(spark, d):
     return table(spark, d, "documents").select("doc_id", T.study_type(F.col("text")).alias("kind"))
 
 
-@query("path_class", f"WITH {A.NOTES_SQL} SELECT folder, 'other' AS kind, count(*) AS n FROM notes GROUP BY folder")
+@query("path_class", "SELECT p_type AS folder, CASE p_size % 4 WHEN 0 THEN 'inbox' WHEN 1 THEN 'literature' WHEN 2 THEN 'permanent' ELSE 'other' END AS kind, count(*) AS n FROM part GROUP BY 1, 2")
 def path_class(spark, d):
-    n = A.notes(spark, d).select("folder", T.classify_folder(F.col("path")).alias("kind"))
+    top = F.when(F.col("p_size") % 4 == 0, "Inbox").when(F.col("p_size") % 4 == 1, "02-literature").when(F.col("p_size") % 4 == 2, "permanent").otherwise("attic")
+    n = table(spark, d, "part").select(F.col("p_type").alias("folder"), T.classify_folder(F.concat(top, F.lit("/a/"), F.col("p_name"), F.lit(".md"))).alias("kind"))
     return n.groupBy("folder", "kind").agg(F.count("*").alias("n"))
 
 
-@query("duplicate_tags", f"WITH {A.NOTES_SQL} SELECT folder, count(*) AS n FROM notes GROUP BY folder")
+@query("duplicate_tags", "SELECT source AS folder, CASE WHEN lang = 't' || (doc_id % 3) OR doc_id % 3 = doc_id % 5 THEN 'deny' ELSE 'ok' END AS verdict, count(*) AS n FROM documents GROUP BY 1, 2")
 def duplicate_tags(spark, d):
-    tags = F.split("tags", " ")
-    n = A.notes(spark, d).select("folder", (F.size(tags) == F.size(F.array_distinct(tags))).alias("ok"))
-    return n.where("ok").groupBy("folder").agg(F.count("*").alias("n"))
+    tags = F.array("lang", F.concat(F.lit("t"), F.col("doc_id") % 3), F.concat(F.lit("t"), F.col("doc_id") % 5))
+    verdict = F.when(F.size(tags) > F.size(F.array_distinct(tags)), "deny").otherwise("ok")
+    return table(spark, d, "documents").select(F.col("source").alias("folder"), verdict.alias("verdict")).groupBy("folder", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("sentence_delta", r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]+(?:\s|$)'))::INT AS n_sentences FROM documents WHERE text IS NOT NULL")
