@@ -13,19 +13,21 @@ REACH = 100
 
 @dataclass(frozen=True)
 class Cue:
-    """Verbs that tell an edge type, in order of trust."""
+    """Phrases that tell an edge type, in order of trust."""
 
     edge_type: str
-    strong: str
-    weak: str
+    strong: tuple[str, ...]
+    weak: tuple[str, ...]
 
 
-#: Cues of our own wording, tried in this order: all strong ones first.
+# Edge types in the order they are tried, with the phrases that tell them.
 CUES = (
-    Cue("contradicts", r"\b(contradicts|refutes|conflicts with)\b", r"\b(but|however|unlike)\b"),
-    Cue("supports", r"\b(supports|confirms|is evidence for)\b", r"\b(consistent with|in line with)\b"),
-    Cue("derived_from", r"\b(derived from|follows from|is based on)\b", r"\b(from|after)\b"),
-    Cue("extends", r"\b(extends|builds on|generali[sz]es)\b", r"\b(also|further)\b"),
+    Cue("derived_from", (r"derived\s+from", r"based\s+(?:directly\s+)?on", r"builds?\s+on", r"extends?", r"sets?\s+the\s+baseline"), (r"comes?\s+from", r"originated", r"inspired\s+by")),
+    Cue("evidence_for", (r"proves?", r"demonstrates?", r"evidence\s+(?:for|that)", r"confirms?", r"validates?"), (r"shows?\s+(?:that|how|why)", r"is\s+how\s+to", r"benchmarked\s+(?:in|by|on)")),
+    Cue("supports", (r"reinforces?", r"strengthens?", r"bolsters?", r"corroborates?"), (r"aligns?\s+with", r"consistent\s+with", r"is\s+the\s+\w+\s+(?:design|method|approach|mechanism|pattern|model|framework)")),
+    Cue("challenges_undermining", (r"contradicts?", r"refutes?", r"disproves?", r"undermines?"), (r"challenges?", r"questions?\s+(?:whether|if)", r"tension\s+(?:with|between)")),
+    Cue("challenges_undercutting", (r"undercuts?", r"weakens?\s+the\s+(?:basis|foundation|premise)"), (r"weakens?", r"limits?\s+the\s+(?:scope|applicability)")),
+    Cue("challenges_rebuttal", (r"rebuts?", r"debunks?", r"counterexample\s+to"), (r"counters?", r"counterpoint")),
 )
 
 
@@ -61,6 +63,6 @@ def classify(before: Column, after: Column) -> Column:
     flipped: the cue stands only after the link.
     """
     b, a = F.lower(clause_before(before)), F.lower(clause_after(after))
-    tries = [(c.edge_type, p, conf) for conf, pick in (("high", "strong"), ("medium", "weak")) for c in CUES for p in [getattr(c, pick)]]
+    tries = [(c.edge_type, r"\b(?:" + "|".join(getattr(c, pick)) + r")\b", conf) for conf, pick in (("high", "strong"), ("medium", "weak")) for c in CUES]
     kinds = [F.when(b.rlike(p) | a.rlike(p), F.struct(F.lit(t).alias("edge_type"), F.lit(conf).alias("confidence"), (~b.rlike(p) & a.rlike(p)).alias("flipped"))) for t, p, conf in tries]
     return F.coalesce(*kinds)

@@ -7,9 +7,23 @@ from pyspark.sql import functions as F
 
 SUMMARY_CHARS = 300
 EMBED_BYTES = 1500
-#: Names and patterns of credentials; callers pass their own for other shapes.
-SECRET_PATTERNS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"(?i)bearer +[A-Za-z0-9._-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"CFPAT-[A-Za-z0-9_-]{40,}")
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+# Shapes of credentials, and words without weight.
+SECRET_PATTERNS = (
+    r"AKIA[0-9A-Z]{16}",
+    r"gh[po]_[A-Za-z0-9]{36,}",
+    r"sk-ant-api[A-Za-z0-9_-]{20,}",
+    r"sk_(?:live|test)_[A-Za-z0-9]{20,}",
+    r"sk-[A-Za-z0-9_-]{20,}",
+    r"cfpat-[A-Za-z0-9_-]{20,}",
+    r"Bearer\s+[A-Za-z0-9._\-/+=]{20,}",
+)
+STOPWORDS = tuple(
+    (
+        "a an the is are was were be been being do does did have has had i you we they should would could will shall may might can "
+        "in on at to for of with by from as and or but not no so if than then when how what why which where who whose whom "
+        "me my mine your yours our ours their theirs this that these those it its"
+    ).split()
+)
 
 
 def title_from_path(path: Column) -> Column:
@@ -91,7 +105,7 @@ def scrub_secrets(text: Column, patterns: tuple[str, ...] = SECRET_PATTERNS, mar
 
 def pattern_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Distinct words in lower case without stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_-]+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s-]", " ")), r"\s+")
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords)))
 
 
@@ -99,14 +113,29 @@ def normalise_query(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
+# How numbers that make a claim are written.
+NUMBER_PATTERNS = (
+    r"(?i)\b(?:OR|HR|RR|IRR|AOR)\s*(?:=\s*)?(\d+\.?\d*)",
+    r"(?i)\b(?:d|g|Cohen['’]?s?\s*d)\s*=?\s*(\d+\.?\d*)",
+    r"\b(\d+\.?\d*)\s*%",
+    r"(?i)\bn\s*=\s*(\d+)",
+    r"(?i)\b(\d+)\s+(?:patients?|participants?|subjects?|studies)",
+    r"(?i)\bp\s*[<>=]\s*(0?\.\d+)",
+    r"(?i)\b(\d+\.?\d*)\s*(?:mg|mcg|µg|ml|mg/L|ng/mL)",
+    r"(?i)\b(\d+\.?\d*)-fold",
+    r"(?i)\b(\d+\.?\d*)\s*(?:ms|seconds?|minutes?|hours?|days?|weeks?|months?)\b",
+)
+
+
 def numbers(text: Column) -> Column:
-    """Distinct plain, decimal and percent numbers."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), 0))
+    """Distinct numbers that make a claim: effect sizes, shares, samples, doses, times."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in NUMBER_PATTERNS]))
 
 
 def number_claims(claims: Column, source: Column) -> Column:
-    """Each number of the claims, and whether the source has it."""
-    return F.transform(numbers(claims), lambda n: F.struct(n.alias("number"), F.contains(source, n).alias("found")))
+    """Each number of the claims, whether the source has it, and the words around it there."""
+    quoted = lambda n: F.concat(F.lit(r"(?i)(.{0,60}\Q"), n, F.lit(r"\E.{0,60})"))
+    return F.transform(numbers(claims), lambda n: F.struct(n.alias("number"), F.contains(source, n).alias("found"), F.trim(F.regexp_substr(source, quoted(n))).alias("excerpt")))
 
 
 def truncate_at_sentence(text: Column, tokens: int) -> Column:
@@ -117,11 +146,49 @@ def truncate_at_sentence(text: Column, tokens: int) -> Column:
     return F.when(F.length(text) <= most, text).when(sentence != "", sentence).otherwise(F.regexp_replace(cut, r"(?s)\s\S*$", ""))
 
 
-def study_type(text: Column) -> Column:
-    """First matching study design, strongest evidence first."""
+# Study designs by words of an abstract, strongest first; species; sizes.
+STUDY_TYPES = (
+    ("meta-analysis", r"meta-analysis|meta analysis"),
+    ("systematic-review", r"systematic review"),
+    ("RCT", r"randomized|randomised"),
+    ("RCT", r"double-blind|placebo-controlled"),
+    ("crossover-RCT", r"crossover|cross-over"),
+    ("open-label", r"open-label"),
+    ("cohort", r"cohort study|prospective study"),
+    ("in-vitro", r"in vitro|cell culture"),
+)
+PUBLICATION_TYPES = (
+    ("meta-analysis", "meta-analysis"),
+    ("systematic-review", "systematic review"),
+    ("review", "review"),
+    ("RCT", "randomized controlled trial"),
+    ("clinical-trial", "clinical trial"),
+    ("case-report", "case report"),
+)
+HUMAN = r"\b(?:patients?|participants?|subjects?|volunteers?|adults?|men|women|children|humans?)\b"
+RODENT = r"\b(?:mice|mouse|rats?|rodent|murine)\b"
+CELLS = r"\b(?:in vitro|cell line|cell culture|hela|hek293)\b"
+ANIMAL = r"\b(?:drosophila|zebrafish|c\. elegans|primate)\b"
+SAMPLE = (r"\bn\s*=\s*(\d+)", r"(\d+)\s+(?:participants?|subjects?|patients?|volunteers?|adults?)")
+
+
+def study_type(text: Column, types: Column | None = None) -> Column:
+    """The study's design: by its publication types (array) if they tell, else the first match in its abstract."""
     t = F.lower(text)
-    ladder = [("meta-analysis", r"meta-?analys"), ("systematic review", r"systematic review"), ("randomised trial", r"randomi[sz]ed"), ("crossover", r"cross-?over"), ("open-label", r"open-label"), ("cohort", r"cohort"), ("case-control", r"case-control"), ("review", r"\breview\b"), ("case report", r"case report"), ("in vitro", r"in[ -]vitro")]
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in ladder], F.lit("unknown"))
+    by_type = [F.when(F.exists(types, lambda x, k=k: F.contains(F.lower(x), F.lit(k))), F.lit(name)) for name, k in PUBLICATION_TYPES] if types is not None else []
+    return F.coalesce(*by_type, *[F.when(t.rlike(p), F.lit(name)) for name, p in STUDY_TYPES], F.lit("unknown"))
+
+
+def species(text: Column) -> Column:
+    t = F.lower(text)
+    human, rodent = t.rlike(HUMAN), t.rlike(RODENT)
+    return F.when(human & rodent, "human+animal").when(human, "human").when(rodent, "animal").when(t.rlike(CELLS), "in-vitro").when(t.rlike(ANIMAL), "animal").otherwise("unknown")
+
+
+def sample_size(text: Column) -> Column:
+    """The number after 'n =', else before a word for participants; null without either."""
+    found = [F.regexp_extract(F.lower(text), p, 1) for p in SAMPLE]
+    return F.coalesce(*[F.when(x != "", x.try_cast("long")) for x in found])
 
 
 def source_ids(text: Column) -> Column:

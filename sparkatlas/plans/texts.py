@@ -49,9 +49,14 @@ def visibility_tier(spark, d):
     return A.notes(spark, d).select("key", T.visibility(F.col("path"), F.lit(None).cast("string"), RULES).alias("tier"))
 
 
-@query("number_claims", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%?')))::INT AS n_numbers FROM documents WHERE text IS NOT NULL")
+_ALL_NUMBERS = " || ".join("regexp_extract_all(text, '" + p.replace("'", "''") + "', 1)" for p in T.NUMBER_PATTERNS)
+
+
+@query("number_claims", f"WITH t AS (SELECT doc_id, text || ' n = ' || doc_id || ', p < 0.05, ' || (doc_id % 40) || ' weeks' AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_distinct({_ALL_NUMBERS}))::INT AS n_numbers FROM t")
 def number_claims(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(T.numbers(F.col("text"))).alias("n_numbers"))
+    """Numbers of each text with a claim of its own at the end."""
+    text = F.concat("text", F.lit(" n = "), "doc_id", F.lit(", p < 0.05, "), F.col("doc_id") % 40, F.lit(" weeks"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(T.numbers(text)).alias("n_numbers"))
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -59,17 +64,19 @@ STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 @query(
     "supersession_match",
-    rf"""WITH i AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_-]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL}))) AS t FROM benchmark),
-w AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM i),
-p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared, any_value(a.n) AS n FROM w a JOIN w b USING (w) WHERE a.item_id <> b.item_id GROUP BY 1, 2)
-SELECT a, b, shared, round(shared / n, 6) AS ratio FROM p WHERE shared >= CASE WHEN n = 1 THEN 1 ELSE 2 END AND shared / n >= 0.25""",
+    rf"""WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^A-Za-z0-9_\s-]', ' ', 'g')), '\s+'), lambda w: w <> '' AND w NOT IN ({STOP_SQL}))) AS t FROM benchmark),
+w AS (SELECT item_id, unnest(t) AS w FROM i), f AS (SELECT item_id, least(4, len(t)) AS n, unnest(list_sort(t)[1:4]) AS w FROM i),
+p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared, any_value(a.n) AS n FROM f a JOIN w b USING (w) WHERE a.item_id <> b.item_id GROUP BY 1, 2)
+SELECT a, b, shared, round(shared / n, 6) AS ratio FROM p WHERE shared >= CASE WHEN n = 1 THEN 1 ELSE 2 END AND shared / n >= 0.5""",
 )
 def supersession_match(spark, d):
+    """Four words of weight of each item as patterns, the other items as queries."""
     i = table(spark, d, "benchmark").select("item_id", T.pattern_tokens(F.col("text")).alias("t"))
-    w = i.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    pairs = w.select(F.col("item_id").alias("a"), "n", "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").where("a <> b")
+    words, first = i.select("item_id", F.explode("t").alias("w")), i.select("item_id", F.slice(F.array_sort("t"), 1, 4).alias("t"))
+    w = first.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    pairs = w.select(F.col("item_id").alias("a"), "n", "w").join(words.select(F.col("item_id").alias("b"), "w"), "w").where("a <> b")
     p = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    ok = (F.col("shared") >= F.when(F.col("n") == 1, 1).otherwise(2)) & (F.col("shared") / F.col("n") >= 0.25)
+    ok = (F.col("shared") >= F.when(F.col("n") == 1, 1).otherwise(2)) & (F.col("shared") / F.col("n") >= 0.5)
     return p.where(ok).select("a", "b", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("ratio"))
 
 
@@ -100,9 +107,21 @@ def index_gap(spark, d):
     return incremental.index_status(files, table(spark, d, "labels").select(F.col("doc_id").alias("path")))
 
 
-@query("study_type", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'meta-?analys') THEN 'meta-analysis' WHEN regexp_matches(lower(text), 'systematic review') THEN 'systematic review' WHEN regexp_matches(lower(text), 'randomi[sz]ed') THEN 'randomised trial' WHEN regexp_matches(lower(text), 'cross-?over') THEN 'crossover' WHEN regexp_matches(lower(text), 'open-label') THEN 'open-label' WHEN regexp_matches(lower(text), 'cohort') THEN 'cohort' WHEN regexp_matches(lower(text), 'case-control') THEN 'case-control' WHEN regexp_matches(lower(text), '\\breview\\b') THEN 'review' WHEN regexp_matches(lower(text), 'case report') THEN 'case report' WHEN regexp_matches(lower(text), 'in[ -]vitro') THEN 'in vitro' ELSE 'unknown' END AS kind FROM documents")
+STUDY_TEXT = "coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' a double-blind trial with n = ' || doc_id || ' adults' WHEN 1 THEN ' prospective study of 12 patients' WHEN 2 THEN ' in vitro' WHEN 3 THEN ' mice and children' ELSE '' END"
+
+
+@query(
+    "study_type",
+    f"""WITH t AS (SELECT doc_id, lower({STUDY_TEXT}) AS text FROM documents)
+SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(text, '{p}') THEN '{name}'" for name, p in T.STUDY_TYPES)} ELSE 'unknown' END AS kind,
+       CASE WHEN regexp_matches(text, '{T.HUMAN}') THEN CASE WHEN regexp_matches(text, '{T.RODENT}') THEN 'human+animal' ELSE 'human' END WHEN regexp_matches(text, '{T.RODENT}') THEN 'animal'
+            WHEN regexp_matches(text, '{T.CELLS}') THEN 'in-vitro' WHEN regexp_matches(text, '{T.ANIMAL}') THEN 'animal' ELSE 'unknown' END AS species,
+       coalesce(try_cast(nullif(regexp_extract(text, '{T.SAMPLE[0]}', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(text, '{T.SAMPLE[1]}', 1), '') AS BIGINT)) AS n FROM t""",
+)
 def study_type(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.study_type(F.col("text")).alias("kind"))
+    """Design, species and sample of each text, to some of which words that tell them are added."""
+    text = F.expr(STUDY_TEXT)
+    return table(spark, d, "documents").select("doc_id", T.study_type(text).alias("kind"), T.species(text).alias("species"), T.sample_size(text).alias("n"))
 
 
 @query("path_class", "SELECT p_type AS folder, CASE p_size % 4 WHEN 0 THEN 'inbox' WHEN 1 THEN 'literature' WHEN 2 THEN 'permanent' ELSE 'other' END AS kind, count(*) AS n FROM part GROUP BY 1, 2")

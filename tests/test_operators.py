@@ -175,3 +175,74 @@ def test_models(spark):
     assert len(vecs[1]) == 8 and set(vecs[2]) == {0.0}
     cand = spark.createDataFrame([(1, "graphs", 1, "a graph"), (1, "graphs", 2, "other"), (1, "", 3, "x")], "query_id long, query string, key long, body string")
     assert [(r.key, r.score) for r in models.rerank(cand, models.OverlapScorer()).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+
+
+def test_supersessions_and_edges_are_edited(spark):
+    from sparkatlas.operators import incremental
+
+    ddl = "old_pattern_query string, replacement_note_path string, reason string"
+    known = spark.createDataFrame([("vector index", "a.md", None)], ddl)
+    new = spark.createDataFrame([("  ", "b.md", None), ("the of and", "c.md", None), ("graph walk", "d.md", "r"), (None, "e.md", None)], ddl)
+    both = incremental.add_supersessions(known, new)
+    assert sorted(r[0] for r in both.collect()) == ["graph walk", "vector index"]
+    assert [r[0] for r in incremental.remove_supersessions(both, known).collect()] == ["graph walk"]
+    edges = spark.createDataFrame([("a", "b", False), ("a", "c", True), ("c", "a", False), ("b", "c", False)], "from_path string, to_path string, archived boolean")
+    nodes = spark.createDataFrame([("a",)], "node string")
+    assert sorted(tuple(r)[:2] for r in incremental.remove_edges(edges, nodes).collect()) == [("b", "c")]
+    assert sorted(tuple(r)[:2] for r in incremental.remove_edges(edges, nodes, outgoing_only=True).collect()) == [("a", "c"), ("b", "c"), ("c", "a")]
+
+
+def test_queue_starts_anew_after_a_full_pass(spark):
+    from sparkatlas.operators import incremental, lookup
+
+    items = spark.createDataFrame([(f"n{i}",) for i in range(5)], "path string")
+    seen = items.where("path < 'n3'")
+    rows, over = incremental.next_of_queue(items, seen, most=1)
+    assert [r.path for r in rows.collect()] == ["n3"] and not over
+    rows, over = incremental.next_of_queue(items, items)
+    assert rows.count() == 5 and over
+    assert lookup.unvisited_pick(items, items, "path", 3).count() == 3 and lookup.unvisited_pick(items, seen, "path", 3).count() == 2
+
+
+def test_paths_by_suffix_only(spark):
+    from sparkatlas.operators import lookup
+
+    notes = spark.createDataFrame([("a/x.md",), ("b/x.md",), ("b/deep/yx.md",), (None,)], "path string")
+    wanted = spark.createDataFrame([(1, "x.md"), (2, "b/x.md"), (3, "none.md"), (4, "p/yx.md")], "wanted_id long, name string")
+    got = {r.wanted_id: r.path for r in lookup.find_paths(notes, wanted, exact=False).collect()}
+    assert got == {1: "a/x.md", 2: "b/x.md", 3: None, 4: "b/deep/yx.md"}
+
+
+def test_pagerank_matches_a_plain_loop(spark):
+    from sparkatlas.operators import graph
+
+    edges = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (6, 5)]
+    g = graph.link_graph(spark.createDataFrame(edges, "src long, dst long"))
+    deg = graph.degrees(spark.createDataFrame(edges, "src long, dst long"))
+    seeds = spark.createDataFrame([(10, 1), (10, 3), (20, 6), (30, 99)], "query_id long, node long")
+    got = {(r.query_id, r.node): r.score for r in graph.personalised_pagerank(g, seeds, deg).collect()}
+    near, into = {}, {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+        into[b] = into.get(b, 0) + 1
+    for q, own in ((10, [1, 3]), (20, [6])):
+        w = {n: 1 / (into.get(n, 0) + 1) for n in own}
+        start = {n: x / sum(w.values()) for n, x in w.items()}
+        score = dict(start)
+        for _ in range(20):
+            score = {n: 0.5 * start.get(n, 0) + 0.5 * sum(score.get(m, 0) / len(near[m]) for m in near[n]) for n in near}
+        want = {(q, n): s for n, s in score.items() if s > 1e-6 and n not in own}
+        assert {k: v for k, v in got.items() if k[0] == q} == pytest.approx(want)
+    assert not any(k[0] == 30 for k in got)
+
+
+def test_walks_match_a_plain_search(spark):
+    from sparkatlas.operators import graph
+
+    rows = [("a", "b", False), ("b", "c", False), ("c", "a", False), ("c", "d", True), ("e", "a", False)]
+    edges = spark.createDataFrame([(x, y, "t", z) for x, y, z in rows], "from_path string, to_path string, edge_type string, archived boolean")
+    starts = spark.createDataFrame([("a",)], "node string")
+    got = sorted((r.depth, r.from_path, r.to_path) for r in graph.downstream(edges, starts, 4).collect())
+    assert got == [(1, "a", "b"), (2, "b", "c"), (3, "c", "a"), (4, "a", "b")]
+    assert {r.node: r.depth for r in graph.symmetric_reach(edges, starts).collect()} == {"b": 1, "c": 1, "e": 1}
