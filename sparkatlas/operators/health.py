@@ -120,3 +120,26 @@ def backfill_stats(notes: DataFrame, edges: DataFrame) -> DataFrame:
     having = edges.agg(F.countDistinct("from_path").alias("n")).select(F.lit("with_edges").alias("kind"), F.lit("all").alias("value"), "n")
     by = lambda c: edges.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("kind"), "value", "n")
     return scanned.unionByName(having).unionByName(by("edge_type")).unionByName(by("confidence"))
+
+
+def intention_counts(items: DataFrame, detail: str | None = None) -> DataFrame:
+    """(context, n) of intentions, most frequent first; detail: only contexts or cues that hold this text."""
+    if detail is not None:
+        part = F.lit(detail.lower())
+        items = items.where(F.contains(F.lower("context"), part) | F.contains(F.lower("cue"), part))
+    return items.groupBy("context").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "context")
+
+
+def write_checks(drafts: DataFrame, notes: DataFrame, similar: DataFrame, least: float = 0.85) -> DataFrame:
+    """(path, verdict, reasons) of drafts: denied for duplicate tags, warned of links to no note and of a title much like another's.
+
+    drafts: path, tags (array), links (array of names). notes: name. similar: path, key, cosine.
+    """
+    names = notes.select(F.lower("name").alias("_name")).distinct()
+    linked = drafts.select("path", F.explode("links").alias("link")).select("path", "link", F.lower(F.trim("link")).alias("_name"))
+    broken = linked.join(names, "_name", "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("link")).alias("broken"))
+    near = similar.where(F.col("cosine") >= least).groupBy("path").agg(F.max_by("key", F.struct("cosine", "key")).alias("near"))
+    both = drafts.select("path", (F.size("tags") > F.size(F.array_distinct("tags"))).alias("twice")).join(broken, "path", "left").join(near, "path", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("twice"), "duplicate tags"), F.when(F.col("broken").isNotNull(), F.concat(F.lit("broken links: "), F.array_join("broken", ", "))), F.when(F.col("near").isNotNull(), F.concat(F.lit("similar to "), F.col("near").cast("string")))))
+    verdict = F.when(F.col("twice"), "deny").when(F.size(reasons) > 0, "warn").otherwise("ok")
+    return both.select("path", verdict.alias("verdict"), reasons.alias("reasons"))

@@ -124,3 +124,19 @@ def next_of_queue(items: DataFrame, visited: DataFrame, key: str = "path", most:
     left = items.join(visited.select(key).distinct(), key, "left_anti")
     over = not left.limit(1).count()
     return (items if over else left).orderBy(key).limit(most), over
+
+
+def judged_links(suggested: DataFrame, links: DataFrame, notes: DataFrame) -> DataFrame:
+    """(src, dst, reason) of suggested links: self, missing target, already linked (whatever its alias or case), or null if it may be made."""
+    name = lambda c: F.lower(F.trim(F.substring_index(F.col(c), "|", 1)))
+    known = notes.select(F.lower("name").alias("_dst")).distinct().withColumn("_known", F.lit(True))
+    made = links.select(F.lower("src").alias("_src"), name("dst").alias("_dst")).distinct().withColumn("_made", F.lit(True))
+    rows = suggested.select("src", "dst", F.lower("src").alias("_src"), name("dst").alias("_dst")).join(known, "_dst", "left").join(made, ["_src", "_dst"], "left")
+    return rows.select("src", "dst", F.when(F.col("_src") == F.col("_dst"), "self").when(F.col("_known").isNull(), "missing").when(F.col("_made").isNotNull(), "linked").alias("reason"))
+
+
+def update_queue(queue: DataFrame, changes: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """The queue with changed states (id, status) and, at its end, new items whose id it did not have."""
+    later = changes.select("id", F.col("status").alias("_status"))
+    out = queue.join(later, "id", "left").withColumn("status", F.coalesce("_status", "status")).select(*queue.columns)
+    return out if new is None else out.unionByName(new.join(queue.select("id"), "id", "left_anti").select(*queue.columns))

@@ -49,10 +49,17 @@ def top_values(df: DataFrame, value: Column, top: int, name: str = "value") -> D
 
 
 def floor_percentiles(df: DataFrame, key: str, value: str, points: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """sorted[floor(p / 100 * (n - 1))] per key, by rank (nothing is gathered in one row)."""
-    w = Window.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * 0 + F.lit(p) * (F.col("n") - 1) / 100), F.col(value)))
+    """sorted[floor(p / 100 * (n - 1))] per key.
+
+    Equal values are counted before anything is shuffled, so what is put in
+    order per key is its distinct values, not its rows.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(key).agg(F.sum("c").alias("n"))
+    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("last", F.sum("c").over(upto) - 1).join(total, key)
+    at = lambda p: F.floor(F.lit(p) * (F.col("n") - 1) / 100)
+    pick = lambda p: F.max(F.when((F.col("last") >= at(p)) & (F.col("last") - F.col("c") < at(p)), F.col(value)))
     return ranked.groupBy(key).agg(*[pick(p).alias(f"p{p}") for p in points])
 
 
@@ -64,21 +71,31 @@ def hit_rate(df: DataFrame, key: str | None, hit: str, miss: list[str]) -> DataF
 
 
 def rolling_hit_rate(df: DataFrame, key: str, order: list[str], hit: Column, total: Column, warm_up: int = 5, width: int = 10) -> DataFrame:
-    """After the first turns, the rate over the last ten of them, and running sums over all."""
+    """After the first turns, the rate over the last ten of them, and running sums over all (busts: turns after the first that hit nothing)."""
     w = Window.partitionBy(key).orderBy(*order)
     turns = df.withColumn("turn", F.row_number().over(w)).withColumn("_hit", hit).withColumn("_all", total)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    late = turns.withColumn("lifetime_hit", F.sum("_hit").over(so_far)).withColumn("lifetime_all", F.sum("_all").over(so_far)).where(F.col("turn") > warm_up)
+    bust = F.when((F.col("turn") > warm_up) & (F.col("_hit") == 0), 1).otherwise(0)
+    late = turns.withColumn("lifetime_hit", F.sum("_hit").over(so_far)).withColumn("lifetime_all", F.sum("_all").over(so_far)).withColumn("busts", F.sum(bust).over(so_far)).where(F.col("turn") > warm_up)
     recent = w.rowsBetween(-(width - 1), 0)
     hits, alls = F.sum("_hit").over(recent), F.sum("_all").over(recent)
     return late.withColumn("window_rate", F.when(alls > 0, hits / alls).otherwise(1.0)).drop("_hit", "_all")
 
 
-def drop_consecutive(df: DataFrame, by: str | None, order: list[str], same: list[str]) -> DataFrame:
-    """Without rows whose values equal those of the row just before."""
-    w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
+def drop_consecutive(df: DataFrame, order: list[str], same: list[str], bucket: Column) -> DataFrame:
+    """Without rows whose values equal those of the row just before, over the whole log.
+
+    bucket: a coarse part of the order (a day), so that no task holds the whole
+    log; each bucket's first row is compared with the last row of the bucket before.
+    """
     state = F.struct(*same)
-    return df.withColumn("_before", F.lag(state).over(w)).where(~state.eqNullSafe(F.col("_before"))).drop("_before")
+    rows = df.withColumn("_bucket", bucket).withColumn("_state", state)
+    within = Window.partitionBy("_bucket").orderBy(*order)
+    ends = rows.groupBy("_bucket").agg(F.max_by("_state", F.struct(*order)).alias("_end"))
+    before = ends.select("_bucket", F.lag("_end").over(Window.orderBy("_bucket")).alias("_carry"))  # one row a bucket
+    rows = rows.join(before, "_bucket").withColumn("_n", F.row_number().over(within)).withColumn("_lag", F.lag("_state").over(within))
+    last = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return rows.where(~F.col("_state").eqNullSafe(last)).drop("_bucket", "_state", "_carry", "_n", "_lag")
 
 
 def score_histogram(df: DataFrame, score: Column, key: str | None = None) -> DataFrame:
@@ -104,3 +121,64 @@ def top_weighted(df: DataFrame, by: str, label: str, top: int) -> DataFrame:
 def edge_stats(edges: DataFrame) -> DataFrame:
     """Edges by type, confidence and source graph, and in all."""
     return edges.select(F.explode(F.array(F.struct(F.lit("total").alias("kind"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("edge_type", "confidence", "source_graph")])).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def session_label(topics: DataFrame, actions: DataFrame, by: str, most: int = 35) -> DataFrame:
+    """(by, label): the two topics and the action of most weight, cut to so many characters. topics, actions: as ``top_weighted`` gives them."""
+    t = topics.where("rank <= 2").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), " ").alias("topic"))
+    a = actions.where("rank = 1").select(by, F.col("label").alias("action"))
+    label = F.trim(F.concat_ws(" ", "topic", "action"))
+    return t.join(a, by, "full").select(by, F.when(F.length(label) > most, F.concat(F.substring(label, 1, most - 1), F.lit("…"))).otherwise(label).alias("label"))
+
+
+def last_cost(turns: DataFrame, session: str, cost: str, at: str) -> DataFrame:
+    """The cost that each session reported last."""
+    return turns.groupBy(session).agg(F.max_by(cost, at).alias("cost"))
+
+
+def retrieval_report(log: DataFrame, top: int = 10, top_files: int = 15) -> DataFrame:
+    """(kind, value, n): counts of commands, the most frequent queries, surfaced paths and files, and how many peers and sessions.
+
+    log: command, query, paths (array), file, peer, session.
+    """
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), F.col("value").cast("string").alias("value"), F.col("n").cast("long").alias("n"))
+    some = lambda c: log.where(F.col(c).isNotNull())
+    parts = [
+        kind(some("command").groupBy(F.col("command").alias("value")).agg(F.count("*").alias("n")), "command"),
+        kind(top_values(some("query"), F.lower(F.trim("query")), top), "query"),
+        kind(top_values(log.select(F.explode("paths").alias("path")), F.col("path"), top), "path"),
+        kind(top_values(some("file"), F.col("file"), top_files), "file"),
+        kind(log.agg(F.countDistinct("peer").alias("n")).withColumn("value", F.lit("all")), "peers"),
+        kind(log.agg(F.countDistinct("session").alias("n")).withColumn("value", F.lit("all")), "sessions"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def shadow_review(log: DataFrame) -> DataFrame:
+    """One row: how healthy two backends are, how many entries pass, and what that says about the gate.
+
+    log: skipped, passed (booleans), first_error, second_error (null where the backend answered).
+    """
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one, two = F.col("first_error").isNull(), F.col("second_error").isNull()
+    healthy = ~F.col("skipped") & one & two
+    sums = log.agg(F.count("*").alias("total"), n(F.col("skipped")).alias("skips"), n(one).alias("first_ok"), n(two).alias("second_ok"), n(healthy).alias("healthy"), n(F.col("passed")).alias("passed"), n(healthy & F.col("passed")).alias("passed_healthy"))
+    rate = F.when(F.col("total") > 0, F.least("first_ok", "second_ok") / F.col("total")).otherwise(0.0)
+    share = F.when(F.col("healthy") > 0, F.col("passed_healthy") / F.col("healthy")).otherwise(0.0)
+    says = F.when((rate < 0.6) & (F.col("total") >= 50), "infrastructure").when(F.col("healthy") < 100, "not_ready").when((F.col("passed_healthy") >= 20) & (share >= 0.05), "ready").when((F.col("healthy") >= 300) & (share < 0.02), "too_strict").otherwise("inconclusive")
+    return sums.select("*", F.round(share, 6).alias("pass_rate"), says.alias("verdict"))
+
+
+def top_errors(log: DataFrame, error: str, top: int = 3) -> DataFrame:
+    """The most frequent errors by their first 60 characters."""
+    return top_values(log.where(F.col(error).isNotNull()), F.substring(error, 1, 60), top)
+
+
+def config_ratio(rates: DataFrame, least: int = 5, ratio: float = 2.0) -> DataFrame:
+    """(config, other, ratio): configurations of enough notes that are flagged at least twice as often as another."""
+    rate = rates.where(F.col("total") >= least).select("config", (F.col("flagged") / F.col("total")).alias("rate"))
+    lowest = rate.where("rate > 0").agg(F.min_by("config", F.struct("rate", "config")).alias("other"), F.min("rate").alias("low"))
+    return rate.crossJoin(F.broadcast(lowest)).where(F.col("rate") >= ratio * F.col("low")).select("config", "other", F.round(F.col("rate") / F.col("low"), 6).alias("ratio"))

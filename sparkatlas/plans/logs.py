@@ -159,23 +159,25 @@ def weighted_hit_rate(spark, d):
     "rolling_hit_rate",
     f"""{CACHE_SQL}, t AS (SELECT event_id, user_id, hit, hit + made + raw AS total, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS turn,
   sum(hit) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS lifetime_hit, sum(hit + made + raw) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS lifetime_all FROM c),
-w AS (SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h, sum(total) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a FROM t WHERE turn > 5)
-SELECT event_id, turn, lifetime_hit, lifetime_all, round(CASE WHEN a > 0 THEN h / a ELSE 1.0 END, 6) AS window_rate FROM w""",
+b AS (SELECT *, sum(CASE WHEN turn > 5 AND hit = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS busts FROM t),
+w AS (SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h, sum(total) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a FROM b WHERE turn > 5)
+SELECT event_id, turn, lifetime_hit, lifetime_all, busts, round(CASE WHEN a > 0 THEN h / a ELSE 1.0 END, 6) AS window_rate FROM w""",
 )
 def rolling_hit_rate(spark, d):
     total = F.col("hit") + F.col("made") + F.col("raw")
     out = reports.rolling_hit_rate(_cache(spark, d), "user_id", ["sec", "event_id"], F.col("hit"), total)
-    return out.select("event_id", F.col("turn").cast("long").alias("turn"), "lifetime_hit", "lifetime_all", F.round("window_rate", 6).alias("window_rate"))
+    return out.select("event_id", F.col("turn").cast("long").alias("turn"), "lifetime_hit", "lifetime_all", "busts", F.round("window_rate", 6).alias("window_rate"))
 
 
 @query(
     "consecutive_dedupe",
-    f"""WITH {A.LOG_SQL}, b AS (SELECT *, lag(event_type) OVER w AS pe, lag(k % 3) OVER w AS pk, row_number() OVER w AS n FROM log WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id))
+    f"""WITH {A.LOG_SQL}, b AS (SELECT *, lag(event_type) OVER w AS pe, lag(k % 3) OVER w AS pk, row_number() OVER w AS n FROM log WINDOW w AS (ORDER BY sec, event_id))
 SELECT event_id, user_id, event_type FROM b WHERE n = 1 OR pe IS DISTINCT FROM event_type OR pk IS DISTINCT FROM k % 3""",
 )
 def consecutive_dedupe(spark, d):
     log = A.log(spark, d).withColumn("m", F.col("k") % 3)
-    return reports.drop_consecutive(log, "user_id", ["sec", "event_id"], ["event_type", "m"]).select("event_id", "user_id", "event_type")
+    day = F.floor(F.col("sec") / 86400)
+    return reports.drop_consecutive(log, ["sec", "event_id"], ["event_type", "m"], day).select("event_id", "user_id", "event_type")
 
 
 @query("score_histogram", f"WITH {A.LOG_SQL} SELECT event_type, least(floor(k / 100.0 * 10), 9)::INT AS bin, count(*) AS n FROM log GROUP BY 1, 2")
@@ -219,3 +221,65 @@ def ema_novelty(spark, d):
     from sparkatlas.streaming.convergence import ema
 
     return ema(A.log(spark, d).select("user_id", "sec", "event_id", (F.col("k") / 100.0).alias("rate")), "user_id", ["sec", "event_id"], "rate", 12).withColumn("ema", F.round("ema", 6))
+
+
+@query(
+    "retrieval_report",
+    f"""WITH {A.LOG_SQL}, r AS (SELECT event_type AS command, ' Q' || (k % 37) AS query, [k, k + 1] AS paths, 'f' || (event_id % 41) AS file, user_id % 7 AS peer, user_id AS session FROM log),
+q AS (SELECT lower(trim(query)) AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 10),
+p AS (SELECT value, count(*) AS n FROM (SELECT unnest(paths) AS value FROM r) GROUP BY 1 ORDER BY n DESC, value LIMIT 10),
+f AS (SELECT file AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 15)
+SELECT 'command' AS kind, command AS value, count(*) AS n FROM r GROUP BY command UNION ALL SELECT 'query', value, n FROM q UNION ALL SELECT 'path', value::VARCHAR, n FROM p
+UNION ALL SELECT 'file', value, n FROM f UNION ALL SELECT 'peers', 'all', count(DISTINCT peer) FROM r UNION ALL SELECT 'sessions', 'all', count(DISTINCT session) FROM r""",
+)
+def retrieval_report(spark, d):
+    k = F.col("k")
+    log = A.log(spark, d).select(F.col("event_type").alias("command"), F.concat(F.lit(" Q"), k % 37).alias("query"), F.array(k, k + 1).alias("paths"), F.concat(F.lit("f"), F.col("event_id") % 41).alias("file"), (F.col("user_id") % 7).alias("peer"), F.col("user_id").alias("session"))
+    return reports.retrieval_report(log)
+
+
+@query("session_last_cost", f"WITH {A.LOG_SQL} SELECT user_id AS session, value AS cost FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, event_id DESC) AS n FROM log) WHERE n = 1")
+def session_last_cost(spark, d):
+    turns = A.log(spark, d).withColumn("at", F.struct("sec", "event_id"))
+    return reports.last_cost(turns, "user_id", "value", "at").select(F.col("user_id").alias("session"), "cost")
+
+
+@query(
+    "shadow_review",
+    f"""WITH {A.LOG_SQL}, s AS (SELECT k % 11 = 0 AS skipped, k >= 35 AS passed, CASE WHEN k % 13 = 0 THEN 'no answer' END AS a, CASE WHEN k % 17 = 0 THEN 'timeout' END AS b FROM log),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE skipped) AS skips, count(*) FILTER (WHERE a IS NULL) AS first_ok, count(*) FILTER (WHERE b IS NULL) AS second_ok,
+      count(*) FILTER (WHERE NOT skipped AND a IS NULL AND b IS NULL) AS healthy, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE passed AND NOT skipped AND a IS NULL AND b IS NULL) AS passed_healthy FROM s)
+SELECT *, round(passed_healthy / healthy, 6) AS pass_rate, CASE WHEN least(first_ok, second_ok) / total < 0.6 AND total >= 50 THEN 'infrastructure' WHEN healthy < 100 THEN 'not_ready' WHEN passed_healthy >= 20 AND passed_healthy / healthy >= 0.05 THEN 'ready'
+       WHEN healthy >= 300 AND passed_healthy / healthy < 0.02 THEN 'too_strict' ELSE 'inconclusive' END AS verdict FROM t""",
+)
+def shadow_review(spark, d):
+    k = F.col("k")
+    return reports.shadow_review(A.log(spark, d).select((k % 11 == 0).alias("skipped"), (k >= 35).alias("passed"), F.when(k % 13 == 0, "no answer").alias("first_error"), F.when(k % 17 == 0, "timeout").alias("second_error")))
+
+
+@query(
+    "session_label",
+    """WITH w AS (SELECT conv_id, chr(97 + (length(text) % 5)::INT) || ' topic of some length' AS topic, CASE WHEN length(text) % 2 = 0 THEN 'write' ELSE 'fix' END AS action,
+    CASE row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) WHEN 1 THEN 10 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 3 ELSE 1 END AS w FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+t AS (SELECT conv_id, topic, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, topic) AS r FROM (SELECT conv_id, topic, sum(w) AS s FROM w GROUP BY 1, 2)),
+a AS (SELECT conv_id, action, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, action) AS r FROM (SELECT conv_id, action, sum(w) AS s FROM w GROUP BY 1, 2)),
+j AS (SELECT t.conv_id, string_agg(topic, ' ' ORDER BY t.r) || ' ' || any_value(action) AS label FROM t JOIN a ON a.conv_id = t.conv_id AND a.r = 1 WHERE t.r <= 2 GROUP BY t.conv_id)
+SELECT conv_id, CASE WHEN length(label) > 35 THEN substr(label, 1, 34) || '…' ELSE label END AS label FROM j""",
+)
+def session_label(spark, d):
+    n = F.length("text")
+    said = table(spark, d, "conversations").where("role = 'user' AND text IS NOT NULL")
+    weighed = reports.label_weights(said, "conv_id", "turn")
+    topic = F.concat(F.char((n % 5 + 97).cast("long")), F.lit(" topic of some length"))
+    by = lambda c, top: reports.top_weighted(weighed.withColumn("label", c), "conv_id", "label", top)
+    return reports.session_label(by(topic, 2), by(F.when(n % 2 == 0, "write").otherwise("fix"), 1), "conv_id")
+
+
+@query(
+    "config_ratio",
+    f"""WITH {A.LOG_SQL}, c AS (SELECT event_type AS config, count(*) AS total, count(*) FILTER (WHERE k % 10 < length(event_type) - 3) AS flagged FROM log GROUP BY 1), r AS (SELECT config, flagged / total AS rate FROM c WHERE total >= 5),
+l AS (SELECT config AS other, rate AS low FROM r WHERE rate > 0 ORDER BY rate, config LIMIT 1) SELECT config, other, round(rate / low, 6) AS ratio FROM r, l WHERE rate >= 2 * low""",
+)
+def config_ratio(spark, d):
+    flagged = F.sum(F.when(F.col("k") % 10 < F.length("event_type") - 3, 1).otherwise(0)).alias("flagged")
+    return reports.config_ratio(A.log(spark, d).groupBy(F.col("event_type").alias("config")).agg(F.count("*").alias("total"), flagged))

@@ -11,15 +11,16 @@ from sparkatlas.functions import text as T
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, full_path, mtime_ms, raw) of all .md files; entries that begin with '.' and folders that begin with '_' are skipped.
 
-    Spark's readers hide files that begin with '_' too, so those are left out.
+    Spark's readers hide files that begin with '_' too, so those are left out;
+    files that can't be read or decoded are skipped.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.md").load(root)
     clean = F.regexp_replace("path", r"^\w+:/+", "/")
     base = root.rstrip("/").removeprefix("file://") + "/"
     rel = F.substring_index(clean, base, -1)
     hidden = rel.rlike(r"(^|/)\.") | rel.rlike(r"(^|/)_[^/]*/")
     mtime = F.unix_micros("modificationTime") / 1000.0
-    return files.where(~hidden).select(rel.alias("path"), F.col("path").alias("full_path"), mtime.alias("mtime_ms"), F.decode("content", "UTF-8").alias("raw"))
+    return files.where(~hidden).select(rel.alias("path"), F.col("path").alias("full_path"), mtime.alias("mtime_ms"), F.expr("try_validate_utf8(CAST(content AS STRING))").alias("raw")).where("raw IS NOT NULL")
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
@@ -76,7 +77,15 @@ def list_notes(notes: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def read_head(raw: Column, most: int = 500) -> Column:
-    """The start of a note's body."""
-    body = T.body_of(raw)
-    return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)
+def read_head(raw: Column, most: int = 500, cap: int = 1500) -> Column:
+    """The start of a note's body, and of that no more than the cap, with a mark where it was cut."""
+    head = F.substring(T.body_of(raw), 1, most)
+    return F.when(F.length(head) > cap, F.concat(F.substring(head, 1, cap), F.lit("…"))).otherwise(head)
+
+
+def message_text(content: Column) -> Column:
+    """The text of a message whose content is a string, or JSON of a string or of blocks {type, text}."""
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    said = F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n")
+    quoted = F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v")
+    return F.when(content.startswith("["), said).when(content.startswith('"'), quoted).otherwise(content)

@@ -157,7 +157,7 @@ def test_reports(spark):
     df = spark.createDataFrame([("k", float(x)) for x in range(1, 11)], "key string, v double")
     assert reports.floor_percentiles(df, "key", "v", (50, 90)).first().asDict() == {"key": "k", "p50": 5.0, "p90": 9.0}
     seq = spark.createDataFrame([(i, x) for i, x in enumerate([1, 1, 2, 1, None, None])], "i long, x long")
-    assert [r.i for r in reports.drop_consecutive(seq, None, ["i"], ["x"]).orderBy("i").collect()] == [0, 2, 3, 4]
+    assert [r.i for r in reports.drop_consecutive(seq, ["i"], ["x"], F.floor(F.col("i") / 2)).orderBy("i").collect()] == [0, 2, 3, 4]
 
 
 def test_metrics(spark):
@@ -246,3 +246,50 @@ def test_walks_match_a_plain_search(spark):
     got = sorted((r.depth, r.from_path, r.to_path) for r in graph.downstream(edges, starts, 4).collect())
     assert got == [(1, "a", "b"), (2, "b", "c"), (3, "c", "a"), (4, "a", "b")]
     assert {r.node: r.depth for r in graph.symmetric_reach(edges, starts).collect()} == {"b": 1, "c": 1, "e": 1}
+
+
+def test_api_names_resolve(spark):
+    from sparkatlas import api
+
+    notes = spark.createDataFrame([("b.md", ["t"]), ("a.md", [])], "path string, tags array<string>")
+    assert [r.path for r in api.call("list_notes", notes).collect()] == ["a.md", "b.md"]
+    with pytest.raises(ValueError):
+        api.call("nothing")
+    assert all(map(callable, api.COMMANDS.values())) and len(api.COMMANDS) >= 21 and len(api.TOOLS) == 10
+
+
+def test_write_checks_and_link_reasons(spark):
+    from sparkatlas.operators import health, incremental
+
+    drafts = spark.createDataFrame([("a", ["x", "x"], ["B"]), ("b", ["x"], ["gone", "b"]), ("c", [], [])], "path string, tags array<string>, links array<string>")
+    notes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    similar = spark.createDataFrame([("b", 7, 0.9), ("c", 8, 0.5)], "path string, key long, cosine double")
+    got = {r.path: (r.verdict, r.reasons) for r in health.write_checks(drafts, notes, similar).collect()}
+    assert got == {"a": ("deny", ["duplicate tags"]), "b": ("warn", ["broken links: gone", "similar to 7"]), "c": ("ok", [])}
+    links = spark.createDataFrame([("a", "b|alias")], "src string, dst string")
+    suggested = spark.createDataFrame([("a", "A"), ("a", "zz"), ("a", "B"), ("a", "c")], "src string, dst string")
+    assert {r.dst: r.reason for r in incremental.judged_links(suggested, links, notes).collect()} == {"A": "self", "zz": "missing", "B": "linked", "c": None}
+    queue = spark.createDataFrame([(1, "pending"), (2, "pending")], "id long, status string")
+    out = incremental.update_queue(queue, queue.where("id = 2").selectExpr("id", "'done' AS status"), spark.createDataFrame([(2, "pending"), (3, "pending")], "id long, status string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "pending"), (2, "done"), (3, "pending")]
+
+
+def test_links_go_to_the_first_folder(spark):
+    from sparkatlas.operators import graph
+
+    notes = spark.createDataFrame([("0-inbox/x.md",), ("3-permanent/x.md",), ("9-other/y.md",)], "path string")
+    links = spark.createDataFrame([("a.md", "x"), ("a.md", "y")], "path string, target string")
+    assert sorted(r.dst for r in graph.resolve_links(links, notes, graph.FOLDERS).collect()) == ["3-permanent/x.md", "9-other/y.md"]
+    assert sorted(r.dst for r in graph.resolve_links(links, notes).collect()) == ["0-inbox/x.md", "9-other/y.md"]
+
+
+def test_intention_counts_and_messages(spark):
+    from sparkatlas.operators import health
+    from sparkatlas.sources import notes
+
+    body = spark.createDataFrame([("p", "- work — write it\n* home — call\n- work — test it")], "path string, body string")
+    items = health.intentions(body)
+    assert [tuple(r) for r in health.intention_counts(items).collect()] == [("work", 2), ("home", 1)]
+    assert [tuple(r) for r in health.intention_counts(items, "TEST").collect()] == [("work", 1)]
+    said = spark.createDataFrame([("plain",), ('"quoted"',), ('[{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]',)], "c string")
+    assert [r[0] for r in said.select(notes.message_text(said["c"])).collect()] == ["plain", "quoted", "a\nb"]
