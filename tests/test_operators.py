@@ -213,9 +213,11 @@ def test_paths_by_suffix_only(spark):
     assert got == {1: "a/x.md", 2: "b/x.md", 3: None, 4: "b/deep/yx.md"}
 
 
-def test_pagerank_matches_a_plain_loop(spark):
+@pytest.mark.parametrize("sparse", [0.0, 6.0])
+def test_pagerank_matches_a_plain_loop(spark, sparse, monkeypatch):
     from sparkatlas.operators import graph
 
+    monkeypatch.setattr(graph, "SPARSE", sparse)
     edges = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (6, 5)]
     g = graph.link_graph(spark.createDataFrame(edges, "src long, dst long"))
     deg = graph.degrees(spark.createDataFrame(edges, "src long, dst long"))
