@@ -41,7 +41,7 @@ SHARD_BYTES = 1_000_000
 
 
 def unit(length: int = LENGTH) -> Unit:
-    return Unit("bytes", length, max(1, length // 5), common=1024)
+    return Unit("bytes", length, max(1, length // 5), common=4096)
 
 
 def suffix_ranks(values: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
