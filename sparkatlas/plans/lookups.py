@@ -118,10 +118,13 @@ SELECT 'stale_inbox' AS "check", count(*) AS n FROM notes WHERE folder IN ('src0
 UNION ALL SELECT 'orphans', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
 UNION ALL SELECT 'unindexed', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'ghosts', count(*) FROM documents a WHERE source = 'src0' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM documents b WHERE b.text = a.text AND b.source <> 'src0')
+UNION ALL SELECT 'near_duplicates', (SELECT count(*) FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.38)
+UNION ALL SELECT 'broken_links', (SELECT count(*) FROM (WITH l AS (SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS target FROM pages), names AS (SELECT DISTINCT lower(regexp_extract(url, '/([^/?]*)(?:\\?[^/]*)?$', 1)) AS target FROM pages) SELECT page_id, target FROM l WHERE target NOT IN (SELECT target FROM names)))
 UNION ALL SELECT 'queue', count(*) FROM labels WHERE quality = 0""",
 )
 def health_dashboard(spark, d):
-    from sparkatlas.plans import graphs
+    from sparkatlas.operators import vectors
+    from sparkatlas.plans import graphs, retrieval
 
     docs, labels, notes = table(spark, d, "documents"), table(spark, d, "labels"), A.notes(spark, d)
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
@@ -131,6 +134,8 @@ def health_dashboard(spark, d):
             "orphans": lookup.zero_outlink(customers, table(spark, d, "orders").select(F.col("o_custkey").alias("src"))),
             "unindexed": docs.join(labels, "doc_id", "left_anti"),
             "ghosts": graphs.ghost_duplicates(spark, d),
+            "near_duplicates": vectors.similar_pairs(A.unit_vecs(spark, d), retrieval.NEAR),
+            "broken_links": graphs.broken_links(spark, d),
             "queue": labels.where("quality = 0"),
         }
     )

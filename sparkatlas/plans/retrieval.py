@@ -315,3 +315,12 @@ def inbox_clusters(spark, d):
     tags = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array("lang", "source", F.concat(F.lit("n"), F.col("doc_id") % 3)).alias("tags"))
     found = review.overlapping_pairs(vectors.similar_pairs(A.unit_vecs(spark, d), 0.3), tags)
     return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("reflect_rerank")
+def reflect_rerank(spark, d):
+    """Hybrid candidates ranked again by shared words, with the cosine of each query's best match."""
+    texts = _texts(spark, d)
+    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64)).select(F.col("key").alias("query_id"), "vec")
+    found, _ = fusion.reflect(_corpus(spark, d), texts, asked, models.OverlapScorer())
+    return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank", F.round("top_cosine", 6).alias("top_cosine"))

@@ -295,3 +295,17 @@ def test_intention_counts_and_messages(spark):
     assert [tuple(r) for r in health.intention_counts(items, "TEST").collect()] == [("work", 1)]
     said = spark.createDataFrame([("plain",), ('"quoted"',), ('[{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]',)], "c string")
     assert [r[0] for r in said.select(notes.message_text(said["c"])).collect()] == ["plain", "quoted", "a\nb"]
+
+
+def test_reflect_ranks_candidates_again(spark):
+    from sparkatlas.operators import bm25, fusion, models
+
+    rows = [(1, "alpha note", "alpha beta gamma"), (2, "beta note", "beta gamma"), (3, "other", "delta"), (4, "alpha again", "alpha beta gamma delta")]
+    notes = spark.createDataFrame([(k, f"{k}.md", t, "", b, 0.0, 0) for k, t, b in rows], "key long, path string, title string, tags string, body string, mtime double, session_id long")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (4, [0.99, 0.1])], "key long, vec array<double>")
+    corpus = fusion.Corpus(notes, vecs, bm25.build(notes), spark.createDataFrame([(1, "t"), (2, "t")], "key long, tag string"), spark.createDataFrame([(1, 2)], "src long, dst long"))
+    texts = spark.createDataFrame([(9, "alpha beta gamma")], "query_id long, text string")
+    found, pairs = fusion.reflect(corpus, texts, spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vec array<double>"), models.OverlapScorer())
+    best = found.orderBy("rank").collect()
+    assert [r.key for r in best][:2] == [1, 4] and best[0].score == 1.0 and best[0].top_cosine == pytest.approx(1.0)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 4)}
