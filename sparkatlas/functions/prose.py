@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,6 +88,63 @@ def json_with(text: Column, key: str) -> Column:
     return extract(text)
 
 
+# The frontmatter key of each type of edge.
+EDGE_KEYS = {
+    "evidence_for": "evidence-for",
+    "supports": "supports",
+    "derived_from": "derived-from",
+    "challenges_undermining": "undermines",
+    "challenges_undercutting": "undercuts",
+    "challenges_rebuttal": "rebuts",
+}
+_FRONT = re.compile(r"\A---\n(.*?)\n---(?=\n|\Z)", re.S)
+_BULLET = re.compile(r"\s*-\s+(.*)")
+
+
+def _items(parts: list[str]) -> list[str]:
+    return [x for x in (p.strip().strip("\"'") for p in parts) if x]
+
+
+def merge_front(text: str, wanted: dict[str, list[str]]) -> str:
+    """The note with the wanted items in its frontmatter's lists; lists keep what they have, other values are left alone."""
+    front = _FRONT.match(text)
+    lines = front[1].split("\n") if front else []
+    changed = False
+    for key, items in wanted.items():
+        at = next((i for i, line in enumerate(lines) if line.startswith(f"{key}:")), len(lines))
+        end, value = at + 1, lines[at].partition(":")[2].strip() if at < len(lines) else ""
+        if value and not (value[0] == "[" and value[-1] == "]"):
+            continue
+        while not value and end < len(lines) and _BULLET.match(lines[end]):
+            end += 1
+        have = _items(value[1:-1].split(",")) if value else _items([_BULLET.match(line)[1] for line in lines[at + 1 : end]])
+        merged = list(dict.fromkeys(have + items))
+        if len(merged) > len(have):
+            lines[at:end] = [f"{key}: [" + ", ".join(f'"{x}"' for x in merged) + "]"]
+            changed = True
+    if not changed:
+        return text
+    return "---\n" + "\n".join(lines) + "\n---" + (text[front.end() :] if front else "\n" + text)
+
+
+def with_edges(text: Column, edges: Column) -> Column:
+    """The note with links to the targets of its edges (array of structs edge_type, to_path) in its frontmatter, by type."""
+
+    @F.pandas_udf("string")
+    def merged(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, lists):
+            wanted: dict[str, list[str]] = {}
+            for e in own if own is not None else []:
+                if e["edge_type"] in EDGE_KEYS:
+                    name = e["to_path"].rsplit("/", 1)[-1].removesuffix(".md")
+                    wanted.setdefault(EDGE_KEYS[e["edge_type"]], []).append(f"[[{name}]]")
+            out.append(merge_front(t, wanted) if t is not None else None)
+        return pd.Series(out, dtype=object)
+
+    return merged(text, edges)
+
+
 def iso_time(seconds: Column) -> Column:
     """UTC time of seconds since 1970, to the second."""
     return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")

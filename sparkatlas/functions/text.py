@@ -193,12 +193,31 @@ def sample_size(text: Column) -> Column:
 
 def source_ids(text: Column) -> Column:
     """Identifiers of publications named in a text, as kind:id, each once, sorted."""
-    kinds = {"pmid": r"(?i)\bPMID:?\s*(\d{4,9})\b", "pmc": r"(?i)\b(PMC\d{4,9})\b", "doi": r"(?i)\bdoi\.org/(10\.\d{4,9}/[^\s)\]>\"',;]+)", "arxiv": r"(?i)\barxiv[:/ ]\s*(?:abs/)?(\d{4}\.\d{4,5})\b", "rfc": r"(?i)\bRFC\s?(\d{1,5})\b", "isbn": r"(?i)\bISBN[:\s-]*([0-9][0-9-]{8,15}[0-9X])"}
+    kinds = {"pmid": r"(?i)(?:\bPMID:?\s*|\bPubMed\s+|pubmed\.ncbi\.nlm\.nih\.gov/)(\d{4,9})\b", "pmc": r"(?i)\b(PMC\d{4,9})\b", "doi": r"(?i)\bdoi\.org/(10\.\d{4,9}/[^\s)\]>\"',;]+)", "arxiv": r"(?i)\barxiv[:/ ]\s*(?:abs/)?(\d{4}\.\d{4,5})\b", "rfc": r"(?i)\bRFC\s?(\d{1,5})\b", "isbn": r"(?i)\bISBN[:\s-]*([0-9][0-9-]{8,15}[0-9X])"}
     named = lambda kind: lambda x: F.concat(F.lit(kind + ":"), F.lower(x))
     found = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), named(k)) for k, p in kinds.items()]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
+#: Who is said to have written a source, and when: 'Smith 2001', 'Smith et al. (2001', 'Smith-Lee & Jones, 2001'.
+_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+CLAIM = rf"({_SURNAME}(?:\s+(?:et\s+al\.?|&\s+{_SURNAME}))*)\s*[(,]?\s*((?:19|20)\d{{2}})"
+
+
+def claimed_sources(text: Column) -> Column:
+    """Each identifier of ``source_ids`` with the author and year claimed for it: by its link's text, else within 100 characters before it."""
+
+    def claim(found: Column) -> Column:
+        raw = F.concat(F.lit(r"\Q"), F.substring_index(found, ":", -1), F.lit(r"\E"))
+        label = F.get(F.regexp_extract_all(text, F.concat(F.lit(r"(?is)\[([^\]\[]+)\]\([^)]*"), raw), 1), 0)
+        before = F.coalesce(F.get(F.regexp_extract_all(text, F.concat(F.lit("(?is)(.{0,100})"), raw), 1), 0), F.lit(""))
+        place = F.when(F.coalesce(label.rlike(CLAIM), F.lit(False)), label).otherwise(before)
+        author, year = (F.nullif(F.regexp_extract(place, CLAIM, i), F.lit("")) for i in (1, 2))
+        return F.struct(found.alias("id"), author.alias("author"), year.cast("int").alias("year"))
+
+    return F.transform(source_ids(text), claim)
+
+
 def topic_keywords(text: Column, most: int = 4, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """First words of the first heading that are no stop words."""
     heading = F.regexp_extract(text, r"(?m)^# (.*)$", 1)

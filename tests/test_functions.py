@@ -96,3 +96,24 @@ def test_edit_checks_and_json(spark):
 def test_credentials(spark):
     for secret in ("sk_live_" + "a1" * 12, "cfpat-" + "b2" * 12, "AKIA" + "A" * 16, "Bearer " + "c" * 30):
         assert one(spark, T.scrub_secrets, a=f"x {secret} y") == "x [REDACTED] y"
+
+
+def test_claimed_sources(spark):
+    text = "Shown by Smith-Lee & Jones (2004) in PMID 1234567. [Brown et al. 1999](https://pubmed.ncbi.nlm.nih.gov/7654321) agree; see RFC 2616."
+    got = {r.id: (r.author, r.year) for r in one(spark, T.claimed_sources, t=text)}
+    assert got == {"pmid:1234567": ("Smith-Lee & Jones", 2004), "pmid:7654321": ("Brown et al.", 1999), "rfc:2616": got["rfc:2616"]}
+    assert one(spark, T.claimed_sources, t="RFC 2616 alone")[0].author is None and one(spark, T.claimed_sources, t="") == []
+
+
+def test_edges_in_frontmatter(spark):
+    from sparkatlas.functions import prose
+
+    edges = [("supports", "a/one.md"), ("supports", "two.md"), ("challenges_rebuttal", "b/three.md"), ("unknown", "x.md")]
+    notes = ["plain", "---\ntitle: t\nsupports:\n  - \"[[one]]\"\n  - [[old]]\nlast: 1\n---\nbody", '---\nsupports: ["[[one]]", "[[two]]"]\nrebuts: ["[[three]]"]\n---\nb', "---\nsupports: words\n---\nb", "", None]
+    rows = [(i, t, edges) for i, t in enumerate(notes)]
+    df = spark.createDataFrame(rows, "i int, t string, e array<struct<edge_type string, to_path string>>")
+    got = [r[0] for r in df.orderBy("i").select(prose.with_edges(F.col("t"), F.col("e"))).collect()]
+    both = 'supports: ["[[one]]", "[[two]]"]\nrebuts: ["[[three]]"]'
+    assert got[0] == f"---\n{both}\n---\nplain" and got[4] == f"---\n{both}\n---\n"
+    assert got[1] == '---\ntitle: t\nsupports: ["[[one]]", "[[old]]", "[[two]]"]\nlast: 1\nrebuts: ["[[three]]"]\n---\nbody'
+    assert got[2] == notes[2] and got[3] == '---\nsupports: words\nrebuts: ["[[three]]"]\n---\nb' and got[5] is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkatlas.sources import notes, sinks
@@ -48,9 +49,30 @@ def test_ttl_dedupe_stream(spark, tmp_path):
 
 
 def test_convergence_stream(spark, tmp_path):
-    rows = [("s", f"2024-01-01 00:00:0{i}", q, r) for i, (q, r) in enumerate([("alpha", ["1", "2"]), ("beta", ["2"]), ("gamma", ["1"]), ("Alpha", ["9"])])]
-    spark.createDataFrame(rows, "session string, t string, query string, results array<string>").select("session", F.col("t").cast("timestamp").alias("ts"), "query", "results").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session string, ts timestamp, query string, results array<string>").parquet(str(tmp_path / "in"))
+    first = "We asked Ada Lovelace about engines and looms. The method of Smith (2001) measures rainfall over mountains."
+    other = "Glaciers retreat quickly whenever summers grow warmer. Whales near Grace Hopper sing along coastal trenches, says Jones 1999."
+    rows = [("s", f"2024-01-01 00:00:0{i}", q, r) for i, (q, r) in enumerate([("alpha", first), ("Alpha two", other), ("beta", first), ("ALPHA", first)])]
+    rows += [("t", f"2024-01-01 00:00:{i:02d}", f"q{i:02d}", None) for i in range(14)]
+    kind = "session string, t string, query string, result string"
+    spark.createDataFrame(rows, kind).select("session", F.col("t").cast("timestamp").alias("ts"), "query", "result").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, ts timestamp, query string, result string").parquet(str(tmp_path / "in"))
     logs.run_available(convergence.converge(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = spark.read.schema(convergence.OUTPUT).parquet(str(tmp_path / "out")).orderBy("n").collect()
-    assert [(r.novelty, r.reason) for r in got] == [(1.0, "continue"), (0.0, "continue"), (0.0, "continue"), (1.0, "query_cycle")]
+    out = spark.read.schema(convergence.OUTPUT).parquet(str(tmp_path / "out")).orderBy("session", "n").collect()
+    got = [r for r in out if r.session == "s"]
+    assert [(r.cycle, r.novelty, r.n_citations, r.novel_citations, r.reason) for r in got] == [
+        ("none", 1.0, 1, 1, "continue"),
+        ("substring", 1.0, 1, 1, "continue"),
+        ("none", 0.0, 1, 0, "hard_stop:semantic_cycle_no_novelty"),
+        ("exact", 0.0, 1, 0, "hard_stop:query_and_semantic_cycle"),
+    ]
+    assert [r.mean for r in got] == [None, None, 1.0, 0.7] and got[0].novel_entities >= 1 and got[2].novel_entities == 0
+    empty = [r for r in out if r.session == "t"]
+    assert [r.reason for r in empty] == ["continue"] * 11 + ["hard_stop:budget_exhausted"] * 3 and {(r.n_sentences, r.novelty, r.cosine) for r in empty} == {(0, 1.0, 0.0)}
+
+
+@pytest.mark.parametrize(
+    "args, reason",
+    [((3, "none", False, 0.04, 0.05), "soft_stop:saturation"), ((3, "none", False, 0.09, 0.5), "soft_stop:diminishing_returns"), ((3, "none", False, 0.2, 0.5), "continue"), ((2, "none", False, 0.0, None), "continue"), ((12, "exact", False, 1.0, 1.0), "hard_stop:budget_exhausted")],
+)
+def test_verdicts(args, reason):
+    assert convergence.verdict(*args) == (reason != "continue", reason)
