@@ -39,7 +39,7 @@ def dedupe_ttl(stream: DataFrame, keys: list[str], out: list[str], seconds: floa
         last = state.get[0] if state.exists else None
         for pdf in [pd.concat(list(batches))]:
             keep = []
-            pdf = pdf.sort_values("ts", kind="stable")
+            pdf = pdf.sort_values(["ts", *out], kind="stable")
             for t in pdf["ts"].astype("int64") // 1000:
                 keep.append(last is None or t - last >= seconds * 1e6)
                 last = t if keep[-1] else last
