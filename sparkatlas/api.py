@@ -7,12 +7,15 @@ from typing import Any
 
 from sparkatlas.operators import bm25, evaluate, fusion, graph, health, incremental, lookup, models, reports, review, sessions, vectors
 from sparkatlas.sources import notes, sinks
+from sparkatlas.streaming import convergence, watch
 
 #: Command -> function.
 COMMANDS: dict[str, Callable[..., Any]] = {
     "index": incremental.upsert,
     "rebuild": sinks.rebuild,
     "status": incremental.index_status,
+    "watch": watch.watch,
+    "converge": convergence.converge,
     "query": fusion.hybrid,
     "federated-query": fusion.federated,
     "search": bm25.search,

@@ -35,6 +35,10 @@ def write_snapshot(df: DataFrame, root: str) -> str:
     return version
 
 
+def has_snapshot(spark: SparkSession, root: str) -> bool:
+    return bool(_pointers(spark, root))
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.parquet(f"{root}/pointers/{_pointers(spark, root)[-1]}").first().version
     return spark.read.parquet(f"{root}/versions/{version}")

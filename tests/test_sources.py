@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkatlas.sources import notes, sinks
-from sparkatlas.streaming import convergence, logs
+from sparkatlas.streaming import convergence, logs, watch
 
 
 def test_scan_and_parse(spark, tmp_path):
@@ -76,3 +76,39 @@ def test_convergence_stream(spark, tmp_path):
 )
 def test_verdicts(args, reason):
     assert convergence.verdict(*args) == (reason != "continue", reason)
+
+
+def test_changes_settle_before_they_are_indexed():
+    marks = iter([(1, 1), (1, 1), (2, 9), (2, 8), (2, 8), (2, 8), (2, 8), (1, 3), (1, 3)])
+    done = []
+    watcher = watch.Watcher(lambda: next(marks), lambda: done.append("index"), lambda: done.append("sync"), quiet=2, sync_every=5)
+    assert [watcher.poll(t) for t in (0, 1, 2, 3, 4, 5, 6, 7, 9)] == [["sync"], [], [], [], [], ["index", "sync"], [], [], ["index"]]
+    assert done == ["sync", "index", "sync", "index"]
+
+
+def test_watched_folder(spark, tmp_path):
+    import time
+
+    folder, index = tmp_path / "notes", str(tmp_path / "index")
+    folder.mkdir()
+    (folder / "a.md").write_text("first")
+    (folder / "b.md").write_text("second")
+    (folder / "c.txt").write_text("no note")
+    query = watch.watch(spark, str(folder), index, str(tmp_path / "state"))
+
+    def settle(want):
+        until = time.monotonic() + 60
+        while time.monotonic() < until and query.isActive:
+            if sinks.has_snapshot(spark, index) and {r.path: r.body for r in sinks.read_snapshot(spark, index).collect()} == want:
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert settle({"a.md": "first", "b.md": "second"})
+        (folder / "a.md").unlink()
+        (folder / "b.md").write_text("changed, and longer")
+        (folder / "d.md").write_text("new")
+        assert settle({"b.md": "changed, and longer", "d.md": "new"})
+    finally:
+        query.stop()
