@@ -7,7 +7,8 @@ trigger's context is what its windows cover. Sorted by trigger and context,
 three cases show:
 
 * the trigger occurs once: none of its windows repeats;
-* its context occurs again, whole: all of its windows repeat;
+* its context occurs again, whole: all of its windows repeat (with ``verify``
+  two places of it are sent as well, and the comparison has to agree);
 * the trigger has other contexts too: one copy of each context is sent, by
   trigger, to a shard, where the contexts are compared symbol by symbol.
 
@@ -39,13 +40,17 @@ from sparkatlas.llm.textcore import slices
 SLICE_BYTES = 2 << 20
 KEY = "doc_id long, th long"
 TRIGGERS = f"{KEY}, lo int, n int, trigger long, context long, part int"
-CONTEXTS = f"{KEY}, lo int, n int, trigger long, copies long, sent boolean"
+CONTEXTS = f"{KEY}, lo int, n int, trigger long, context long, copies long, sent boolean"
 SEGMENTS = f"{KEY}, route long, more long, copies long, lo int, body binary, common boolean"
 SPANS = f"{KEY}, s int, e int"
 #: Parts of a salted trigger.
 SALT = 256
 #: Marks rows that report frequent triggers.
 REPORT = -1
+#: Marks, as the start of a span, a context (trigger, context instead of doc_id, th) whose copies differ.
+REFUTED = -1
+#: Copies of a row that is sent as the second place of its context.
+SECOND = 0
 
 
 @dataclass(frozen=True)
@@ -61,6 +66,8 @@ class Unit:
     #: together, and a thousandth of all that slices report.
     hot: int = 4096
     often: int = 8
+    #: Contexts that occur again are sent too, from two places, and are copies only if compare agrees.
+    verify: bool = False
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Joined bytes, start and end byte and 64-bit value of each symbol, and where each text's symbols begin."""
@@ -156,7 +163,7 @@ class Runs:
         multi = np.bincount(group)[group] > 1
         multi[group == 0] |= self.multi
         done = len(first) if last else len(first) - 1
-        send = (multi | np.isin(trigger[first], self.hot))[:done]
+        send = (multi | np.isin(trigger[first], self.hot) | (self.unit.verify & (copies > 1)))[:done]
         copied = ~new
         if self.keep_first:  # a row that repeats the first place is no copy
             copied &= ~self._same(table, np.repeat(first, np.diff(np.append(first, len(new)))))
@@ -164,6 +171,11 @@ class Runs:
             copied[first[:done]] = copies[:done] > 1
         yield from self._rows(table, np.flatnonzero(copied), None)
         yield from self._rows(table, first[:done][send], copies[:done][send])
+        if self.unit.verify:
+            second = first[np.diff(np.append(first, len(new))) > 1] + 1
+            if self.weight > 1 and len(second) and second[0] == 1:  # sent with an earlier batch
+                second = second[1:]
+            yield from self._rows(table, second, np.full(len(second), SECOND))
         if not last:
             self.held, self.weight, self.multi = table.slice(first[-1], 1), int(copies[-1]), bool(multi[-1])
 
@@ -182,7 +194,7 @@ class Runs:
     @staticmethod
     def _rows(table: pa.Table, rows: np.ndarray, copies: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         if len(rows):
-            own = table.select(["doc_id", "th", "lo", "n", "trigger"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+            own = table.select(["doc_id", "th", "lo", "n", "trigger", "context"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
             m = len(rows)
             more = [pa.nulls(m, pa.int64()) if copies is None else pa.array(copies), pa.array(np.full(m, copies is not None))]
             yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "copies", "sent"])
@@ -207,9 +219,10 @@ def contexts(part: DataFrame, unit: Unit, keep_first: bool, hot: list[int]) -> D
 
 def segments(docs: DataFrame, sent: DataFrame, unit: Unit) -> DataFrame:
     """The text of each context to be compared, once, with the route to its shard; the hash of each window instead where the trigger is common."""
-    many = sent.groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common"))
+    many = sent.where(F.col("copies") != SECOND).groupBy("trigger").count().where(F.col("count") > unit.common).select("trigger", F.lit(True).alias("common"))
     rows = sent.join(beside(many), "trigger", "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("trigger", "copies", "lo", "n", "common")).alias("own"))
+    rows = rows.where(~F.col("common") | (F.col("copies") != SECOND))  # windows are counted from one place each
+    own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("trigger", "copies", "lo", "n", "common", "context")).alias("own"))
     d = keyed(docs)
     own = own.hint("shuffle_merge")
     joined = d.join(own, d.doc_id.eqNullSafe(own.doc_id) & (d.th == own.th)).select(d.doc_id, d.th, "text", "own")
@@ -225,14 +238,14 @@ def segments(docs: DataFrame, sent: DataFrame, unit: Unit) -> DataFrame:
                 lists = batch.column(3).slice(a, b - a)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
                 text = np.repeat(np.arange(b - a), sizes)
-                trigger, copies, lo, n, common = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                trigger, copies, lo, n, common, context = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 s = lo + bounds[text]
                 plain = np.flatnonzero(~common)
                 if len(plain):
                     ends = end[s[plain] + n[plain] - 2 + unit.length]
                     bodies = [raw[x:y] for x, y in zip(start[s[plain]].tolist(), ends.tolist())]
                     pick = pa.array(text[plain] + a)
-                    yield pa.RecordBatch.from_arrays([ids.take(pick), hashes.take(pick), pa.array(trigger[plain]), pa.nulls(len(plain), pa.int64()), pa.array(copies[plain]), _ints(lo[plain]), pa.array(bodies, pa.binary()), pa.array(np.zeros(len(plain), bool))], names=names)
+                    yield pa.RecordBatch.from_arrays([ids.take(pick), hashes.take(pick), pa.array(trigger[plain]), pa.array(context[plain]), pa.array(copies[plain]), _ints(lo[plain]), pa.array(bodies, pa.binary()), pa.array(np.zeros(len(plain), bool))], names=names)
                 if len(plain) < len(common):
                     own = np.flatnonzero(common)
                     row = np.repeat(own, n[own])
@@ -261,11 +274,16 @@ Compare = Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
 
 def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, skip_copied: bool) -> DataFrame:
-    """Spans of windows that compare finds repeated, from shards of bounded size (a route has ``common`` bodies at most)."""
+    """Spans of windows that compare finds repeated, from shards of bounded size (a route has ``common`` contexts at most).
+
+    With verify, also a mark for each context of several copies with a window that compare does not find again.
+    """
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
-        docs = {k: i for i, k in enumerate(sorted({r[:2] for r in rows}, key=lambda k: (k[0] is not None, k)))}
-        place = np.array([docs[r[:2]] << 32 | r[4] for r in rows], np.int64)
+        # a second place is one of its own, even where rows repeat both id and text
+        of = [(*r[:2], r[3] == SECOND) for r in rows]
+        docs = {k: i for i, k in enumerate(sorted(set(of), key=lambda k: (k[0] is not None, k)))}
+        place = np.array([docs[k] << 32 | r[4] for k, r in zip(of, rows)], np.int64)
         masks = compare([r[5] for r in rows], place)
         sizes = np.fromiter(map(len, masks), np.int64, len(masks))
         # all masks in one, each followed by a False, so that one difference finds every span
@@ -281,8 +299,15 @@ def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, sk
             first, last, row = first[single], last[single], row[single]
         base = np.array([r[4] for r in rows], np.int64)[row] - at[row]
         pick = row.tolist()
+        wrong = [r for r, m in zip(rows, masks) if r[3] > 1 and not m.all()] if unit.verify else []
+        none = np.full(len(wrong), REFUTED)
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in pick], pa.int64()), pa.array([rows[i][1] for i in pick], pa.int64()), _ints(base + first), _ints(base + last - 1 + unit.length)],
+            [
+                pa.array([rows[i][0] for i in pick] + [r[2] for r in wrong], pa.int64()),
+                pa.array([rows[i][1] for i in pick] + [r[6] for r in wrong], pa.int64()),
+                _ints(np.concatenate((base + first, none))),
+                _ints(np.concatenate((base + last - 1 + unit.length, none))),
+            ],
             names=["doc_id", "th", "s", "e"],
         )
 
@@ -290,7 +315,7 @@ def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, sk
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if size > shard_bytes and rows and rows[-1][2] != r[2]:
                     yield judge(rows)
                     rows, size = [], 0
@@ -299,7 +324,7 @@ def compared(sent: DataFrame, unit: Unit, compare: Compare, shard_bytes: int, sk
         if rows:
             yield judge(rows)
 
-    slim = sent.select("doc_id", "th", "route", "copies", "lo", "body")
+    slim = sent.select("doc_id", "th", "route", "copies", "lo", "body", "more")
     return slim.repartition("route").sortWithinPartitions("route").mapInArrow(run, SPANS)
 
 
@@ -326,11 +351,17 @@ def repeated_spans(docs: DataFrame, unit: Unit, compare: Compare, shard_bytes: i
         every = every.unionByName(other)
     body = stored(segments(docs, every.where("sent"), unit), "segments", by="common")
     release(docs.sparkSession)
-    whole = every.where("NOT sent").select("doc_id", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + unit.length).alias("e"))
-    spans = whole.unionByName(compared(body.where("NOT common"), unit, compare, shard_bytes, skip_copied=not keep_first))
-    spans = spans.unionByName(common_windows(body.where("common"), unit, keep_first))
+    whole = every.where("NOT sent")
+    mixed = compared(body.where("NOT common"), unit, compare, shard_bytes, skip_copied=not keep_first)
+    if unit.verify:
+        mixed = verdicts = stored(mixed, "verdicts")
+        refuted = verdicts.where(F.col("s") == REFUTED).select(F.col("doc_id").alias("trigger"), F.col("th").alias("context")).distinct()
+        whole = whole.join(beside(refuted), ["trigger", "context"], "left_anti")
+        mixed = mixed.where(F.col("s") != REFUTED)
+    whole = whole.select("doc_id", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + unit.length).alias("e"))
+    spans = whole.unionByName(mixed).unionByName(common_windows(body.where("common"), unit, keep_first))
     out = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(_packed(F.col("s"), F.col("e"))).alias("spans")), "spans")
-    discard(*judged, body)
+    discard(*judged, body, *([verdicts] if unit.verify else []))
     release(docs.sparkSession)
     return out
 

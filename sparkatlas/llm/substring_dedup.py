@@ -5,8 +5,10 @@ Passages of ``length`` words that occur anywhere else go, every copy of them.
 once to a shard of bounded size. Each shard's contexts make one generalised
 suffix automaton; the states that its contexts pass as they are inserted give, at
 every word, the longest match that also ends at another place of the corpus
-(the matching statistic). Contexts that recur as a whole are known from their
-hashes before that, and windows at the edge of a very common passage by theirs.
+(the matching statistic). A context that recurs as a whole is sent from two of
+its places; its copies go where the matching statistics of the first cover it
+whole. Further copies of it, and windows at the edge of a very common passage,
+are known from 128 bits of hash.
 Maximal spans of matches at or above the length are removed.
 
 A plain broadcast of every shard to every document would cost documents times
@@ -41,7 +43,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def unit(length: int = LENGTH) -> Unit:
-    return Unit("words", length, max(1, length // 3), common=512)
+    return Unit("words", length, max(1, length // 3), common=512, verify=True)
 
 
 def matching_statistics(bodies: list[list[bytes]], place: np.ndarray) -> list[np.ndarray]:

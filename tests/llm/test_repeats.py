@@ -7,9 +7,11 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sparkatlas.llm import substring_dedup, suffix_array_dedup
+from sparkatlas.llm import repeats, substring_dedup, suffix_array_dedup
 
 
 def brute_passages(rows, length):
@@ -106,3 +108,28 @@ def test_clashing_columns(spark):
     shared = " ".join(f"p{i}" for i in range(50))
     docs = spark.createDataFrame([(1, f"a {shared}", 7, "x"), (2, f"{shared} b", 8, "y")], "doc_id long, text string, spans int, spans_th string")
     assert sorted(map(tuple, substring_dedup.remove_passages(docs).collect())) == [(1, "a ", 7, "x"), (2, "b", 8, "y")]
+
+
+def test_copies_are_compared_by_the_automaton(spark):
+    """A context known twice by its hash goes only if the texts of two places agree."""
+    same, other = " ".join(f"s{i}" for i in range(36)), " ".join(f"o{i}" for i in range(36))
+    rows = [(1, 10, 5, 7, 2, 0, same, False), (2, 20, 5, 7, 0, 3, same, False), (3, 30, 6, 8, 2, 0, same + " x", False), (4, 40, 6, 8, 0, 0, other + " x", False)]
+    sent = spark.createDataFrame(rows, "doc_id long, th long, route long, more long, copies long, lo int, body string, common boolean").withColumn("body", F.encode("body", "utf-8"))
+    unit = substring_dedup.unit(35)
+    for shard_bytes in (1, 10_000):
+        out = repeats.compared(sent, unit, substring_dedup.compare(35), shard_bytes, skip_copied=True).collect()
+        assert [tuple(r) for r in out] == [(6, 8, repeats.REFUTED, repeats.REFUTED)]
+
+
+@pytest.mark.parametrize("cuts", [[6], [1, 5], [2, 4], [3, 3], [1, 1, 1, 1, 1, 1]])
+def test_two_places_of_a_copied_context_are_sent(cuts):
+    """However the sorted rows fall into batches."""
+    names = ["doc_id", "th", "lo", "n", "trigger", "context"]
+    table = pa.table([pa.array(c) for c in zip(*[(1, 1, 0, 3, 5, 1), (2, 2, 0, 3, 5, 1), (3, 3, 0, 3, 5, 1), (4, 4, 0, 3, 6, 1), (5, 5, 0, 3, 7, 1), (6, 6, 0, 3, 7, 1)])], names=names)
+    runs, out, at = repeats.Runs(substring_dedup.unit(35), False, []), [], 0
+    for size in cuts:
+        out += [r for b in runs.add(table.slice(at, size)) for r in b.to_pylist()]
+        at += size
+    out += [r for b in runs.add(runs.held.slice(0, 0), last=True) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["copies"]) for r in out if r["sent"]) == [(1, 3), (2, 0), (5, 2), (6, 0)]
+    assert sorted(r["doc_id"] for r in out if not r["sent"]) == [1, 2, 3, 5, 6]
