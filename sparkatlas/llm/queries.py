@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, importance, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
 from sparkatlas.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and statements in every text."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return licenses.summary(licenses.scan(docs))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn as the benchmark's texts would be."""
+    out = importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_importance_resampling"] = importance.oracle_sql()
