@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, importance, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup
+from sparkatlas.llm import bpe, crf_quality, decontaminate, gated_lm, hard_negatives, importance, licenses, ngram_join, quality_rules, sharding, substring_dedup, suffix_array_dedup, winnowing
 from sparkatlas.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(docs))
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one first."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.oracle_sql()
+
+
+@_query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and likenesses to that and to the next document."""
+    return winnowing.compare(_documents(spark, sf_dir))
+
+
 @_query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn as the benchmark's texts would be."""
