@@ -33,3 +33,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/sparkatlas/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a small table that is held in the plan itself at most.
+HELD_ROWS = 1 << 13
+
+
+def held(df: DataFrame, label: str) -> DataFrame:
+    """df as a local table if it has few rows, else written: either way it is worked out once."""
+    table = df.limit(HELD_ROWS + 1).toArrow()
+    return df.sparkSession.createDataFrame(table, df.schema) if table.num_rows <= HELD_ROWS else written(df, label)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkatlas.operators import bm25, evaluate, fusion, models, review, vectors
+from sparkatlas.operators import evaluate, fusion, models, review, vectors
 from sparkatlas.plans import adapters as A
+from sparkatlas.plans import kept
 from sparkatlas.plans.registry import query, table
 
 TOP_SQL = f"""WITH {A.VECS_SQL},
@@ -18,6 +19,12 @@ def vector_topk(spark, d):
     return vectors.top_k(A.vecs(spark, d), A.query_vecs(spark, d), 30).withColumn("score", F.round("score", 6))
 
 
+@query("kept_vector_search", f"{TOP_SQL} SELECT query_id, key, round(score, 6) AS score, rank FROM top WHERE rank <= 30")
+def kept_vector_search(spark, d):
+    """The same search in the kept index, by cells whose bound reaches the k-th score."""
+    return kept.vector_index(spark, d).search(A.query_vecs(spark, d), 30).withColumn("score", F.round("score", 6))
+
+
 @query(
     "similar_notes",
     f"""WITH {A.VECS_SQL},
@@ -171,7 +178,8 @@ def _texts(spark, d):
 
 @query("bm25_topk")
 def bm25_topk(spark, d):
-    return bm25.search(bm25.build(A.notes(spark, d)), _texts(spark, d)).withColumn("score", F.round("score", 6))
+    """Searched in the kept index: no text is read but when its table's files have changed."""
+    return kept.text_index(spark, d).search(_texts(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _corpus(spark, d) -> fusion.Corpus:
@@ -182,7 +190,7 @@ def _corpus(spark, d) -> fusion.Corpus:
 
     w = Window.partitionBy("folder").orderBy("key")
     links = notes.select(F.col("key").alias("src"), F.lead("key").over(w).alias("dst")).where("dst IS NOT NULL")
-    return fusion.Corpus(notes, A.vecs(spark, d).select("key", "vec"), bm25.build(notes), tags, links)
+    return fusion.Corpus(notes, kept.note_vectors(spark, d), kept.text_index(spark, d), tags, links)
 
 
 @query("hybrid_query")
