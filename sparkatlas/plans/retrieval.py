@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkatlas.operators import evaluate, fusion, models, review, vectors
+from sparkatlas.operators import near_pairs as pair_index
 from sparkatlas.plans import adapters as A
 from sparkatlas.plans import kept
 from sparkatlas.plans.registry import query, table
@@ -51,11 +52,41 @@ def discriminate_pairs(spark, d):
     return vectors.similar_pairs(A.unit_vecs(spark, d), NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("leader_clusters")
+#: Greedy clustering one vector at a time: a free one leads, and takes its later partners that are free.
+LEADERS_SQL = f"""WITH RECURSIVE {A.VECS_SQL},
+u AS (SELECT key, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM vecs),
+pairs AS MATERIALIZED (SELECT x.key AS a, y.key AS b FROM u x JOIN u y ON x.key < y.key WHERE list_dot_product(x.vec, y.vec) >= {NEAR}),
+later AS MATERIALIZED (SELECT key, list(b ORDER BY b) FILTER (WHERE b IS NOT NULL) AS partners, row_number() OVER (ORDER BY key) AS n
+  FROM (SELECT a AS key, b FROM pairs UNION ALL SELECT b, NULL FROM pairs) GROUP BY key),
+run AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS leader, []::BIGINT[] AS members, []::BIGINT[] AS taken
+  UNION ALL SELECT n, leader, members, CASE WHEN leader IS NULL THEN taken ELSE list_concat(list_append(taken, leader), members) END FROM (
+    SELECT l.n, CASE WHEN list_contains(r.taken, l.key) THEN NULL ELSE l.key END AS leader,
+      CASE WHEN list_contains(r.taken, l.key) THEN []::BIGINT[] ELSE list_filter(coalesce(l.partners, []::BIGINT[]), lambda m: NOT list_contains(r.taken, m)) END AS members, r.taken AS taken
+    FROM run r JOIN later l ON l.n = r.n + 1))
+SELECT leader, unnest(list_prepend(leader, members)) AS member FROM run WHERE len(members) > 0"""
+
+
+@query("leader_clusters", LEADERS_SQL)
 def leader_clusters(spark, d):
     return vectors.leader_clusters(vectors.similar_pairs(A.unit_vecs(spark, d), NEAR))
 
 
+@query(
+    "near_pairs",
+    f"""WITH {A.VECS_SQL},
+w AS (SELECT key, vec FROM vecs UNION ALL SELECT key + 1000000000, list_transform(vec, lambda x, i: x * (1 + 0.1 * ((key + i - 1) % 5 - 2))) FROM vecs WHERE key % 3 = 0),
+u AS (SELECT key, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM w),
+pairs AS (SELECT x.key AS a, y.key AS b, list_dot_product(x.vec, y.vec) AS s FROM u x JOIN u y ON x.key < y.key)
+SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= 0.85""",
+)
+def near_pairs(spark, d):
+    """Pairs at the default threshold, through the hyperplane index: a third of the vectors come again, changed a little."""
+    vecs = A.vecs(spark, d).select("key", F.col("vec").cast("array<double>").alias("vec"))
+    changed = F.transform("vec", lambda x, i: x * (1 + 0.1 * (F.pmod(F.col("key") + i, F.lit(5)) - 2)))
+    again = vecs.where("key % 3 = 0").select((F.col("key") + 1000000000).alias("key"), changed.alias("vec"))
+    return pair_index.near_pairs(vecs.unionByName(again), 0.85, 0.99).withColumn("similarity", F.round("similarity", 6))
+
+
 INFO_SQL = "info AS (SELECT doc_id AS key, lang || (doc_id % 7) AS name, source AS folder, doc_id % 5 = 0 AS is_new FROM documents WHERE source <> 'src3')"
 
 
