@@ -14,13 +14,31 @@ def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     Spark's readers hide files that begin with '_' too, so those are left out;
     files that can't be read or decoded are skipped.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.md").load(root)
+    return _decoded(_files(spark, [root], root))
+
+
+def list_markdown(spark: SparkSession, root: str) -> DataFrame:
+    """(path, full_path, mtime_ms) of the same files; none is opened."""
+    return _files(spark, [root], root).select("path", "full_path", "mtime_ms")
+
+
+def read_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
+    """Like scan_markdown, of these files below root only; those that have gone meanwhile are skipped."""
+    return _decoded(_files(spark, paths, root))
+
+
+def _files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.md")
     clean = F.regexp_replace("path", r"^\w+:/+", "/")
     base = root.rstrip("/").removeprefix("file://") + "/"
     rel = F.substring_index(clean, base, -1)
     hidden = rel.rlike(r"(^|/)\.") | rel.rlike(r"(^|/)_[^/]*/")
     mtime = F.unix_micros("modificationTime") / 1000.0
-    return files.where(~hidden).select(rel.alias("path"), F.col("path").alias("full_path"), mtime.alias("mtime_ms"), F.expr("try_validate_utf8(CAST(content AS STRING))").alias("raw")).where("raw IS NOT NULL")
+    return reader.load(paths).where(~hidden).select(rel.alias("path"), F.col("path").alias("full_path"), mtime.alias("mtime_ms"), "content")
+
+
+def _decoded(files: DataFrame) -> DataFrame:
+    return files.select("path", "full_path", "mtime_ms", F.expr("try_validate_utf8(CAST(content AS STRING))").alias("raw")).where("raw IS NOT NULL")
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkatlas.operators import incremental
-from sparkatlas.sources import notes, sinks
+from sparkatlas.operators.note_index import NoteIndex
 
 POLL = "500 milliseconds"
 QUIET = 2.0
@@ -27,13 +26,9 @@ def fingerprint(spark: SparkSession, root: str) -> tuple[int, int]:
     return found.n, found.mark
 
 
-def reindex(spark: SparkSession, root: str, index: str) -> DataFrame:
-    """Bring the index (a snapshot) up to the folder: new and changed notes come in, deleted ones go."""
-    found = notes.parse_notes(notes.scan_markdown(spark, root))
-    if sinks.has_snapshot(spark, index):
-        found = incremental.upsert(sinks.read_snapshot(spark, index), found)
-    sinks.write_snapshot(found, index)
-    return sinks.read_snapshot(spark, index)
+def reindex(spark: SparkSession, root: str, index: str) -> dict[str, int]:
+    """Bring the kept index up to the folder: only changed files are opened, and only their buckets written."""
+    return NoteIndex.at(spark, index).update(root)[1]
 
 
 @dataclass

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkatlas.sources import notes, sinks
+from sparkatlas.operators.note_index import NoteIndex
 from sparkatlas.streaming import convergence, logs, watch
 
 
@@ -99,7 +100,7 @@ def test_watched_folder(spark, tmp_path):
     def settle(want):
         until = time.monotonic() + 60
         while time.monotonic() < until and query.isActive:
-            if sinks.has_snapshot(spark, index) and {r.path: r.body for r in sinks.read_snapshot(spark, index).collect()} == want:
+            if {r.path: r.body for r in NoteIndex.at(spark, index).store.read("contents").collect()} == want:
                 return True
             time.sleep(0.5)
         return False
