@@ -18,7 +18,24 @@ SNIPPET_CHARS = 120
 #: Years that a citation can have.
 YEAR = r"(19[5-9]\d|20[0-3]\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-CITATION = rf"({_NAME})(?:\s+(?:et al\.?|(?:&|and)\s+{_NAME}))?,?\s*\(?{YEAR}\b"
+# Capitalised words before a year that name no author.
+NOT_AUTHORS = (
+    "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+    "reports", "figure", "table", "section", "chapter", "issue", "version",
+)
+#: Words of the closed classes, and verbs of reference, that begin a sentence with a capital.
+CLOSED_CLASS = (
+    "a", "an", "the", "this", "that", "these", "those", "some", "any", "each", "every", "no", "not", "all", "both", "most", "many", "few", "such",
+    "i", "you", "he", "she", "it", "we", "they", "my", "your", "his", "her", "its", "our", "their", "who", "which", "what", "where", "when", "why", "how",
+    "in", "on", "at", "by", "for", "from", "to", "of", "with", "without", "about", "after", "before", "between", "during", "until", "till", "since", "through", "over", "under", "around", "circa", "per", "via", "within",
+    "and", "or", "but", "nor", "so", "yet", "if", "then", "than", "as", "because", "while", "although", "though", "however", "thus", "hence", "also", "only", "even", "again", "later", "earlier", "early", "late", "mid", "there", "here", "now", "today",
+    "is", "are", "was", "were", "be", "been", "has", "have", "had", "do", "does", "did", "can", "could", "may", "might", "must", "shall", "should", "will", "would",
+    "see", "cf", "cites", "compare", "year", "years", "spring", "summer", "autumn", "fall", "winter",
+)
+_AUTHOR = rf"(?!(?i:{'|'.join(NOT_AUTHORS + CLOSED_CLASS)})(?![\p{{L}}'’-])){_NAME}"
+_AUTHORS = rf"(?<![\p{{L}}'’-])({_AUTHOR}(?:\s+(?:{_AUTHOR}|&|and(?!\p{{L}})|et\s+al(?!\p{{L}})\.?))*)"
+CITATION = rf"{_AUTHORS}(?:[,()\s]|\p{{Lu}}\.?(?!\p{{L}}))*{YEAR}(?![\p{{L}}\d])"
 
 
 def payload(top_title: Column, top_body: Column, pointers: Column, snippets: Column) -> Column:
@@ -41,8 +58,14 @@ def proper_nouns(text: Column) -> Column:
 
 
 def author_years(text: Column) -> Column:
-    """Distinct 'Author Year' citations of a text, line by line: 'Author (2001)', 'Author et al., 2001', 'Author & Other 2001'."""
-    of_line = lambda line: F.zip_with(F.regexp_extract_all(line, F.lit(CITATION), 1), F.regexp_extract_all(line, F.lit(CITATION), 2), lambda a, y: F.concat_ws(" ", a, y))
+    """Distinct 'Authors Year' citations of a text, line by line: 'Author (2001)', 'Author et al., 2001', 'Author & Other, A. B. 2001'.
+
+    Authors are a run of names, joined by &, and, or et al.; commas, brackets
+    and initials may stand before the year. Names are told by their capital, and
+    by not being a month, a part of a text or a word of the closed classes.
+    """
+    plain = lambda a: F.regexp_replace(F.regexp_replace(a, r"\s+", " "), r"et al\.?", "et al.")
+    of_line = lambda line: F.zip_with(F.regexp_extract_all(line, F.lit(CITATION), 1), F.regexp_extract_all(line, F.lit(CITATION), 2), lambda a, y: F.concat_ws(" ", plain(a), y))
     return F.array_distinct(F.flatten(F.transform(F.split(text, "\n"), of_line)))
 
 

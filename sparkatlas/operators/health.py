@@ -19,16 +19,35 @@ def fleeting_sweep(fleeting: DataFrame, references: DataFrame, now: float, stale
     return joined.select("path", "n", status.alias("status")).where("status IS NOT NULL")
 
 
+# Phrases by which a note says what it is for.
+INTENTIONS = ("when working on", "when designing", "when building", "use this for", "reference this for", "reference for", "apply to", "relevant to")
+# Signs of a version or a date, and of a quantity.
+VERSION = r"(?i)v\d+\.\d+|\b20\d{2}\b|deprecated"
+QUANTITY = r"(?i)\d+\.?\d*\s*(ms|s|MB|GB|%|fps|req/s|items|notes|tokens)"
+
+
+def intention_sentence(body: Column) -> Column:
+    """The first sentence of a note that says what it is for; null without one."""
+    phrase = "|".join(INTENTIONS)
+    found = F.regexp_extract(body, rf"(?i)[^.!?\n]*(?:{phrase})[^.!?\n]*", 0)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
 def inbox_status(notes: DataFrame, now: float) -> DataFrame:
-    """intentioned, resolved or limbo per inbox note (intention, declared, inlinks, outlinks, mtime)."""
+    """intentioned, else resolved, else limbo, per inbox note (body, declared, inlinks, outlinks, mtime).
+
+    A note is resolved if two notes link to it, if it was touched within seven
+    days and has three links, or if it is declared so.
+    """
     recent = F.lit(now) - F.col("mtime") <= 7 * DAY
-    resolved = (F.col("inlinks") >= 2) | (recent & (F.col("outlinks") >= 3)) | F.col("declared")
-    return notes.withColumn("status", F.when(resolved, "resolved").when(F.col("intention"), "intentioned").otherwise("limbo"))
+    resolved = (F.col("inlinks") >= 2) | (recent & (F.col("outlinks") >= 3)) | F.coalesce("declared", F.lit(False))
+    intention = intention_sentence(F.col("body"))
+    return notes.withColumn("intention", intention).withColumn("status", F.when(F.col("intention").isNotNull(), "intentioned").when(resolved, "resolved").otherwise("limbo"))
 
 
 def stale(age_days: Column, text: Column, least: int = 60) -> Column:
-    """Old text that names versions and quantities."""
-    return (age_days >= least) & text.rlike(r"\bv?\d+\.\d+(\.\d+)?\b") & text.rlike(r"(?i)\b\d+(\.\d+)?\s?(%|ms|s|gb|mb|users?|times)\b")
+    """Old text that names a version or a date, and a quantity."""
+    return (age_days >= least) & text.rlike(VERSION) & text.rlike(QUANTITY)
 
 
 def route(inlinks: Column, folder: Column) -> Column:
@@ -36,10 +55,32 @@ def route(inlinks: Column, folder: Column) -> Column:
     return F.when(inlinks == 0, "link_check").when(folder.isin("inbox", "fleeting"), "voice_gate").otherwise("none")
 
 
-def promote_gate(flags: list[str], integrity: str) -> Column:
-    """Promote if all flags hold, block without integrity, revise with at most one other flag down, else reject."""
-    down = sum((F.when(F.col(f), 0).otherwise(1) for f in flags if f != integrity), F.lit(0))
-    return F.when(~F.col(integrity), "blocked").when(down == 0, "promote").when(down == 1, "revise").otherwise("reject")
+CRITERIA = ("depth", "sourcing", "linking", "voice", "atomicity", "integrity")
+
+
+def promote_gate(notes: DataFrame) -> DataFrame:
+    """notes with passes, destination, rewrite and warning, from a flag for each of CRITERIA, synthesis and requested (a folder or null).
+
+    Synthesis notes are judged without sourcing and integrity. All criteria, or
+    all but voice (then with a rewrite), make a note permanent; failed integrity
+    keeps any other at fleeting, as do three passes or more, and the rest stay
+    in the inbox. A request for literature stands; one for permanent with two
+    passes or fewer is turned down with a warning; one for the inbox doesn't
+    hold back a note that passes everything.
+    """
+    exempt = F.coalesce("synthesis", F.lit(False))
+    ok = {c: F.coalesce(F.col(c), F.lit(False)) | (exempt if c in ("sourcing", "integrity") else F.lit(False)) for c in CRITERIA}
+    counted = sum((F.when(F.col(c) & ~(exempt if c in ("sourcing", "integrity") else F.lit(False)), 1).otherwise(0) for c in CRITERIA), F.lit(0))
+    others = F.lit(True)
+    for c in CRITERIA:
+        others = others & (ok[c] if c != "voice" else F.lit(True))
+    permanent = others  # with voice as is, without it rewritten
+    place = F.when(permanent, "3-permanent").when(~ok["integrity"], "1-fleeting").when(F.col("passes") >= 3, "1-fleeting").otherwise("0-inbox")
+    literature = F.coalesce(F.col("requested") == "2-literature", F.lit(False))
+    demoted = F.coalesce(F.col("requested") == "3-permanent", F.lit(False)) & (F.col("passes") <= 2)
+    out = notes.withColumn("passes", counted)
+    out = out.withColumn("destination", F.when(literature, "2-literature").when(demoted, "0-inbox").otherwise(place))
+    return out.withColumns({"rewrite": (F.col("destination") == "3-permanent") & ~ok["voice"], "warning": F.when(demoted & ~literature, "too few criteria for the requested folder")})
 
 
 def claim_tier(claims: DataFrame, by: str) -> DataFrame:
@@ -58,10 +99,20 @@ def memory_decay(snapshots: DataFrame, seen: DataFrame, weak: int = 10, medium:
     return missed.select("file", "absent", F.when(F.col("absent") >= medium, "medium").when(F.col("absent") >= weak, "weak").otherwise("fresh").alias("strength"))
 
 
+# Prompts that ask for nothing.
+STOCK_PROMPTS = r"(?i)^(ok|yes|no|thanks|try\s+again|continue|go|sure|done)$"
+
+
+def skipped_prompt(prompt: Column, least: int = 20) -> Column:
+    """Short and stock prompts, judged without their end marks, and such as begin with <."""
+    text = F.regexp_replace(F.trim(F.coalesce(prompt, F.lit(""))), r"[.!?,:;]+$", "")
+    return (F.length(text) < least) | text.rlike(STOCK_PROMPTS) | F.startswith(text, F.lit("<"))
+
+
 def injection_gate(scores: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Per prompt whether the best score of any backend reaches the threshold; short and stock prompts are skipped."""
-    skip = (F.length(F.trim("prompt")) < 12) | F.lower(F.trim("prompt")).isin("yes", "no", "ok", "continue", "thanks")
     best = scores.groupBy("prompt_id", "prompt").agg(F.max("score").alias("best"))
+    skip = skipped_prompt(F.col("prompt"))
     return best.select("prompt_id", "best", skip.alias("skipped"), (~skip & (F.coalesce("best", F.lit(0.0)) >= threshold)).alias("passed"))
 
 
@@ -72,25 +123,32 @@ def intentions(body: DataFrame) -> DataFrame:
     return items.select(F.trim(parts[0]).alias("context"), F.trim(parts[1]).alias("cue"), "path")
 
 
+def surnames(name: Column) -> Column:
+    """Parts of a name or a list of names, in lower case and letters only; et, al and single letters are left out."""
+    parts = F.filter(F.split(F.lower(name), r"[\s,&]+"), lambda s: (F.length(s) > 1) & ~s.isin("et", "al", "al."))
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[^a-z]", ""))
+
+
 def author_matches(wanted: Column, authors: Column, first_only: bool = False) -> Column:
-    """A surname equal to, within or around one of the authors'."""
-    w = F.lower(F.trim(wanted))
+    """Whether any part of the claimed names equals, holds or lies within any part of an author's (or the first author's) name."""
     pool = F.slice(authors, 1, 1) if first_only else authors
-    same = lambda a: (F.lower(a) == w) | F.contains(F.lower(a), w) | F.contains(w, F.lower(a))
-    return F.exists(pool, same)
+    has = lambda a: F.exists(surnames(wanted), lambda w: F.exists(surnames(a), lambda s: F.contains(s, w) | F.contains(w, s)))
+    return F.exists(pool, has)
 
 
 def citation_issues(author: Column, year: Column, kind: Column, authors: Column, found_year: Column) -> Column:
-    """Problems of a citation against its record: array of (issue, severity)."""
+    """Problems of a citation against its record (authors null: none): array of (issue, severity)."""
     issue = lambda name, severity: F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity"))
     gap = F.abs(year - found_year)
+    claimed = F.coalesce(author, F.lit("")) != ""
+    any_author, first = author_matches(author, authors), author_matches(author, authors, True)
     out = F.array(
         F.when(authors.isNull(), issue("not_found", "high")),
-        F.when(author.isNotNull() & ~author_matches(author, authors), issue("wrong_author", "high")),
-        F.when(author.isNotNull() & author_matches(author, authors) & ~author_matches(author, authors, True), issue("not_first_author", "medium")),
+        F.when(claimed & (F.size(authors) == 0), issue("unverifiable_author", "low")),
+        F.when(claimed & (F.size(authors) > 0) & ~any_author, issue("wrong_author", "high")),
+        F.when(claimed & any_author & ~first, issue("author_not_first", "medium")),
         F.when(gap > 1, issue("wrong_year", "high")),
         F.when((gap == 1) & (kind == "pmid"), issue("year_off_by_one", "low")),
-        F.when(authors.isNotNull() & (author.isNull() | year.isNull()), issue("unverifiable", "low")),
     )
     return F.array_compact(out)
 

@@ -79,7 +79,23 @@ def test_sentences_names_and_citations(spark):
     text = "We met Ada Lovelace there. She cites Smith et al. (2001), and Brown & Lee 1999.\nSee Smith (2001); O’Neil, 1949."
     row = spark.createDataFrame([(text,)], "t string").select(prose.sentences(F.col("t")).alias("s"), prose.proper_nouns(F.col("t")).alias("n"), prose.author_years(F.col("t")).alias("c")).first()
     assert row.s[0] == "We met Ada Lovelace there." and "Ada Lovelace" in row.n
-    assert row.c == ["Smith 2001", "Brown 1999"]
+    assert row.c == ["Smith et al. 2001", "Brown & Lee 1999", "Smith 2001"]
+
+
+def test_author_years(spark):
+    from sparkatlas.functions import prose
+
+    cases = {
+        "In 2005 and March 2020, Table 2010 of Version 2011; Since 1999": [],
+        "Smith, J. A. (2001) and García-López et al 1999": ["Smith 2001", "García-López et al. 1999"],
+        "Smith, Jones 2001": ["Jones 2001"],
+        "The Van Dongen and Lee (2003) trial; Smith  2001\nSmith 2001": ["Van Dongen and Lee 2003", "Smith 2001"],
+        "O’Neil, 1949 Brown 2040 Brown 20011 smith 2001 L. 2001": [],
+        "Marching 2001, Mayer 2002": ["Marching 2001", "Mayer 2002"],
+    }
+    for text, want in cases.items():
+        got = spark.createDataFrame([(text,)], "t string").select(prose.author_years(F.col("t"))).first()[0]
+        assert got == want, text
 
 
 def test_edit_checks_and_json(spark):
