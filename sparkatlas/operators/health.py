@@ -28,9 +28,8 @@ QUANTITY = r"(?i)\d+\.?\d*\s*(ms|s|MB|GB|%|fps|req/s|items|notes|tokens)"
 
 def intention_sentence(body: Column) -> Column:
     """The first sentence of a note that says what it is for; null without one."""
-    phrase = "|".join(INTENTIONS)
-    found = F.regexp_extract(body, rf"(?i)[^.!?\n]*(?:{phrase})[^.!?\n]*", 0)
-    return F.nullif(F.trim(found), F.lit(""))
+    phrase = f"(?i){'|'.join(INTENTIONS)}"
+    return F.trim(F.get(F.filter(F.split(body, r"[.!?\n]"), lambda s: s.rlike(phrase)), F.lit(0)))
 
 
 def inbox_status(notes: DataFrame, now: float) -> DataFrame:

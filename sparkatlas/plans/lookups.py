@@ -39,7 +39,7 @@ def note_links(spark, d):
     return lookup.note_links(A.links(spark, d), nodes)
 
 
-@query("zero_outlink", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION SELECT -o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("zero_outlink", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION SELECT -o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def zero_outlink(spark, d):
     """Customers without orders and orders (negative) without lines."""
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -115,7 +115,7 @@ def event_dedupe(spark, d):
     "health_dashboard",
     f"""WITH {A.NOTES_SQL}, {A.LINKS_SQL}
 SELECT 'stale_inbox' AS "check", count(*) AS n FROM notes WHERE folder IN ('src0', 'src1') AND 1706745600.0 - mtime > 14 * 86400.0
-UNION ALL SELECT 'orphans', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'orphans', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 UNION ALL SELECT 'unindexed', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'ghosts', count(*) FROM documents a WHERE source = 'src0' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM documents b WHERE b.text = a.text AND b.source <> 'src0')
 UNION ALL SELECT 'near_duplicates', (SELECT count(*) FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.38)
@@ -131,7 +131,7 @@ def health_dashboard(spark, d):
     return review.dashboard(
         {
             "stale_inbox": review.stale_inbox(notes, ["src0", "src1"], A.NOW),
-            "orphans": lookup.zero_outlink(customers, table(spark, d, "orders").select(F.col("o_custkey").alias("src"))),
+            "orphans": lookup.zero_outlink(customers, table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"))),
             "unindexed": docs.join(labels, "doc_id", "left_anti"),
             "ghosts": graphs.ghost_duplicates(spark, d),
             "near_duplicates": vectors.similar_pairs(A.unit_vecs(spark, d), retrieval.NEAR),
@@ -181,7 +181,8 @@ def without_dashes(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", prose.without_dashes(text).alias("text"))
 
 
-@query("inbox_routes", "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'link_check' WHEN source IN ('inbox', 'fleeting') THEN 'voice_gate' ELSE 'none' END AS route, count(*) AS n FROM documents GROUP BY ALL")
+@query("inbox_routes", "SELECT CASE source WHEN 'src0' THEN 'inbox' WHEN 'src1' THEN 'fleeting' ELSE source END AS folder, CASE WHEN doc_id % 4 = 0 THEN 'link_check' WHEN source IN ('src0', 'src1') THEN 'voice_gate' ELSE 'none' END AS route, count(*) AS n FROM documents GROUP BY ALL")
 def inbox_routes(spark, d):
-    docs = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(2).alias("inlinks"))
-    return docs.groupBy("source", health.route(F.col("inlinks"), F.col("source")).alias("route")).agg(F.count("*").alias("n"))
+    folder = F.when(F.col("source") == "src0", "inbox").when(F.col("source") == "src1", "fleeting").otherwise(F.col("source"))
+    docs = table(spark, d, "documents").select(folder.alias("folder"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(2).alias("inlinks"))
+    return docs.groupBy("folder", health.route(F.col("inlinks"), F.col("folder")).alias("route")).agg(F.count("*").alias("n"))
