@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkatlas.functions.vectors import normalised
-from sparkatlas.operators import evaluate, fusion, models, review, vectors
+from sparkatlas.operators import evaluate, federation, fusion, models, review, vectors
 from sparkatlas.operators import near_pairs as pair_index
 from sparkatlas.plans import adapters as A
 from sparkatlas.plans import kept
@@ -248,6 +248,34 @@ def federated_query(spark, d):
     return fusion.federated([local], [("p1", [peer])]).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "federated_search",
+    f"""WITH {A.VECS_SQL}, own AS (SELECT o_orderkey AS key, CASE WHEN o_orderpriority[1] = '1' THEN NULL ELSE 'p' || o_orderpriority[1] END AS peer_id, o_custkey FROM orders),
+t AS (SELECT key, peer_id, o_custkey::VARCHAR AS term, 10.0 AS w FROM own UNION ALL SELECT key, peer_id, l_partkey::VARCHAR, 1.0 FROM own JOIN lineitem ON l_orderkey = key),
+len AS (SELECT coalesce(peer_id, '') AS p, key, count(*) AS length FROM t GROUP BY ALL), tot AS (SELECT p, count(*) AS n_docs, avg(length) AS average FROM len GROUP BY p),
+f AS (SELECT coalesce(peer_id, '') AS p, key, term, sum(w) AS f FROM t GROUP BY ALL), has AS (SELECT p, term, count(*) AS n_has FROM f GROUP BY ALL),
+ask AS (SELECT key AS query_id, key::VARCHAR AS term FROM vecs WHERE key % 50 = 0),
+ts AS (SELECT query_id, p, key, CASE WHEN ln((n_docs - n_has + 0.5) / (n_has + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n_has + 0.5) / (n_has + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / average)) AS score FROM ask JOIN f USING (term) JOIN has USING (p, term) JOIN tot USING (p) JOIN len USING (p, key)),
+vp AS (SELECT key, CASE WHEN label % 5 = 0 THEN '' ELSE 'p' || (label % 5 + 1) END AS p, vec FROM vecs),
+vs AS (SELECT query_id, p, vp.key, list_dot_product(q.vec, vp.vec) AS score FROM q, vp WHERE p <> 'p3'),
+l AS (SELECT query_id, p, key, row_number() OVER (PARTITION BY query_id, p ORDER BY score DESC, key) AS rank FROM ts UNION ALL SELECT query_id, p, key, row_number() OVER (PARTITION BY query_id, p ORDER BY score DESC, key) FROM vs),
+s AS (SELECT query_id, CASE WHEN p = '' THEN key::VARCHAR ELSE 'peer:' || p || '/' || key END AS key, sum(1.0 / (5 + rank)) AS score FROM l WHERE rank <= 30 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s)
+SELECT query_id, key, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+)
+def federated_search(spark, d):
+    """Orders as the notes of five peers (the first is ourselves; one has another model), customers' and parts' numbers as their words."""
+    first = F.substring("o_orderpriority", 1, 1)
+    peer = F.when(first != "1", F.concat(F.lit("p"), first))
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), " ").alias("body"))
+    notes = table(spark, d, "orders").join(parts, "o_orderkey", "left").select(peer.alias("peer_id"), F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("title"), F.lit("").alias("tags"), "body")
+    vecs = A.vecs(spark, d).select(F.when(F.col("label") % 5 != 0, F.concat(F.lit("p"), F.col("label") % 5 + 1)).alias("peer_id"), "key", "vec")
+    fits = spark.createDataFrame([(f"p{i}", i != 3) for i in range(2, 6)], "peer_id string, fits boolean")
+    asked = A.query_vecs(spark, d)
+    found = federation.search(notes, vecs, fits, asked.select("query_id", F.col("query_id").cast("string").alias("text")), asked)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "recall_mrr",
     f"""WITH {A.VECS_SQL},
