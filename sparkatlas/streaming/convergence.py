@@ -67,17 +67,25 @@ def closest(vecs: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return (vecs @ earlier.T).max(axis=1, initial=0.0)
 
 
-def checker(model: Embedder) -> Callable[[tuple[str], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+#: Hours, by the queries' own times, by which a query may be late, and after which a session without one is forgotten.
+KEPT_HOURS = 24.0
+
+
+def checker(model: Embedder, kept_hours: float = KEPT_HOURS) -> Callable[[tuple[str], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def vectors(texts: list[str]) -> np.ndarray:
         return np.array(model.embed([t[:TEXT_CHARS] for t in texts]), float).reshape(len(texts), model.width)
 
     def check(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """One session's queries in order of time; the state holds what the first ``BUDGET`` of them brought."""
+        """One session's queries in order of time; the state holds what the first ``BUDGET`` of them brought, until it times out."""
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, mean, queries, results, sentences, entities, citations = state.get if state.exists else (0, 0.0, [], [], [], [], [])
         queries, entities, citations = list(queries), set(entities), set(citations)
         results, sentences = (np.array(list(v), float).reshape(-1, model.width) for v in (results, sentences))
         rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "query"], kind="stable").itertuples():
+        queue = pd.concat(list(batches)).sort_values(["ts", "query"], kind="stable")
+        for r in queue.itertuples():
             n += 1
             query = (r.query or "").lower()
             cycle = cycle_of(query, queries)
@@ -97,18 +105,21 @@ def checker(model: Embedder) -> Callable[[tuple[str], Iterator[pd.DataFrame], Gr
                 entities |= named
                 citations |= cited
         state.update((n, mean, queries, results.ravel().tolist(), sentences.ravel().tolist(), sorted(entities), sorted(citations)))
+        last = int(queue["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + int(kept_hours * 3_600_000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return check
 
 
-def converge(stream: DataFrame, model: Embedder | None = None) -> DataFrame:
+def converge(stream: DataFrame, model: Embedder | None = None, kept_hours: float = KEPT_HOURS) -> DataFrame:
     """Signals and a verdict per query of a stream (session, ts, query, result text).
 
     Sentences, names and citations are expressions; only vectors are compared in Python. The state of a
-    session is bounded by the budget: later queries are answered (budget_exhausted) but not kept.
+    session is bounded by the budget: later queries are answered (budget_exhausted) but not kept. A session without a query for
+    ``kept_hours`` is forgotten once the watermark is past, and begins anew if it comes back.
     """
     text = F.coalesce("result", F.lit(""))
     names = F.array_distinct(F.transform(prose.proper_nouns(text), lambda x: F.lower(x)))
     signals = stream.select("session", "ts", "query", "result", prose.sentences(text).alias("sentences"), names.alias("entities"), prose.author_years(text).alias("citations"))
-    return signals.groupBy("session").applyInPandasWithState(checker(model or HashingEmbedder()), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return signals.withWatermark("ts", f"{max(1, int(kept_hours * 3600))} seconds").groupBy("session").applyInPandasWithState(checker(model or HashingEmbedder(), kept_hours), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

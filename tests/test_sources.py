@@ -71,6 +71,23 @@ def test_convergence_stream(spark, tmp_path):
     assert [r.reason for r in empty] == ["continue"] * 11 + ["hard_stop:budget_exhausted"] * 3 and {(r.n_sentences, r.novelty, r.cosine) for r in empty} == {(0, 1.0, 0.0)}
 
 
+def test_sessions_are_forgotten(spark, tmp_path):
+    kind = "session string, t string, query string, result string"
+
+    def put(session, hour):
+        spark.createDataFrame([(session, f"2024-01-01 {hour:02d}:00:00", "first", "Some words of a result.")], kind).select("session", F.col("t").cast("timestamp").alias("ts"), "query", "result").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("session string, ts timestamp, query string, result string").parquet(str(tmp_path / "in"))
+        q = convergence.converge(stream, kept_hours=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    assert put("s", 1) == 1
+    assert put("u", 9) == 1  # the watermark is past what s could still use
+    put("s", 9)
+    got = {(r.session, r.n, r.cycle) for r in spark.read.schema(convergence.OUTPUT).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("s", 1, "none"), ("u", 1, "none")}
+
+
 @pytest.mark.parametrize(
     "args, reason",
     [((3, "none", False, 0.04, 0.05), "soft_stop:saturation"), ((3, "none", False, 0.09, 0.5), "soft_stop:diminishing_returns"), ((3, "none", False, 0.2, 0.5), "continue"), ((2, "none", False, 0.0, None), "continue"), ((12, "exact", False, 1.0, 1.0), "hard_stop:budget_exhausted")],
