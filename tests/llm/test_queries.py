@@ -19,6 +19,7 @@ from sparkatlas.llm.queries import ORACLES, QUERIES
 from .conftest import CLEAN_WORD, WORD, lower
 from .test_ngram_join import brute
 from .test_repeats import brute_passages, brute_strings
+from .test_winnowing import expected as fingerprints
 
 DATA = "/root/testdata/sf0.001"
 
@@ -163,3 +164,10 @@ def test_op10(spark, texts):
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert {x for x in base.split(",") if x} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert any(r.n_base for r in got.values())
+
+
+def test_op12(spark, texts):
+    got = QUERIES["op12_fingerprints"](spark, DATA).collect()
+    assert sorted((tuple(r) for r in got), key=str) == fingerprints(list(texts.items()))
+    near = [r for r in got if r.n_chars >= 40]
+    assert sum(r.near_edited > 0.3 for r in near) >= 0.95 * len(near)
