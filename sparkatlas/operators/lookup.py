@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkatlas.operators.storage import written
+
 
 def _tail(path: str):
     return F.substring_index(F.col(path), "/", -1)
@@ -78,10 +80,54 @@ def oldest(notes: DataFrame, group: str, n: int = 5) -> DataFrame:
     return notes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their place (from 1) in an order of the whole table, without sorting it in one task.
+
+    Ranges of the order are sorted side by side; a place is the number of rows
+    of the ranges before and of those before it in its own. Rows that tie share
+    a range, and are numbered as they come.
+    """
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the range in its upper bits and the row's place there in the lower 33
+    placed = written(placed.withColumn("_id", at).withColumn("_range", F.shiftright("_id", 33)), "numbered")
+    sizes = sorted((r["_range"], r.n) for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(before, "_range long, _before long")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), "_range").withColumn(name, place).drop("_id", "_range", "_before")
+
+
+def nearest_values(rows: DataFrame, queries: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """(query_id, key, score, rank) of the k rows of a query's group whose value is nearest to its own; score is the distance below zero, ties go by key.
+
+    rows: key, group, value. queries: query_id, the key of a row. The rows are
+    sorted by value once upward and once downward, and each query looks at k
+    places on from its own in either order, however many rows its group has.
+    """
+    known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select("key", group, value)
+    up = written(numbered(known, F.asc(group), F.asc(value), F.asc("key"), name="place"), "upward")
+    down = written(numbered(known, F.asc(group), F.desc(value), F.asc("key"), name="place"), "downward")
+    asked = queries.select("query_id").join(known.withColumnsRenamed({"key": "query_id", value: "_own"}), "query_id")
+
+    def side(places: DataFrame, edge: Column, first: int) -> DataFrame:
+        own = asked.join(places.groupBy(group, F.col(value).alias("_own")).agg(edge.alias("_edge")), [group, "_own"])
+        seen = own.select("query_id", F.col(group).alias("_group"), "_own", F.explode(F.sequence(F.col("_edge") + first, F.col("_edge") + first + k - 1)).alias("place"))
+        found = seen.join(places, "place").where(F.col("_group") == F.col(group))
+        return found.select("query_id", "key", (-F.abs(F.col(value) - F.col("_own"))).cast("double").alias("score"))
+
+    both = side(up, F.min("place"), 0).unionByName(side(down, F.max("place"), 1))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def by_size(clusters: DataFrame) -> DataFrame:
     """(cluster, size, rank): clusters (cluster, key) in the order of falling size."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")))
+    return numbered(sizes, F.desc("size"), F.asc("cluster"))
 
 
 def not_injected(found: DataFrame, injected: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def densest_unreviewed(clusters: DataFrame, reviewed: DataFrame, top: int = 1) -
     """(cluster, n, rank): the clusters (cluster, key) with most notes among those of which no note was reviewed."""
     touched = clusters.join(reviewed.select("key").distinct(), "key", "left_semi").select("cluster").distinct()
     sizes = clusters.join(touched, "cluster", "left_anti").groupBy("cluster").agg(F.count("*").alias("n"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster"))).where(F.col("rank") <= top)
+    best = sizes.orderBy(F.desc("n"), "cluster").limit(top)  # so that the ranks are given to as many rows only
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
 
 
 def refinement(pairs: DataFrame, notes: DataFrame, low: float = 0.74, high: float = 0.92, most: int = 5, excluded: tuple[str, ...] = (), literature: str = "literature") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkatlas.functions.vectors import normalised
-from sparkatlas.operators import evaluate, federation, fusion, models, review, vectors
+from sparkatlas.operators import evaluate, federation, fusion, lookup, models, review, vectors
 from sparkatlas.operators import near_pairs as pair_index
 from sparkatlas.plans import adapters as A
 from sparkatlas.plans import kept
@@ -121,14 +121,9 @@ def rocchio_expand(spark, d):
 
 
 def _length_signal(spark, d):
-    """A second ranked list per query: notes closest to the query's note in length."""
-    from pyspark.sql import Window
-
+    """A second ranked list per query: notes of its language closest to the query's note in length."""
     n = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", F.col("n_chars").alias("n"))
-    q = n.where("key % 50 = 0").select(F.col("key").alias("query_id"), "lang", F.col("n").alias("qn"))
-    near = n.join(q, "lang").select("query_id", "key", (-F.abs(F.col("n") - F.col("qn"))).cast("double").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 30")
+    return lookup.nearest_values(n, n.where("key % 50 = 0").select(F.col("key").alias("query_id")), "lang", "n", 30)
 
 
 FUSED_SQL = f"""{TOP_SQL},
@@ -381,10 +376,8 @@ def model_comparison(spark, d):
     f"{PAIRS_SQL} SELECT a, b, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(s, 6) DESC, a, b) AS rank FROM pairs WHERE s >= {NEAR}",
 )
 def pairs_ranked(spark, d):
-    from pyspark.sql import Window
-
     found = vectors.similar_pairs(A.unit_vecs(spark, d), NEAR).withColumn("similarity", F.round("similarity", 6))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "a", "b")))
+    return lookup.numbered(found, F.desc("similarity"), F.asc("a"), F.asc("b"))
 
 
 @query(
