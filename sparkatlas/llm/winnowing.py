@@ -40,7 +40,7 @@ GRAM, WINDOW = 8, 24
 #: Characters that a task fingerprints at a time (or one text).
 SLICE_CHARS = 1 << 20
 #: Documents of a range of ids, about, and how many ranges there are at most.
-RANGE_DOCS, RANGES = 1 << 13, 1 << 16
+RANGE_DOCS, RANGES = 1 << 11, 1 << 16
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 Print = tuple[np.ndarray, np.ndarray]
 
