@@ -43,3 +43,14 @@ def held(df: DataFrame, label: str) -> DataFrame:
     """df as a local table if it has few rows, else written: either way it is worked out once."""
     table = df.limit(HELD_ROWS + 1).toArrow()
     return df.sparkSession.createDataFrame(table, df.schema) if table.num_rows <= HELD_ROWS else written(df, label)
+
+
+def bucketed(df: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
+    """df written in as many buckets of a column as shuffles have partitions, and the table's name, to be dropped after use.
+
+    A join on the column reads it as it lies; only the other side moves.
+    """
+    spark = df.sparkSession
+    name, n = f"sparkatlas_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", f"{shared_root(spark)}/sparkatlas/{name}").saveAsTable(name)
+    return spark.table(name), name
