@@ -3,34 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from typing import Any
 
-from sparkatlas.operators import bm25, evaluate, fusion, graph, health, incremental, lookup, models, reports, review, sessions, vectors
+from sparkatlas.operators import bm25, evaluate, federation, fusion, graph, health, incremental, lookup, migrate, models, near_pairs, reports, review, sessions, vectors
 from sparkatlas.sources import notes, sinks
 from sparkatlas.streaming import convergence, watch
 
 #: Command -> function.
 COMMANDS: dict[str, Callable[..., Any]] = {
-    "index": incremental.upsert,
+    "index": watch.reindex,
+    "upsert": incremental.upsert,
     "rebuild": sinks.rebuild,
     "status": incremental.index_status,
     "watch": watch.watch,
     "converge": convergence.converge,
     "query": fusion.hybrid,
-    "federated-query": fusion.federated,
+    "federated-query": federation.search,
     "search": bm25.search,
     "vector-search": vectors.top_k,
     "rerank": models.rerank,
     "similar": vectors.similar,
     "cluster": vectors.leader_clusters,
-    "discriminate": vectors.similar_pairs,
+    "discriminate": near_pairs.near_pairs,
+    "discriminate-exact": vectors.similar_pairs,
     "evaluate": evaluate.retrieval_metrics,
     "feedback-grid": evaluate.feedback_grid,
     "feedback-tuning": evaluate.feedback_strategies,
     "compare-models": evaluate.compare_models,
-    "export": incremental.export,
+    "export": incremental.export_tables,
+    "sync": sinks.write_tables,
+    "embed": models.embed,
+    "migrate": migrate.migrate,
+    "drop-old": migrate.drop_old,
+    "tags": lookup.tag_counts,
+    "list": notes.list_notes,
     "sessions": sessions.summaries,
-    "link-stats": lookup.note_links,
+    "link-stats": lookup.link_stats,
+    "orphans": lookup.without_inlinks,
     "downstream": graph.downstream,
     "reach": graph.symmetric_reach,
     "sole-support": graph.sole_support,
@@ -40,14 +50,20 @@ COMMANDS: dict[str, Callable[..., Any]] = {
 
 #: Tool -> (function, what it does).
 TOOLS: dict[str, tuple[Callable[..., Any], str]] = {
-    "find_note": (lookup.find_paths, "the path of a note by its name"),
+    "find_similar": (vectors.similar, "the notes most like a note"),
+    "search_vault": (fusion.hybrid, "notes that answer a query"),
+    "find_clusters": (near_pairs.near_pairs, "pairs of notes that are nearly the same"),
+    "get_inlinks": (lookup.note_links, "how many links lead to a note"),
+    "get_outlinks": (lookup.note_edges, "where a note's links lead"),
+    "get_tags": (lookup.tag_counts, "all tags and how many notes have them"),
     "read_note": (notes.read_head, "the start of a note"),
+    "submit_link": (incremental.judged_links, "whether suggested links may be made"),
+    "submit_voice_flag": (partial(incremental.submitted, task="voice_flag"), "put a note whose title is only a topic into the queue"),
+    "submit_suspect": (partial(incremental.submitted, task="suspect"), "put a note that needs a closer look into the queue"),
+    "find_note": (lookup.find_paths, "the path of a note by its name"),
     "fetch_bodies": (lookup.fetch, "bodies of notes"),
     "list_notes": (notes.list_notes, "paths and tags in order"),
-    "note_edges": (lookup.note_edges, "typed edges out of and into notes"),
-    "note_links": (lookup.note_links, "how many links lead to and from notes"),
     "suggest_links": (incremental.proposed_links, "notes to link to"),
-    "judge_links": (incremental.judged_links, "whether suggested links may be made"),
     "update_queue": (incremental.update_queue, "change and append items of work"),
     "stale": (health.stale, "whether a note needs another look"),
 }

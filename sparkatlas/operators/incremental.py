@@ -47,6 +47,35 @@ def export(notes: DataFrame, rules: list[tuple[str, str]], default: str = "priva
     return notes.withColumn("tier", tier).where("tier <> 'private'").withColumn("body", body)
 
 
+def export_tables(notes: DataFrame, embeddings: DataFrame, links: DataFrame, rules: list[tuple[str, str]], model_id: str, now: float, default: str = "private") -> dict[str, DataFrame]:
+    """What a peer may read, by table: notes (path, title, tags, tier, updated_at), contents, embeddings and links of those notes, and meta.
+
+    notes: path, title, tags, body, mtime_ms, visibility. embeddings: path, vec. links: path, target.
+    """
+    seen = export(notes, rules, default)
+    paths = seen.select("path")
+    meta = [("model_id", model_id), ("exported_at", str(int(now * 1000)))]
+    return {
+        "notes": seen.select("path", "title", "tags", "tier", F.col("mtime_ms").cast("long").alias("updated_at")),
+        "contents": seen.select("path", "title", "tags", "body"),
+        "embeddings": embeddings.join(paths, "path", "left_semi"),
+        "links": links.join(paths, "path", "left_semi"),
+        "meta": notes.sparkSession.createDataFrame(meta, "key string, value string"),
+    }
+
+
+def drop_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges without those of these ids."""
+    return edges.join(ids.select("id").distinct(), "id", "left_anti").select(*edges.columns)
+
+
+def submitted(queue: DataFrame, items: DataFrame, task: str, now: float) -> DataFrame:
+    """The queue (id, task, target, reason, status, created_at) with new pending items (target, reason); one that it has already is not put in again."""
+    key = F.substring(F.sha2(F.concat_ws("\n", F.lit(task), "target", F.coalesce("reason", F.lit(""))), 256), 1, 16)
+    new = items.where("target <> ''").select(key.alias("id"), F.lit(task).alias("task"), "target", "reason", F.lit("pending").alias("status"), F.lit(now).alias("created_at")).dropDuplicates(["id"])
+    return queue.unionByName(new.join(queue.select("id"), "id", "left_anti"))
+
+
 def add_edges(edges: DataFrame, more: DataFrame, types: tuple[str, ...], confidences: tuple[str, ...] = ("high", "medium", "low")) -> DataFrame:
     """edges with the valid ones of more; an unknown type or confidence, or an empty end, is refused."""
     good = more.where(F.col("edge_type").isin(*types) & F.col("confidence").isin(*confidences) & (F.col("from_path") != "") & (F.col("to_path") != ""))

@@ -56,6 +56,34 @@ def note_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(sums, "node", "left").na.fill(0, ["n_in", "n_out"])
 
 
+def without_inlinks(notes: DataFrame, links: DataFrame) -> DataFrame:
+    """Notes (path) to which no link (target) leads; a note goes by its path below the top folder, and links with a bracket don't count."""
+    top = F.expr("substring(path, 1, instr(path, '/'))")
+    name = F.replace(F.replace(F.col("path"), F.lit(".md"), F.lit("")), top, F.lit(""))
+    sound = links.where(~F.contains(F.col("target"), F.lit("["))).select(F.col("target").alias("_name")).distinct()
+    return notes.withColumn("_name", name).join(sound, "_name", "left_anti").drop("_name")
+
+
+def link_stats(notes: DataFrame, links: DataFrame, permanent: str = "3-permanent", maps: str = "5-maps") -> DataFrame:
+    """(kind, name, n, zero_inlinks, ratio): notes and links in all, each top folder's notes and those without inlinks, and permanent notes for each map."""
+    folder = F.substring_index("path", "/", 1).alias("name")
+    lone = without_inlinks(notes, links).select("path", F.lit(1).alias("lone"))
+    by = notes.select("path", folder).join(lone, "path", "left").groupBy("name").agg(F.count("*").alias("n"), F.count("lone").alias("zero_inlinks"))
+    by = by.select(F.lit("folder").alias("kind"), "name", "n", "zero_inlinks", F.lit(None).cast("double").alias("ratio"))
+    none = F.lit(None).cast("long")
+    total = notes.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("notes").alias("name"), "n", none, F.lit(None).cast("double"))
+    all_links = links.where(~F.contains(F.col("target"), F.lit("["))).agg(F.count("*").alias("n")).select(F.lit("total"), F.lit("links"), "n", none, F.lit(None).cast("double"))
+    count = lambda f: F.count(F.when(F.substring_index("path", "/", 1) == f, 1))
+    share = notes.agg(F.round(count(permanent) / F.greatest(count(maps), F.lit(1)), 2).alias("ratio")).select(F.lit("ratio"), F.lit("permanent to maps"), none, none, "ratio")
+    return by.union(total).union(all_links).union(share)
+
+
+def tag_counts(notes: DataFrame, least: int = 3) -> DataFrame:
+    """(tag, n) of tags (arrays of notes), in lower case, that so many notes have, most frequent first."""
+    counted = notes.select("key", F.explode("tags").alias("tag")).select("key", F.lower("tag").alias("tag")).distinct().groupBy("tag").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), "tag")
+
+
 def zero_outlink(notes: DataFrame, links: DataFrame) -> DataFrame:
     """Notes (node) that link to nothing."""
     return notes.select("node").distinct().join(links.select(F.col("src").alias("node")), "node", "left_anti")

@@ -186,3 +186,22 @@ def inbox_routes(spark, d):
     folder = F.when(F.col("source") == "src0", "inbox").when(F.col("source") == "src1", "fleeting").otherwise(F.col("source"))
     docs = table(spark, d, "documents").select(folder.alias("folder"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(2).alias("inlinks"))
     return docs.groupBy("folder", health.route(F.col("inlinks"), F.col("folder")).alias("route")).agg(F.count("*").alias("n"))
+
+
+PLACE_SQL = "CASE WHEN doc_id % 3 = 0 THEN '3-permanent' WHEN doc_id % 7 = 0 THEN '5-maps' ELSE source END || '/' || doc_id || '.md'"
+
+
+@query(
+    "link_stats",
+    f"""WITH n AS (SELECT {PLACE_SQL} AS path, doc_id::VARCHAR AS name FROM documents), l AS (SELECT conv_id || CASE WHEN turn = 3 THEN '[1]' ELSE '' END AS target FROM conversations), s AS (SELECT target FROM l WHERE NOT contains(target, '[')),
+f AS (SELECT split_part(path, '/', 1) AS name, count(*) AS n, count(*) FILTER (WHERE name NOT IN (SELECT target FROM s)) AS zero_inlinks FROM n GROUP BY 1)
+SELECT 'folder' AS kind, name, n, zero_inlinks, NULL::DOUBLE AS ratio FROM f UNION ALL SELECT 'total', 'notes', count(*), NULL, NULL FROM n UNION ALL SELECT 'total', 'links', count(*), NULL, NULL FROM s
+UNION ALL SELECT 'ratio', 'permanent to maps', NULL, NULL, round((SELECT n FROM f WHERE name = '3-permanent') / (SELECT n FROM f WHERE name = '5-maps'), 2)""",
+)
+def link_stats(spark, d):
+    """Turns of a conversation as links to the note of its number, some with a bracket."""
+    k = F.col("doc_id")
+    place = F.when(k % 3 == 0, "3-permanent").when(k % 7 == 0, "5-maps").otherwise(F.col("source"))
+    notes = table(spark, d, "documents").select(F.concat(place, F.lit("/"), k.cast("string"), F.lit(".md")).alias("path"))
+    links = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.when(F.col("turn") == 3, "[1]").otherwise("")).alias("target"))
+    return lookup.link_stats(notes, links)

@@ -52,3 +52,9 @@ def rebuild(build, root: str) -> str:
 def write_export(notes: DataFrame, root: str, peer_id: str) -> None:
     """Notes that a peer may read, in the folder of this peer."""
     notes.write.mode("overwrite").parquet(f"{root}/peer_id={peer_id}")
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, peer_id: str) -> None:
+    """All tables of an export, each in a folder of its own for this peer."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/peer_id={peer_id}")

@@ -257,7 +257,15 @@ def test_api_names_resolve(spark):
     assert [r.path for r in api.call("list_notes", notes).collect()] == ["a.md", "b.md"]
     with pytest.raises(ValueError):
         api.call("nothing")
-    assert all(map(callable, api.COMMANDS.values())) and len(api.COMMANDS) >= 21 and len(api.TOOLS) == 10
+    wanted = {"find_similar", "search_vault", "find_clusters", "get_inlinks", "get_outlinks", "get_tags", "read_note", "submit_link", "submit_voice_flag", "submit_suspect"}
+    assert wanted <= set(api.TOOLS)
+    queue = spark.createDataFrame([], "id string, task string, target string, reason string, status string, created_at double")
+    items = spark.createDataFrame([("a.md", "old"), ("a.md", "old"), ("b.md", None), ("", "x")], "target string, reason string")
+    once = api.call("submit_suspect", queue, items, now=5.0)
+    again = api.call("submit_suspect", once, items, now=9.0)
+    assert sorted((r.task, r.target, r.status, r.created_at) for r in again.collect()) == [("suspect", "a.md", "pending", 5.0), ("suspect", "b.md", "pending", 5.0)]
+    assert api.call("submit_voice_flag", once, items, now=9.0).count() == 4
+    assert all(map(callable, api.COMMANDS.values())) and len(api.COMMANDS) >= 30
 
 
 def test_write_checks_and_link_reasons(spark):
@@ -309,3 +317,33 @@ def test_reflect_ranks_candidates_again(spark):
     best = found.orderBy("rank").collect()
     assert [r.key for r in best][:2] == [1, 4] and best[0].score == 1.0 and best[0].top_cosine == pytest.approx(1.0)
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 4)}
+
+
+def test_export_tables(spark):
+    from sparkatlas.sources import sinks
+
+    notes = spark.createDataFrame([("a.md", "a", ["t"], "Body of a.", 5.0, None), ("p/b.md", "b", [], "First.\n\nSecond.", 6.0, None), ("c.md", "c", [], "Hidden.", 7.0, "private")], "path string, title string, tags array<string>, body string, mtime_ms double, visibility string")
+    vecs = spark.createDataFrame([(p, [1.0]) for p in ("a.md", "p/b.md", "c.md")], "path string, vec array<float>")
+    links = spark.createDataFrame([("a.md", "b"), ("c.md", "a")], "path string, target string")
+    out = incremental.export_tables(notes, vecs, links, [("p/*", "listed")], "m1", 9.0, default="public")
+    assert {(r.path, r.tier, r.updated_at) for r in out["notes"].collect()} == {("a.md", "public", 5), ("p/b.md", "listed", 6)}
+    assert {r.path: r.body for r in out["contents"].collect()} == {"a.md": "Body of a.", "p/b.md": "First."}
+    assert {r.path for r in out["embeddings"].collect()} == {"a.md", "p/b.md"} and [tuple(r) for r in out["links"].collect()] == [("a.md", "b")]
+    assert {r.key: r.value for r in out["meta"].collect()} == {"model_id": "m1", "exported_at": "9000"}
+
+
+def test_edges_go_by_id(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (2, "a", "c")], "id long, from_path string, to_path string")
+    assert [r.id for r in incremental.drop_edges(edges, spark.createDataFrame([(2,), (7,)], "id long")).collect()] == [1]
+
+
+def test_link_stats(spark):
+    from sparkatlas.operators import lookup
+
+    notes = spark.createDataFrame([(p,) for p in ("3-permanent/a.md", "3-permanent/b.md", "3-permanent/sub/c.md", "5-maps/m.md", "5-maps/n.md", "top.md")], "path string")
+    links = spark.createDataFrame([("x", "a"), ("y", "a"), ("x", "sub/c"), ("x", "b[1]"), ("x", "top")], "path string, target string")
+    got = {(r["kind"], r["name"]): (r.n, r.zero_inlinks, r.ratio) for r in lookup.link_stats(notes, links).collect()}
+    assert got == {("folder", "3-permanent"): (3, 1, None), ("folder", "5-maps"): (2, 2, None), ("folder", "top.md"): (1, 0, None), ("total", "notes"): (6, None, None), ("total", "links"): (4, None, None), ("ratio", "permanent to maps"): (None, None, 1.5)}
+    assert sorted(r.path for r in lookup.without_inlinks(notes, links).collect()) == ["3-permanent/b.md", "5-maps/m.md", "5-maps/n.md"]
+    tags = spark.createDataFrame([(1, ["A", "b", "b"]), (2, ["a"]), (3, ["a", "b"])], "key long, tags array<string>")
+    assert [tuple(r) for r in lookup.tag_counts(tags, 2).collect()] == [("a", 3), ("b", 2)]
