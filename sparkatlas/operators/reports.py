@@ -42,6 +42,20 @@ def daily_rollup(events: DataFrame, day: Column, actor: Column, session: str, co
     return events.groupBy(day.alias("day"), actor.alias("actor")).agg(F.countDistinct(session).alias("n_sessions"), *sums)
 
 
+def consolidation(events: DataFrame) -> DataFrame:
+    """(day, total_sessions, actor, sessions, notes_created, fixes, promotions) of a log (ts as ISO text, session_id, skill, agent, action).
+
+    An event is its skill's, else its agent's, else its action's; blank ones
+    count as missing. Events without a time are left out.
+    """
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = events.where("ts <> ''").select(F.substring("ts", 1, 10).alias("day"), given("session_id").alias("session_id"), F.coalesce(given("skill"), given("agent"), given("action"), F.lit("unknown")).alias("actor"), "action")
+    n = lambda *actions: F.sum(F.when(F.col("action").isin(*actions), 1).otherwise(0))
+    by = rows.groupBy("day", "actor").agg(F.countDistinct("session_id").alias("sessions"), n("vault-write").alias("notes_created"), n("fix", "verify-fix").alias("fixes"), n("promote").alias("promotions"))
+    days = rows.groupBy("day").agg(F.countDistinct("session_id").alias("total_sessions"))
+    return by.join(days, "day").select("day", "total_sessions", "actor", "sessions", "notes_created", "fixes", "promotions")
+
+
 def top_values(df: DataFrame, value: Column, top: int, name: str = "value") -> DataFrame:
     """The most frequent values; ties go by the value."""
     counts = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
@@ -157,15 +171,30 @@ def retrieval_report(log: DataFrame, top: int = 10, top_files: int = 15) -> Data
     return out
 
 
-def shadow_review(log: DataFrame) -> DataFrame:
-    """One row: how healthy two backends are, how many entries pass, and what that says about the gate.
+def shadow_latencies(log: DataFrame) -> DataFrame:
+    """(backend, p50, p95, most) of the latencies of healthy entries, by floor index. log: as ``shadow_review``, with first_ms and second_ms."""
+    healthy = log.where("NOT skipped AND first_error IS NULL AND second_error IS NULL")
+    each = healthy.select(F.explode(F.array(*[F.struct(F.lit(n).alias("backend"), F.col(f"{n}_ms").alias("ms")) for n in ("first", "second")])).alias("x")).select("x.*")
+    return floor_percentiles(each, "backend", "ms", (50, 95, 100)).withColumnRenamed("p100", "most")
+
+
+def shadow_passes(log: DataFrame, top: int = 20) -> DataFrame:
+    """(entry, best, rank) of the healthy entries that passed with the best scores. log: as ``shadow_review``, with entry, first_score and second_score."""
+    passed = log.where("passed AND NOT skipped AND first_error IS NULL AND second_error IS NULL")
+    best = F.greatest(F.coalesce("first_score", F.lit(0.0)), F.coalesce("second_score", F.lit(0.0)))
+    first = passed.select("entry", best.alias("best")).orderBy(F.desc("best"), "entry").limit(top)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("best"), "entry")))
+
+
+def shadow_review(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each group): how healthy two backends are, how many entries pass, and what that says about the gate.
 
     log: skipped, passed (booleans), first_error, second_error (null where the backend answered).
     """
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     one, two = F.col("first_error").isNull(), F.col("second_error").isNull()
     healthy = ~F.col("skipped") & one & two
-    sums = log.agg(F.count("*").alias("total"), n(F.col("skipped")).alias("skips"), n(one).alias("first_ok"), n(two).alias("second_ok"), n(healthy).alias("healthy"), n(F.col("passed")).alias("passed"), n(healthy & F.col("passed")).alias("passed_healthy"))
+    sums = log.groupBy(*by).agg(F.count("*").alias("total"), n(F.col("skipped")).alias("skips"), n(one).alias("first_ok"), n(two).alias("second_ok"), n(healthy).alias("healthy"), n(F.col("passed")).alias("passed"), n(healthy & F.col("passed")).alias("passed_healthy"))
     rate = F.when(F.col("total") > 0, F.least("first_ok", "second_ok") / F.col("total")).otherwise(0.0)
     share = F.when(F.col("healthy") > 0, F.col("passed_healthy") / F.col("healthy")).otherwise(0.0)
     says = F.when((rate < 0.6) & (F.col("total") >= 50), "infrastructure").when(F.col("healthy") < 100, "not_ready").when((F.col("passed_healthy") >= 20) & (share >= 0.05), "ready").when((F.col("healthy") >= 300) & (share < 0.02), "too_strict").otherwise("inconclusive")

@@ -81,6 +81,27 @@ def daily_rollup(spark, d):
     return reports.daily_rollup(A.log(spark, d), F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), "user_id", {"n_write": k == 0, "n_fix": k == 1, "n_promote": k == 2})
 
 
+@query(
+    "daily_consolidation",
+    f"""WITH {A.LOG_SQL}, e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN k % 10 > 0 THEN user_id END AS s, CASE WHEN event_type = 'view' THEN 'search' END AS skill, CASE WHEN k % 4 = 0 THEN 'librarian' ELSE '' END AS agent,
+  CASE event_type WHEN 'purchase' THEN 'vault-write' WHEN 'click' THEN 'fix' WHEN 'error' THEN 'verify-fix' WHEN 'signup' THEN 'promote' END AS action FROM log WHERE k <> 50),
+a AS (SELECT *, coalesce(skill, nullif(agent, ''), action, 'unknown') AS actor FROM e), d AS (SELECT day, count(DISTINCT s) AS total_sessions FROM a GROUP BY day)
+SELECT day, any_value(total_sessions) AS total_sessions, actor, count(DISTINCT s) AS sessions, count(*) FILTER (WHERE action = 'vault-write') AS notes_created, count(*) FILTER (WHERE action IN ('fix', 'verify-fix')) AS fixes, count(*) FILTER (WHERE action = 'promote') AS promotions FROM a JOIN d USING (day) GROUP BY day, actor""",
+)
+def daily_consolidation(spark, d):
+    """The log's events as those of skills, agents and actions; some have no session, some no time."""
+    kind, k = F.col("event_type"), F.col("k")
+    action = F.when(kind == "purchase", "vault-write").when(kind == "click", "fix").when(kind == "error", "verify-fix").when(kind == "signup", "promote")
+    events = A.log(spark, d).select(
+        F.when(k == 50, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("ts"),
+        F.when(k % 10 > 0, F.col("user_id").cast("string")).otherwise("").alias("session_id"),
+        F.when(kind == "view", "search").alias("skill"),
+        F.when(k % 4 == 0, "librarian").otherwise("").alias("agent"),
+        action.alias("action"),
+    )
+    return reports.consolidation(events)
+
+
 FINDINGS_SQL = """f AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS n_ambiguous FROM labels JOIN documents USING (doc_id) WHERE quality = 0 GROUP BY source)"""
 
 
@@ -257,6 +278,49 @@ def shadow_review(spark, d):
     return reports.shadow_review(A.log(spark, d).select((k % 11 == 0).alias("skipped"), (k >= 35).alias("passed"), F.when(k % 13 == 0, "no answer").alias("first_error"), F.when(k % 17 == 0, "timeout").alias("second_error")))
 
 
+SHADOW_SQL = f"""{A.LOG_SQL}, s AS (SELECT event_id AS entry, user_id % 5 AS grp, k % 11 = 0 AS skipped, CASE user_id % 5 WHEN 2 THEN false WHEN 4 THEN k % 33 = 1 ELSE k >= 35 END AS passed,
+  CASE WHEN k % 13 = 0 OR user_id % 5 = 1 AND k % 2 = 0 THEN 'no answer' END AS a, CASE WHEN k % 17 = 0 THEN 'timeout' END AS b, k * 7 % 300 + 0.5 AS first_ms, CASE WHEN k % 3 > 0 THEN k * 11 % 500 + 0.25 END AS second_ms,
+  k / 100.0 AS first_score, event_id % 97 / 97.0 AS second_score FROM log WHERE user_id % 5 <> 3 OR event_id % 40 = 0)"""
+
+
+def _shadow(spark, d):
+    """The log as entries of a shadow gate, in five groups that fare differently."""
+    k, g = F.col("k"), F.col("user_id") % 5
+    passed = F.when(g == 2, False).when(g == 4, k % 33 == 1).otherwise(k >= 35)
+    return A.log(spark, d).where((g != 3) | (F.col("event_id") % 40 == 0)).select(
+        F.col("event_id").alias("entry"), g.alias("grp"), (k % 11 == 0).alias("skipped"), passed.alias("passed"),
+        F.when((k % 13 == 0) | ((g == 1) & (k % 2 == 0)), "no answer").alias("first_error"), F.when(k % 17 == 0, "timeout").alias("second_error"),
+        (k * 7 % 300 + 0.5).cast("double").alias("first_ms"), F.when(k % 3 > 0, k * 11 % 500 + 0.25).cast("double").alias("second_ms"),
+        (k / 100.0).alias("first_score"), (F.col("event_id") % 97 / 97.0).alias("second_score"),
+    )
+
+
+@query(
+    "shadow_verdicts",
+    f"""WITH {SHADOW_SQL}, t AS (SELECT grp, count(*) AS total, least(count(*) FILTER (WHERE a IS NULL), count(*) FILTER (WHERE b IS NULL)) AS ok, count(*) FILTER (WHERE NOT skipped AND a IS NULL AND b IS NULL) AS healthy,
+  count(*) FILTER (WHERE passed AND NOT skipped AND a IS NULL AND b IS NULL) AS passed_healthy FROM s GROUP BY grp)
+SELECT grp, total, healthy, passed_healthy, CASE WHEN ok / total < 0.6 AND total >= 50 THEN 'infrastructure' WHEN healthy < 100 THEN 'not_ready' WHEN passed_healthy >= 20 AND passed_healthy / healthy >= 0.05 THEN 'ready'
+  WHEN healthy >= 300 AND passed_healthy / healthy < 0.02 THEN 'too_strict' ELSE 'inconclusive' END AS verdict FROM t""",
+)
+def shadow_verdicts(spark, d):
+    return reports.shadow_review(_shadow(spark, d), ("grp",)).select("grp", "total", "healthy", "passed_healthy", "verdict")
+
+
+@query(
+    "shadow_latencies",
+    f"""WITH {SHADOW_SQL}, h AS (SELECT * FROM s WHERE NOT skipped AND a IS NULL AND b IS NULL), l AS (SELECT 'first' AS backend, first_ms AS ms FROM h UNION ALL SELECT 'second', second_ms FROM h),
+o AS (SELECT backend, list(ms ORDER BY ms) FILTER (WHERE ms IS NOT NULL) AS m FROM l GROUP BY backend)
+SELECT backend, m[floor(0.5 * (len(m) - 1))::INT + 1]::DOUBLE AS p50, m[floor(0.95 * (len(m) - 1))::INT + 1]::DOUBLE AS p95, m[len(m)]::DOUBLE AS most FROM o""",
+)
+def shadow_latencies(spark, d):
+    return reports.shadow_latencies(_shadow(spark, d))
+
+
+@query("shadow_passes", f"WITH {SHADOW_SQL} SELECT entry, round(greatest(first_score, second_score), 6) AS best, row_number() OVER (ORDER BY greatest(first_score, second_score) DESC, entry) AS rank FROM s WHERE passed AND NOT skipped AND a IS NULL AND b IS NULL ORDER BY rank LIMIT 20")
+def shadow_passes(spark, d):
+    return reports.shadow_passes(_shadow(spark, d)).withColumn("best", F.round("best", 6))
+
+
 @query(
     "session_label",
     """WITH w AS (SELECT conv_id, chr(97 + (length(text) % 5)::INT) || ' topic of some length' AS topic, CASE WHEN length(text) % 2 = 0 THEN 'write' ELSE 'fix' END AS action,
