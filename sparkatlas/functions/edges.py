@@ -34,14 +34,15 @@ CUES = (
 def links_with_context(body: Column, chars: int = CONTEXT) -> Column:
     """Array of (target, before, after) for each link of a body."""
     parts = F.split(body, r"\[\[")
-    # each part after the first begins with a link; what came before it is all parts so far
+    # each part after the first begins with a link; as brackets part them, so many parts hold the characters wanted
+    near = chars // 2 + 1
     return F.filter(
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
             lambda i: F.struct(
                 F.lower(F.trim(F.regexp_extract(F.get(parts, i), r"^([^\]|#]*)[^\]]*\]\]", 1))).alias("target"),
-                F.reverse(F.substring(F.reverse(F.array_join(F.slice(parts, 1, i), "[[")), 1, chars)).alias("before"),
-                F.substring(F.concat_ws("[[", F.regexp_replace(F.get(parts, i), r"^[^\]]*\]\]", ""), F.array_join(F.slice(parts, i + 2, 1000), "[[")), 1, chars).alias("after"),
+                F.reverse(F.substring(F.reverse(F.array_join(F.slice(parts, F.greatest(F.lit(1), i - near + 1), F.least(i, F.lit(near))), "[[")), 1, chars)).alias("before"),
+                F.substring(F.array_join(F.concat(F.array(F.regexp_replace(F.get(parts, i), r"^[^\]]*\]\]", "")), F.slice(parts, i + 2, F.lit(near))), "[["), 1, chars).alias("after"),
             ),
         ),
         lambda x: x["target"] != "",

@@ -65,6 +65,17 @@ def test_edge_cues(spark):
     assert got == [("alpha", ("supports", "high", False)), ("beta", ("challenges_undermining", "high", True)), ("gamma", None), ("delta", ("supports", "medium", False)), ("epsilon", ("challenges_undercutting", "high", False))]
 
 
+def test_context_of_many_links(spark):
+    body = "".join(f"w{i} [[n{i}]]" + ("" if i % 3 else " and then some more words") for i in range(300)) + " end"
+    got = [r.x for r in spark.createDataFrame([(body,)], "b string").select(F.explode(edges.links_with_context(F.col("b"))).alias("x")).collect()]
+    at = 0
+    for i, x in enumerate(got):
+        start = body.index(f"[[n{i}]]", at)
+        at = start + len(f"[[n{i}]]")
+        assert (x.target, x.before, x.after) == (f"n{i}", body[max(0, start - 150) : start], body[at : at + 150])
+    assert len(got) == 300
+
+
 def test_payload(spark):
     from sparkatlas.functions import prose
 
