@@ -318,7 +318,31 @@ def rank_shift(spark, d):
 GRID = [(0.5, 1), (0.5, 3), (0.7, 1), (0.7, 3), (0.8, 1), (0.8, 3), (0.9, 1), (0.9, 3), (0.9, 5)]
 
 
-@query("feedback_grid")
+def _moved_sql(configs, lists, vectors, name):
+    """Vectors of queries moved toward the mean of the first k of a list, for each configuration (alpha, k)."""
+    return f"""{name}_e AS (SELECT c.alpha, c.k, t.query_id, unnest(range(1, len(v.vec) + 1)) AS i, unnest(v.vec) AS x FROM {configs} c JOIN {lists} t ON t.rank <= c.k AND coalesce(t.alpha, c.alpha) = c.alpha AND coalesce(t.k, c.k) = c.k JOIN vecs v ON v.key = t.key),
+{name}_m AS (SELECT alpha, k, query_id, i, avg(x) AS x FROM {name}_e GROUP BY ALL),
+{name}_b AS (SELECT c.alpha, c.k, query_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS qx FROM {configs} c JOIN {vectors} q ON coalesce(q.alpha, c.alpha) = c.alpha AND coalesce(q.k, c.k) = c.k),
+{name}_l AS (SELECT alpha, k, query_id, list(alpha * qx + (1 - alpha) * x ORDER BY i) AS v FROM {name}_m JOIN {name}_b USING (alpha, k, query_id, i) GROUP BY ALL),
+{name} AS (SELECT alpha, k, query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS vec FROM {name}_l),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY score DESC, key) AS rank FROM (SELECT m.alpha, m.k, m.query_id, vecs.key, list_dot_product(m.vec, vecs.vec) AS score FROM {name} m, vecs))"""
+
+
+def _configs_sql(grid):
+    return "c AS (SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {k}::INT)" for a, k in grid) + ") AS c(alpha, k))"
+
+
+OPEN_SQL = f"""{TOP_SQL}, own_q AS (SELECT NULL::DOUBLE AS alpha, NULL::INT AS k, query_id, vec FROM q), own_t AS (SELECT NULL::DOUBLE AS alpha, NULL::INT AS k, query_id, key, rank FROM top WHERE rank <= 30)"""
+
+GRID_SQL = f"""{OPEN_SQL}, {_configs_sql(GRID)}, {_moved_sql("c", "own_t", "own_q", "moved")},
+r AS (SELECT 'a=' || alpha || ',k=' || k AS label, query_id, key, rank FROM moved_r WHERE rank <= 10 UNION ALL SELECT 'none', query_id, key, rank FROM top WHERE rank <= 10),
+rel AS (SELECT x.key AS query_id, y.key FROM vecs x JOIN vecs y ON x.label = y.label AND x.key <> y.key WHERE x.key % 50 = 0), sz AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
+h AS (SELECT label, query_id, count(*) FILTER (WHERE rank <= 5) AS in5, count(*) AS in10, min(rank) AS f FROM r JOIN rel USING (query_id, key) GROUP BY ALL)
+SELECT label, count(*) AS num_queries, round(avg(coalesce(in5 / n, 0)), 6) AS recall_at_5, round(avg(coalesce(in10 / n, 0)), 6) AS recall_at_10, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN f = 1 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_1
+FROM (SELECT DISTINCT label FROM r) JOIN sz ON true LEFT JOIN h USING (label, query_id) GROUP BY label"""
+
+
+@query("feedback_grid", GRID_SQL)
 def feedback_grid(spark, d):
     vecs = A.vecs(spark, d)
     own = vecs.where("key % 50 = 0").select(F.col("key").alias("query_id"), "label")
@@ -347,11 +371,21 @@ def reflect_scan(spark, d):
     return best.select("query_id", "key", F.round("score", 6).alias("top_match_similarity"), route.alias("route"))
 
 
-@query("feedback_tuning")
+TUNED = [(0.5, 1), (0.5, 3), (0.7, 1), (0.7, 3), (0.9, 1), (0.9, 3)]
+
+TUNED_SQL = f"""{OPEN_SQL}, {_configs_sql(TUNED)}, {_moved_sql("c", "own_t", "own_q", "moved")}, {_moved_sql("c", "moved_r", "moved", "twice")},
+both_l AS (SELECT alpha, k, query_id, key, rank FROM moved_r WHERE rank <= 30 UNION ALL SELECT c.alpha, c.k, query_id, key, rank FROM top, c WHERE rank <= 30),
+both_s AS (SELECT alpha, k, query_id, key, sum(1.0 / (5 + rank)) AS score FROM both_l GROUP BY ALL),
+lists AS (SELECT 'replace' AS strategy, alpha, k, query_id, key, rank FROM moved_r UNION ALL SELECT 'two-pass', alpha, k, query_id, key, rank FROM twice_r
+  UNION ALL SELECT 'hybrid', alpha, k, query_id, key, row_number() OVER (PARTITION BY alpha, k, query_id ORDER BY round(score, 12) DESC, key) FROM both_s),
+j AS (SELECT l.*, t.rank AS o FROM lists l LEFT JOIN (SELECT * FROM top WHERE rank <= 30) t ON l.query_id = t.query_id AND l.key = t.key WHERE l.rank <= 30)
+SELECT strategy, alpha, k, query_id, count(*) FILTER (WHERE rank <= 5 AND (o IS NULL OR o > 5)) AS new_at_5, count(*) FILTER (WHERE rank <= 10 AND (o IS NULL OR o > 10)) AS new_at_10, count(*) FILTER (WHERE rank < o) AS promoted, count(*) FILTER (WHERE rank > o) AS demoted FROM j GROUP BY ALL"""
+
+
+@query("feedback_tuning", TUNED_SQL)
 def feedback_tuning(spark, d):
     """Three strategies with six settings each, against no feedback."""
-    grid = [(0.5, 1), (0.5, 3), (0.7, 1), (0.7, 3), (0.9, 1), (0.9, 3)]
-    return evaluate.feedback_strategies(A.vecs(spark, d).select("key", "vec"), A.query_vecs(spark, d), grid)
+    return evaluate.feedback_strategies(A.vecs(spark, d).select("key", "vec"), A.query_vecs(spark, d), TUNED)
 
 
 @query(
