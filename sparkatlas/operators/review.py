@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkatlas.operators.lookup import numbered
+
 DAY = 86400.0
 
 
@@ -21,6 +23,13 @@ def stale_inbox(notes: DataFrame, folders: list[str], now: float, days: float =
     return notes.where(F.col("folder").isin(folders) & ((F.lit(now) - F.col("mtime")) > days * DAY))
 
 
+def ghosts(notes: DataFrame, inbox: str, promoted: tuple[str, ...]) -> DataFrame:
+    """Notes (path) of the inbox folder whose file name a promoted folder has too."""
+    top, name = F.substring_index("path", "/", 1), F.substring_index("path", "/", -1)
+    kept = notes.where(top.isin(*promoted)).select(name.alias("_name")).distinct()
+    return notes.where(top == inbox).withColumn("_name", name).join(kept, "_name", "left_semi").drop("_name")
+
+
 def overlapping_pairs(pairs: DataFrame, tags: DataFrame, least: int = 2) -> DataFrame:
     """Similar pairs (a, b, similarity) whose notes share at least so many tags. tags: key, tags (array)."""
     x, y = (tags.select(F.col("key").alias(k), F.array_distinct("tags").alias(f"{k}_tags")) for k in ("a", "b"))
@@ -51,18 +60,22 @@ def densest_unreviewed(clusters: DataFrame, reviewed: DataFrame, top: int = 1) -
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
 
 
-def refinement(pairs: DataFrame, notes: DataFrame, low: float = 0.74, high: float = 0.92, most: int = 5, excluded: tuple[str, ...] = (), literature: str = "literature") -> DataFrame:
-    """(note, other, cosine, n): the closest partners of each note, at most so many, whose cosine lies in the band.
+def refinement(pairs: DataFrame, notes: DataFrame, low: float = 0.74, high: float = 0.92, most: int = 5, excluded: tuple[str, ...] = (), literature: str = "literature", nearest: int = 10) -> DataFrame:
+    """(id, note, other, cosine, n): the closest partners of each note, at most so many, whose cosine lies in the band, numbered throughout.
 
-    pairs: a, b, similarity. notes: key, name, folder, is_new. Left out are
-    partners of one name, two new notes, notes of excluded folders, and two
-    notes of literature.
+    pairs: a, b, similarity, all of those from low on. notes: key, name, folder,
+    is_new. Only a note's nearest few are looked at; of these partners of one
+    name, two new notes, notes of excluded folders, and two notes of literature
+    are left out.
     """
+    every = pairs.where(F.col("similarity") >= low)
+    ways = every.select(F.col("a").alias("note"), F.col("b").alias("other"), "similarity").unionByName(every.select(F.col("b").alias("note"), F.col("a").alias("other"), "similarity"))
+    order = Window.partitionBy("note").orderBy(F.desc("similarity"), "other")
+    ways = ways.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest).drop("n")
     info = notes.select("key", "name", "folder", "is_new").where(~F.col("folder").isin(list(excluded)))
     left, right = (info.select(*[F.col(c).alias(f"{p}_{c}") for c in info.columns]) for p in ("x", "y"))
-    band = pairs.where(F.col("similarity").between(low, high)).join(left, F.col("a") == F.col("x_key")).join(right, F.col("b") == F.col("y_key"))
+    band = ways.where(F.col("similarity") <= high).join(left, F.col("note") == F.col("x_key")).join(right, F.col("other") == F.col("y_key"))
     both_lit = (F.col("x_folder") == literature) & (F.col("y_folder") == literature)
-    kept = band.where((F.col("x_name") != F.col("y_name")) & ~(F.col("x_is_new") & F.col("y_is_new")) & ~both_lit).select("a", "b", "similarity")
-    ways = kept.select(F.col("a").alias("note"), F.col("b").alias("other"), "similarity").unionByName(kept.select(F.col("b").alias("note"), F.col("a").alias("other"), "similarity"))
-    order = Window.partitionBy("note").orderBy(F.desc("similarity"), "other")
-    return ways.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("note", "other", F.round("similarity", 6).alias("cosine"), "n")
+    kept = band.where((F.col("x_name") != F.col("y_name")) & ~(F.col("x_is_new") & F.col("y_is_new")) & ~both_lit).select("note", "other", "similarity")
+    best = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("note", "other", F.round("similarity", 6).alias("cosine"), "n")
+    return numbered(best, F.asc("note"), F.asc("n"), name="id")

@@ -205,3 +205,15 @@ def link_stats(spark, d):
     notes = table(spark, d, "documents").select(F.concat(place, F.lit("/"), k.cast("string"), F.lit(".md")).alias("path"))
     links = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.when(F.col("turn") == 3, "[1]").otherwise("")).alias("target"))
     return lookup.link_stats(notes, links)
+
+
+GHOST_SQL = "CASE doc_id % 3 WHEN 0 THEN '0-inbox' WHEN 1 THEN '1-fleeting' ELSE '3-permanent' END || '/' || lang || length(coalesce(text, '')) % 997 || '.md'"
+
+
+@query("ghost_names", f"WITH n AS (SELECT doc_id, {GHOST_SQL} AS path FROM documents) SELECT doc_id, path FROM n WHERE path LIKE '0-inbox/%' AND split_part(path, '/', 2) IN (SELECT split_part(path, '/', 2) FROM n WHERE path NOT LIKE '0-inbox/%')")
+def ghost_names(spark, d):
+    """Inbox notes that were promoted under the same file name: files are named by language and length here."""
+    k = F.col("doc_id") % 3
+    folder = F.when(k == 0, "0-inbox").when(k == 1, "1-fleeting").otherwise("3-permanent")
+    path = F.concat(folder, F.lit("/"), "lang", (F.length(F.coalesce("text", F.lit(""))) % 997).cast("string"), F.lit(".md"))
+    return review.ghosts(table(spark, d, "documents").select("doc_id", path.alias("path")), "0-inbox", ("1-fleeting", "3-permanent"))

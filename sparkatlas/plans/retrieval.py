@@ -94,10 +94,11 @@ INFO_SQL = "info AS (SELECT doc_id AS key, lang || (doc_id % 7) AS name, source
 @query(
     "refinement_candidates",
     f"""{PAIRS_SQL}, {INFO_SQL},
-ok AS (SELECT a, b, s FROM pairs JOIN info x ON x.key = a JOIN info y ON y.key = b WHERE s BETWEEN 0.3 AND 0.45 AND x.name <> y.name AND NOT (x.is_new AND y.is_new) AND NOT (x.folder = 'src1' AND y.folder = 'src1')),
-band AS (SELECT a AS note, b AS other, s FROM ok UNION ALL SELECT b, a, s FROM ok),
-r AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY s DESC, other) AS n FROM band)
-SELECT note, other, round(s, 6) AS cosine, n FROM r WHERE n <= 5""",
+ways AS (SELECT a AS note, b AS other, s FROM pairs WHERE s >= 0.3 UNION ALL SELECT b, a, s FROM pairs WHERE s >= 0.3),
+near AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY s DESC, other) AS place FROM ways),
+ok AS (SELECT note, other, s FROM near JOIN info x ON x.key = note JOIN info y ON y.key = other WHERE place <= 10 AND s <= 0.45 AND x.name <> y.name AND NOT (x.is_new AND y.is_new) AND NOT (x.folder = 'src1' AND y.folder = 'src1')),
+r AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY s DESC, other) AS n FROM ok)
+SELECT row_number() OVER (ORDER BY note, n) AS id, note, other, round(s, 6) AS cosine, n FROM r WHERE n <= 5""",
 )
 def refinement_candidates(spark, d):
     info = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("lang", F.col("doc_id") % 7).alias("name"), F.col("source").alias("folder"), (F.col("doc_id") % 5 == 0).alias("is_new"))
@@ -223,7 +224,7 @@ def _corpus(spark, d) -> fusion.Corpus:
 @query("hybrid_query")
 def hybrid_query(spark, d):
     texts = _texts(spark, d)
-    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64)).select(F.col("key").alias("query_id"), "vec")
+    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64), query=True).select(F.col("key").alias("query_id"), "vec")
     return fusion.hybrid(_corpus(spark, d), texts, asked).withColumn("score", F.round("score", 6))
 
 
@@ -430,6 +431,6 @@ def inbox_clusters(spark, d):
 def reflect_rerank(spark, d):
     """Hybrid candidates ranked again by shared words, with the cosine of each query's best match."""
     texts = _texts(spark, d)
-    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64)).select(F.col("key").alias("query_id"), "vec")
+    asked = models.embed(texts.select(F.col("query_id").alias("key"), "text"), "text", models.HashingEmbedder(64), query=True).select(F.col("key").alias("query_id"), "vec")
     found, _ = fusion.reflect(_corpus(spark, d), texts, asked, models.OverlapScorer())
     return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank", F.round("top_cosine", 6).alias("top_cosine"))
