@@ -26,6 +26,7 @@ TABLES = tables("string") | {
     "contents": Table("path string, body string", "path", "path"),
     "links": Table("path string, target string", "path", "path"),
     "embeddings": Table("path string, vec array<float>", "path", "path"),
+    "blanks": Table("path string, mtime_ms double", "path", "path"),  # files that held no note when they were opened
 }
 #: Changed files that are opened by name at most; beyond, the whole tree is scanned once.
 BY_NAME = 1 << 10
@@ -53,10 +54,11 @@ class NoteIndex:
 
         Returns how many notes were new, changed, touched only (mtime), deleted or unparsable; these stay as they were.
         """
-        old = self.store.read("notes")
+        old, blanks = self.store.read("notes"), self.store.read("blanks")
         was = old.select("path", F.col("mtime_ms").alias("_was"))
-        seen = listing.join(was, "path", "left")
-        doubtful = written(seen.where(F.col("_was").isNull() | (F.abs(F.col("mtime_ms") - F.col("_was")) >= 1)).drop("_was"), "doubtful-notes")
+        known = was.unionByName(blanks.select("path", F.col("mtime_ms").alias("_was"))).withColumnRenamed("path", "_path")
+        same = (F.col("path") == F.col("_path")) & (F.abs(F.col("mtime_ms") - F.col("_was")) < 1)
+        doubtful = written(listing.join(known, same, "left_anti"), "doubtful-notes")
         found = written(N.parse_notes(open_files(doubtful)), "opened-notes")
         gone = held(was.join(listing.select("path"), "path", "left_anti").select("path"), "gone-notes")
         now = doubtful.select("path", "mtime_ms").join(found.select("path", "content_hash"), "path", "left")
@@ -65,8 +67,13 @@ class NoteIndex:
         ops = held(ops.join(was.select("path", F.lit(True).alias("_had")), "path", "left").where("op <> 'unparsable' OR _had").drop("_had"), "note-changes")
         done = {r.op: r.n for r in ops.groupBy("op").agg(F.count("*").alias("n")).collect()} | {"deleted": gone.count()}
         done = {k: n for k, n in done.items() if n}
+        empty = held(doubtful.select("path", "mtime_ms").join(found.select("path"), "path", "left_anti"), "blank-notes")
+        left = held(blanks.select("path").join(listing.select("path"), "path", "left_anti"), "gone-blanks")
+        no_note = {"blanks": empty}, {"blanks": doubtful.select("path").unionByName(left)} if self.store.manifest.parts else {}
         if not set(done) - {"unparsable", "unchanged"}:
-            return self, done
+            if not empty.count() and not left.count():
+                return self, done
+            return NoteIndex(self.store.commit(*no_note), self.model), done
         whole = found.join(ops.where("op IN ('new', 'changed')").select("path"), "path", "left_semi")
         times = old.drop("mtime_ms").join(ops.where("op = 'mtime'").select("path"), "path", "left_semi").join(doubtful.select("path", "mtime_ms"), "path")
         columns = ["path", "title", "tags", "mtime_ms", "content_hash", "visibility"]
@@ -81,7 +88,7 @@ class NoteIndex:
         }
         if self.store.manifest.parts:
             void |= {"notes": changed.unionByName(times.select("path"))} | {t: changed for t in ("contents", "links", "embeddings")}
-        store = self.store.commit(rows, void)
+        store = self.store.commit(rows | no_note[0], void | no_note[1])
         return NoteIndex(store.compact(PARTS), self.model), done
 
     def update(self, root: str) -> tuple[NoteIndex, dict[str, int]]:

@@ -60,7 +60,7 @@ def test_changes(spark, tmp_path, model, monkeypatch):
     before, asked, old = parts(root), open(model.log).read().count("\n"), index
     (folder / "n-4.md").write_text("A mountain instead [[n-9]] and [[n-10]].")
     after, done = index.update(str(folder))
-    assert done == {"changed": 1} and len([p for p in opened if not p.endswith("blank.md")]) == 1
+    assert done == {"changed": 1} and len(opened) == 1 and opened[0].endswith("n-4.md")
     assert open(model.log).read().count("\n") == asked + 1
     new = parts(root) - before
     assert all(len([p for p in new if f"/{t}/bucket=" in p]) == 1 for t in ("notes", "contents", "links", "embeddings", "lengths"))
@@ -82,8 +82,17 @@ def test_changes(spark, tmp_path, model, monkeypatch):
     assert "n-6.md" not in notes and bodies["n-7.md"].startswith("Body 7") and set(notes) == set(bodies) == vecs == {f"n-{i}.md" for i in range(12) if i != 6} | {"x.md"}
     assert {r.path: r.mtime_ms for r in last.store.read("notes").collect()}["n-5.md"] == 1000
     assert {r.key for r in last.text.search({0: "Body"}, 50).collect()} == set(notes) - {"x.md", "n-4.md"}
-    whole = NI.NoteIndex(last.store.compact(0), model)
-    assert state(whole) == state(last) and not whole.store.manifest.voids
+    opened.clear()
+    assert last.update(str(folder)) == (last, {}) and not opened  # the note that can't be read is not opened again
+    (folder / "blank.md").write_text("no longer blank")
+    (folder / "void.md").write_text("---\nc: d\n---\n")
+    more, done = last.update(str(folder))
+    assert done == {"new": 1} and len(opened) == 2 and state(more)[1]["blank.md"] == "no longer blank"
+    (folder / "void.md").unlink()
+    less, done = more.update(str(folder))
+    assert done == {} and [r.path for r in less.store.read("blanks").collect()] == ["n-7.md"]
+    whole = NI.NoteIndex(less.store.compact(0), model)
+    assert state(whole) == state(less) and not whole.store.manifest.voids
 
 
 def test_a_model_of_another_width(spark):
