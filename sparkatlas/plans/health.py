@@ -142,7 +142,7 @@ def promote_routes(spark, d):
     return health.promote_gate(notes).select("doc_id", "passes", "destination", "rewrite", F.col("warning").isNotNull().alias("warned"))
 
 
-SURNAMES = "list_transform(list_filter(string_split_regex(lower({0}), '[\s,&]+'), lambda s: length(s) > 1 AND s NOT IN ('et', 'al', 'al.')), lambda s: regexp_replace(s, '[^a-z]', '', 'g'))"
+SURNAMES = r"list_transform(list_filter(string_split_regex(lower({0}), '[\s,&]+'), lambda s: length(s) > 1 AND s NOT IN ('et', 'al', 'al.')), lambda s: regexp_replace(s, '[^a-z]', '', 'g'))"
 NAMES_MATCH = "len(list_filter(m, lambda w: len(list_filter({0}, lambda x: contains(x, w) OR contains(w, x))) > 0)) > 0"
 
 
