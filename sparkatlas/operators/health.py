@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkatlas.functions.text import ascii_edges
+
 DAY = 86400.0
 
 
@@ -46,7 +48,7 @@ def inbox_status(notes: DataFrame, now: float) -> DataFrame:
 
 def stale(age_days: Column, text: Column, least: int = 60) -> Column:
     """Old text that names a version or a date, and a quantity."""
-    return (age_days >= least) & text.rlike(VERSION) & text.rlike(QUANTITY)
+    return (age_days >= least) & text.rlike(ascii_edges(VERSION)) & text.rlike(ascii_edges(QUANTITY))
 
 
 def route(inlinks: Column, folder: Column) -> Column:

@@ -144,3 +144,10 @@ def test_edges_in_frontmatter(spark):
     assert got[0] == f"---\n{both}\n---\nplain" and got[4] == f"---\n{both}\n---\n"
     assert got[1] == '---\ntitle: t\nsupports: ["[[one]]", "[[old]]", "[[two]]"]\nlast: 1\nrebuts: ["[[three]]"]\n---\nbody'
     assert got[2] == notes[2] and got[3] == '---\nsupports: words\nrebuts: ["[[three]]"]\n---\nb' and got[5] is None
+
+
+def test_words_end_at_letters_that_are_not_ascii(spark):
+    """As in the queries' SQL: 'ñ' is no part of a word, so a number after 'or' counts; a vertical tab is no blank."""
+    assert one(spark, T.numbers, t="señor 79.118, ñn = 12, n\x0b= 5, p < 0.05, valor 3, 8 dayſ") == ["79.118", "12", "0.05", "8"]
+    assert one(spark, T.species, t="ñmice and men") == "human+animal"
+    assert one(spark, T.sample_size, t="ñn = 12") == 12
