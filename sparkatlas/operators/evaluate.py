@@ -92,7 +92,7 @@ def feedback_strategies(vecs: DataFrame, queries: DataFrame, configs: list[tuple
         moved = written(vectors.rocchio(vecs, queries, base, alpha=alpha, beta=1 - alpha, k=k), "feedback-moved")
         again = written(vectors.top_k(vecs, moved, top), "feedback-list")
         twice = vectors.top_k(vecs, vectors.rocchio(vecs, moved, again, alpha=alpha, beta=1 - alpha, k=k), top)
-        for name, found in (("replace", again), ("hybrid", fusion.rrf([base, again], top=top)), ("two-pass", twice)):
+        for name, found in (("replace", again), ("hybrid", fusion.rrf([base, again], top=top, digits=12)), ("two-pass", twice)):
             shift = rank_shift(base, found).select(F.lit(name).alias("strategy"), F.lit(alpha).alias("alpha"), F.lit(k).alias("k"), "query_id", "new_at_5", "new_at_10", "promoted", "demoted")
             out = shift if out is None else out.unionByName(shift)
     return out

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from sparkatlas.operators import bm25, fusion
 from sparkatlas.operators.kept_text import PLACE_BITS, tokenised
 from sparkatlas.operators.storage import held, written
-from sparkatlas.operators.vectors import _blocks, _matrix
+from sparkatlas.operators.vectors import ROWS, Best, _blocks, _matrix
 
-#: Rows of vectors that are scored at a time.
-ROWS = 4096
+#: Rows of lists that a task holds at most, about.
+HELD = 1 << 21
 
 
 def text_lists(notes: DataFrame, texts: DataFrame, top: int = fusion.SIGNAL_TOP, fields: bm25.Fields = bm25.Fields()) -> DataFrame:
@@ -59,23 +59,27 @@ def vector_lists(vecs: DataFrame, query_vecs: DataFrame, top: int = fusion.SIGNA
         shared = spark.sparkContext.broadcast((np.array(keys), block))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            found: dict[str | None, Best] = {}
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for peer, own in found.items():
+                    for ids, key, score in own.rows():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([peer] * len(ids), pa.string()), pa.array(key), pa.array(score)], names=["query_id", "peer_id", "key", "score"])
+
             for batch in batches:
                 for first in range(0, batch.num_rows, ROWS):
                     part = batch.slice(first, ROWS)
-                    m, rows = _matrix(part.column(2), q.shape[1])
-                    peers = np.array(["" if p is None else "p" + p for p in part.column(0).to_pylist()])[rows]
+                    m, rows = _matrix(part.column(2), shared.value[1].shape[1])
                     own = part.column(1).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-                    out: list[tuple] = [(ids[:0], peers[:0], own[:0], np.zeros(0))]
-                    scores = q @ m.T
-                    for peer in np.unique(peers):
-                        at = np.flatnonzero(peers == peer)
-                        for i, s in zip(ids, scores[:, at]):
-                            pick = np.lexsort((own[at], -s))[:top]
-                            out.append((np.full(len(pick), i), peers[at][pick], own[at][pick], s[pick]))
-                    q_ids, who, key, score = (np.concatenate(c) for c in zip(*out))
-                    names = pa.array([p[1:] if p else None for p in who.tolist()], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids.astype(np.int64)), names, pa.array(key), pa.array(score)], names=["query_id", "peer_id", "key", "score"])
+                    names = part.column(0).dictionary_encode()
+                    code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)[rows]
+                    for c in np.unique(code):
+                        peer = names.dictionary[int(c)].as_py() if c >= 0 else None
+                        found.setdefault(peer, Best(*shared.value, top)).add(own[code == c], m[code == c])
+                    if sum(map(len, found.values())) > HELD:  # lists of very many peers go on as they are
+                        yield from out()
+                        found.clear()
+            yield from out()
 
         parts.append(vecs.select("peer_id", "key", "vec").mapInArrow(best, schema))
     if not parts:

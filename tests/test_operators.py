@@ -347,3 +347,25 @@ def test_link_stats(spark):
     assert sorted(r.path for r in lookup.without_inlinks(notes, links).collect()) == ["3-permanent/b.md", "5-maps/m.md", "5-maps/n.md"]
     tags = spark.createDataFrame([(1, ["A", "b", "b"]), (2, ["a"]), (3, ["a", "b"])], "key long, tags array<string>")
     assert [tuple(r) for r in lookup.tag_counts(tags, 2).collect()] == [("a", 3), ("b", 2)]
+
+
+def test_equal_sums_of_ranks_go_by_key(spark):
+    """1/6 + 1/30 and 1/10 + 1/10 are equal, their doubles are not."""
+    lists = [spark.createDataFrame([(1, 7, a), (1, 3, b)], "query_id long, key long, rank int") for a, b in ((1, 5), (25, 5))]
+    assert 1 / 6 + 1 / 30 != 1 / 10 + 1 / 10
+    for one in (lists, [x.withColumn("key", 10 - F.col("key")) for x in lists]):
+        assert [(r.key, r["rank"]) for r in fusion.rrf(one, digits=12).orderBy("rank").collect()] == [(3, 1), (7, 2)]
+
+
+def test_equal_vectors_have_equal_scores(spark):
+    """Wherever they lie in a matrix: ties go by key, and a task holds few scores."""
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal(33).tolist()
+    df = spark.createDataFrame([(i, v) for i in range(1000)], "key long, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(i, rng.standard_normal(33).tolist()) for i in range(300)], "query_id long, vec array<double>")
+    for r in vectors.top_k(df, q, 5).groupBy("query_id").agg(F.collect_set("key").alias("keys"), F.count_distinct("score").alias("n")).collect():
+        assert sorted(r["keys"]) == [0, 1, 2, 3, 4] and r.n == 1
+    best = vectors.Best(np.arange(5000), rng.standard_normal((5000, 8)), 3)
+    for i in range(4):
+        best.add(np.arange(i * 9000, i * 9000 + 9000), rng.standard_normal((9000, 8)))
+    assert len(best) == 15000 and max(len(at) for at, _, _ in best.kept) * vectors.ROWS <= 3 * vectors.SCORES
