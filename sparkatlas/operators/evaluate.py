@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def retrieval_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Labels:
+    """Relevance by label: every other key of a query's label is relevant. own: query_id, label. keys: key, label.
+
+    The pairs are as many as the squares of the labels' sizes, and never made.
+    """
+
+    own: DataFrame
+    keys: DataFrame
+
+    def sizes(self) -> DataFrame:
+        """(query_id, n_relevant) of the queries that have relevant keys."""
+        keys = self.keys.where("label IS NOT NULL").distinct()
+        n = keys.groupBy("label").agg(F.count("*").alias("n"))
+        itself = keys.select(F.col("key").alias("query_id"), "label", F.lit(1).alias("itself"))
+        per = self.own.distinct().join(n, "label").join(itself, ["query_id", "label"], "left")
+        return per.groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce("itself", F.lit(0))).alias("n_relevant")).where("n_relevant > 0")
+
+    def hits(self, ranked: DataFrame) -> DataFrame:
+        """The rows of ranked whose key is relevant."""
+        own = self.own.select("query_id", F.col("label").alias("_label"))
+        found = ranked.where("key <> query_id").join(own, "query_id").join(self.keys.select("key", "label"), "key")
+        return found.where("label = _label").drop("label", "_label").distinct()
+
+
+def retrieval_metrics(ranked: DataFrame, relevant: DataFrame | Labels) -> DataFrame:
     """Mean recall@5, recall@10, reciprocal rank and hits@1 over the queries that have relevant keys.
 
-    ranked: query_id, key, rank. relevant: query_id, key. Queries without results count as zero.
+    ranked: query_id, key, rank. relevant: query_id, key, or Labels. Queries without results count as zero.
     """
-    truth = relevant.distinct()
-    sizes = truth.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = ranked.where(F.col("rank") <= 10).join(truth, ["query_id", "key"]).groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= 5, 1).otherwise(0)).alias("in5"), F.count("*").alias("in10"), F.min("rank").alias("first"))
+    first = ranked.select("query_id", "key", "rank").where(F.col("rank") <= 10)
+    if isinstance(relevant, Labels):
+        sizes, found = relevant.sizes(), relevant.hits(first)
+    else:
+        truth = relevant.distinct()
+        sizes, found = truth.groupBy("query_id").agg(F.count("*").alias("n_relevant")), first.join(truth, ["query_id", "key"])
+    hits = found.groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= 5, 1).otherwise(0)).alias("in5"), F.count("*").alias("in10"), F.min("rank").alias("first"))
     per = sizes.join(hits, "query_id", "left")
     share = lambda c: F.coalesce(F.col(c) / F.col("n_relevant"), F.lit(0.0))
     return per.agg(
@@ -60,14 +91,15 @@ def evaluation_set(links: DataFrame, notes: DataFrame, min_links: int = 2) -> Da
     return pairs.join(enough, "query_id").join(notes.select(F.col("key").alias("query_id"), F.col("title").alias("text")), "query_id")
 
 
-def feedback_grid(vecs: DataFrame, queries: DataFrame, relevant: DataFrame, configs: list[tuple[float, int]]) -> DataFrame:
+def feedback_grid(vecs: DataFrame, queries: DataFrame, relevant: DataFrame | Labels, configs: list[tuple[float, int]]) -> DataFrame:
     """Metrics per feedback configuration (alpha, k), and without feedback.
 
     A query's own note is dropped after the cut at ten, as the harness this follows does.
     """
     from sparkatlas.operators import vectors
+    from sparkatlas.operators.storage import written
 
-    base = vectors.top_k(vecs, queries, 10)
+    base = written(vectors.top_k(vecs, queries, 10), "grid-base")
     cut = lambda r: r.where(F.col("rank") <= 10).where("key <> query_id")
     out = retrieval_metrics(cut(base), relevant).withColumn("label", F.lit("none"))
     for alpha, k in configs:

@@ -369,3 +369,14 @@ def test_equal_vectors_have_equal_scores(spark):
     for i in range(4):
         best.add(np.arange(i * 9000, i * 9000 + 9000), rng.standard_normal((9000, 8)))
     assert len(best) == 15000 and max(len(at) for at, _, _ in best.kept) * vectors.ROWS <= 3 * vectors.SCORES
+
+
+def test_relevance_by_label_is_that_of_the_pairs(spark):
+    rng = random.Random(3)
+    keys = spark.createDataFrame([(i, rng.choice([0, 1, 1, None]) if i else 9) for i in range(60)], "key long, label int")
+    own = keys.where("key % 4 = 0").select(F.col("key").alias("query_id"), "label")
+    ranked = spark.createDataFrame([(q, k, r) for q in range(0, 60, 4) for r, k in enumerate(rng.sample(range(60), 12), 1)], "query_id long, key long, rank int")
+    pairs = own.join(keys, "label").where("key <> query_id").select("query_id", "key")
+    labels = evaluate.Labels(own, keys)
+    assert evaluate.retrieval_metrics(ranked, labels).collect() == evaluate.retrieval_metrics(ranked, pairs).collect()
+    assert sorted(labels.sizes().collect()) == sorted(pairs.groupBy("query_id").agg(F.count("*").alias("n")).collect())
