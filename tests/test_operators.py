@@ -380,3 +380,41 @@ def test_relevance_by_label_is_that_of_the_pairs(spark):
     labels = evaluate.Labels(own, keys)
     assert evaluate.retrieval_metrics(ranked, labels).collect() == evaluate.retrieval_metrics(ranked, pairs).collect()
     assert sorted(labels.sizes().collect()) == sorted(pairs.groupBy("query_id").agg(F.count("*").alias("n")).collect())
+
+
+@pytest.fixture(params=[None, 5])
+def many_blocks(request, spark, monkeypatch):
+    """Vectors of which a block holds few, most of them equal."""
+    monkeypatch.setattr(vectors, "HOME_NUMBERS", 64 * 12)
+    monkeypatch.setattr(vectors, "LEAST_HOMES", 1)
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((700, 12))
+    m[100:400] = m[100]
+    df = vectors.unit(spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(m)), (900, None), (901, [])], "key long, vec array<double>"))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    return m, df.repartition(3), request.param
+
+
+def test_blocks_bound_a_cell_of_equal_vectors(spark, many_blocks):
+    m, df, pivots = many_blocks
+    s = m @ m.T
+    tags = {i: [f"t{i % 3}", f"u{i % 5}", "u0"] for i in range(650)}
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if s[i, j] >= 0.6}
+    got = [(r.a, r.b) for r in vectors.similar_pairs(df, 0.6, pivots=pivots).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    shared = {(i, j): len({*tags[i]} & {*tags[j]}) for i, j in want if i < 650 and j < 650}
+    found = vectors.similar_pairs(df, 0.6, pivots=pivots, tags=spark.createDataFrame(list(tags.items()), "key long, tags array<string>"), least=2)
+    assert {(r.a, r.b): r.shared for r in found.collect()} == {p: n for p, n in shared.items() if n >= 2}
+    largest = vectors._tiles(df, 0.6, pivots, 7).where("home").groupBy("block").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * 64
+
+
+def test_nearest_are_the_first_of_all_pairs(spark, many_blocks):
+    m, df, pivots = many_blocks
+    got: dict[int, list[int]] = {}
+    for r in vectors.nearest(df, 0.5, 4, pivots=pivots).orderBy("note", "n").collect():
+        got.setdefault(r.note, []).append(r.other)
+    s = np.array([np.add.accumulate(m * v, axis=1)[:, -1] for v in m])
+    for i in range(700):
+        want = sorted((j for j in range(700) if j != i and s[i, j] >= 0.5), key=lambda j: (-s[i, j], j))[:4]
+        assert got.get(i, []) == want
