@@ -39,6 +39,10 @@ SLACK = 4.0
 BITS = 256
 
 
+#: Vectors that are signed at a time.
+SIGNED = 1 << 9
+
+
 @dataclass(frozen=True)
 class Bands:
     bits: int
@@ -104,12 +108,13 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.85, recall: float = 0.95
     widths = [r.w for r in single.select(F.size("vec").alias("w")).distinct().collect()]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(first, SIGNED) for b in batches for first in range(0, b.num_rows, SIGNED)):
             for width in widths:
                 m, at = _matrix(batch.column(1), width)
                 words, buckets = signatures(m, bands, seed + width)
                 keys = batch.column(0).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([width] * len(at), pa.int32()), keys, pa.array([w.tobytes() for w in words], pa.binary()), pa.array(buckets.tolist(), pa.list_(pa.int64()))], names=["width", "key", "sig", "buckets"])
+                ends = pa.array(np.arange(len(at) + 1) * bands.bands, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([width] * len(at), pa.int32()), keys, pa.array([w.tobytes() for w in words], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(buckets.ravel()))], names=["width", "key", "sig", "buckets"])
 
     signed = written(single.select("key", "vec").mapInArrow(sign, "width int, key long, sig binary, buckets array<long>"), "signatures")
     rows = signed.select("width", "key", "sig", F.explode("buckets").alias("bucket"))

@@ -69,3 +69,14 @@ def test_plans_keep_their_word():
         for t, r in ((0.85, 0.95), (0.38, 0.9), (0.99, 0.999)):
             b = N.plan(n, t, r)
             assert 1 - (1 - N.same_side(t) ** b.bits) ** b.bands >= r
+
+
+def test_vectors_are_signed_some_at_a_time(spark, monkeypatch):
+    seen = N.signatures(np.eye(40), N.Bands(4, 30), 7)[1]
+    assert seen.shape == (40, 30) and N.SIGNED * 64 * 64 * 8 <= 1 << 24
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(np.random.default_rng(2).standard_normal((40, 8)), 2, axis=0) + np.tile([0, 1e-3], 40)[:, None])]
+    found = []
+    for n in (7, 512):
+        monkeypatch.setattr(N, "SIGNED", n)
+        found.append(sorted((r.a, r.b) for r in N.near_pairs(spark.createDataFrame(rows, "key long, vec array<double>"), 0.95, 0.999).collect()))
+    assert found[0] == found[1] and len(found[0]) >= 40
