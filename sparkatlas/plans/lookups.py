@@ -79,8 +79,8 @@ def notes_with_content(spark, d):
 
 @query("stratified_sample", f"WITH {A.EDGES_SQL}, e AS (SELECT confidence, from_path || '>' || to_path AS edge FROM edges GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY confidence ORDER BY md5('7:' || edge), edge) AS pick FROM e) SELECT * FROM r WHERE pick <= 20")
 def stratified_sample(spark, d):
-    edges = A.typed_edges(spark, d).select("confidence", F.concat_ws(">", "from_path", "to_path").alias("edge")).distinct()
-    return lookup.stratified_sample(edges, "confidence", "edge", 20, seed=7)
+    edges = A.typed_edges(spark, d).select("confidence", F.concat_ws(">", "from_path", "to_path").alias("edge"))
+    return lookup.stratified_sample(edges, "confidence", "edge", 20, seed=7, once=True)
 
 
 @query("unvisited_pick", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5('1:' || doc_id), doc_id LIMIT 25")
