@@ -60,3 +60,32 @@ def test_ttl_state_is_one_for_many_keys(spark, tmp_path):
     got = {r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {*range(5000), 10_000, 10_001, 20_001, 20_002}
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= logs.TTL_GROUPS
+
+
+def test_dense_pagerank_moves_scores_by_hubs(spark, monkeypatch):
+    """Equal to a plain loop, with hubs broadcast or not; each edge lies once, with its end of smaller degree."""
+    edges = [(a, 100 + b) for a in range(40) for b in range(10) if (a * 7 + b * 3) % 11] + [(100, 101), (0, 1)]
+    links = spark.createDataFrame(edges, "src long, dst long")
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seeds = {q: [100 + q % 10, q] for q in range(40)}
+    want = {}
+    into = {n: sum(b == n for _, b in edges) for n in near}
+    for q, own in seeds.items():
+        w = {n: 1 / (into[n] + 1) for n in own}
+        score = back = {n: w.get(n, 0.0) / sum(w.values()) for n in near}
+        for _ in range(4):
+            score = {n: 0.5 * back[n] + 0.5 * sum(score[m] / len(near[m]) for m in near[n]) for n in near}
+        want |= {(q, n): s for n, s in score.items() if n not in own and s > 1e-6}
+    kept = []
+    bucketed = graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, column, label: kept.append((df.count(), column)) or bucketed(df, column, label))
+    asked = spark.createDataFrame([(q, n) for q, own in seeds.items() for n in own], "query_id long, node long")
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(graph, "HUBS", most)
+        found = graph.personalised_pagerank(graph.link_graph(links), asked, graph.degrees(links), rounds=4, top=100)
+        got = {(r.query_id, r.node): r.score for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert kept == [(len(edges), "o")] * 2
