@@ -63,7 +63,9 @@ WINDOW = 16
 STREAMS = (128, 512)
 #: Steps that training makes at least where there are tokens enough; smaller replicas have fewer streams and smaller steps.
 LEAST_STEPS = 40
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of the softmax over classes that are worked through at once, so that they stay in a core's cache; so many numbers in the others.
+CACHED_ROWS = 1 << 10
 #: Tokens that a task scores side by side.
 SCORE_TOKENS = 4_000_000
 #: Distinct words that a task counts before it passes them on.
@@ -178,34 +180,39 @@ class Network:
         far = lambda a: float((np.abs(a[:, :WIDTH]).sum(axis=1) + np.abs(a[:, WIDTH])).max(initial=0))
         self.safe_w, self.safe_y = far(self.p.w) < SAFE, far(self.p.y) < SAFE
 
-    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
-        """States after each step; fresh marks where a document begins (clean state)."""
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, tuple]:
+        """States after each step, and what backward needs; fresh marks where a document begins (clean state).
+
+        Inside, a row holds one number of all streams, so that gates are whole blocks.
+        """
         p, n = self.p, WIDTH
         out = np.empty((*inputs.shape, n), p.u.dtype)
-        trail = []
-        gates = p.e[inputs] @ p.q[:RANK]
-        gates += p.q[RANK]
+        half = np.repeat([0.5, 0.5, 1.0], n).astype(p.u.dtype)[:, None]  # the logistic function by way of tanh
+        u = p.u.T * half
+        gates = (p.q[:RANK].T * half) @ p.e[inputs].transpose(0, 2, 1)
+        gates += p.q[RANK][:, None] * half
         clean = fresh.any(axis=1)
+        before, pulls = [], []
+        h = h.T.copy()
         for t in range(len(inputs)):
-            h0 = h * ~fresh[t][:, None] if clean[t] else h
-            a = h0 @ p.u
-            g = gates[t]
-            zr = g[:, : 2 * n] + a[:, : 2 * n]
-            zr *= 0.5  # the logistic function by way of tanh
+            if clean[t]:
+                h = h * ~fresh[t]
+            a = u @ h
+            zr, r, new = gates[t, : 2 * n], gates[t, n : 2 * n], gates[t, 2 * n :]
+            zr += a[: 2 * n]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            z, r = zr[:, :n], zr[:, n:]
-            new = r * a[:, 2 * n :]
-            new += g[:, 2 * n :]
+            new += r * a[2 * n :]
             np.tanh(new, out=new)
-            h = h0 - new
-            h *= z
-            h += new
-            out[t] = h
             if learn:
-                trail.append((h0, z, r, a[:, 2 * n :], new))
-        return out, trail
+                before.append(h)
+                pulls.append(a[2 * n :])
+            h = h - new
+            h *= zr[:n]
+            h += new
+            out[t] = h.T
+        return out, (gates, before, pulls)
 
     def outputs(self, h: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict]:
         """Natural log probability of each word (rows of h) without joined counts, and gradients of their sum."""
@@ -216,32 +223,47 @@ class Network:
         h1[:, :WIDTH] = h[order]
         words, kind = words[order], kind[order]
         at = np.arange(len(words))
-        x = h1 @ p.w.T
-        total = _softmax(x, self.safe_w)
-        logp = np.log(x[at, kind] / total) + v.within[words]
+        logp = v.within[words]
         grads: dict = {}
         if learn:
-            x /= -total[:, None]
-            x[at, kind] += 1
-            grads = {"w": x.T @ h1, "y": []}
-            dh = x @ p.w[:, :WIDTH]
+            grads = {"w": np.zeros_like(p.w), "y": []}
+            dh = np.empty((len(words), WIDTH), h.dtype)
+        for a in range(0, len(words), CACHED_ROWS):
+            b = min(a + CACHED_ROWS, len(words))
+            hk = h1[a:b]
+            x = hk @ p.w.T
+            total = _softmax(x, self.safe_w)
+            mine = (at[: b - a], kind[a:b])
+            own = x[mine]
+            logp[a:b] += np.log(own / total)
+            if learn:
+                x[mine] = own - total
+                total = (-1 / total)[:, None]
+                grads["w"] += x.T @ (hk * total)
+                np.multiply(x @ p.w[:, :WIDTH], total, out=dh[a:b])
         cuts = np.searchsorted(kind, np.arange(v.classes + 1)).tolist()
         first = v.first.tolist()
         for k in range(v.classes):
-            a, b = cuts[k], cuts[k + 1]
-            if a == b:
+            if cuts[k] == cuts[k + 1]:
                 continue
-            own = slice(first[k], first[k + 1])
-            hk, yk = h1[a:b], p.y[own]
-            x = hk @ yk.T
-            total = _softmax(x, self.safe_y)
-            mine = (at[: b - a], words[a:b] - first[k])
-            logp[a:b] += np.log(x[mine] / total)
+            yk = p.y[first[k] : first[k + 1]]
+            dy = 0
+            rows = max(1, CACHED_ROWS * (v.classes + 1) // len(yk))
+            for a in range(cuts[k], cuts[k + 1], rows):
+                b = min(a + rows, cuts[k + 1])
+                hk = h1[a:b]
+                x = hk @ yk.T
+                total = _softmax(x, self.safe_y)
+                mine = (at[: b - a], words[a:b] - first[k])
+                own = x[mine]
+                logp[a:b] += np.log(own / total)
+                if learn:
+                    x[mine] = own - total
+                    total = (-1 / total)[:, None]
+                    dy = dy + x.T @ (hk * total)
+                    dh[a:b] += (x @ yk[:, :WIDTH]) * total
             if learn:
-                x /= -total[:, None]
-                x[mine] += 1
-                grads["y"].append((own, x.T @ hk))
-                dh[a:b] += x @ yk[:, :WIDTH]
+                grads["y"].append((slice(first[k], first[k + 1]), dy))
         out = np.empty(len(words))
         out[order] = logp
         if learn:
@@ -249,42 +271,48 @@ class Network:
             grads["h"][order] = dh
         return out, grads
 
-    def backward(self, inputs: np.ndarray, fresh: np.ndarray, trail: list, d_out: np.ndarray) -> dict:
+    def backward(self, inputs: np.ndarray, fresh: np.ndarray, trail: tuple, d_out: np.ndarray) -> dict:
         """Gradients through the window (truncated at its start)."""
         p, n = self.p, WIDTH
-        du = np.zeros_like(p.u)
-        dx = np.empty((*inputs.shape, 3 * n), p.u.dtype)
-        dh = np.zeros_like(d_out[0])
+        gates, h0 = trail[0], np.stack(trail[1])
+        z, r, new = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+        # slopes of the gates' inputs, of all steps at once
+        to_r = 1 - r
+        to_r *= r
+        to_r *= np.stack(trail[2])
+        off = 1 - z
+        to_z = h0 - new
+        to_z *= z
+        to_z *= off
+        to_new = new * new
+        np.subtract(1, to_new, out=to_new)
+        to_new *= off
+        g, dnew = np.empty_like(gates), off
+        dh = np.zeros_like(h0[0])
         clean = fresh.any(axis=1)
-        back = p.u.T.copy()
         for t in range(len(inputs) - 1, -1, -1):
-            h0, z, r, a, new = trail[t]
-            dh = dh + d_out[t]
-            g = dx[t]
-            dnew = g[:, 2 * n :]
-            np.multiply(dh, 1 - z, out=dnew)
-            dnew *= 1 - new * new
-            np.multiply(dh * (h0 - new), z * (1 - z), out=g[:, :n])
-            np.multiply(dnew * a, r * (1 - r), out=g[:, n : 2 * n])
-            da = g.copy()
-            da[:, 2 * n :] *= r
-            du += h0.T @ da
-            dh *= z
-            dh += da @ back
+            dh += d_out[t].T
+            np.multiply(dh, to_z[t], out=g[t, :n])
+            np.multiply(dh, to_new[t], out=dnew[t])
+            np.multiply(dnew[t], to_r[t], out=g[t, n : 2 * n])
+            np.multiply(dnew[t], r[t], out=g[t, 2 * n :])
+            dh *= z[t]
+            dh += p.u @ g[t]
             if clean[t]:
-                dh *= ~fresh[t][:, None]
-        dx = dx.reshape(-1, 3 * n)
-        flat = inputs.ravel()
+                dh *= ~fresh[t]
+        du = (h0 @ g.transpose(0, 2, 1)).sum(axis=0)
+        g[:, 2 * n :] = dnew
         dq = np.empty_like(p.q)
-        dq[:RANK] = p.e[flat].T @ dx
-        dq[RANK] = dx.sum(axis=0)
-        rows, de = _summed(flat, dx @ p.q[:RANK].T)
+        dq[:RANK] = (g @ p.e[inputs]).sum(axis=0).T
+        dq[RANK] = g.sum(axis=2).sum(axis=0)
+        de = g.transpose(0, 2, 1) @ p.q[:RANK].T
+        rows, de = _summed(inputs.ravel(), de.reshape(-1, RANK))
         return {"u": du, "q": dq, "rows": rows, "e": de}
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.min_scalar_type(keys.max(initial=0))), kind="stable")  # two bytes are sorted by counting
     own = keys[order]
     first = np.flatnonzero(np.diff(own, prepend=-1))
     return own[first], np.add.reduceat(values[order], first, axis=0) if len(own) else values

@@ -83,6 +83,26 @@ def test_lm_is_a_distribution(scale):
         assert (np.abs(given[0] - given[1]) > 1e-9)[np.bincount(kind)[kind] > 1].all()
 
 
+def test_softmaxes_go_by_blocks_of_rows(monkeypatch):
+    """No block holds the scores of all rows, and blocks change neither probabilities nor gradients."""
+    vocab = small_vocabulary()
+    net = gated_lm.Network(vocab, loud(vocab, 9))
+    rng = np.random.default_rng(10)
+    h, words = np.tanh(rng.standard_normal((3000, gated_lm.WIDTH))), rng.integers(0, 401, 3000)
+    sizes, softmax = [], gated_lm._softmax
+    monkeypatch.setattr(gated_lm, "_softmax", lambda x, safe: sizes.append(x.size) or softmax(x, safe))
+    monkeypatch.setattr(gated_lm, "CACHED_ROWS", 1 << 20, raising=False)
+    whole, one = net.outputs(h, words, learn=True)
+    assert max(sizes) == 3000 * (vocab.classes + 1)
+    sizes.clear()
+    monkeypatch.setattr(gated_lm, "CACHED_ROWS", 7, raising=False)
+    parts, two = net.outputs(h, words, learn=True)
+    assert max(sizes) <= 7 * (vocab.classes + 1)
+    assert parts == pytest.approx(whole, rel=1e-12) and two["h"] == pytest.approx(one["h"], abs=1e-9) and two["w"] == pytest.approx(one["w"], abs=1e-9)
+    for (own, x), (same, y) in zip(one["y"], two["y"], strict=True):
+        assert own == same and x == pytest.approx(y, abs=1e-9)
+
+
 def plain_score(p, vocab, ids):
     """ln probability of one document, word by word with the textbook equations."""
     n, sigmoid = gated_lm.WIDTH, lambda x: 1 / (1 + np.exp(-x))
